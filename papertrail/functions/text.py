@@ -16,7 +16,10 @@ from papertrail.functions._col import col_of, lit_str
 
 # ---------------------------------------------------------------- F0 strip
 
-_WS = r"(?U)^\s+|\s+\z"
+# The characters Python's str.strip() removes (str.isspace).
+PY_WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+PY_WS_NO_NL = r"[\t\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+_WS = "^" + PY_WS + "+|" + PY_WS + "+\\z"
 
 
 def strip(c) -> Column:
@@ -124,8 +127,7 @@ def clean_markdown(c, mode: str = "reference") -> Column:
             pat, rep = _MATH_SAFE[i]
         x = F.regexp_replace(x, pat, rep)
     # strip every line: whitespace other than "\n" around line ends
-    x = F.regexp_replace(x, r"(?mdU)^[^\S\n]+|[^\S\n]+$", "")
-    # per-line strip also removes \r, \x0b, \x0c etc. adjacent to "\n"
+    x = F.regexp_replace(x, "(?md)^" + PY_WS_NO_NL + "+|" + PY_WS_NO_NL + "+$", "")
     return strip(x)
 
 
