@@ -9,6 +9,7 @@ from papertrail.plans import registry
 _MODULES = [
     "papertrail.plans.q_retrieval",
     "papertrail.plans.q_text",
+    "papertrail.plans.q_corpus",
 ]
 
 

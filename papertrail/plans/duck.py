@@ -17,7 +17,7 @@ def strip(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 # the markdown rules in RE2 syntax (same order as MARKDOWN_RULES)
@@ -51,3 +51,23 @@ def clean_markdown(x: str) -> str:
 def nl(s: str) -> str:
     """SQL expression for a string with real newlines (DuckDB literals keep them)."""
     return q(s)
+
+
+def render(template: str, **cols) -> str:
+    """SQL concat expression filling ``{slot}`` with column expressions."""
+    import string
+
+    parts = []
+    for lit, field, _spec, _conv in string.Formatter().parse(template):
+        if lit:
+            parts.append(q(lit))
+        if field is not None:
+            parts.append(f"coalesce(CAST({cols[field]} AS VARCHAR), '')")
+    return "(" + " || ".join(parts) + ")"
+
+
+HASH32 = "CAST(('0x' || substr(md5({seed} || CAST({x} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+def hash32(x: str, seed: int = 42) -> str:
+    return HASH32.format(seed=q(str(seed)), x=x)
