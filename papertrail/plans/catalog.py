@@ -10,6 +10,7 @@ _MODULES = [
     "papertrail.plans.q_retrieval",
     "papertrail.plans.q_text",
     "papertrail.plans.q_corpus",
+    "papertrail.plans.q_metrics",
 ]
 
 
