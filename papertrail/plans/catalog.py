@@ -11,6 +11,7 @@ _MODULES = [
     "papertrail.plans.q_text",
     "papertrail.plans.q_corpus",
     "papertrail.plans.q_metrics",
+    "papertrail.plans.q_json",
 ]
 
 
