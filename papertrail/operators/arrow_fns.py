@@ -32,3 +32,20 @@ def _lcs_len(a, b) -> int:
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence length of two token arrays, per row."""
     return pd.Series([_lcs_len(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+
+
+def vector_udf(fn):
+    """Wrap ``fn(pd.Series[str]) -> list[list[float]]`` as an Arrow UDF."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, v)) for v in fn(texts)])
+    return embed
+
+
+def pair_score_udf(fn):
+    """Wrap ``fn(queries: pd.Series, texts: pd.Series) -> list[float]``
+    (e.g. a cross-encoder) as an Arrow UDF."""
+    @F.pandas_udf(T.DoubleType())
+    def score(q: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([float(x) for x in fn(q, t)])
+    return score

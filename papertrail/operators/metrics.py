@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papertrail.functions._col import col_of
+from papertrail.functions._col import col_of, let
 from papertrail.operators.scan import prefix_scan
 
 
@@ -264,18 +264,18 @@ def collect_vector(df: DataFrame, key: str, pos: str = "pos", value: str = "valu
 
 def softmax(logits) -> Column:
     x = F.transform(col_of(logits), lambda v: v.cast("double"))
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    tot = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / tot)
+    e = let(x, lambda xs: let(F.array_max(xs), lambda m: F.transform(xs, lambda v: F.exp(v - m))))
+    return let(e, lambda es: let(F.aggregate(es, F.lit(0.0), lambda a, v: a + v),
+                                 lambda tot: F.transform(es, lambda v: v / tot)))
 
 
 def softmax_argmax(logits) -> Column:
     """struct(probs, label, confidence): argmax, first wins on ties."""
-    p = softmax(logits)
-    conf = F.array_max(p)
-    label = (F.array_position(p, conf) - 1).cast("int")
-    return F.struct(p.alias("probs"), label.alias("label"), conf.alias("confidence"))
+    def pick(p):
+        conf = F.array_max(p)
+        label = (F.array_position(p, conf) - 1).cast("int")
+        return F.struct(p.alias("probs"), label.alias("label"), conf.alias("confidence"))
+    return let(softmax(logits), pick)
 
 
 def early_stop(df: DataFrame, run: str, order: list, metric: str, patience: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papertrail.functions._col import col_of
+from papertrail.functions._col import col_of, let
 from papertrail.functions.text import tokenize
 from papertrail.operators.sizing import checked_broadcast, has_at_most
 
@@ -143,9 +143,10 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, qid: str = "qid", qtext: str
 
 def l2_normalize(c) -> Column:
     """Unit vector (F22); a zero vector stays zero."""
-    v = col_of(c)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    def unit(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+        return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    return let(col_of(c), unit)
 
 
 def dot(a, b) -> Column:
@@ -160,20 +161,19 @@ def _partial_topk_fn(k: int, bc):
 
         qids, qmat = bc.value
         for pdf in batches:
-            if pdf.empty:
+            if pdf.empty or qmat.shape[0] == 0:
                 continue
             m = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
             ids = pdf["id"].to_numpy()
             scores = qmat @ m.T  # (n_queries, batch)
             kk = min(k, scores.shape[1])
             rows_q, rows_id, rows_s = [], [], []
-            # ties are settled downstream on rounded score then id; keep
-            # every row whose rounded score equals the k-th best one
-            r = np.round(scores, 6)
+            # ties are settled downstream on the rounded score, then id:
+            # keep every row within 1e-6 of the k-th best score
             for qi in range(scores.shape[0]):
-                row = r[qi]
+                row = scores[qi]
                 if kk < row.shape[0]:
-                    thr = np.partition(row, -kk)[-kk]
+                    thr = np.partition(row, -kk)[-kk] - 1e-6
                     sel = np.nonzero(row >= thr)[0]
                 else:
                     sel = np.arange(row.shape[0])
@@ -292,3 +292,39 @@ def idf_overlap_rerank(hits: DataFrame, qterms: DataFrame, index: Bm25Index, qid
 
 def ceil_div(a: int, b: int) -> int:
     return int(math.ceil(a / b)) if b else 0
+
+
+# ------------------------------------------------------------------ embeddings (M6)
+
+
+def md5_bucket(c, buckets: int) -> Column:
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long") % F.lit(buckets)
+
+
+def hashed_embedding(df: DataFrame, id_col: str, text: str, dims: int = 64, out: str = "vec") -> DataFrame:
+    """Default embedding (id, vec): L2-normalised counts of word tokens
+    hashed into ``dims`` buckets.  Tokens of one row stay in one partition, so the
+    (id, bucket) partial aggregate is formed map-side; the collected list
+    per id is bounded by ``dims``."""
+    ex = df.select(F.col(id_col), F.explode(tokenize(F.col(text))).alias("_t"))
+    cnt = ex.groupBy(id_col, md5_bucket(F.col("_t"), dims).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    m = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
+                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i.cast("long")), F.lit(0)).cast("double"))
+    vecs = m.select(id_col, l2_normalize(dense).alias(out))
+    return df.select(id_col).join(vecs, id_col, "left").withColumn(
+        out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dims)))
+
+
+def embed(df: DataFrame, id_col: str, text: str, fn=None, out: str = "vec", dims: int = 64,
+          batch_rows: int = 1000) -> DataFrame:
+    """Sentence vectors (M6).  ``fn`` (optional) maps a pandas Series of
+    texts to a list of float vectors; it runs in Arrow batches of
+    ``batch_rows`` rows.  Without ``fn`` the hashed embedding is used."""
+    if fn is None:
+        return hashed_embedding(df, id_col, text, dims, out)
+    from papertrail.operators.arrow_fns import vector_udf
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    return df.withColumn(out, l2_normalize(vector_udf(fn)(F.col(text))))

@@ -12,6 +12,7 @@ _MODULES = [
     "papertrail.plans.q_corpus",
     "papertrail.plans.q_metrics",
     "papertrail.plans.q_json",
+    "papertrail.plans.q_search",
 ]
 
 
