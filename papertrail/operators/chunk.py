@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.functions._col import col_of
+from papertrail.functions._col import col_of, let
 
 
 def window_count(n: Column, size: int, step: int) -> Column:
@@ -25,10 +25,12 @@ def chunk_fixed(df: DataFrame, text: str, size: int = 4096, overlap: int = 1024,
     """Character windows of ``size`` starting every ``size − overlap``;
     the last window reaches the end of the text (F14a, W1)."""
     step = size - overlap
-    t = col_of(text)
-    n = window_count(F.length(t), size, step)
-    starts = F.when(n > 0, F.sequence(F.lit(0), (n - 1) * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    chunks = F.transform(starts, lambda s: F.substring(t, s + 1, size))
+
+    def windows(t):
+        n = window_count(F.length(t), size, step)
+        starts = F.when(n > 0, F.sequence(F.lit(0), (n - 1) * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.substring(t, s + 1, size))
+    chunks = let(col_of(text), windows)
     return df.select("*", F.posexplode(chunks).alias(id_col, out))
 
 
@@ -100,13 +102,15 @@ def token_windows(tokens, max_length: int = 512, stride: int = 384, max_windows:
     tokens (``stride`` is the overlap); stops at the first window that
     reaches the end (F15).  ``max_windows`` keeps only the first windows
     (the classifier's limit; None keeps all)."""
-    t = col_of(tokens)
     step = max_length - stride
-    n = window_count(F.size(t), max_length, step)
-    if max_windows is not None:
-        n = F.least(n, F.lit(max_windows))
-    starts = F.when(n > 0, F.sequence(F.lit(0), (n - 1) * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.slice(t, s + 1, max_length))
+
+    def windows(t):
+        n = window_count(F.size(t), max_length, step)
+        if max_windows is not None:
+            n = F.least(n, F.lit(max_windows))
+        starts = F.when(n > 0, F.sequence(F.lit(0), (n - 1) * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(t, s + 1, max_length))
+    return let(col_of(tokens), windows)
 
 
 def pad_truncate(ids, n: int, pad: int = 0, label_pad: int | None = None) -> Column:

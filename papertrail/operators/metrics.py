@@ -305,18 +305,19 @@ def rouge_tokens(c) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    t = col_of(tokens)
     if n == 1:
-        return t
-    cnt = F.greatest(F.size(t) - F.lit(n - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), cnt), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return col_of(tokens)
+
+    def grams(t):
+        cnt = F.greatest(F.size(t) - F.lit(n - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), cnt), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return let(col_of(tokens), grams)
 
 
 def rouge_n(df: DataFrame, pair: str, pred: str, ref: str, n: int) -> DataFrame:
     """(pair, precision, recall, fmeasure) of ROUGE-N."""
     def grams(col, side):
-        t = rouge_tokens(col)
-        g = F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>"))
+        g = let(rouge_tokens(col), lambda t: F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")))
         return (df.select(F.col(pair), F.explode(g).alias("g"))
                 .groupBy(pair, "g").agg(F.count(F.lit(1)).alias(side)))
     gp, gr = grams(pred, "cp"), grams(ref, "cr")
