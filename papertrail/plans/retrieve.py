@@ -51,9 +51,15 @@ def chunk_corpus(docs: DataFrame, id_col: str, text: str, extra=(), size: int =
              .withColumn("key", F.md5("text")))
 
 
-def build_index(chunks: DataFrame, dims: int = 64, embed_fn=None) -> StoreIndex:
+def build_index(chunks: DataFrame, dims: int = 64, embed_fn=None, materialize: bool = False) -> StoreIndex:
+    """Vectors and BM25 postings of the chunks.  ``materialize=True``
+    checkpoints both (shared checkpoint folder) for serving many question
+    batches; a single batch is cheaper without."""
     vec = R.embed(chunks.select("cid", "text"), "cid", "text", fn=embed_fn, dims=dims).select("cid", "vec")
-    return StoreIndex(chunks, vec, R.bm25_index(chunks, "cid", "text"))
+    bm = R.bm25_index(chunks, "cid", "text")
+    if materialize:
+        return StoreIndex(chunks, vec.checkpoint(eager=True), bm.materialize())
+    return StoreIndex(chunks, vec, bm)
 
 
 def index_manifest(chunks: DataFrame, batch_size: int = 1000, shard_size: int = 100_000,
