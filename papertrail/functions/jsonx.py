@@ -40,9 +40,10 @@ def brace_repair(c) -> Column:
 
 def quote_repair(c) -> Column:
     """Drop a run of quotes at the end, ensure a final ``}``, unescape ``\\"``."""
-    s = F.regexp_replace(strip(col_of(c)), r"\"+\s*$", "")
-    s = F.when(strip(s).endswith("}"), s).otherwise(F.concat(s, F.lit("}")))
-    return F.replace(s, F.lit('\\"'), F.lit('"'))
+    def fix(s):
+        s = F.when(strip(s).endswith("}"), s).otherwise(F.concat(s, F.lit("}")))
+        return F.replace(s, F.lit('\\"'), F.lit('"'))
+    return let(F.regexp_replace(strip(col_of(c)), r"\"+\s*$", ""), fix)
 
 
 # The bib fields salvaged from broken JSON, in order.
@@ -53,7 +54,10 @@ ABSTRACT_PATTERN = r'(?s)"abstract":\s*"(.*?)(?="[^"]*$|$)'
 def salvage_fields(c, with_abstract: bool = True) -> Column:
     """MAP<STRING,STRING> of the ``"field": "value"`` pairs found by regex;
     absent fields are left out."""
-    x = col_of(c)
+    return let(col_of(c), lambda x: _salvage(x, with_abstract))
+
+
+def _salvage(x, with_abstract):
     # a field counts only when its full pattern (closing quote included) matches
     entries = [F.struct(F.lit(f).alias("key"),
                         F.when(x.rlike(f'(?s)"{f}":\\s*"[^"]*"'), F.regexp_extract(x, f'(?s)"{f}":\\s*"([^"]*)"', 1))
@@ -98,8 +102,7 @@ def strict_parse_json(c) -> Column:
 def parse_json_lenient(c) -> Column:
     """VARIANT of the text (any JSON type), else of its repaired form,
     else null (F7).  Both attempts are strict (one value, nothing after)."""
-    x = col_of(c)
-    return F.coalesce(strict_parse_json(x), strict_parse_json(lenient_repair(x)))
+    return let(col_of(c), lambda x: F.coalesce(strict_parse_json(x), strict_parse_json(lenient_repair(x))))
 
 
 def variant_kind(v) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papertrail.functions._col import col_of, lit_str
+from papertrail.functions._col import col_of, let, lit_str
 
 # ---------------------------------------------------------------- F0 strip
 
@@ -76,13 +76,14 @@ def citekey(doi, idx) -> Column:
     :func:`papertrail.operators.corpus.resolve_name_conflicts` for a
     unique suffix.
     """
-    d = col_of(doi)
-    parts = F.split(d, "/")
-    prefix = F.replace(F.element_at(parts, 1), F.lit("."), F.lit("_"))
-    second = F.coalesce(F.substring_index(F.element_at(parts, 2), ".", 1), F.lit(""))
-    key = F.concat(prefix, F.lit("_"), second)
     fallback = F.concat(F.lit("article_"), (col_of(idx) + 1).cast("string"))
-    return F.when(d.isNull() | (d == ""), fallback).otherwise(key)
+
+    def key(d):
+        parts = F.split(d, "/")
+        prefix = F.replace(F.element_at(parts, 1), F.lit("."), F.lit("_"))
+        second = F.coalesce(F.substring_index(F.try_element_at(parts, F.lit(2)), ".", 1), F.lit(""))
+        return F.when(d.isNull() | (d == ""), fallback).otherwise(F.concat(prefix, F.lit("_"), second))
+    return let(col_of(doi), key)
 
 
 # ---------------------------------------------------------------- F17 markdown
@@ -160,9 +161,8 @@ SYNTHESIS_KEYWORDS = [
 def route_query(question, keywords=SYNTHESIS_KEYWORDS, model_answer=None) -> Column:
     """``synthesis`` or ``general``.  A model answer (if given and not null)
     decides by containing "synthesis"; otherwise lower-cased keyword test."""
-    q = F.lower(col_of(question))
-    kw = reduce(lambda a, b: a | b, [q.contains(F.lit(k)) for k in keywords])
-    by_kw = F.when(kw, F.lit("synthesis")).otherwise(F.lit("general"))
+    by_kw = let(F.lower(col_of(question)), lambda q: F.when(
+        reduce(lambda a, b: a | b, [q.contains(F.lit(k)) for k in keywords]), F.lit("synthesis")).otherwise(F.lit("general")))
     if model_answer is None:
         return by_kw
     m = F.lower(strip(col_of(model_answer)))
@@ -180,13 +180,14 @@ def answer_part(c, marker: str = ANSWER_MARKER, eos: str | None = None) -> Colum
     With ``eos`` (training form): the piece between the first and second
     marker, with the end-of-sequence string removed, stripped.
     """
-    x = col_of(c)
-    pos = F.instr(x, marker)
-    after = F.substring(x, pos + F.lit(len(marker)), F.lit(2 ** 31 - 1))
-    if eos is None:
-        return F.when(pos > 0, strip(after)).otherwise(x)
-    cut = F.substring_index(after, marker, 1)
-    return F.when(pos > 0, strip(F.replace(cut, F.lit(eos), F.lit("")))).otherwise(x)
+    def part(x):
+        pos = F.instr(x, marker)
+        after = F.substring(x, pos + F.lit(len(marker)), F.lit(2 ** 31 - 1))
+        if eos is None:
+            return F.when(pos > 0, strip(after)).otherwise(x)
+        cut = F.substring_index(after, marker, 1)
+        return F.when(pos > 0, strip(F.replace(cut, F.lit(eos), F.lit("")))).otherwise(x)
+    return let(col_of(c), part)
 
 
 # ---------------------------------------------------------------- F23 paths

@@ -49,3 +49,12 @@ def pair_score_udf(fn):
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([float(x) for x in fn(q, t)])
     return score
+
+
+def text_udf(fn):
+    """Wrap ``fn(pd.Series[str]) -> iterable[str]`` (a model's batch
+    generate call) as an Arrow UDF."""
+    @F.pandas_udf(T.StringType())
+    def gen(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else str(x) for x in fn(texts)])
+    return gen

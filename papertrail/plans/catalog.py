@@ -13,6 +13,7 @@ _MODULES = [
     "papertrail.plans.q_metrics",
     "papertrail.plans.q_json",
     "papertrail.plans.q_search",
+    "papertrail.plans.q_bib",
 ]
 
 

@@ -79,3 +79,48 @@ def build_sft(qa: DataFrame, id_col: str, eos: str = PR.EOS, test_size: float =
                  F.lit(eos))
     d = qa.withColumn("text", t)
     return C.split(d, (1.0 - test_size, test_size), by=id_col, seed=seed, names=("train", "test"))
+
+
+def rule_model(records: DataFrame, text: str = "text") -> DataFrame:
+    """Default 'model' of the text → BibTeX step: the rule-based citation
+    parser, emitting the JSON text a seq2seq model would produce."""
+    from papertrail.functions.bib import parse_citation
+
+    e = parse_citation(F.col(text))
+    raw = F.to_json(F.map_concat(F.create_map(F.lit("ENTRYTYPE"), e["entrytype"]), e["fields"]))
+    return records.withColumn("raw_prediction", raw)
+
+
+def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: str = "text") -> tuple:
+    """(bib rows, dead letters) for text records.
+
+    Model output (``fn``: pandas Series of texts → Series of JSON texts,
+    run in Arrow batches; default :func:`rule_model`) → brace repair →
+    strict JSON parse, else regex salvage of the fields → type defaults
+    to article, a missing ID becomes the DOI citekey (``article_{n}``
+    without DOI) → rendered entry.  Outputs with no usable field go to
+    the dead letter.
+    """
+    from papertrail.functions._col import let
+    from papertrail.functions.bib import RESERVED, render_bib
+    from papertrail.functions.text import citekey, extract_doi
+
+    if fn is None:
+        p = rule_model(records, text)
+    else:
+        from papertrail.operators.arrow_fns import text_udf
+        p = records.withColumn("raw_prediction", text_udf(fn)(F.col(text)))
+    m = let(J.brace_repair(F.col("raw_prediction")), lambda rep: F.coalesce(
+        F.try_variant_get(J.strict_parse_json(rep), "$", "map<string,string>"), J.salvage_fields(rep)))
+    key = citekey(extract_doi(F.col(text)), F.col(id_col))
+
+    def to_bib(mm):
+        typ = F.coalesce(F.nullif(F.element_at(mm, F.lit("ENTRYTYPE")), F.lit("")), F.lit("article"))
+        eid = F.coalesce(F.nullif(F.element_at(mm, F.lit("ID")), F.lit("")), key)
+        bib = render_bib(typ, eid, F.map_filter(mm, lambda k, v: ~k.isin(*RESERVED)))
+        return F.struct(bib.alias("bib"), F.size(mm).alias("n"))
+    p = p.withColumn("_r", let(m, to_bib)).withColumn("bib", F.col("_r.bib"))
+    good, bad = split_status(p, F.col("bib").isNotNull() & (F.col("_r.n") > 0))
+    dead = dead_letter(bad.withColumn("_name", F.col(id_col).cast("string")), "PREDICT", "_name",
+                       F.lit("BibTeX generation failed"), "raw_prediction", raw_max_len=200)
+    return good.select(id_col, "bib"), dead
