@@ -14,6 +14,7 @@ _MODULES = [
     "papertrail.plans.q_json",
     "papertrail.plans.q_search",
     "papertrail.plans.q_bib",
+    "papertrail.plans.q_ml",
 ]
 
 
