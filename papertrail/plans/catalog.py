@@ -15,6 +15,7 @@ _MODULES = [
     "papertrail.plans.q_search",
     "papertrail.plans.q_bib",
     "papertrail.plans.q_ml",
+    "papertrail.plans.q_extract",
 ]
 
 
