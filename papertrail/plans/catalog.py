@@ -16,6 +16,7 @@ _MODULES = [
     "papertrail.plans.q_bib",
     "papertrail.plans.q_ml",
     "papertrail.plans.q_extract",
+    "papertrail.plans.q_io",
 ]
 
 
