@@ -49,58 +49,80 @@ def top_k_per_query(df: DataFrame, query, score, id_col, k: int, rank_col: str =
 
 @dataclass
 class Bm25Index:
-    """postings(doc_id, term, tf, dl) + lengths(doc_id, dl).
-
-    Both come from one tokenisation of the corpus; the document length
-    rides along on every posting so scoring needs no second join.  When a
-    question batch is scored against an unmaterialised index, the
-    question vocabulary is semi-joined to the postings and Catalyst pushes
-    that semi join below the (doc, term) aggregation, so only tokens of
-    question terms are aggregated.  :meth:`materialize` checkpoints the
-    full postings for repeated batches.
+    """One row per document: (doc_id, dl, tfs ARRAY<STRUCT<term, tf>>).
+
+    Postings, document lengths and the hashed embedding are all derived
+    from this table, so the corpus is tokenised once.  When a question
+    batch is scored against an unmaterialised index, the question
+    vocabulary is semi-joined to the postings on the map side.
+    :meth:`materialize` checkpoints the table (shared
+    ``spark.checkpoint.dir``) for indexes that serve several readers.
     """
 
-    postings: DataFrame
-    lengths: DataFrame
+    doc_terms: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, term, tf, dl): a per-row generate, no shuffle."""
+        # explode_outer + null filter: a plain explode makes Catalyst add a
+        # size(array) > 0 filter that re-evaluates the array expression
+        return (self.doc_terms.select("doc_id", "dl", F.explode_outer("tfs").alias("p"))
+                .filter(F.col("p").isNotNull()).select("doc_id", "p.term", "p.tf", "dl"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.doc_terms.select("doc_id", "dl")
 
     @property
     def n_docs(self) -> Column:
-        return self.lengths.select(F.count(F.lit(1))).scalar()
+        return self.doc_terms.select(F.count(F.lit(1))).scalar()
 
     @property
     def avgdl(self) -> Column:
-        return self.lengths.select(F.avg("dl")).scalar()
+        return self.doc_terms.select(F.avg("dl")).scalar()
 
     def doc_freq(self) -> DataFrame:
-        """term, df: number of documents containing the term."""
+        """term, df: number of documents containing the term.
+        Partial aggregation collapses each partition to its vocabulary
+        before the shuffle."""
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def materialize(self) -> "Bm25Index":
-        """Checkpoint postings and lengths (shared ``spark.checkpoint.dir``)
-        so that every question batch reads them instead of re-tokenising."""
-        return Bm25Index(self.postings.checkpoint(eager=True), self.lengths.checkpoint(eager=True))
+        return Bm25Index(self.doc_terms.checkpoint(eager=True))
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        self.postings.write.mode(mode).parquet(f"{path}/postings")
-        self.lengths.write.mode(mode).parquet(f"{path}/lengths")
+        self.doc_terms.write.mode(mode).parquet(path)
 
     @staticmethod
     def load(spark, path: str) -> "Bm25Index":
-        return Bm25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        return Bm25Index(spark.read.parquet(path))
 
 
-def bm25_index(df: DataFrame, id_col: str, text_col: str) -> Bm25Index:
-    """Tokenise once; (doc, term) term frequencies via partial aggregation.
+def term_freqs(tokens) -> Column:
+    """ARRAY<STRUCT<term, tf>> of a token array, computed inside the row:
+    sort, find the run starts, run length = tf.  O(n log n) per document
+    and no shuffle."""
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1)))
 
-    Tokens of one document sit in one input partition, so the map-side
-    partial aggregate already collapses repeats; only distinct
-    (doc, term) pairs are shuffled.
-    """
+        def pairs(st):
+            return F.transform(st, lambda x, j: F.struct(
+                F.element_at(s, x).alias("term"),
+                (F.coalesce(F.try_element_at(st, j + 2), n + 1) - x).cast("long").alias("tf")))
+        return F.when(n > 0, let(starts, pairs)).otherwise(
+            F.array().cast("array<struct<term:string,tf:bigint>>"))
+    return let(F.array_sort(col_of(tokens)), runs)
+
+
+def bm25_index(df: DataFrame, id_col: str, text_col: str) -> Bm25Index:
+    """Tokenise once; term frequencies are counted inside each document's
+    row (:func:`term_freqs`), so the index stays partitioned by document —
+    no (doc, term) shuffle at all."""
     toks = df.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text_col)).alias("toks"))
-    lengths = toks.select("doc_id", F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"))
-    postings = (toks.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
-                .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
-    return Bm25Index(postings, lengths)
+    return Bm25Index(toks.select("doc_id", F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"),
+                                 term_freqs("toks").alias("tfs")))
 
 
 def bm25_stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,8 +141,8 @@ def _idf(n: Column, df: Column) -> Column:
 
 def query_terms(queries: DataFrame, qid: str, qtext: str) -> DataFrame:
     """(qid, term, qtf): each occurrence of a term in the question counts."""
-    return (queries.select(F.col(qid).alias("qid"), F.explode(tokenize(F.col(qtext))).alias("term"))
-            .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    return (queries.select(F.col(qid).alias("qid"), F.explode_outer(tokenize(F.col(qtext))).alias("term"))
+            .filter(F.col("term").isNotNull()).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index, qid: str = "qid", qtext: str = "text",
@@ -318,16 +340,23 @@ def md5_bucket(c, buckets: int) -> Column:
 
 def hashed_embedding(df: DataFrame, id_col: str, text: str, dims: int = 64, out: str = "vec") -> DataFrame:
     """Default embedding (id, vec): L2-normalised counts of word tokens
-    hashed into ``dims`` buckets.  Tokens of one row stay in one partition, so the
-    (id, bucket) partial aggregate is formed map-side; the collected list
-    per id is bounded by ``dims``."""
-    ex = df.select(F.col(id_col), F.explode(tokenize(F.col(text))).alias("_t"))
-    cnt = ex.groupBy(id_col, md5_bucket(F.col("_t"), dims).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    m = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
+    hashed into ``dims`` buckets."""
+    idx = bm25_index(df, id_col, text)
+    return embedding_from_terms(idx.doc_terms, dims, out).withColumnRenamed("doc_id", id_col)
+
+
+def embedding_from_terms(doc_terms: DataFrame, dims: int = 64, out: str = "vec") -> DataFrame:
+    """(doc_id, vec) from per-document term frequencies: one md5 bucket
+    per distinct (doc, term); the (doc, bucket) partial aggregate is
+    formed map-side and the collected list per document is bounded by
+    ``dims``."""
+    ex = doc_terms.select("doc_id", F.explode_outer("tfs").alias("_p")).filter(F.col("_p").isNotNull())
+    cnt = ex.groupBy("doc_id", md5_bucket(F.col("_p.term"), dims).alias("_b")).agg(F.sum("_p.tf").alias("_c"))
+    m = cnt.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
                         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i.cast("long")), F.lit(0)).cast("double"))
-    vecs = m.select(id_col, l2_normalize(dense).alias(out))
-    return df.select(id_col).join(vecs, id_col, "left").withColumn(
+    vecs = m.select("doc_id", l2_normalize(dense).alias(out))
+    return doc_terms.select("doc_id").join(vecs, "doc_id", "left").withColumn(
         out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dims)))
 
 

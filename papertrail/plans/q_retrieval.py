@@ -32,7 +32,7 @@ WITH toks AS (
 def _bm25(spark, sf):
     docs = table(spark, sf, "documents")
     qs = table(spark, sf, "benchmark")
-    idx = R.bm25_index(docs, "doc_id", "text")
+    idx = R.bm25_index(docs, "doc_id", "text").materialize()
     top = R.bm25_topk(qs, idx, qid="item_id", qtext="text", k=10)
     return top.select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"),
                       "doc_id", F.round("score", 6).alias("score"))

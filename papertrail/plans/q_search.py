@@ -178,8 +178,7 @@ def _questions(spark, sf):
 
 def _hybrid_fuse(spark, sf):
     corpus = _doc_corpus(spark, sf)
-    idx = RT.StoreIndex(corpus, R.embed(corpus.select("cid", "text"), "cid", "text").select("cid", "vec"),
-                        R.bm25_index(corpus, "cid", "text"))
+    idx = RT.build_index(corpus)
     hits = RT.retrieve_store(_questions(spark, sf), idx)
     top = R.top_k_per_query(hits, "qid", "fused", "cid", 10)
     return top.select("qid", F.col("rank").cast("long").alias("rank"), F.col("cid").alias("doc_id"), F.round("fused", 6).alias("fused"))
@@ -203,7 +202,7 @@ SELECT qid, rank, id AS doc_id, round(fused, 6) AS fused FROM (
 def _rerank(spark, sf):
     corpus = _doc_corpus(spark, sf)
     qs = _questions(spark, sf)
-    idx = R.bm25_index(corpus, "cid", "text")
+    idx = R.bm25_index(corpus, "cid", "text").materialize()
     hits = R.bm25_topk(qs, idx, "qid", "text", 10)
     rr = R.idf_overlap_rerank(hits, R.query_terms(qs, "qid", "text"), idx, "qid", "doc_id")
     # hits without any shared term keep score 0
@@ -240,7 +239,7 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN
 
 def _bm25_top3(spark, sf):
     corpus = _doc_corpus(spark, sf)
-    idx = R.bm25_index(corpus, "cid", "text")
+    idx = R.bm25_index(corpus, "cid", "text").materialize()
     hits = R.bm25_topk(_questions(spark, sf), idx, "qid", "text", 3)
     return hits.join(corpus.withColumnRenamed("cid", "doc_id"), "doc_id")
 

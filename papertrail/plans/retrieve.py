@@ -51,14 +51,21 @@ def chunk_corpus(docs: DataFrame, id_col: str, text: str, extra=(), size: int =
              .withColumn("key", F.md5("text")))
 
 
-def build_index(chunks: DataFrame, dims: int = 64, embed_fn=None, materialize: bool = False) -> StoreIndex:
-    """Vectors and BM25 postings of the chunks.  ``materialize=True``
-    checkpoints both (shared checkpoint folder) for serving many question
-    batches; a single batch is cheaper without."""
-    vec = R.embed(chunks.select("cid", "text"), "cid", "text", fn=embed_fn, dims=dims).select("cid", "vec")
+def build_index(chunks: DataFrame, dims: int = 64, embed_fn=None, materialize: bool = True) -> StoreIndex:
+    """Vectors and BM25 index of the chunks from one tokenisation.
+
+    With ``materialize`` (default) the per-chunk term table is
+    checkpointed to the shared checkpoint folder: BM25 statistics,
+    postings and the default embedding all read it instead of
+    re-tokenising.  A pluggable ``embed_fn`` embeds the chunk texts in
+    Arrow batches instead."""
     bm = R.bm25_index(chunks, "cid", "text")
     if materialize:
-        return StoreIndex(chunks, vec.checkpoint(eager=True), bm.materialize())
+        bm = bm.materialize()
+    if embed_fn is None:
+        vec = R.embedding_from_terms(bm.doc_terms, dims).withColumnRenamed("doc_id", "cid")
+    else:
+        vec = R.embed(chunks.select("cid", "text"), "cid", "text", fn=embed_fn, dims=dims).select("cid", "vec")
     return StoreIndex(chunks, vec, bm)
 
 

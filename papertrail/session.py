@@ -33,6 +33,9 @@ _LOCAL_CONF = {
     "spark.driver.memory": "16g",
     # duplicate keys in maps built from user data: later value wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # the rule adds size(arr) > 0 before every explode, which evaluates
+    # array-building expressions (tokenisation, windows) twice per row
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
