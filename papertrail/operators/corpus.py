@@ -180,13 +180,18 @@ def resolve_name_conflicts(df: DataFrame, label: str, filename: str, out: str =
                            order=None) -> DataFrame:
     """Second file of a name inside a class becomes ``name_1.ext``,
     the third ``name_2.ext`` … (W3)."""
-    order_cols = [col_of(c) for c in (order or [filename])]
-    w = Window.partitionBy(label, filename).orderBy(*order_cols)
-    n = F.row_number().over(w) - 1
+    from papertrail.operators.scan import prefix_scan
+
+    # running count of earlier rows with the same (label, name): a prefix
+    # scan, so a name repeated across a third of the corpus still spreads
+    # over many tasks
+    order_cols = list(order or [filename])
+    df = prefix_scan(df, [label, filename], order_cols, {"_n": ("sum", F.lit(1))}, inclusive=False)
+    n = F.col("_n")
     f = col_of(filename)
     ext = F.regexp_extract(f, r"^.+?(\.[^.]*)$", 1)
     stem = F.when(ext == "", f).otherwise(F.substring(f, F.lit(1), F.length(f) - F.length(ext)))
-    return df.withColumn(out, F.when(n == 0, f).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)))
+    return df.withColumn(out, F.when(n == 0, f).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))).drop("_n")
 
 
 # ------------------------------------------------------------------ splits

@@ -116,12 +116,13 @@ def term_freqs(tokens) -> Column:
     return let(F.array_sort(col_of(tokens)), runs)
 
 
-def bm25_index(df: DataFrame, id_col: str, text_col: str) -> Bm25Index:
+def bm25_index(df: DataFrame, id_col: str, text_col: str, keep=()) -> Bm25Index:
     """Tokenise once; term frequencies are counted inside each document's
     row (:func:`term_freqs`), so the index stays partitioned by document —
-    no (doc, term) shuffle at all."""
-    toks = df.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text_col)).alias("toks"))
-    return Bm25Index(toks.select("doc_id", F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"),
+    no (doc, term) shuffle at all.  ``keep`` carries extra columns (e.g. a
+    store name) so that one index can be filtered into several."""
+    toks = df.select(F.col(id_col).alias("doc_id"), *keep, tokenize(F.col(text_col)).alias("toks"))
+    return Bm25Index(toks.select("doc_id", *keep, F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"),
                                  term_freqs("toks").alias("tfs")))
 
 

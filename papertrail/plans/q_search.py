@@ -323,7 +323,7 @@ STORES = ("general", "synthesis")
 
 def _retrieve(spark, sf):
     ch = _store_chunks(spark, sf)
-    stores = {s: RT.build_index(ch.filter(F.col("store_type") == s)) for s in STORES}
+    stores = RT.build_store_indexes(ch, "store_type", STORES)
     out = RT.retrieve(_questions(spark, sf), stores)
     return out.select("qid", "id", "doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "source",
                       "page_content_preview", "type", "fused")

@@ -69,6 +69,19 @@ def build_index(chunks: DataFrame, dims: int = 64, embed_fn=None, materialize: b
     return StoreIndex(chunks, vec, bm)
 
 
+def build_store_indexes(chunks: DataFrame, store_col: str, stores, dims: int = 64) -> dict:
+    """One tokenisation and one checkpoint for all stores; each store's
+    index is a filter of the shared term table (its BM25 statistics are
+    computed over its own chunks only)."""
+    shared = R.bm25_index(chunks, "cid", "text", keep=(store_col,)).materialize()
+    out = {}
+    for s in stores:
+        bm = R.Bm25Index(shared.doc_terms.filter(F.col(store_col) == s))
+        vec = R.embedding_from_terms(bm.doc_terms, dims).withColumnRenamed("doc_id", "cid")
+        out[s] = StoreIndex(chunks.filter(F.col(store_col) == s), vec, bm)
+    return out
+
+
 def index_manifest(chunks: DataFrame, batch_size: int = 1000, shard_size: int = 100_000,
                    embedding_model: str = "hashed-bow-64") -> DataFrame:
     """One-row manifest: chunk count, embedding batches and shards."""
