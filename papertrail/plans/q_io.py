@@ -130,16 +130,19 @@ CUTOFF = "2024-01-15 00:00:00"
 
 def _freshness(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("store"), F.col("ts").alias("mtime"))
+    # events.ts is a wall-clock timestamp (TIMESTAMP_NTZ): compare and
+    # print it as such, independent of the session time zone
     man = spark.createDataFrame([("click", CUTOFF), ("view", "2024-12-31 00:00:00"), ("error", CUTOFF)],
-                                "store string, built_at string").withColumn("built_at", F.to_timestamp("built_at"))
+                                "store string, built_at string").withColumn("built_at", F.to_timestamp_ntz("built_at"))
     f = INC.source_freshness(e, man, "store")
-    return f.select("store", F.unix_timestamp("latest").alias("latest_epoch"), F.col("stale").cast("long").alias("stale"))
+    return f.select("store", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"),
+                    F.col("stale").cast("long").alias("stale"))
 
 
 register("a_freshness", sql=f"""
 WITH l AS (SELECT event_type AS store, max(ts) AS latest FROM events GROUP BY 1),
 m AS (SELECT * FROM (VALUES ('click', TIMESTAMP '{CUTOFF}'), ('view', TIMESTAMP '2024-12-31 00:00:00'), ('error', TIMESTAMP '{CUTOFF}')) t(store, built_at))
-SELECT l.store, CAST(floor(epoch(l.latest)) AS BIGINT) AS latest_epoch,
+SELECT l.store, strftime(l.latest, '%Y-%m-%d %H:%M:%S') AS latest,
        CAST(m.built_at IS NULL OR l.latest > m.built_at AS BIGINT) AS stale
 FROM l LEFT JOIN m USING (store)
 """)(_freshness)
@@ -169,7 +172,7 @@ FROM l FULL JOIN m USING (store)
 def _refresh(spark, sf):
     e = table(spark, sf, "events")
     cur = e.groupBy(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path")).agg(F.max("ts").alias("mtime"))
-    old = (e.filter(F.col("ts") < F.lit(CUTOFF).cast("timestamp"))
+    old = (e.filter(F.col("ts") < F.to_timestamp_ntz(F.lit(CUTOFF)))
            .groupBy(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path")).agg(F.max("ts").alias("mtime")))
     gone = e.filter(F.col("user_id") % 7 == 0).select(F.concat(F.lit("gone_"), F.col("user_id").cast("string")).alias("path"),
                                                       F.col("ts").alias("mtime")).groupBy("path").agg(F.max("mtime").alias("mtime"))

@@ -33,8 +33,12 @@ def index_status(listing: DataFrame, manifest: DataFrame, store: str = "store")
     j = listing.alias("l").join(manifest.alias("m"), store, "full")
     status = (F.when(F.col("m.meta").isNull(), F.lit("missing_index"))
               .when(F.col("l.meta").isNull(), F.lit("orphan")).otherwise(F.lit("ok")))
-    merged = F.map_concat(F.coalesce(F.col("m.meta"), F.create_map().cast("map<string,string>")),
-                          F.coalesce(F.col("l.meta"), F.create_map().cast("map<string,string>")))
+    empty = F.create_map().cast("map<string,string>")
+    lm = F.coalesce(F.col("l.meta"), empty)
+    # drop the manifest's keys that the listing overrides, then concatenate
+    # (no duplicate keys, whatever the session's map-key policy)
+    mm = F.map_filter(F.coalesce(F.col("m.meta"), empty), lambda k, v: ~F.array_contains(F.map_keys(lm), k))
+    merged = F.map_concat(mm, lm)
     return j.select(store, status.alias("status"), merged.alias("meta"))
 
 
