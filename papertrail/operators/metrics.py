@@ -286,8 +286,7 @@ def early_stop(df: DataFrame, run: str, order: list, metric: str, patience: int)
     improvement; the run stops at the first epoch where that gap reaches
     ``patience``.  Returns (run, best_epoch, best_value, stop_epoch).
     """
-    a = prefix_scan(df, [run], order, {"epoch": ("sum", F.lit(1))}, inclusive=True)
-    b = prefix_scan(a, [run], order, {"_best_before": ("max", metric)}, inclusive=False)
+    b = prefix_scan(df, [run], order, {"epoch": ("sum", F.lit(1), True), "_best_before": ("max", metric, False)})
     b = b.withColumn("improved", F.col("_best_before").isNull() | (F.col(metric) > F.col("_best_before")))
     c = prefix_scan(b, [run], order, {"last_imp": ("max", F.when(F.col("improved"), F.col("epoch")))}, inclusive=True)
     c = c.withColumn("gap", F.col("epoch") - F.col("last_imp"))

@@ -328,6 +328,35 @@ def idf_overlap_rerank(hits: DataFrame, qterms: DataFrame, index: Bm25Index, qid
     return m.groupBy("qid", "doc_id").agg(F.sum("idf").alias("rerank_score"))
 
 
+def attach_docs(hits: DataFrame, chunks: DataFrame, key: str = "cid", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Hits (query, key, rank, …) joined to their chunk rows (J7); the hit
+    list is the small side (k rows per question) and is broadcast after a
+    size check."""
+    return chunks.join(checked_broadcast(hits, max_broadcast_rows), key)
+
+
+def rerank(hits: DataFrame, query_text: str, doc_text: str, query: str = "qid", doc: str = "cid", fn=None,
+           top_n: int = 3, index: "Bm25Index" = None, queries: DataFrame = None) -> DataFrame:
+    """Rerank each question's hits and keep ``top_n`` (M7).
+
+    ``fn(queries: pd.Series, texts: pd.Series) -> scores`` (e.g. a
+    cross-encoder) runs on (question, passage) pairs in Arrow batches.
+    Without ``fn`` the idf-overlap score over ``index`` is used; with
+    neither, the incoming order (column ``rank``) is kept.
+    """
+    if fn is not None:
+        from papertrail.operators.arrow_fns import pair_score_udf
+
+        scored = hits.withColumn("rerank_score", pair_score_udf(fn)(F.col(query_text), F.col(doc_text)))
+    elif index is not None and queries is not None:
+        qt = query_terms(queries, query, query_text)
+        rr = idf_overlap_rerank(hits, qt, index, query, doc).withColumnRenamed("qid", query).withColumnRenamed("doc_id", doc)
+        scored = hits.join(rr, [query, doc], "left").fillna(0.0, ["rerank_score"])
+    else:
+        scored = hits.withColumn("rerank_score", -F.col("rank").cast("double"))
+    return top_k_per_query(scored.drop("rank"), query, "rerank_score", doc, top_n)
+
+
 def ceil_div(a: int, b: int) -> int:
     return int(math.ceil(a / b)) if b else 0
 

@@ -38,10 +38,13 @@ def prefix_scan(df: DataFrame, group: list, order: list, aggs: dict, inclusive:
                 checkpoint: bool = True) -> DataFrame:
     """Add running aggregates.
 
-    ``aggs`` maps an output column to ``(fn, column)`` with fn in
-    sum/max/min; ``("sum", F.lit(1))`` counts rows.  ``inclusive=False``
-    aggregates strictly earlier rows (sum → 0, max/min → null when none).
+    ``aggs`` maps an output column to ``(fn, column)`` or
+    ``(fn, column, inclusive)`` with fn in sum/max/min;
+    ``("sum", F.lit(1))`` counts rows.  Non-inclusive aggregates cover
+    strictly earlier rows (sum → 0, max/min → null when none).
     """
+    incl = {k: (v[2] if len(v) > 2 else inclusive) for k, v in aggs.items()}
+    aggs = {k: (v[0], v[1]) for k, v in aggs.items()}
     inputs = {f"_in_{k}": (v[1] if isinstance(v[1], Column) else F.col(v[1])) for k, v in aggs.items()}
     s = df
     for name, c in inputs.items():
@@ -55,10 +58,10 @@ def prefix_scan(df: DataFrame, group: list, order: list, aggs: dict, inclusive:
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = slices.select("_pid", *group, *[_FN[fn](F.col(f"_s_{k}")).over(wo).alias(f"_o_{k}")
                                            for k, (fn, _) in aggs.items()])
-    end = 0 if inclusive else -1
-    wi = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     out = s.join(checked_broadcast(offs, 1_000_000), ["_pid", *group], "left")
     for k, (fn, _) in aggs.items():
+        wi = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding,
+                                                                            0 if incl[k] else -1)
         out = out.withColumn(k, _combine(fn, F.col(f"_o_{k}"), _FN[fn](F.col(f"_in_{k}")).over(wi)))
     drop = ["_pid"] + list(inputs) + [f"_o_{k}" for k in aggs]
     return out.drop(*drop)
