@@ -336,7 +336,8 @@ def attach_docs(hits: DataFrame, chunks: DataFrame, key: str = "cid", max_broadc
 
 
 def rerank(hits: DataFrame, query_text: str, doc_text: str, query: str = "qid", doc: str = "cid", fn=None,
-           top_n: int = 3, index: "Bm25Index" = None, queries: DataFrame = None) -> DataFrame:
+           top_n: int = 3, index: "Bm25Index" = None, queries: DataFrame = None,
+           queries_text: str = "text") -> DataFrame:
     """Rerank each question's hits and keep ``top_n`` (M7).
 
     ``fn(queries: pd.Series, texts: pd.Series) -> scores`` (e.g. a
@@ -349,7 +350,7 @@ def rerank(hits: DataFrame, query_text: str, doc_text: str, query: str = "qid",
 
         scored = hits.withColumn("rerank_score", pair_score_udf(fn)(F.col(query_text), F.col(doc_text)))
     elif index is not None and queries is not None:
-        qt = query_terms(queries, query, query_text)
+        qt = query_terms(queries, query, queries_text)
         rr = idf_overlap_rerank(hits, qt, index, query, doc).withColumnRenamed("qid", query).withColumnRenamed("doc_id", doc)
         scored = hits.join(rr, [query, doc], "left").fillna(0.0, ["rerank_score"])
     else:
