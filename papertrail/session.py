@@ -31,6 +31,8 @@ _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    # checkpoint files of dropped DataFrames are removed by Spark's cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # duplicate keys in maps built from user data: later value wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # the rule adds size(arr) > 0 before every explode, which evaluates
