@@ -57,10 +57,27 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("file_name", path_parts("path")["basename"]).withColumnRenamed("path", "source")
 
 
-def read_text_records(spark: SparkSession, path: str, crlf: bool = True) -> DataFrame:
-    """(path, record_id, text): each file cut at three or more newlines."""
-    f = _whole_files(spark, path, None, False)
-    return f.select("path", F.posexplode(split_records("text", crlf)).alias("record_id", "text"))
+def read_text_records(spark: SparkSession, path: str, crlf: bool = True, split_files: bool = False,
+                      line_sep: str = "\n\n\n") -> DataFrame:
+    """(path, record_id, text): each file cut at three or more newlines.
+
+    ``split_files=True`` is the form for very large files: the text source
+    cuts at ``line_sep`` while reading, so one file is read by many tasks
+    (no whole-file row).  Pieces are stripped and empty ones dropped,
+    which gives the same records for runs of 3+ newlines; ``record_id`` is
+    then increasing in file order but not dense (use
+    :func:`papertrail.operators.corpus.sequence_after_sort` for ordinals).
+    """
+    from papertrail.functions.text import strip
+
+    if not split_files:
+        f = _whole_files(spark, path, None, False)
+        return f.select("path", F.posexplode(split_records("text", crlf)).alias("record_id", "text"))
+    df = spark.read.option("lineSep", line_sep).text(path)
+    t = strip(F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")) if crlf else F.col("value"))
+    out = df.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("record_id"),
+                    t.alias("text"))
+    return out.filter(F.length("text") > 0)
 
 
 def read_bib(spark: SparkSession, path: str, ext: str = ".bib") -> DataFrame:

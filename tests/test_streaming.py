@@ -37,3 +37,14 @@ def test_rerank_keeps_top_n_and_attach(spark, sf):
     assert att.count() == top.count()
     plain = R.rerank(hits, "text", "text", top_n=3)  # no scorer: incoming order kept
     assert plain.filter("rank = 1").count() == hits.filter("rank = 1").count()
+
+
+def test_text_records_split_mode_matches_whole_file(spark):
+    from papertrail.sources.readers import read_text_records
+
+    text = "rec one\nline two\n\n\nrec two\n\n\n\n\n\nrec three\n\n\n\n  \n\n\nrec four\n"
+    p = scratch_path(spark, f"t-rec-{uuid.uuid4().hex}")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(p)
+    whole = [r.text for r in read_text_records(spark, p).orderBy("record_id").collect()]
+    split = [r.text for r in read_text_records(spark, p, split_files=True).orderBy("record_id").collect()]
+    assert whole == split == ["rec one\nline two", "rec two", "rec three", "rec four"]
