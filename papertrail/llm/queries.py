@@ -63,3 +63,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"),
         F.size(c["items"]).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"), c["contaminated"].alias("contaminated"))
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papertrail.llm.token_counts import token_counts
+
+    counts = token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@register("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papertrail.llm.packing import pack
+
+    pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
