@@ -83,3 +83,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@register("op5_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {_WORDS5.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS win
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY win) AS lo FROM win) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM hit),
+lost AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d JOIN lost USING (doc_id))
+         ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed,
+       sha256(CASE WHEN lost.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.t, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
