@@ -103,3 +103,46 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(read(spark, sf_dir, "documents"))
     return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
+@register("op3_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, payload_digest,
+             min(page_id) OVER (PARTITION BY payload_digest) AS lo FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > lo THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > lo THEN lo END AS refers_to
+FROM q""")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm.common import shared_path
+    from papertrail.llm.warc import read_archives, write_archives
+
+    path = shared_path(spark, "warc")
+    write_archives(read(spark, sf_dir, "pages"), path)
+    r = read_archives(spark, path)
+    own = F.col("payload").isNotNull()
+    return r.select("page_id", F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+                    F.when(own, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+                    "record_type", "refers_to")
+
+
+@register("op2_chat_rotation", """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'),
+                                     coalesce(text, '')) - 1 AS seq FROM conversations),
+s AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+r AS (SELECT t.conv_id, speaker, seq, seq // 64 AS part, who = speaker AS mine,
+             '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant'
+                               ELSE 'user name=' || who END || chr(10) AS head, text || '<|im_end|>' AS body
+      FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, CAST(coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM r)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY seq) AS text,
+       coalesce(string_agg(CASE WHEN mine THEN (pos + length(head)) || '-' || (pos + length(head) + length(body)) END,
+                           ',' ORDER BY seq), '') AS spans
+FROM o GROUP BY conv_id, speaker, part""")
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm.chat_rotation import rotate
+
+    shown = F.transform("spans", lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string")))
+    return rotate(read(spark, sf_dir, "conversations")).withColumn("spans", F.concat_ws(",", shown))
