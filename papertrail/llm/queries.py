@@ -146,3 +146,21 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     shown = F.transform("spans", lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string")))
     return rotate(read(spark, sf_dir, "conversations")).withColumn("spans", F.concat_ws(",", shown))
+
+
+@register("op6_jaccard_join", f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS5.format(_AZ.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)""")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"), words=3, num=9, den=10).select(
+        "doc_id", "n_shingles", "component_id")
