@@ -164,3 +164,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return jaccard_components(read(spark, sf_dir, "documents"), words=3, num=9, den=10).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@register("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm.quality import KEEP_TAIL, ratings_of, score, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, ratings_of(read(spark, sf_dir, "labels")))
+    q = F.col("quality")
+    return score(docs, model, carry=["doc_id"]).select("doc_id", q["expected"].alias("expected_grade"), q["tail"].alias("p_top"),
+                                     (q["tail"] >= KEEP_TAIL).alias("kept"))

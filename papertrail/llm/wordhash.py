@@ -35,10 +35,9 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = MAX_BYTES) -> It
             yield batch.slice(a, b - a)
 
 
-def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each text and the end, word hashes) of non-null texts."""
-    import xxhash
-
+def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(first word of each text and the end, distinct words, their number at
+    every position) of non-null texts."""
     t = pc.ascii_trim_whitespace(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(t) if lower else t)
     at = np.asarray(lists.offsets).astype("int64")
@@ -48,8 +47,19 @@ def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
         flat = flat.filter(pa.array(~empty))
         at = np.concatenate([[0], np.cumsum(~empty)])[at]
     coded = pc.dictionary_encode(flat)
-    table = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), "uint64", len(coded.dictionary))
-    return at, table[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, "uint64")
+    return at, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "uint64", len(words))
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each text and the end, word hashes) of non-null texts."""
+    at, words, code = coded_words(texts, lower)
+    return at, hashes(words)[code] if len(code) else np.empty(0, "uint64")
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
