@@ -175,3 +175,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     return score(docs, model, carry=["doc_id"]).select("doc_id", q["expected"].alias("expected_grade"), q["tail"].alias("p_top"),
                                      (q["tail"] >= KEEP_TAIL).alias("kept"))
+
+
+@register("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm import secrets
+    from papertrail.llm.common import stored
+
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.findings(docs, secrets.dictionary_of(docs), path_col="source")
+    found = stored(found, "secret-candidates")
+    forest = secrets.train(found.withColumn("label", secrets.reviewed(F.col("before"))))
+    return secrets.score(found, forest).select("doc_id", "start", "finding", "score", (F.col("score") >= 0.5).alias("is_secret"))
