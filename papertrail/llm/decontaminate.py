@@ -115,12 +115,13 @@ def _covered(spans: Column) -> Column:
         (a["n"] + F.greatest(F.lit(0), s["at"] + s["t"] - F.greatest(a["end"], s["at"]))).alias("n")), lambda a: a["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", span: int = SPAN, gram: int = GRAM, ratio: int = 20,
-                  max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with one struct column ``contamination``: n_words, n_hit,
-    spans (at, t of the hit windows), items (ids as sorted strings) and
-    contaminated (n_hit > 0 and ratio * n_hit >= n_words)."""
+def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+            span: int = SPAN, gram: int = GRAM, ratio: int = 20, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+            carry: list[str] | None = None) -> DataFrame:
+    """row (struct of the ``carry`` columns of ``docs``, default all), k1, k2 (the
+    text's hashes) and contamination (struct): n_words, n_hit, spans (at, t of
+    the hit windows), items (ids as sorted strings) and contaminated
+    (n_hit > 0 and ratio * n_hit >= n_words)."""
     bw = benchmark_windows(items, item_id, item_text, span, gram)
     named = bw.withColumn("win", F.sha2(F.concat_ws(" ", F.col("t").cast("string"), "words"), 256)).checkpoint()
     bench = named.select("win", "t", "fp", "words").distinct().checkpoint()
@@ -134,13 +135,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         listed = occ.select("k1", "k2", "win").distinct().join(owners, "win").groupBy("k1", "k2").agg(
             F.array_sort(F.collect_set("item")).alias("items"))
         hits = spans.join(listed, ["k1", "k2"], "left")
-    text = F.col(f"row.{text_col}")
-    d = docs.select(F.struct("*").alias("row"))
-    d = d.select("row", *_key(text), F.size(words(text)).cast("long").alias("n_words"))
-    j = d.join(hits, ["k1", "k2"], "left")
-    n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long"))
-    j = j.withColumn("n_hit", n_hit)
+    text = F.col(text_col)
+    d = docs.select(F.struct(*(carry or ["*"])).alias("row"), *_key(text), F.size(words(text)).cast("long").alias("n_words"))
+    j = d.join(hits, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")))
     c = F.struct("n_words", "n_hit", F.coalesce("spans", F.array().cast("array<struct<at:int,t:int>>")).alias("spans"),
                  F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                  ((F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).alias("contaminated"))
-    return j.select("row.*", c.alias("contamination"))
+    return j.select("row", "k1", "k2", c.alias("contamination"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
+    """The ``carry`` columns of ``docs`` (default: all but one of that name) and
+    the struct column ``contamination``; options as in :func:`flagged`."""
+    carry = carry or [c for c in docs.columns if c != "contamination"]
+    return flagged(docs, items, carry=carry, **options).select("row.*", "contamination")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
+                      max_broadcast_rows: int = MAX_BROADCAST_ROWS, **options) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are not contaminated."""
+    found = flagged(docs, items, text_col, max_broadcast_rows=max_broadcast_rows, carry=[text_col], **options)
+    bad = found.filter("contamination.contaminated").select("k1", "k2").distinct().checkpoint()
+    d = docs.select(F.struct("*").alias("row"), *_key(F.col(text_col)))
+    return d.join(small(bad, max_broadcast_rows), ["k1", "k2"], "left_anti").select("row.*")

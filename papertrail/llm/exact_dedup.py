@@ -18,8 +18,9 @@
 
 Defined cases: a null text equals an empty one; a null id is never larger
 than another id, and stays only when all ids of its group are null; rows
-that repeat both id and text are one document and carry the same flags;
-an empty table gives an empty result.  Other columns are ignored.
+that repeat both id and text are one document and carry the same flags
+(``dedup`` leaves one of them); an empty table gives an empty result.
+Other columns are ignored, and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import lower_ascii, shared_path, stored
+from papertrail.llm.common import lower_ascii, shared_path, small, stored
 
 CAPACITY = 1 << 15
 MAX_DEPTH = 16
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -108,3 +110,24 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """Flags of every document, dropped ones too."""
     cols = {k: v for k, v in options.items() if k in ("id_col", "text_col")}
     return lookup(docs, build_index(docs, **options), **cols)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs``, unchanged, for every text."""
+    flags = stored(exact_dedup(docs, id_col=id_col, text_col=text_col, **options), "exact-flags")
+    gone = flags.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    twice = flags.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count() \
+        .filter("count > 1").drop("count").checkpoint()
+    d = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
+                    F.sha2(normalised(F.col(text_col)), 256).alias("_sha"))
+
+    def same(other: DataFrame) -> Column:
+        return d["_id"].eqNullSafe(other["_id"]) & (d["_sha"] == other["_sha"])
+
+    gone = small(gone, MAX_BROADCAST_ROWS)
+    d = d.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        twice = small(twice, MAX_BROADCAST_ROWS)
+        d = d.join(twice, same(twice), "left_anti").unionByName(
+            d.join(twice, same(twice), "left_semi").dropDuplicates(["_id", "_sha"]))
+    return d.select("_row.*")

@@ -271,8 +271,9 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9,
                        den: int = 10, chunk: int = CHUNK) -> DataFrame:
-    """Per row: the id column, th (xxhash64 of the text), n_shingles and
-    component_id, the smallest id reachable by links of Jaccard >= num / den."""
+    """Per row: the id column, th (xxhash64 of the text), n_shingles, component
+    (a node of it) and component_id, the smallest id reachable by links of
+    Jaccard >= num / den."""
     nodes, totals = node_table(docs, id_col, text_col, words)
     rank = group_order(totals)
     tiles = tile_keys(docs, rank, id_col, text_col, words, num, den)
@@ -296,4 +297,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = n.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = n.join(stored(least, "jaccard-least"), "comp", "left")
     return out.select(F.col("id").alias(id_col), "th", F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+                      F.col("comp").alias("component"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5,
+                **options) -> DataFrame:
+    """The rows of ``docs``, unchanged, with the smallest (id, text hash) of
+    each component, nulls last; documents without words all stay."""
+    c = stored(jaccard_components(docs, id_col, text_col, words, num, den, **options).filter("n_shingles > 0").select(
+        F.col(id_col).alias("_id"), F.col("th").alias("_th"), "component"), "jaccard-components")
+    rank = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_th"))
+    best = c.groupBy("component").agg(F.min(rank).alias("best"), F.max(rank).alias("last")).filter("best <> last")
+    gone = c.join(best, "component").filter(rank != F.col("best")).select("_id", "_th").distinct()
+    gone = small(gone.checkpoint(), MAX_BROADCAST_ROWS)
+    d = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
+                    F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
+    return d.join(gone, d["_id"].eqNullSafe(gone["_id"]) & (d["_th"] == gone["_th"]), "left_anti").select("_row.*")

@@ -57,9 +57,8 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertrail.llm.decontaminate import decontaminate
 
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     c = F.col("contamination")
-    return decontaminate(docs, read(spark, sf_dir, "benchmark")).select(
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"]).select(
         "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"),
         F.size(c["items"]).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"), c["contaminated"].alias("contaminated"))
