@@ -1,0 +1,586 @@
+"""The training-data operators against brute force on small, awkward tables:
+nulls, empty and very long texts, ties, repeated rows, clashing extra columns,
+empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from papertrail.llm import chat_rotation, common, components, decontaminate, exact_dedup, jaccard_join, packing, quality
+from papertrail.llm import secrets, substring_dedup, token_counts, warc, wordhash
+
+P = pytest.importorskip("public_tokenizers")
+RNG = random.Random(5)
+VOCAB = ["alpha", "Beta", "gamma", "delta", "épée", "Öl", "zeta", "eta", "theta", "iota", "kappa", "12", "mu", "nu."]
+
+
+def words(n):
+    return [RNG.choice(VOCAB) for _ in range(n)]
+
+
+PASSAGE = words(70)
+NEAR = words(400)
+
+
+def awkward():
+    """(doc_id, text, row, quality, _th): the last three are clashing extras."""
+    long = " ".join(words(30_000))
+    texts = [None, "", " \n\t ", "one", "one two", "ONE  two", "one two three", "A b\nc d", "a B\nc d", "ÀB", "àB",
+             " ".join(words(60) + PASSAGE + words(10)), "\n".join(PASSAGE), " ".join(words(5) + PASSAGE + words(60) + PASSAGE),
+             " ".join(PASSAGE[:49]), " ".join(NEAR), " ".join([*NEAR[:200], "odd", *NEAR[200:]]),
+             " ".join([*NEAR[:100], "new", *NEAR[100:350], "odd", *NEAR[350:]]), long, "x " * 300, "x " * 310, "don't <|endoftext|> stop"]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    rows += [(100, texts[11]), (100, texts[11]), (2, texts[11]), (None, "one two three"), (None, texts[13]), (101, None)]
+    RNG.shuffle(rows)
+    return [(i, t, "r", 1.5, 7) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return awkward()
+
+
+SCHEMA = "doc_id long, text string, row string, quality double, _th long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).checkpoint()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower_az(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def ws(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def multiset(rows):
+    return Counter(map(tuple, rows))
+
+
+# ------------------------------------------------------------- op10
+
+
+def test_exact_dedup(docs, rows):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[lower_az(t)].append(i)
+    want = []
+    for i, t, *_ in rows:
+        g = groups[lower_az(t)]
+        keep = max((x for x in g if x is not None), default=None)
+        want.append((i, keep, len(g), i == keep, hashlib.sha256(lower_az(t).encode()).hexdigest()))
+    for capacity in (1, 1 << 15):  # 1: every bucket is split as far as its keys allow
+        got = exact_dedup.exact_dedup(docs, capacity=capacity, max_depth=8)
+        assert multiset(got.collect()) == multiset(want)
+
+
+def test_exact_dedup_leaves_one_of_each(docs, rows):
+    left = exact_dedup.dedup(docs)
+    assert left.columns == docs.columns
+    assert sorted(lower_az(r.text) for r in left.collect()) == sorted({lower_az(t) for _, t, *_ in rows})
+
+
+def test_directory_splits_overfull_buckets():
+    counts = {s: 10 for s in range(16)} | {3: 100}
+    got = exact_dedup.split_directory(counts, 40, 4)
+    assert sum(w for _, w, _ in got) == 16 and [f for f, _, _ in got] == sorted(f for f, _, _ in got)
+    held = {(f, w): sum(counts[s] for s in range(f, f + w)) for f, w, _ in got}
+    assert all(n <= 40 or w == 1 for (_, w), n in held.items())
+    assert all(w == 1 << (4 - d) for _, w, d in got)
+
+
+def test_colliding_keys_are_chained(spark, docs):
+    index = exact_dedup.build_index(docs)
+    assert index.filter("chain < 0").count() == 0
+    assert index.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.max("chain").alias("m")).filter("n <> m + 1").count() == 0
+
+
+# -------------------------------------------------------------- op4
+
+
+def brute_contamination(rows, items, span=13):
+    pat = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    wins = defaultdict(set)
+    for i, t in items:
+        w = pat.findall(lower_az(t))
+        n = min(span, len(w))
+        for p in range(len(w) - n + 1 if n else 0):
+            wins[tuple(w[p:p + n])].add(i)
+    out = []
+    for i, t, *_ in rows:
+        w = pat.findall(lower_az(t))
+        hit, its = set(), set()
+        for n in {len(x) for x in wins}:
+            for p in range(len(w) - n + 1):
+                if tuple(w[p:p + n]) in wins:
+                    hit |= set(range(p, p + n))
+                    its |= wins[tuple(w[p:p + n])]
+        its = sorted(str(x) for x in its if x is not None)
+        out.append((i, len(w), len(hit), ",".join(its), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_decontaminate(spark, docs, rows):
+    items = [(1, " ".join(PASSAGE[:20])), (2, " ".join(PASSAGE[5:40]).upper()), (20, "one"), (3, "One, two; THREE"), (4, None),
+             (5, "..."), (None, " ".join(NEAR[:30])), (3, "One, two; THREE"), (6, " ".join(NEAR[60:73])), (7, "x x x x x x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench)
+    assert got.columns == [*docs.columns, "contamination"]
+    c = F.col("contamination")
+    got = got.select("doc_id", c["n_words"], c["n_hit"], F.concat_ws(",", c["items"]), c["contaminated"]).collect()
+    assert multiset(got) == multiset(brute_contamination(rows, items))
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns
+    assert multiset((r.doc_id, r.text) for r in left.collect()) == multiset(
+        (r[0], r[1]) for r, b in zip(rows, brute_contamination(rows, items)) if not b[-1])
+
+
+def test_decontaminate_by_shuffle_joins(spark, docs, rows):
+    items = [(1, " ".join(PASSAGE))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.flagged(docs, bench, max_broadcast_rows=0, carry=["doc_id"])
+    got = got.select("row.doc_id", "contamination.n_hit", "contamination.contaminated").collect()
+    assert multiset(got) == multiset((b[0], b[2], b[4]) for b in brute_contamination(rows, items))
+
+
+def test_decontaminate_empty(spark, docs, none):
+    no_items = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, no_items).filter("contamination.contaminated").count() == 0
+    assert decontaminate.decontaminate(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+# -------------------------------------------------------------- op5
+
+
+def brute_repeats(rows, window=50):
+    first = {}
+    rank = lambda i: float("inf") if i is None else i
+    for i, t, *_ in rows:
+        w = ws(t)
+        for p in range(len(w) - window + 1):
+            k = tuple(w[p:p + window])
+            first[k] = min(first.get(k, float("inf")), rank(i))
+    out = []
+    for i, t, *_ in rows:
+        w = ws(t)
+        gone = set()
+        for p in range(len(w) - window + 1):
+            if first[tuple(w[p:p + window])] < rank(i):
+                gone |= set(range(p, p + window))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])  # 0: every minimiser goes the way of crowded ones
+def test_substring_dedup(docs, rows, hot):
+    got = substring_dedup.remove_repeats(docs, hot=hot).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert multiset(got) == multiset(brute_repeats(rows))
+
+
+def test_super_kmers_cover_every_window_once():
+    texts = pa.array([" ".join(words(n)) for n in (0, 3, 49, 50, 51, 400)] + ["x " * 200])
+    _, text, first, length = substring_dedup.super_kmers(texts, 50, 8)
+    seen = Counter((t, p) for t, f, n in zip(text.tolist(), first.tolist(), length.tolist()) for p in range(f, f + n))
+    want = {(t, p) for t, x in enumerate(texts.to_pylist()) for p in range(len(x.split()) - 49)}
+    assert set(seen) == want and set(seen.values()) <= {1}
+
+
+# -------------------------------------------------------------- op6
+
+
+def brute_components(rows, words_n, num, den):
+    sets = []
+    for _, t, *_ in rows:
+        w = ws(lower_az(t))
+        n = min(words_n, len(w))
+        sets.append({tuple(w[p:p + n]) for p in range(len(w) - n + 1)} if n else set())
+    comp = list(range(len(rows)))
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if o and den * o >= num * (len(sets[a]) + len(sets[b]) - o):
+                comp[root(a)] = root(b)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return [(i, len(sets[k]), least.get(root(k)) if sets[k] else i) for k, (i, *_) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n,num,den", [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
+def test_jaccard_components(docs, rows, n, num, den):
+    got = jaccard_join.jaccard_components(docs, words=n, num=num, den=den, chunk=3)
+    assert multiset(got.select("doc_id", "n_shingles", "component_id").collect()) == multiset(brute_components(rows, n, num, den))
+
+
+def test_chains_of_near_copies_that_no_centre_links(spark):
+    """Copies drifting away step by step: ends do not link, neighbours do."""
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(12):
+        rows.append((k, " ".join(base), "r", 0.0, 0))
+        base[9 * k] = f"n{k}"
+    rows.append((50, " ".join(f"w{i}" for i in range(300, 420)), "r", 0.0, 0))
+    RNG.shuffle(rows)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), words=3, num=9, den=10, chunk=4)
+    got = multiset(got.select("doc_id", "n_shingles", "component_id").collect())
+    assert got == multiset(brute_components(rows, 3, 9, 10)) and len({c for _, _, c in got}) == 2
+
+
+def test_one_of_each_keeps_the_smallest(docs, rows):
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    ids = Counter(r.doc_id for r in left.collect())
+    for i, n, c in brute_components(rows, 5, 4, 5):
+        assert not n or ids[c]
+        if n and i is not None and i != c:
+            assert not ids[i]
+
+
+def test_tree_bound_never_excludes_a_link():
+    gen = np.random.default_rng(3)
+    base = gen.integers(0, 1 << 60, 200).astype("uint64")
+    sets = [np.unique(np.where(gen.random(200) < p, gen.integers(0, 1 << 60, 200).astype("uint64"), base))
+            for p in gen.random(90) * 0.3]
+    vec = np.stack([np.bincount((wordhash.mixed(s) % np.uint64(jaccard_join.DIMS)).astype(int), minlength=jaccard_join.DIMS) for s in sets])
+    size, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
+    x, y = jaccard_join.overlap_bound_pairs(vec, size, ids, np.zeros(len(sets)), 4, 5)
+    found = {frozenset(p) for p in zip(x.tolist(), y.tolist())}
+    links = {frozenset((a, b)) for a in ids for b in ids if a < b and jaccard_join.linked(sets[a], sets[b], 4, 5)}
+    assert links and links <= {frozenset(map(int, p)) for p in found}
+
+
+def test_components(spark):
+    gen = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7), (300, 301), (301, 300)]
+    edges += [(gen.randrange(400, 460), gen.randrange(400, 460)) for _ in range(50)]
+    gen.shuffle(edges)
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for n in sorted(near):
+        if n not in want:
+            todo = [n]
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = n
+                    todo += near[x]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.comp for r in got} == want and len(got) == len(want)
+
+
+# --------------------------------------------------------- op7, op8
+
+
+def test_token_counts(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    want = multiset((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    assert multiset(token_counts.token_counts(docs, path).collect()) == want
+    assert multiset(token_counts.token_counts(docs, path, top=3, sample_rows=2, cache_entries=8).collect()) == want
+
+
+ODD = ["  two  spaces ", "tab\tand\nline\n\n end \n", "nbsp x 　wide \x1c sep", "it's we'll 'tis ''s", "a  <|endoftext|>  b",
+       "<|endoftext|", "émigré naïve Ωmega ǅ İi ﬁ", "J̌ é ̸<", "12 345,67 €5", "😀 👩‍👩‍👧 x", "  line sep \x85 q", "a.b,c!!d--e"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_encode_as_the_whole(name):
+    from tokenizers import Tokenizer
+
+    path = P.path(name)
+    tok = Tokenizer.from_file(path)
+    for t in [*ODD, " ".join(ODD), "\n".join(ODD) + "\n", *(a + b for a in ODD for b in ODD[:4])]:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        if name.startswith("byte"):
+            assert token_counts.count_tokens(t.encode(), {}, path) == len(ids), repr(t)
+        else:
+            assert packing.text_ids(t.encode(), path) == np.array(ids, "<u4").tobytes(), repr(t)
+
+
+def test_chunk_cache_generations():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    known = packing.ChunkIds(tok, 20)
+    for _ in range(30):
+        t = " ".join(RNG.choice(ODD + VOCAB) for _ in range(12))
+        assert known.of(t.encode().split()) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, pool_tokens=5000).collect()
+    ids = [(i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t, *_ in rows]
+    # every id of every document lies in exactly one piece
+    assert sum(r.length for r in got) == sum(len(x) for _, x in ids)
+    want, have = Counter(), Counter()
+    for i, x in ids:
+        want.update((i, p, int(v)) for p, v in enumerate(x))
+    for r in got:
+        have.update((r.doc_id, r.start + p, int(v)) for p, v in enumerate(np.frombuffer(r.ids, "<u4")))
+        assert r.length == len(r.ids) // 4 > 0 and r.doc_tokens in {len(x) for i, x in ids if i == r.doc_id}
+    assert have == want
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    full = 0
+    for s in seqs.values():
+        end = 0
+        for at, n in sorted(s):
+            assert at == end
+            end += n
+        assert end <= 2048 and len(s) <= 128
+        full += end == 2048
+    assert full >= len(seqs) - docs.rdd.getNumPartitions()
+
+
+def test_packing_limits():
+    gen = np.random.default_rng(1)
+    p = packing.Packer((100, 4, 60))
+    p.extend([(k, int(n), int(x)) for k, (n, x) in enumerate(zip(gen.integers(1, 300, 80), gen.integers(0, 200, 80)))])
+    total, placed, free = p.tokens, 0, {k: int(x) for k, (_, x) in enumerate(zip(range(80), p.pool[:, 3]))}
+    while p.tokens:
+        s = p.fill()
+        assert 0 < len(s) <= 4 and sum(n for *_, n in s) <= 100
+        assert sum(n - max(0, min(free[d] - at, n)) for d, at, n in s) <= 60
+        placed += sum(n for *_, n in s)
+    assert placed == total
+    with pytest.raises(ValueError):
+        packing.Packer((10, 0, 10))
+
+
+# -------------------------------------------------------------- op9
+
+
+def test_quality_on_held_out_rows(spark):
+    gen = random.Random(4)
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        w = [gen.choice(VOCAB) for _ in range(gen.randrange(5, 60))]
+        if bad:
+            w[gen.randrange(len(w))] = gen.choice(["rotten", "awful", "nasty"]) + gen.choice(["", ",", "."])
+        rows.append((i, " ".join(w), "r", 1.0, 0, 1 if bad else 2))
+    df = spark.createDataFrame(rows, SCHEMA + ", grade int")
+    model = quality.train(df.drop("grade"), df.filter("doc_id < 600").select("doc_id", "grade"))
+    got = quality.score(df.filter("doc_id >= 600"), model).collect()
+    right = sum((r["quality"]["tail"] >= 0.5) == (r.grade == 2) for r in got)
+    assert right >= 0.97 * len(got)
+    for r in got:
+        p = r["quality"]["probabilities"]
+        assert abs(sum(p) - 1) < 1e-9 and min(p) >= 0
+        assert abs(r["quality"]["expected"] - sum(k * x for k, x in enumerate(p))) < 1e-9
+    assert (np.diff(model.theta) > 0).all()
+
+
+def test_quality_edge_cases(spark, docs, none):
+    ratings = spark.createDataFrame([(3, 2), (9, 0), (9, 2), (None, 1), (12, None), (999, 0)], "doc_id long, grade int")
+    model = quality.train(docs, ratings)
+    assert quality.score(docs, model).count() == docs.count()
+    left = quality.select_top(docs, model, tail=0.0)
+    assert left.columns == docs.columns and left.count() == docs.count()
+    assert quality.score(none, model).count() == 0
+    for known, kept in (([], True), ([(3, 0)], False), ([(3, 2)], True)):
+        m = quality.train(docs, spark.createDataFrame(known, "doc_id long, grade int"))
+        assert quality.select_top(docs, m).count() == (docs.count() if kept else 0)
+
+
+# -------------------------------------------------------------- op3
+
+
+def test_warc_round_trip(spark):
+    body = "<p>" + "shared payload " * 20
+    rows = [(5, "http://a/é", body, 1), (2, "http://b\r\nX: y", body, 1), (9, None, body, 1), (9, "http://twice", body, 1),
+            (2, "http://b2", body, 1), (None, "http://n", body, 1), (7, "http://c", None, 1), (8, "http://d", "", 1),
+            (10, "u", "short", 1), (11, "u", "short", 1), (12, "u", "ü" * 50, 1), (13, "u", "ü" * 50, 1), (14, "long", "x\r\n\r\n" * 300_000, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int").repartition(2)
+    path = common.shared_path(spark, "warc-test")
+    warc.write_archives(pages, path, train_bytes=600)
+    got = warc.read_archives(spark, path).collect()
+    want = []
+    for i, u, h, _ in rows:
+        raw = (h or "").encode()
+        same = [x for x, _, y, _ in rows if (y or "").encode() == raw and x is not None]
+        lead = min(same, default=None)
+        revisit = len(raw) >= 100 and lead is not None and (i is None or i > lead)
+        url = u and re.sub("[\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", u)
+        want.append((i, url, "revisit" if revisit else "response", lead if revisit else None, hashlib.sha256(raw).hexdigest(),
+                     None if revisit else raw, len(raw)))
+    assert multiset((r.page_id, r.url, r.record_type, r.refers_to, r.digest, r.payload and bytes(r.payload) or (None if r.payload is None else b""),
+                     r.payload_bytes) for r in got) == multiset(want)
+    assert all(int.from_bytes(bytes(f.content)[:4], "little") == warc.DICT_MAGIC
+               for f in spark.read.format("binaryFile").load(path).select("content").collect())
+
+
+def test_warc_records_use_the_dictionary_of_their_file(spark):
+    import zstandard
+
+    gen = random.Random(9)
+    page = lambda: "<html>" + "".join(f"<div class='item'>{gen.choice(VOCAB)} {gen.random()}</div>" for _ in range(20))
+    rows = [(i, f"http://h/{i}", page()) for i in range(600)]
+    path = common.shared_path(spark, "warc-dict")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path,
+                        train_bytes=200_000, dict_bytes=16_384)
+    for f in spark.read.format("binaryFile").load(path).select("content").collect():
+        raw = bytes(f.content)
+        at = 8 + int.from_bytes(raw[4:8], "little")
+        known = zstandard.ZstdCompressionDict(raw[8:at])
+        assert known.dict_id() and zstandard.get_frame_parameters(raw[at + len(warc.BETWEEN):]).dict_id == known.dict_id()
+        plain = sum(len(zstandard.ZstdCompressor(level=warc.LEVEL).compress(r)) for r in warc.records_of(raw))
+        assert len(raw) - at < 0.8 * plain
+    assert {r.page_id for r in warc.read_archives(spark, path).collect()} == set(range(600))
+
+
+def test_warc_empty(spark):
+    path = common.shared_path(spark, "warc-empty")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+# -------------------------------------------------------------- op2
+
+
+def test_rotation(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello\nann"), (1, 3, "ann", None), (1, 4, None, "who?"),
+            (1, None, "bob", "last"), (1, 2, "bob", "hello\nann"), (2, 0, "system", "alone"), (None, 0, "cy", "<|im_end|>"),
+            *((3, i, ("p", "q")[i % 2], f"turn {i}") for i in range(150))]
+    t = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, who string")
+    got = chat_rotation.rotate(t, part_turns=64).collect()
+    want = {}
+    by = defaultdict(list)
+    for c, n, role, text in rows:
+        by[c].append((n is None, n or 0, role or "unknown", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        for s in {r for _, _, r, _ in turns if r != "system"}:
+            for p in range(0, len(turns), 64):
+                out, spans = "", []
+                for _, _, r, x in turns[p:p + 64]:
+                    who = "system" if r == "system" else "assistant" if r == s else f"user name={r}"
+                    out += f"<|im_start|>{who}\n"
+                    if r == s:
+                        spans.append((len(out), len(out) + len(x) + len("<|im_end|>")))
+                    out += f"{x}<|im_end|>\n"
+                want[c, s, p // 64] = (out, spans, len(turns[p:p + 64]))
+    assert {(r.conv_id, r.speaker, r.part): (r.text, [tuple(x) for x in r.spans], r.n_turns) for r in got} == want
+    assert len(got) == len(want)
+
+
+# -------------------------------------------------------------- op1
+
+
+def test_secret_scan_on_held_out_findings(spark):
+    gen = random.Random(6)
+    hexa = lambda n: "".join(gen.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(400):
+        w = words(8)
+        x = [f'token = "{hexa(40)}"', str(gen.randrange(10**15, 10**16)), f"sha {hexa(40)}", "alphabetagammadeltathetakappa"][i % 4]
+        rows.append((i, " ".join([*w[:4], x, *w[4:]]), "src/app.py", 1.0, 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = secrets.findings(df, secrets.dictionary_of(df), path_col="row").withColumn("label", (F.col("doc_id") % 4 == 0).cast("double"))
+    forest = secrets.train(found.filter("doc_id < 300"))
+    got = secrets.score(found.filter("doc_id >= 300"), forest).collect()
+    assert len(got) == 100
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in got) >= 97
+    text = {i: t for i, t, *_ in rows}
+    assert all(text[r.doc_id][r.start:r.start + len(r.finding)] == r.finding for r in got)
+
+
+def test_secret_scan_edge_cases(spark, docs, none):
+    d = secrets.dictionary_of(docs)
+    found = secrets.findings(docs, d, path_col="row")
+    assert found.filter("doc_id is null").count() >= 0
+    one = spark.createDataFrame([(None, "key: abcdef0123456789", None), (1, None, None), (1, "k=" + "a1" * 60_000, "p")],
+                                "doc_id long, text string, source string")
+    f = secrets.findings(one, frozenset(), path_col="source").withColumn("label", F.lit(1.0))
+    assert secrets.score(f, secrets.train(f)).filter("score = 1.0").count() == 2
+    assert secrets.score(f, secrets.train(f.limit(0))).filter("score = 0.0").count() == 2
+    assert secrets.findings(none, d).count() == 0 and secrets.dictionary_of(none) == frozenset()
+
+
+# --------------------------------------------------------- empty tables
+
+
+def test_empty_tables(none):
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.dedup(none).count() == 0
+    assert substring_dedup.remove_repeats(none).count() == 0
+    assert jaccard_join.jaccard_components(none).count() == 0 and jaccard_join.one_of_each(none).count() == 0
+    assert token_counts.token_counts(none, P.path("byte_bpe_50k.json")).count() == 0
+    assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0
+    assert quality.train(none, none.select("doc_id", F.lit(1).alias("grade"))) is not None
+
+
+# ------------------------------------------------------------- pipeline
+
+
+def test_pipeline_against_brute_force(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    from papertrail.llm.common import read
+
+    docs = read(spark, sf, "documents")
+    columns = docs.columns
+    stage = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "packing"]
+    kept = stage["quality"](spark, docs, sf).checkpoint()
+    labels = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in read(spark, sf, "labels").collect()}
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert sum((i in ids) == good for i, good in labels.items()) >= 0.8 * len(labels)
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    once = stage["exact_dedup"](spark, kept, sf).checkpoint()
+    last = {}
+    for i, t in rows:
+        last[lower_az(t)] = max(last.get(lower_az(t), i), i)
+    assert sorted(r.doc_id for r in once.collect()) == sorted(last.values())
+    rows = [(r.doc_id, r.text) for r in once.collect()]
+    near = stage["near_dedup"](spark, once, sf).checkpoint()
+    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, n, c in brute_components(rows, 5, 4, 5) if i == c)
+    rows = [(r.doc_id, r.text) for r in near.collect()]
+    items = [(r.item_id, r.text) for r in read(spark, sf, "benchmark").collect()]
+    clean = stage["decontaminate"](spark, near, sf).checkpoint()
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(b[0] for b in brute_contamination(rows, items) if not b[-1])
+    for df in (kept, once, near, clean):
+        assert df.columns == columns
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    text = {r.doc_id: r.text for r in clean.collect()}
+    left = Counter()
+    for r in stage["packing"](spark, clean, sf).collect():
+        ids = [*tok.encode(text[r.doc_id], add_special_tokens=False).ids, 1]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes())
+        left[r.doc_id] += r.length
+        assert r.doc_tokens == len(ids)
+    assert set(left) == set(text)
