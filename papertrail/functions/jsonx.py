@@ -46,7 +46,8 @@ def quote_repair(c) -> Column:
     return let(F.regexp_replace(strip(col_of(c)), r"\"+\s*$", ""), fix)
 
 
-# The bib fields salvaged from broken JSON, in order.
+# The bib fields salvaged from broken JSON, in order, and the
+# pattern of the last one, the abstract.
 SALVAGE_FIELDS = ["ENTRYTYPE", "ID", "title", "author", "journal", "year", "volume", "number", "pages", "doi"]
 ABSTRACT_PATTERN = r'(?s)"abstract":\s*"(.*?)(?="[^"]*$|$)'
 
@@ -89,14 +90,13 @@ def strict_parse_json(c) -> Column:
     value: for objects, arrays and strings, the text without its last
     character must no longer parse; scalars must match the JSON grammar.
     """
-    def parse(s):
-        v = F.try_parse_json(s)
+    def check(s, v):
         kind = F.schema_of_variant(v)
         shorter = F.try_parse_json(F.substring(s, F.lit(1), F.length(s) - 1))
         closed = kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "STRING")
         ok = F.when(closed, shorter.isNull()).otherwise(s.rlike(_SCALAR))
         return F.when(v.isNotNull() & ok, v)
-    return let(strip(col_of(c)), parse)
+    return let(strip(col_of(c)), lambda s: let(F.try_parse_json(s), lambda v: check(s, v)))
 
 
 def parse_json_lenient(c) -> Column:

@@ -127,13 +127,20 @@ def unmatched(records: DataFrame, bib: DataFrame, rec_text: str = "text", bib_do
     """Records with no DOI or no bib partner (J2), with an 80-char snippet."""
     r = records.withColumn("doi", extract_doi(col_of(rec_text)))
     b = bib.select(normalize_bib_doi(col_of(bib_doi)).alias("doi")).filter(F.col("doi").isNotNull())
-    miss = r.join(b, "doi", "left_anti")  # null DOIs never match → kept
+    # rows without a DOI match nothing: kept apart, they are no hot join key
+    miss = r.filter("doi is not null").join(b, "doi", "left_anti").unionByName(r.filter("doi is null"))
     return miss.withColumn("snippet", F.substring(col_of(rec_text), 1, 80))
 
 
 def match_by_name(a: DataFrame, b: DataFrame, name: str = "name") -> DataFrame:
-    """Inner join of two corpora on a file stem."""
-    return a.join(b, name, "inner")
+    """Inner join of two corpora on a file stem (J3).  Of rows that share a stem
+    on one side the last one (largest by all columns) is kept."""
+    def last(df):
+        rest = [c for c in df.columns if c != name]
+        if not rest:
+            return df.distinct()
+        return df.groupBy(name).agg(F.max(F.struct(*rest)).alias("_last")).select(name, "_last.*")
+    return last(a).join(last(b), name, "inner")
 
 
 def restore_names(results: DataFrame, mapping: DataFrame, key: str = "custom_id", name: str = "name",
@@ -144,8 +151,9 @@ def restore_names(results: DataFrame, mapping: DataFrame, key: str = "custom_id"
 
 
 def response_join(requests: DataFrame, responses: DataFrame, key: str) -> DataFrame:
-    """Outputs joined to inputs by record id, never by row position."""
-    return requests.join(responses, key, "inner")
+    """Outputs joined to inputs by record id, never by row position (J8); a
+    request without a response stays, with nulls."""
+    return requests.join(responses, key, "left")
 
 
 # ------------------------------------------------------------------ ordinals
@@ -178,20 +186,33 @@ def batch_no(df: DataFrame, by, size: int, col: str = "batch_no", seq_col: str =
 
 def resolve_name_conflicts(df: DataFrame, label: str, filename: str, out: str = "target_name",
                            order=None) -> DataFrame:
-    """Second file of a name inside a class becomes ``name_1.ext``,
-    the third ``name_2.ext`` … (W3)."""
+    """In ``order`` (unique per class), every file of a class takes the first
+    free one of ``name.ext``, ``name_1.ext``, ``name_2.ext`` … (W3).
+
+    A file of n earlier namesakes cannot get a lower number than n, so all
+    start there; where a made name meets another file's own name, the later
+    file and its later namesakes move up until no name is taken twice.  The
+    counts are prefix scans, so a name repeated across a third of the corpus
+    still spreads over many tasks.
+    """
     from papertrail.operators.scan import prefix_scan
 
-    # running count of earlier rows with the same (label, name): a prefix
-    # scan, so a name repeated across a third of the corpus still spreads
-    # over many tasks
-    order_cols = list(order or [filename])
-    df = prefix_scan(df, [label, filename], order_cols, {"_n": ("sum", F.lit(1))}, inclusive=False)
-    n = F.col("_n")
+    by = list(order or [filename])
     f = col_of(filename)
     ext = F.regexp_extract(f, r"^.+?(\.[^.]*)$", 1)
     stem = F.when(ext == "", f).otherwise(F.substring(f, F.lit(1), F.length(f) - F.length(ext)))
-    return df.withColumn(out, F.when(n == 0, f).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))).drop("_n")
+    d = prefix_scan(df, [label, filename], by, {"_n": ("sum", F.lit(1))}, inclusive=False).withColumn("_k", F.col("_n"))
+    while True:
+        d = d.withColumn(out, F.when(F.col("_k") == 0, f).otherwise(F.concat(stem, F.lit("_"), F.col("_k").cast("string"), ext)))
+        d = d.checkpoint()
+        taken = d.groupBy(label, out).agg(F.min(F.struct(*by)).alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+        if taken.isEmpty():
+            return d.drop("_n", "_k")
+        d = d.join(taken, [label, out], "left")
+        later = F.coalesce(F.struct(*by) != F.col("_first"), F.lit(False)).cast("long")
+        d = d.withColumn("_x", F.col("_k") - F.col("_n") + later).drop("_first", "_c")
+        d = prefix_scan(d, [label, filename], by, {"_up": ("max", "_x")})
+        d = d.withColumn("_k", F.col("_n") + F.col("_up")).drop("_x", "_up")
 
 
 # ------------------------------------------------------------------ splits
@@ -246,8 +267,8 @@ def stratified_position(df: DataFrame, label: str, by: str, seed: int = 42, rang
     w = Window.partitionBy(label).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     cnt = (cnt.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
               .withColumn("_n", F.sum("_c").over(Window.partitionBy(label))))
-    # count table: (#labels × ranges) rows, bounded by the ranges parameter
-    d = d.join(F.broadcast(cnt.select(label, "_r", "_before", "_n")), [label, "_r"])
+    # count table: up to #labels × ranges rows
+    d = d.join(checked_broadcast(cnt.select(label, "_r", "_before", "_n"), 500_000), [label, "_r"])
     wr = Window.partitionBy(label, "_r").orderBy("_h", by)
     d = d.withColumn("_pos", F.col("_before") + F.row_number().over(wr) - 1)
     return d.drop("_h", "_r", "_before")

@@ -34,7 +34,9 @@ def text_pipeline(text: str = "text", label: str = "label", num_features: int =
 
 def with_class_weights(df: DataFrame, label: str, classes) -> DataFrame:
     w = M.class_weights(df, label, classes)
-    return df.join(F.broadcast(w.select(F.col("label").alias("_l"), F.col("weight"))), F.col(label) == F.col("_l")).drop("_l")
+    # one row per class; a label outside ``classes`` keeps weight 1
+    j = df.join(F.broadcast(w.select(F.col("label").alias("_l"), F.col("weight"))), F.col(label) == F.col("_l"), "left").drop("_l")
+    return j.fillna(1.0, ["weight"])
 
 
 def train_text_classifier(df: DataFrame, text: str, label: str, classes, weight: bool = True, reg: float = 0.0,
@@ -61,7 +63,7 @@ def classify(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def classify_long(model: PipelineModel, df: DataFrame, key: str, text: str, max_length: int = 512,
-                  stride: int = 384, max_windows: int | None = 8, how: str = "mean") -> DataFrame:
+                  stride: int = 384, max_windows: int | None = None, how: str = "mean") -> DataFrame:
     """Windowed classification (M3): token windows → per-window class
     probabilities → pooled per document (A17) → argmax."""
     w = df.select(key, F.posexplode(token_windows(tokenize(F.col(text)), max_length, stride, max_windows)).alias("win", "w"))

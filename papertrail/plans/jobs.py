@@ -12,15 +12,15 @@ from papertrail.functions import jsonx as J
 from papertrail.functions import prompts as PR
 from papertrail.functions.text import custom_id
 from papertrail.operators import corpus as C
+from papertrail.operators.qa_scan import with_objects
 from papertrail.sources.sinks import dead_letter, split_status
 
-DEFAULT_MODEL = "claude-model"
 DEFAULT_MAX_TOKENS = 64000
 DEFAULT_TEMPERATURE = 0.3
 
 
 def build_requests(txt: DataFrame, js: DataFrame, name: str = "name", text: str = "text", json_text: str = "json",
-                   start: int = 0, model: str = DEFAULT_MODEL, max_tokens: int = DEFAULT_MAX_TOKENS,
+                   start: int = 0, *, model: str, max_tokens: int = DEFAULT_MAX_TOKENS,
                    temperature: float = DEFAULT_TEMPERATURE) -> tuple:
     """(requests, mapping) for every name present in both corpora (M9).
 
@@ -43,15 +43,16 @@ def ingest_results(results: DataFrame, mapping: DataFrame) -> tuple:
 
     results: custom_id, type ('succeeded' / 'errored' / …), text, error_type.
     Errored → dead letter API_ERROR; a succeeded result without any QA
-    object → PARSE_ERROR; else one row per QA object (JSONL fast path).
+    object in any of the accepted shapes → PARSE_ERROR; else one row per QA
+    object.
     """
     r = C.restore_names(results, mapping)
     ok, failed = split_status(r, F.col("type") == "succeeded")
     api_err = dead_letter(failed, "API_ERROR", "name", F.coalesce(F.col("error_type"), F.lit("unknown")), "text")
-    objs = ok.select("custom_id", "name", "text", J.jsonl_objects("text").alias("objs"))
+    objs = with_objects(ok.select("custom_id", "name", "text"), "text", "objs")
     parsed, unparsed = split_status(objs, F.size("objs") > 0)
     parse_err = dead_letter(unparsed, "PARSE_ERROR", "name", F.lit("no QA object could be parsed"), "text")
-    qa = parsed.select("name", F.posexplode("objs").alias("ord", "v")).select(
+    qa = parsed.select("name", F.posexplode_outer("objs").alias("ord", "v")).filter("v is not null").select(
         "name", "ord", J.normalize_qa("v").alias("qa")).select("name", "ord", "qa.*")
     counts = r.agg(F.count_if(F.col("type") == "succeeded").alias("succeeded"),
                    F.count_if(F.col("type") != "succeeded").alias("failed"))
@@ -122,5 +123,5 @@ def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: st
     p = p.withColumn("_r", let(m, to_bib)).withColumn("bib", F.col("_r.bib"))
     good, bad = split_status(p, F.col("bib").isNotNull() & (F.col("_r.n") > 0))
     dead = dead_letter(bad.withColumn("_name", F.col(id_col).cast("string")), "PREDICT", "_name",
-                       F.lit("BibTeX generation failed"), "raw_prediction", raw_max_len=200)
+                       F.lit("BibTeX generation failed"), "raw_prediction")
     return good.select(id_col, "bib"), dead

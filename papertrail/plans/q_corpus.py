@@ -241,7 +241,8 @@ FROM documents d JOIN labels l ON 'paper_' || CAST(d.doc_id AS VARCHAR) = 'paper
 
 def _restore_names(spark, sf):
     c = table(spark, sf, "conversations")
-    idx = F.col("conv_id") * 100 + F.col("turn")
+    width = c.select(F.max("turn") + 1).scalar()  # ids of two conversations never meet
+    idx = F.col("conv_id") * width + F.col("turn")
     results = c.select(X.custom_id(F.col("role"), idx).alias("custom_id"), "conv_id", "turn")
     mapping = c.filter(F.col("role") == "user").select(X.custom_id(F.col("role"), idx).alias("custom_id"),
                                                        F.concat(F.col("role"), F.lit(" #"), F.col("turn").cast("string")).alias("name"))
@@ -249,7 +250,7 @@ def _restore_names(spark, sf):
 
 
 register("j_restore_names", sql="""
-WITH r AS (SELECT conv_id, turn, role, printf('req_%06d', conv_id * 100 + turn) || '_' || role AS custom_id FROM conversations)
+WITH r AS (SELECT conv_id, turn, role, printf('req_%06d', conv_id * (SELECT max(turn) + 1 FROM conversations) + turn) || '_' || role AS custom_id FROM conversations)
 SELECT r.conv_id, r.turn, r.custom_id, coalesce(m.name, r.custom_id) AS name
 FROM r LEFT JOIN (SELECT custom_id, role || ' #' || CAST(turn AS VARCHAR) AS name FROM r WHERE role = 'user') m USING (custom_id)
 """)(_restore_names)
@@ -263,22 +264,26 @@ def _response(spark, sf):
 
 register("j_response", sql="""
 SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS n_chars, CAST(l.quality AS BIGINT) AS predicted
-FROM documents d JOIN labels l USING (doc_id)
+FROM documents d LEFT JOIN labels l USING (doc_id)
 """)(_response)
 
 # ------------------------------------------------------------------ W3, W6, W8, W9
 
 
 def _rename(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.concat(F.col("source"), F.lit(".md")).alias("file_name"))
+    """Names of one file per source, some of them spelt like made names."""
+    name = F.concat(F.col("source"), F.when(F.col("doc_id") % 10 == 3, F.lit("_1")).otherwise(F.lit("")), F.lit(".md"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", name.alias("file_name"))
     return C.resolve_name_conflicts(d, "lang", "file_name", order=["doc_id"]).select("doc_id", "lang", "target_name")
 
 
 register("w_rename", sql="""
-WITH t AS (SELECT doc_id, lang, source || '.md' AS file_name,
-                  row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS n FROM documents)
-SELECT doc_id, lang, CASE WHEN n = 0 THEN file_name ELSE regexp_replace(file_name, '\\.md$', '') || '_' || CAST(n AS VARCHAR) || '.md' END AS target_name
-FROM t
+WITH t AS (SELECT doc_id, lang, source || CASE WHEN doc_id % 10 = 3 THEN '_1' ELSE '' END AS stem FROM documents),
+g AS (SELECT lang, list(doc_id ORDER BY doc_id) AS ids, list([stem] ORDER BY doc_id) AS stems FROM t GROUP BY lang),
+r AS (SELECT lang, ids, list_reduce(stems, lambda acc, x: list_append(acc, list_filter(
+        list_concat([x[1]], list_transform(range(1, len(acc) + 1), lambda k: x[1] || '_' || CAST(k AS VARCHAR))),
+        lambda c: NOT list_contains(acc, c))[1])) AS names FROM g)
+SELECT unnest(ids) AS doc_id, lang, unnest(list_transform(names, lambda n: n || '.md')) AS target_name FROM r
 """)(_rename)
 
 

@@ -56,7 +56,7 @@ SELECT event_id, {_duck_unfence('raw')} AS unfenced FROM fenced
 def _braceless(spark, sf):
     e = table(spark, sf, "events")
     m = F.col("event_id") % 3
-    raw = (F.when(m == 0, F.col("props")).when(m == 1, F.substring("props", 2, 10_000))
+    raw = (F.when(m == 0, F.col("props")).when(m == 1, F.expr("substring(props, 2)"))
            .otherwise(F.expr("substring(props, 1, length(props) - 1)")))
     return e.select("event_id", raw.alias("raw"))
 
@@ -68,7 +68,7 @@ def _duck_braces(x):
 
 
 register("f_brace_repair", sql=f"""
-WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN substr(props, 2, 10000)
+WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN substr(props, 2)
                                  ELSE substr(props, 1, length(props) - 1) END AS raw FROM events)
 SELECT event_id, {_duck_braces('raw')} AS repaired FROM b
 """)(lambda spark, sf: _braceless(spark, sf).select("event_id", J.brace_repair("raw").alias("repaired")))
@@ -114,13 +114,15 @@ _SQL_BROKEN = ("""bb AS (SELECT doc_id, '{"ENTRYTYPE": "article", "ID": "' || so
 
 
 def _salvage(spark, sf):
-    m = _broken_bib(spark, sf).select("doc_id", J.salvage_fields("raw", with_abstract=False).alias("m"))
+    m = _broken_bib(spark, sf).select("doc_id", J.salvage_fields("raw").alias("m"))
     return m.select("doc_id", F.explode("m").alias("field", "value"))
 
 
 _SALV = " UNION ALL ".join(
     f"SELECT doc_id, '{f}' AS field, regexp_extract(raw, '\"{f}\":\\s*\"([^\"]*)\"', 1) AS value FROM bb "
     f"WHERE regexp_matches(raw, '\"{f}\":\\s*\"[^\"]*\"')" for f in J.SALVAGE_FIELDS)
+# the abstract reaches to the last quote of the text
+_SALV += """ UNION ALL SELECT doc_id, 'abstract' AS field, regexp_extract(raw, '(?s)"abstract":\\s*"(.*)"[^"]*$', 1) AS value FROM bb"""
 register("f_salvage", sql=f"""
 WITH {_SQL_BROKEN}
 {_SALV}
@@ -149,7 +151,8 @@ _SQL_LENIENT_IN = """li AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props
 
 def _json_lenient(spark, sf):
     p = _lenient_input(spark, sf).select("event_id", J.parse_json_lenient("raw").alias("v"))
-    return p.select("event_id", F.col("v").isNotNull().cast("long").alias("valid"), J.variant_kind("v").alias("kind"))
+    return p.select("event_id", F.col("v").isNotNull().cast("long").alias("valid"), J.variant_kind("v").alias("kind"),
+                    F.try_variant_get("v", "$.k", "string").alias("k"))
 
 
 def _duck_kind(x):
@@ -161,7 +164,8 @@ register("f_json_lenient", sql=f"""
 WITH {_SQL_LENIENT_IN},
 r AS (SELECT event_id, raw, CASE WHEN length({_duck_unfence('raw')}) > 0 THEN {_duck_braces(_duck_unfence('raw'))} END AS rep FROM li),
 v AS (SELECT event_id, CASE WHEN json_valid(raw) THEN raw WHEN json_valid(rep) THEN rep END AS j FROM r)
-SELECT event_id, CAST(j IS NOT NULL AS BIGINT) AS valid, CASE WHEN j IS NULL THEN NULL ELSE {_duck_kind('j')} END AS kind FROM v
+SELECT event_id, CAST(j IS NOT NULL AS BIGINT) AS valid, CASE WHEN j IS NULL THEN NULL ELSE {_duck_kind('j')} END AS kind,
+       CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.k') END AS k FROM v
 """)(_json_lenient)
 
 # ------------------------------------------------------------------ F8, F9
@@ -186,14 +190,15 @@ def qa_responses(spark, sf):
     line2 = F.concat(F.lit('{"question": '), _json_str(F.substring_index("answer", "\n", 1)), F.lit(', "reasoning": '),
                      falsy, F.lit(', "answer": ""}'))
     resp = F.concat(line1, F.lit("\nHere are more:\n"), line2)
-    return qa.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair"), "conv_id", "turn", resp.alias("response"))
+    return qa.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair"), "conv_id", "turn",
+                     line1.alias("first"), line2.alias("second"), resp.alias("response"))
 
 
 _SQL_RESP = """qa AS (
   SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer, split_part(a.text, chr(10), 1) AS reasoning
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND a.role = 'assistant'
   WHERE u.role = 'user'),
-resp AS (SELECT conv_id * 100 + turn AS pair, conv_id, turn,
+resp AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS pair, conv_id, turn,
   '{"question": ' || to_json(question) || ', "reasoning": ' || to_json(reasoning) || ', "answer": ' || to_json(answer) || '}'
   || chr(10) || 'Here are more:' || chr(10)
   || '{"question": ' || to_json(split_part(answer, chr(10), 1)) || ', "reasoning": '
@@ -248,35 +253,46 @@ SELECT conv_id, turn, {_SQL_NORM} FROM t
 """)(_normalize_qa)
 
 
-def _extract_qa(spark, sf):
-    """Scanner over mixed response shapes: JSON array, pretty-printed
-    objects with prose around them, fenced JSONL."""
+def shaped_responses(spark, sf):
+    """The same objects in every accepted shape: a fenced array, prose around
+    objects, lines, pretty-printed objects, nested lists of JSON strings."""
     r = qa_responses(spark, sf)
-    m = F.col("turn") % 3
-    shaped = (F.when(m == 0, F.concat(F.lit("```json\n["), F.regexp_replace("response", "\nHere are more:\n", ","), F.lit("]\n```")))
-              .when(m == 1, F.concat(F.lit("Sure!\n"), F.regexp_replace("response", "\n", "\n\n"), F.lit("\nDone.")))
-              .otherwise(F.col("response")))
-    return extract_qa(r.select("pair", shaped.alias("text")), "pair", "text")
+    m = (F.col("conv_id") + F.col("turn")) % 5
+    pretty = F.replace(F.replace("response", F.lit('{"question": '), F.lit('{\n  "question": ')), F.lit('"}\n'), F.lit('"\n}\n'))
+    text = (F.when(m == 0, F.concat(F.lit("```json\n["), F.col("first"), F.lit(",\n"), F.col("second"), F.lit("]\n```")))
+            .when(m == 1, F.concat(F.lit("Sure!\n"), F.regexp_replace("response", "\n", "\n\n"), F.lit("\nDone.")))
+            .when(m == 2, F.col("response")).when(m == 3, pretty)
+            .otherwise(F.concat(F.lit("Here: ["), F.to_json(F.array("first", "second")), F.lit("]"))))
+    return r.withColumn("text", text)
+
+
+def _extract_qa(spark, sf):
+    return extract_qa(shaped_responses(spark, sf).select("pair", "text"), "pair", "text")
 
 
-register("f_extract_qa")(_extract_qa)
+register("f_extract_qa", sql=f"""
+WITH {_SQL_RESP}
+SELECT pair, ord, {_SQL_NORM} FROM objs
+""")(_extract_qa)
 
 # ------------------------------------------------------------------ K4, K5
 
 
 def _qa_doc(spark, sf):
-    qa = _qa_fast(spark, sf)
-    # documents = conversations; pairs of one conversation form its QA file
-    qa = qa.withColumn("doc", F.floor(F.col("pair") / 100)).withColumn("o", F.col("pair") * 10 + F.col("ord"))
-    d = qa_document(qa.filter(F.length("answer") > 0), "doc", "o")
-    return d.select(F.col("doc").cast("long").alias("conv_id"), F.col("n_pairs").cast("long").alias("n_pairs"),
-                    F.when(F.col("json").startswith("["), F.lit("array")).otherwise(F.lit("object")).alias("kind"))
+    """Documents are conversations; the pairs of one form its QA file."""
+    r = qa_responses(spark, sf)
+    o = r.select("conv_id", "turn", F.posexplode(J.jsonl_objects("response")).alias("ord", "v"))
+    qa = o.select("conv_id", F.struct("turn", "ord").alias("o"), J.normalize_qa("v").alias("qa")).select("conv_id", "o", "qa.*")
+    return qa_document(qa, "conv_id", "o").select("conv_id", F.col("n_pairs").cast("long").alias("n_pairs"), "json")
 
 
+_SQL_PAIR = ("'{\"question\":' || to_json(question) || ',\"reasoning\":' || to_json(reasoning) || ',\"answer\":' || to_json(answer) || '}'")
 register("k_qa_document", sql=f"""
-WITH {_SQL_RESP}, n AS (SELECT pair, ord, {_SQL_NORM} FROM objs)
-SELECT CAST(floor(pair / 100) AS BIGINT) AS conv_id, count(*) AS n_pairs, CASE WHEN count(*) = 1 THEN 'object' ELSE 'array' END AS kind
-FROM n WHERE length(answer) > 0 GROUP BY 1
+WITH {_SQL_RESP.replace("SELECT pair, conv_id, i, ln", "SELECT pair, conv_id, turn, i, ln").replace("SELECT pair, conv_id, generate_subscripts", "SELECT pair, conv_id, turn, generate_subscripts").replace("SELECT pair, conv_id, string_split", "SELECT pair, conv_id, turn, string_split").replace("objs AS (SELECT pair, conv_id,", "objs AS (SELECT pair, conv_id, turn,")},
+n AS (SELECT conv_id, turn, ord, {_SQL_NORM} FROM objs)
+SELECT conv_id, count(*) AS n_pairs, CASE WHEN count(*) = 1 THEN min({_SQL_PAIR})
+       ELSE '[' || string_agg({_SQL_PAIR}, ',' ORDER BY turn, ord) || ']' END AS json
+FROM n GROUP BY conv_id
 """)(_qa_doc)
 
 
@@ -307,7 +323,7 @@ def _corpora(spark, sf):
 
 def _build_requests(spark, sf):
     txt, js = _corpora(spark, sf)
-    req, mapping = jobs.build_requests(txt, js, start=10)
+    req, mapping = jobs.build_requests(txt, js, start=10, model="any")
     return req.join(mapping, "custom_id").select("custom_id", "name", F.col("params.messages")[0]["content"].alias("content"),
                                                  F.col("params.max_tokens").cast("long").alias("max_tokens"))
 
@@ -326,10 +342,10 @@ FROM s WHERE idx >= 10
 def _results(spark, sf):
     """Batch results: system turns errored; every fourth pair returns
     prose only (parse error); the rest JSONL responses."""
-    r = qa_responses(spark, sf)
-    cid = F.concat(F.lit("req_"), F.col("pair").cast("string"))
+    r = shaped_responses(spark, sf)
+    cid = F.concat(F.lit("req_"), F.col("pair"))
     typ = F.when(F.col("turn") % 4 == 2, F.lit("errored")).otherwise(F.lit("succeeded"))
-    text = F.when(F.col("turn") % 4 == 3, F.lit("I cannot answer that.")).otherwise(F.col("response"))
+    text = F.when(F.col("turn") % 4 == 3, F.lit("I cannot answer that.")).otherwise(F.col("text"))
     res = r.select(cid.alias("custom_id"), typ.alias("type"), text.alias("text"),
                    F.when(typ == "errored", F.lit("overloaded_error")).alias("error_type"), "conv_id")
     mapping = res.filter(F.col("conv_id") % 2 == 0).select("custom_id", F.concat(F.lit("paper_"), F.col("conv_id").cast("string"),
@@ -348,7 +364,7 @@ def _ingest(spark, sf):
 
 register("m_ingest_results", sql=f"""
 WITH {_SQL_RESP.replace("objs AS (SELECT pair", "objs0 AS (SELECT pair")},
-res AS (SELECT 'req_' || CAST(pair AS VARCHAR) AS custom_id, pair, conv_id, turn,
+res AS (SELECT 'req_' || pair AS custom_id, pair, conv_id, turn,
                CASE WHEN turn % 4 = 2 THEN 'errored' ELSE 'succeeded' END AS type,
                CASE WHEN turn % 4 = 3 THEN 'I cannot answer that.' ELSE response END AS text FROM resp),
 named AS (SELECT r.*, coalesce(CASE WHEN conv_id % 2 = 0 THEN 'paper_' || CAST(conv_id AS VARCHAR) || '_' || custom_id END, custom_id) AS name FROM res r),
@@ -363,17 +379,15 @@ UNION ALL SELECT name, NULL, 'PARSE_ERROR', NULL, NULL FROM named WHERE type = '
 
 
 def _build_sft(spark, sf):
-    qa = _qa_fast(spark, sf).filter(F.length("answer") > 0)
-    qa = qa.withColumn("qa_id", F.col("pair") * 10 + F.col("ord"))
-    s = jobs.build_sft(qa, "qa_id")
-    return s.select("qa_id", "split", F.length("text").cast("long").alias("n_chars"))
+    qa = _qa_fast(spark, sf).withColumn("qa_id", F.concat_ws("_", "pair", F.col("ord").cast("string")))
+    return jobs.build_sft(qa, "qa_id").select("qa_id", "split", "text")
 
 
 register("m_build_sft", sql=f"""
-WITH {_SQL_RESP}, n AS (SELECT pair * 10 + ord AS qa_id, {_SQL_NORM} FROM objs),
+WITH {_SQL_RESP}, n AS (SELECT pair || '_' || CAST(ord AS VARCHAR) AS qa_id, {_SQL_NORM} FROM objs),
 t AS (SELECT qa_id, {D.render(PR.SFT_TRAIN_TEMPLATE, question='question', reasoning='reasoning', answer='answer')} || {D.q(PR.EOS)} AS text,
-             ({D.hash32('qa_id')} % 10000) / 10000.0 AS u FROM n WHERE length(answer) > 0)
-SELECT CAST(qa_id AS BIGINT) AS qa_id, CASE WHEN u < 0.9 THEN 'train' ELSE 'test' END AS split, CAST(length(text) AS BIGINT) AS n_chars FROM t
+             ({D.hash32('qa_id')} % 10000) / 10000.0 AS u FROM n)
+SELECT qa_id, CASE WHEN u < 0.9 THEN 'train' ELSE 'test' END AS split, text FROM t
 """)(_build_sft)
 
 
@@ -382,8 +396,9 @@ def _extract_records(spark, sf):
     resp = li.select(F.concat(F.lit("paper_"), F.col("event_id").cast("string")).alias("name"),
                      F.when(F.col("event_id") % 10 == 7, F.lit("API call failed")).otherwise(F.col("raw")).alias("response"))
     recs, log = jobs.extract_records(resp)
-    a = recs.select("name", F.lit("saved").alias("status"))
-    b = log.select("name", F.col("stage").alias("status"))
+    a = recs.select("name", F.lit("saved").alias("status"), J.variant_kind("parsed").alias("kind"),
+                    F.try_variant_get("parsed", "$.k", "string").alias("k"))
+    b = log.select("name", F.col("stage").alias("status"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("k"))
     return a.unionByName(b)
 
 
@@ -391,8 +406,8 @@ register("m_extract_records", sql=f"""
 WITH {_SQL_LENIENT_IN},
 resp AS (SELECT 'paper_' || CAST(event_id AS VARCHAR) AS name, CASE WHEN event_id % 10 = 7 THEN 'API call failed' ELSE raw END AS raw FROM li),
 r AS (SELECT name, raw, CASE WHEN length({_duck_unfence('raw')}) > 0 THEN {_duck_braces(_duck_unfence('raw'))} END AS rep FROM resp),
-v AS (SELECT name, raw, json_valid(raw) OR coalesce(json_valid(rep), false) AS ok FROM r)
-SELECT name, 'saved' AS status FROM v WHERE ok
-UNION ALL SELECT name, 'API_CALL' FROM v WHERE raw = 'API call failed'
-UNION ALL SELECT name, 'JSON_PARSE' FROM v WHERE NOT ok
+v AS (SELECT name, raw, CASE WHEN json_valid(raw) THEN raw WHEN json_valid(rep) THEN rep END AS j FROM r)
+SELECT name, 'saved' AS status, {_duck_kind('j')} AS kind, json_extract_string(j, '$.k') AS k FROM v WHERE j IS NOT NULL
+UNION ALL SELECT name, 'API_CALL', NULL, NULL FROM v WHERE raw = 'API call failed'
+UNION ALL SELECT name, 'JSON_PARSE', NULL, NULL FROM v WHERE j IS NULL
 """)(_extract_records)

@@ -275,7 +275,7 @@ def _rouge_pairs(spark, sf):
     from papertrail.plans.q_corpus import _qa_from_conversations
 
     qa = _qa_from_conversations(spark, sf)
-    return qa.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair"), "question", "answer")
+    return qa.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair"), "question", "answer")
 
 
 def _rouge_n(spark, sf):
@@ -311,7 +311,7 @@ s{n} AS (SELECT pair, CASE WHEN np > 0 THEN overlap / np ELSE 0.0 END AS precisi
 
 register("a_rouge_n", sql=f"""
 WITH pairs AS (
-  SELECT u.conv_id * 100 + u.turn AS pair, u.text AS question, a.text AS answer
+  SELECT CAST(u.conv_id AS VARCHAR) || '_' || CAST(u.turn AS VARCHAR) AS pair, u.text AS question, a.text AS answer
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND a.role = 'assistant'
   WHERE u.role = 'user'),
 {_sql_rouge(1)},

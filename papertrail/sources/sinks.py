@@ -16,10 +16,12 @@ from papertrail.functions._col import col_of
 # ------------------------------------------------------------------ K5
 
 
-def dead_letter(df: DataFrame, stage, name, message, raw=None, raw_max_len: int = 2000) -> DataFrame:
-    """(ts, stage, name, message, raw ≤ raw_max_len chars) rows (K5)."""
+def dead_letter(df: DataFrame, stage, name, message, raw=None, raw_max_len: int | None = None) -> DataFrame:
+    """(ts, stage, name, message, raw) rows (K5).  ``raw`` is often the only copy
+    of a failed reply: it stays whole unless ``raw_max_len`` asks for a cut."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    r = F.substring(col_of(raw), 1, raw_max_len) if raw is not None else F.lit(None).cast("string")
+    r = col_of(raw) if raw is not None else F.lit(None).cast("string")
+    r = F.substring(r, 1, raw_max_len) if raw_max_len is not None else r
     return df.select(F.current_timestamp().alias("ts"), lit(stage).alias("stage"), col_of(name).alias("name"),
                      lit(message).alias("message"), r.alias("raw"))
 
@@ -45,8 +47,9 @@ def write_by_label(df: DataFrame, path: str, label: str, fmt: str = "parquet", m
 
 
 def write_text_docs(df: DataFrame, path: str, name: str, text: str, mode: str = "overwrite") -> None:
-    """Text per document, partitioned by document name (K3)."""
-    df.select(col_of(name).alias("name"), col_of(text).alias("text")).write.mode(mode).partitionBy("name").text(path)
+    """Text per document as Parquet rows (name, text) (K3): a document is a row,
+    not a folder, however many there are."""
+    df.select(col_of(name).alias("name"), col_of(text).alias("text")).write.mode(mode).parquet(path)
 
 
 def qa_document(df: DataFrame, doc: str, order: str = "ord") -> DataFrame:
@@ -61,10 +64,10 @@ def qa_document(df: DataFrame, doc: str, order: str = "ord") -> DataFrame:
 
 
 def write_qa(df: DataFrame, path: str, doc: str, mode: str = "overwrite") -> None:
-    """Both forms: JSONL (one object per line, by document) and the
-    document-level JSON text (K4)."""
-    df.select(doc, "question", "reasoning", "answer").write.mode(mode).partitionBy(doc).json(f"{path}/jsonl")
-    qa_document(df, doc).select(doc, "json").write.mode(mode).partitionBy(doc).text(f"{path}/json")
+    """Both forms (K4): JSON lines, each naming its document, and the
+    document-level JSON texts as Parquet rows (document, json)."""
+    df.select(doc, "question", "reasoning", "answer").write.mode(mode).json(f"{path}/jsonl")
+    qa_document(df, doc).select(doc, "json").write.mode(mode).parquet(f"{path}/json")
 
 
 # ------------------------------------------------------------------ K6-K9
@@ -76,14 +79,19 @@ def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def save_index(df: DataFrame, path: str, id_col: str, shard_size: int = 100_000, mode: str = "overwrite") -> DataFrame:
-    """Write chunks in shards of at most ``shard_size`` rows (K7) and
-    return the manifest row: total, shard size, number of shards."""
-    df.write.mode(mode).option("maxRecordsPerFile", shard_size).parquet(f"{path}/shards")
+    """Write chunks in shards of ``shard_size`` rows, in ``id_col`` order, each in
+    a folder ``shard_no=<n>`` (K7), and return the manifest row: total, shard
+    size, number of shards, their folders."""
+    from papertrail.operators.corpus import batch_no
+
+    rows = batch_no(df, id_col, shard_size, "shard_no", "_seq").drop("_seq")
+    rows.repartition("shard_no").write.mode(mode).partitionBy("shard_no").parquet(f"{path}/shards")
     spark = df.sparkSession
-    stored = spark.read.parquet(f"{path}/shards")
-    man = stored.agg(F.count(F.lit(1)).alias("total_docs")).select(
-        "total_docs", F.lit(shard_size).alias("shard_size"),
-        F.ceil(F.col("total_docs") / F.lit(shard_size)).cast("long").alias("num_shards"),
+    counts = spark.read.parquet(f"{path}/shards").groupBy("shard_no").agg(F.count(F.lit(1)).alias("n"))
+    man = counts.agg(F.sum("n").alias("total_docs"), F.count(F.lit(1)).alias("num_shards"),
+                     F.array_sort(F.collect_list(F.concat(F.lit("shard_no="), F.col("shard_no").cast("string")))).alias("shards"))
+    man = man.select(
+        F.coalesce("total_docs", F.lit(0).cast("long")).alias("total_docs"), F.lit(shard_size).alias("shard_size"), "num_shards", "shards",
         F.lit("parquet").alias("persist_format"), F.lit(f"{path}/shards").alias("persist_dir"),
         F.current_timestamp().alias("built_at"))
     man.write.mode(mode).json(f"{path}/manifest")
@@ -92,13 +100,9 @@ def save_index(df: DataFrame, path: str, id_col: str, shard_size: int = 100_000,
 
 def load_index(spark, path: str, id_col: str, shard_col: str = "shard_no") -> DataFrame:
     """Read all shards; on equal ids the row of the later shard wins."""
-    from pyspark.sql import Window
-
     df = spark.read.parquet(f"{path}/shards")
-    if shard_col not in df.columns:
-        return df
-    w = Window.partitionBy(id_col).orderBy(F.col(shard_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    last = df.groupBy(id_col).agg(F.max_by(F.struct(*[c for c in df.columns if c != id_col]), F.col(shard_col)).alias("_row"))
+    return last.select(id_col, "_row.*")
 
 
 def run_summary(counts: DataFrame, label: str, n: str, avg_conf: Column, params: dict) -> DataFrame:

@@ -60,15 +60,41 @@ def test_lenient_json(spark):
     assert got == [True, True, True, False, False]
 
 
-def test_qa_scanner_rules():
-    two_lines = '{"question": "q1", "reasoning": "r", "answer": "a"}\n{"question": "q2"}'
-    assert len(qa_scan.scan_objects(two_lines)) == 2
-    pretty = '{\n  "question": "q",\n  "answer": "a"\n}'
-    assert len(qa_scan.scan_objects(pretty)) == 1
-    arr = '["{\\"question\\": \\"a\\"}", "{\\"question\\": \\"b\\"}"]'
-    assert [o["question"] for o in qa_scan.scan_objects(arr)] == ["a", "b"]
-    assert qa_scan.scan_objects('{"question":"q","refs":[{"x":1}]}') == [{"x": 1}]
-    assert qa_scan.normalize({"question": 0, "answer": None}) == ("", "", "")
+def test_qa_scanner_rules(spark):
+    cases = ['{"question": "q1", "reasoning": "r", "answer": "a"}\n{"question": "q2"}', '{\n  "question": "q",\n  "answer": "a"\n}',
+             '["{\\"question\\": \\"a\\"}", "{\\"question\\": \\"b\\"}"]', '{"question":"q","refs":[{"question":"inner"}]}',
+             'Sure! [ {"question":"a]"} ] and [[{"question":"b"}], [[[["{\\"question\\": \\"deep\\"}"]]]]]', "", None, "none",
+             '```json\n[{"question":"z"}]\n```', 'open "quote { [', '[1, 2] {"question":"k"}', '{"question": 0, "answer": null}']
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = {}
+    for r in qa_scan.extract_qa(df, "k", "t").orderBy("k", "ord").collect():
+        got.setdefault(r.k, []).append(r.question)
+    assert got == {0: ["q1", "q2"], 1: ["q"], 2: ["a", "b"], 3: ["inner"], 4: ["a]", "b", "deep"], 8: ["z"], 10: ["k"], 11: [""]}
+
+
+def test_ingest_accepts_arrays_and_pretty_objects(spark):
+    from papertrail.plans import jobs
+
+    texts = ['[{"question": "a"}, {"question": "b"}]', '{\n "question": "c"\n}', '{"question": "d"}\n{"question": "e"}', "sorry"]
+    res = spark.createDataFrame([(str(i), "succeeded", t, None) for i, t in enumerate(texts)] + [("9", "errored", "x" * 5000, "busy")],
+                                "custom_id string, type string, text string, error_type string")
+    names = spark.createDataFrame([("0", "paper")], "custom_id string, name string")
+    qa, dead, _ = jobs.ingest_results(res, names)
+    assert sorted((r.name, r.question) for r in qa.collect()) == [("1", "c"), ("2", "d"), ("2", "e"), ("paper", "a"), ("paper", "b")]
+    assert {(r.name, r.stage, len(r.raw)) for r in dead.collect()} == {("3", "PARSE_ERROR", 5), ("9", "API_ERROR", 5000)}
+
+
+def test_unanswered_requests_stay(spark):
+    req = spark.createDataFrame([(1,), (2,)], "id long")
+    resp = spark.createDataFrame([(1, "x")], "id long, r string")
+    assert sorted(map(tuple, C.response_join(req, resp, "id").collect())) == [(1, "x"), (2, None)]
+
+
+def test_made_names_never_meet(spark):
+    names = ["x.md", "x.md", "x_1.md", "x.md", "x_1.md", "y", "x_1_1.md", "x.md"]
+    df = spark.createDataFrame([(i, "A", n) for i, n in enumerate(names)], "i long, label string, f string")
+    got = [r[0] for r in C.resolve_name_conflicts(df, "label", "f", order=["i"]).orderBy("i").select("target_name").collect()]
+    assert got == ["x.md", "x_1.md", "x_1_1.md", "x_2.md", "x_1_2.md", "y", "x_1_1_1.md", "x_3.md"]
 
 
 def test_normalize_qa_falsy(spark):
