@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from papertrail.functions._col import col_of, let
 from papertrail.functions.jsonx import strict_parse_json
+from papertrail.functions.text import strip
 
 # ------------------------------------------------------------------ F12 schema
 
@@ -56,16 +57,23 @@ def normalize_extraction(df: DataFrame, c) -> DataFrame:
     literature> typed per the template for both shapes (plain arrays, or
     arrays wrapped one level deeper such as ``precursors.precursors``;
     ``finalStage`` as an array, as an object, or as
-    ``finalStage.activation`` + ``finalStage.products.products``).  Missing
-    values are null; unknown keys are dropped (F12)."""
+    ``finalStage.activation`` + ``finalStage.products.products``, one entry
+    per product).  Missing values are null; unknown keys are dropped (F12)."""
     def build(v):
-        final_obj = F.struct(
-            F.try_variant_get(v, "$.finalStage.activation.type", "string").alias("type"),
-            F.try_variant_get(v, "$.finalStage.activation.conditions", COND.simpleString()).alias("conditions"),
-            F.try_variant_get(v, "$.finalStage.products.products[0]", FINAL["products"].dataType.simpleString()).alias("products"),
-            F.try_variant_get(v, "$.finalStage.mechanism", FINAL["mechanism"].dataType.simpleString()).alias("mechanism"))
+        product = FINAL["products"].dataType.simpleString()
+
+        def final_obj(p):
+            return F.struct(
+                F.coalesce(F.try_variant_get(v, "$.finalStage.activation.type", "string"),
+                           F.try_variant_get(v, "$.finalStage.type", "string")).alias("type"),
+                F.try_variant_get(v, "$.finalStage.activation.conditions", COND.simpleString()).alias("conditions"),
+                p.alias("products"),
+                F.try_variant_get(v, "$.finalStage.mechanism", FINAL["mechanism"].dataType.simpleString()).alias("mechanism"))
+        products = F.try_variant_get(v, "$.finalStage.products.products", f"array<{product}>")
+        one = F.array(F.try_variant_get(v, "$.finalStage.products", product))
+        several = F.transform(F.when(F.size(products) > 0, products).otherwise(one), final_obj)
         final = F.coalesce(F.try_variant_get(v, "$.finalStage", T.ArrayType(FINAL).simpleString()),
-                           F.when(F.try_variant_get(v, "$.finalStage.activation", "variant").isNotNull(), F.array(final_obj)),
+                           F.when(F.try_variant_get(v, "$.finalStage.activation", "variant").isNotNull(), several),
                            F.when(F.try_variant_get(v, "$.finalStage", FINAL.simpleString()).isNotNull(),
                                   F.array(F.try_variant_get(v, "$.finalStage", FINAL.simpleString()))))
         return F.struct(_array_or_wrapped(v, "precursors", "precursors", PRECURSOR).alias("precursors"),
@@ -114,12 +122,25 @@ def _scalar_text(v: Column) -> Column:
             .otherwise(v))
 
 
-def flatten_json(c, max_depth: int = 8) -> Column:
+def json_depth(c) -> Column:
+    """How deep the brackets of a JSON text nest; those in strings do not count."""
+    bare = F.regexp_replace(col_of(c), r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.regexp_extract_all(bare, F.lit(r"[\[{\]}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def take(a, m):
+        now = a["now"] + F.when(m.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+    return F.coalesce(F.aggregate(marks, start, take, lambda a: a["most"]), F.lit(0))
+
+
+def flatten_json(c, max_depth: int = 16) -> Column:
     """Text form of a JSON value (F13): ``path: value`` joined by ``; ``,
     list items as ``path.item_i``, nested containers repeat their path
     (``a: a.b: 1``), null → None, booleans → True/False, empty
     containers → empty text after the colon.  Object keys keep source
-    order.  Nesting deeper than ``max_depth`` is kept as JSON text."""
+    order.  An expression has a fixed depth: what nests deeper than
+    ``max_depth`` is kept as JSON text.  :func:`flatten_text` measures it."""
     def rec(t: Column, path, level: int) -> Column:
         if level >= max_depth:
             return t
@@ -137,20 +158,31 @@ def flatten_json(c, max_depth: int = 8) -> Column:
     return let(col_of(c), top)
 
 
-def flatten_leaves(df: DataFrame, key: str, c, max_depth: int = 8) -> DataFrame:
-    """(key, path, value) for every scalar leaf; a level loop of explodes
-    (each level is a per-row generate, no shuffle)."""
+def flatten_text(df: DataFrame, c, out: str) -> DataFrame:
+    """``df`` with the text form ``out`` of every value, however deep: one scan
+    finds the greatest depth, for which the expression is built."""
+    deepest = df.agg(F.max(json_depth(c))).first()[0] or 0
+    return df.withColumn(out, flatten_json(c, deepest + 1))
+
+
+def flatten_leaves(df: DataFrame, key: str, c, levels: int = 8) -> DataFrame:
+    """(key, path, value) for every scalar leaf, at any depth.  A level is a
+    per-row generate, without a shuffle; after every ``levels`` of them what is
+    left is checkpointed, until nothing is."""
     cur = df.select(F.col(key), F.lit(None).cast("string").alias("path"), col_of(c).alias("v"))
     leaves = None
-    for _ in range(max_depth):
-        cont = cur.filter(_is_container(F.col("v")))
-        leaf = cur.filter(~_is_container(F.col("v")) & F.col("path").isNotNull()).select(
-            key, "path", _scalar_text(F.col("v")).alias("value"))
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        cur = cont.select(key, "path", F.explode(_entries(F.col("v"))).alias("e")).select(
-            key, F.when(F.col("path").isNull(), F.col("e.k")).otherwise(F.concat("path", F.lit("."), "e.k")).alias("path"),
-            F.col("e.v").alias("v"))
-    return leaves
+    while True:
+        for _ in range(levels):
+            leaf = cur.filter(~_is_container(F.col("v")) & F.col("path").isNotNull()).select(
+                key, "path", _scalar_text(F.col("v")).alias("value"))
+            leaves = leaf if leaves is None else leaves.unionByName(leaf)
+            cur = cur.filter(_is_container(F.col("v"))).select(
+                key, "path", F.explode_outer(_entries(F.col("v"))).alias("e")).filter("e is not null").select(
+                key, F.when(F.col("path").isNull(), F.col("e.k")).otherwise(F.concat("path", F.lit("."), "e.k")).alias("path"),
+                F.col("e.v").alias("v"))
+        cur = cur.checkpoint()
+        if cur.isEmpty():
+            return leaves
 
 
 def json_docs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,17 +191,17 @@ def json_docs(df: DataFrame, key: str, text: str) -> DataFrame:
     does not parse gives one document recording the error."""
     p = df.select(key, F.col(text).alias("_t"), strict_parse_json(F.col(text)).alias("_v"))
     is_arr = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY"), F.lit(False))
-    items = (p.filter(is_arr).select(key, F.posexplode(F.from_json(F.col("_t"), "array<string>")).alias("item_index", "_item"))
-             .select(key, F.col("item_index").cast("int"), flatten_json(F.col("_item")).alias("page_content"),
-                     F.lit(None).cast("string").alias("error")))
-    single = p.filter(F.col("_v").isNotNull() & ~is_arr).select(
-        key, F.lit(None).cast("int").alias("item_index"), flatten_json(F.col("_t")).alias("page_content"),
-        F.lit(None).cast("string").alias("error"))
+    items = F.from_json(F.col("_t"), "array<string>")
+    parts = (p.filter(is_arr).select(key, F.posexplode(items).alias("item_index", "_item"))
+             .unionByName(p.filter(F.col("_v").isNotNull() & ~is_arr).select(
+                 key, F.lit(None).cast("int").alias("item_index"), F.col("_t").alias("_item"))))
+    good = flatten_text(parts, F.col("_item"), "page_content").select(
+        key, F.col("item_index").cast("int"), "page_content", F.lit(None).cast("string").alias("error"))
     bad = p.filter(F.col("_v").isNull()).select(
         key, F.lit(None).cast("int").alias("item_index"),
         F.concat(F.lit("Error processing file: "), F.col(key).cast("string"), F.lit(". Error: invalid JSON")).alias("page_content"),
         F.lit("invalid JSON").alias("error"))
-    return items.unionByName(single).unionByName(bad).withColumn("type", F.lit("synthesis"))
+    return good.unionByName(bad).withColumn("type", F.lit("synthesis"))
 
 
 # ------------------------------------------------------------------ F28, F29 contract checks
@@ -192,7 +224,7 @@ def qa_contract_check(df: DataFrame, doc: str, min_pairs: int = 5, max_pairs: in
         F.when((F.col("_n") < min_pairs) | (F.col("_n") > max_pairs), F.lit("pair_count")),
         F.when(q.rlike(VAGUE), F.lit("vague_reference")),
         F.when(q.rlike(METADATA), F.lit("metadata")),
-        F.when(F.length(F.trim(F.coalesce("reasoning", F.lit("")))) == 0, F.lit("empty_reasoning")),
+        F.when(F.length(strip(F.coalesce("reasoning", F.lit("")))) == 0, F.lit("empty_reasoning")),
         F.when(F.length(F.concat_ws("", "question", "reasoning", "answer")) < min_chars, F.lit("too_short")),
     ]
     return d.withColumn("violations", F.filter(F.array(*checks), lambda x: x.isNotNull())).drop("_n")

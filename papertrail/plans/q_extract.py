@@ -30,9 +30,12 @@ def records(spark, sf):
     a = F.concat(F.lit('{"precursors": '), prec, F.lit(', "reactionStages": '), stage,
                  F.lit(', "finalStage": [{"type": "Thermal", "products": {"abbreviation": "N'), F.col("user_id").cast("string"),
                  F.lit('"}}], '), lit_, F.lit("}"))
+    kind = F.when(F.col("event_id") % 4 == 1, F.lit('"activation": {"type": "Thermal"}')) \
+        .otherwise(F.lit('"type": "Thermal", "activation": {"conditions": {"annealingTime": "1 h"}}'))
     b = F.concat(F.lit('{"precursors": {"precursors": '), prec, F.lit('}, "reactionStages": {"reactionStages": '), stage,
-                 F.lit('}, "finalStage": {"activation": {"type": "Thermal"}, "products": {"products": [{"abbreviation": "N'),
-                 F.col("user_id").cast("string"), F.lit('"}]}}, "adsorption": {"site": "hollow"}, '), lit_, F.lit("}"))
+                 F.lit('}, "finalStage": {'), kind, F.lit(', "products": {"products": [{"abbreviation": "N'),
+                 F.col("user_id").cast("string"), F.lit('"}, {"abbreviation": "M'), F.col("user_id").cast("string"),
+                 F.lit('"}]}}, "adsorption": {"site": "hollow"}, '), lit_, F.lit("}"))
     return e.select("event_id", F.when(F.col("event_id") % 2 == 0, a).otherwise(b).alias("json"))
 
 
@@ -45,7 +48,8 @@ def _norm(spark, sf):
     n = X.normalize_extraction(records(spark, sf), "json")
     p = X.precursor_rows(n, "event_id")
     lit = n.select("event_id", F.col("record.literature.doi").alias("doi"),
-                   F.col("record.finalStage")[0]["products"]["abbreviation"].alias("product"))
+                   F.array_join(F.transform("record.finalStage", lambda f: F.concat(
+                       f["type"], F.lit(":"), f["products"]["abbreviation"])), ",").alias("products"))
     return p.select("event_id", F.col("idx").cast("long").alias("idx"), "iupacName", "abbreviation",
                     F.col("deposition.method").alias("method"), F.col("deposition.parameters.Temperature").alias("temperature")).join(lit, "event_id")
 
@@ -53,21 +57,28 @@ def _norm(spark, sf):
 register("f_norm_extraction", sql=f"""
 SELECT event_id, CAST(0 AS BIGINT) AS idx, event_type AS iupacName, 'P' || CAST(user_id AS VARCHAR) AS abbreviation,
        'Sublimation' AS method, {_SQL_NUM} || ' K' AS temperature, '10.1/' || CAST(event_id AS VARCHAR) AS doi,
-       'N' || CAST(user_id AS VARCHAR) AS product
+       'Thermal:N' || CAST(user_id AS VARCHAR) || CASE WHEN event_id % 2 = 1 THEN ',Thermal:M' || CAST(user_id AS VARCHAR) ELSE '' END AS products
 FROM events
 """)(_norm)
 
 
+DEEP = 12  # levels of the deepest value
+_OPEN, _CLOSE = '{"d": ' * DEEP, "}" * DEEP
+
+
 def _flatten_text(spark, sf):
     e = table(spark, sf, "events")
     j = F.concat(F.lit('{"a": {"b": '), F.col("value").cast("string"), F.lit(', "c": [null, true, {"d": []}]}, "k": '),
-                 F.col("user_id").cast("string"), F.lit(', "t": "'), F.col("event_type"), F.lit('", "p": '), F.col("props"), F.lit("}"))
-    return e.select("event_id", X.flatten_json(j).alias("text"))
+                 F.col("user_id").cast("string"), F.lit(', "t": "'), F.col("event_type"), F.lit('", "p": '), F.col("props"),
+                 F.lit(', "x": ' + _OPEN), F.col("user_id").cast("string"), F.lit(_CLOSE + "}"))
+    return X.flatten_text(e.select("event_id", j.alias("j")), F.col("j"), "text").select("event_id", "text")
 
 
-register("f_flatten_text", sql="""
+_DEEP_TEXT = " ".join("x" + ".d" * k + ":" for k in range(DEEP + 1))
+register("f_flatten_text", sql=f"""
 SELECT event_id, 'a: a.b: ' || CAST(value AS VARCHAR) || '; a.c: a.c.item_0: None; a.c.item_1: True; a.c.item_2: a.c.item_2.d: '
-       || '; k: ' || CAST(user_id AS VARCHAR) || '; t: ' || event_type || '; p: p.k: ' || json_extract_string(props, '$.k') AS text
+       || '; k: ' || CAST(user_id AS VARCHAR) || '; t: ' || event_type || '; p: p.k: ' || json_extract_string(props, '$.k')
+       || '; {_DEEP_TEXT} ' || CAST(user_id AS VARCHAR) AS text
 FROM events
 """)(_flatten_text)
 
@@ -75,15 +86,17 @@ FROM events
 def _flatten_leaves(spark, sf):
     e = table(spark, sf, "events")
     j = F.concat(F.lit('{"u": '), F.col("user_id").cast("string"), F.lit(', "p": '), F.col("props"),
-                 F.lit(', "l": ["'), F.col("event_type"), F.lit('", false]}'))
+                 F.lit(', "l": ["'), F.col("event_type"), F.lit('", false], "x": ' + _OPEN), F.col("user_id").cast("string"),
+                 F.lit(_CLOSE + "}"))
     return X.flatten_leaves(e.select("event_id", j.alias("j")), "event_id", "j")
 
 
-register("f_flatten_leaves", sql="""
+register("f_flatten_leaves", sql=f"""
 SELECT event_id, 'u' AS path, CAST(user_id AS VARCHAR) AS value FROM events
 UNION ALL SELECT event_id, 'p.k', json_extract_string(props, '$.k') FROM events
 UNION ALL SELECT event_id, 'l.item_0', event_type FROM events
 UNION ALL SELECT event_id, 'l.item_1', 'False' FROM events
+UNION ALL SELECT event_id, 'x{".d" * DEEP}', CAST(user_id AS VARCHAR) FROM events
 """)(_flatten_leaves)
 
 

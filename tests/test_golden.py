@@ -113,6 +113,24 @@ def test_flatten_json_repeats_paths(spark):
     assert got == "a: a.b: 1; a.c: a.c.item_0: None; a.c.item_1: True"
 
 
+def test_leaves_of_any_depth(spark):
+    from papertrail.operators.extraction import flatten_leaves, flatten_text
+
+    deep = '{"a": ' * 20 + '[1, "x]"]' + "}" * 20
+    df = spark.createDataFrame([(1, deep), (2, "[]"), (3, "5")], "k int, j string")
+    assert sorted((r.k, r.path.count("."), r.value) for r in flatten_leaves(df, "k", "j").collect()) == [(1, 20, "1"), (1, 20, "x]")]
+    text = {r.k: r.t for r in flatten_text(df, F.col("j"), "t").collect()}
+    assert text[1].endswith(".item_0: 1; " + ".".join("a" * 20) + ".item_1: x]") and text[3] == "5"
+
+
+def test_products_and_stage_type_of_the_wrapped_shape(spark):
+    from papertrail.operators.extraction import normalize_extraction
+
+    j = '{"finalStage": {"type": "Tip", "activation": {"conditions": {"bias": "1 V"}}, "products": {"products": [{"abbreviation": "A"}, {"abbreviation": "B"}]}}}'
+    r = normalize_extraction(spark.createDataFrame([(j,)], "j string"), "j").first()["record"]
+    assert [(f.type, f.products.abbreviation, f.conditions.bias) for f in r.finalStage] == [("Tip", "A", "1 V"), ("Tip", "B", "1 V")]
+
+
 def test_window_counts(spark):
     df = spark.createDataFrame([(n,) for n in (0, 512, 513, 5000)], "n int")
     toks = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), lambda i: i.cast("string"))
