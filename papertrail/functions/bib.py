@@ -92,33 +92,73 @@ def _json_member(name: str):
 # ------------------------------------------------------------------ parsing
 
 _ENTRY_SPLIT = r"(?m)(?=^\s*@)"
-_FIELD_RE = r"(?m)^\s*(\w+)\s*=\s*\{(.*)\},?\s*$"
-_CONTINUATION = r"\r?\n(?![ \t]*(\w+[ \t]*=|\}[ \t]*\r?$|@))"
+_NOT_ENTRIES = ["string", "preamble", "comment"]
+# the cuts of an entry's body: an escaped character, a brace, a quote, a comma,
+# an equals sign, or a run of anything else
+_CUTS = r'(?s)\\.|[{}",=]|[^\\{}",=]+|\\'
 
 
 def split_entries(c) -> Column:
-    """ARRAY of entry texts cut at line-start ``@``."""
+    """ARRAY of entry texts cut at line-start ``@``; ``@string``, ``@preamble``
+    and ``@comment`` blocks are not entries."""
     parts = F.split(F.replace(col_of(c), F.lit("\r\n"), F.lit("\n")), _ENTRY_SPLIT)
-    return F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p.startswith("@"))
+    kind = lambda p: F.lower(F.regexp_extract(p, r"^@\s*(\w+)", 1))
+    return F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p.startswith("@") & ~kind(p).isin(*_NOT_ENTRIES))
+
+
+def _members(body) -> Column:
+    """ARRAY<STRUCT<k, v>>: the ``name = value`` parts of a body, cut at commas
+    outside braces and quotes; the text around the ``=`` is still raw."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("valued"), F.lit("").alias("k"),
+                     F.lit("").alias("v"), F.array().cast("array<struct<k:string,v:string>>").alias("done"))
+
+    def take(a, cut):
+        top = (a["depth"] == 0) & ~a["quoted"]
+        depth = a["depth"] + F.when(a["quoted"] & (a["depth"] == 0), 0).when(cut == "{", 1).when((cut == "}") & (a["depth"] > 0), -1).otherwise(0)
+        quoted = F.when((cut == '"') & (a["depth"] == 0) & a["valued"], ~a["quoted"]).otherwise(a["quoted"])
+        ends, sets = top & ((cut == ",") | (cut == "}")), top & (cut == "=") & ~a["valued"]
+        member = F.struct(a["k"].alias("k"), a["v"].alias("v"))
+        return F.struct(
+            depth.alias("depth"), quoted.alias("quoted"),
+            F.when(ends, F.lit(False)).when(sets, F.lit(True)).otherwise(a["valued"]).alias("valued"),
+            F.when(ends, F.lit("")).when(sets | a["valued"], a["k"]).otherwise(F.concat(a["k"], cut)).alias("k"),
+            F.when(ends | sets, F.lit("")).when(a["valued"], F.concat(a["v"], cut)).otherwise(a["v"]).alias("v"),
+            F.when(ends & a["valued"], F.concat(a["done"], F.array(member))).otherwise(a["done"]).alias("done"))
+
+    def last(a):
+        member = F.struct(a["k"].alias("k"), a["v"].alias("v"))
+        return F.when(a["valued"], F.concat(a["done"], F.array(member))).otherwise(a["done"])
+    return F.aggregate(F.regexp_extract_all(body, F.lit(_CUTS), F.lit(0)), state, take, last)
+
+
+def _value(v) -> Column:
+    """A raw value without its outer braces or quotes, line breaks as spaces."""
+    x = strip(F.regexp_replace(v, r"[ \t\r]*\n[ \t\r]*", " "))
+    return let(x, lambda y: F.when((y.startswith("{") & y.endswith("}")) | (y.startswith('"') & y.endswith('"') & (F.length(y) > 1)),
+                                   strip(F.substring(y, F.lit(2), F.length(y) - 2))).otherwise(y))
 
 
 def parse_entry(c) -> Column:
     """struct(entrytype, id, fields) of one entry text.
 
-    Continuation lines are joined first; field names are lower-cased and
-    a repeated field keeps its last value.
+    Values may stand in braces (nested to any depth), in quotes, or bare; any
+    number of fields may share a line and a value may run over several.
+    Field names may hold hyphens, dots and colons; they are lower-cased, and a
+    repeated field keeps its last value.
     """
     def parse(e):
-        joined = F.regexp_replace(e, _CONTINUATION, " ")
-        keys = F.transform(F.regexp_extract_all(joined, F.lit(_FIELD_RE), 1), lambda k: F.lower(k))
-        vals = F.regexp_extract_all(joined, F.lit(_FIELD_RE), 2)
-        pairs = F.arrays_zip(keys.alias("k"), vals.alias("v"))
-        last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))),
-                                                     lambda y: y["k"] == x["k"]))
-        fields = F.map_from_arrays(F.transform(last, lambda x: x["k"]), F.transform(last, lambda x: x["v"]))
+        body = F.regexp_replace(e, r"(?s)^@\s*\w+\s*\{[^,]*", "")
+        members = F.filter(F.transform(_members(body), lambda x: F.struct(
+            F.lower(strip(F.regexp_replace(x["k"], ",", ""))).alias("k"), _value(x["v"]).alias("v"))),
+            lambda x: x["k"].rlike(r"^[\p{L}_][\p{L}\p{N}_.:+-]*$"))
+
+        def as_map(pairs):
+            last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))),
+                                                         lambda y: y["k"] == x["k"]))
+            return F.map_from_arrays(F.transform(last, lambda x: x["k"]), F.transform(last, lambda x: x["v"]))
         return F.struct(F.regexp_extract(e, r"^@\s*(\w+)\s*\{", 1).alias("entrytype"),
                         F.regexp_extract(e, r"^@\s*\w+\s*\{\s*([^,\s]*)\s*,", 1).alias("id"),
-                        fields.alias("fields"))
+                        let(members, as_map).alias("fields"))
     return let(col_of(c), parse)
 
 

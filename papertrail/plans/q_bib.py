@@ -104,16 +104,27 @@ FROM documents
 """)(_sort_fields)
 
 
+def _parsed_value(f):
+    return D.strip(f"regexp_replace({f}, '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g')")
+
+
+SQL_PARSED = f"WITH {_SQL_FIELDS} " + " UNION ALL ".join(
+    f"SELECT coalesce(entrytype, 'article') AS entrytype, id, '{f}' AS field, {_parsed_value(f)} AS value "
+    f"FROM e WHERE id IS NOT NULL AND length({D.strip(f)}) > 0" for f in ("title", "author", "year", "abstract", "note", "url"))
+
+
 def _bib_parse(spark, sf):
-    """Round trip: render one library-form entry per document, join them
-    into one bib text per source, parse the text back."""
+    """Round trip: render one library-form entry per document, join those of
+    five ids into one bib text, parse the text back."""
     e = _entries(spark, sf).filter(F.col("id").isNotNull())
     rendered = e.select("doc_id", B.render_bib("entrytype", "id", "fields", escape=False).alias("bib"))
-    parsed = rendered.select("doc_id", F.explode(B.split_entries("bib")).alias("t")).select("doc_id", B.parse_entry("t").alias("p"))
-    return parsed.select("doc_id", "p.entrytype", "p.id", F.explode("p.fields").alias("field", "value"))
+    files = rendered.groupBy(F.floor(F.col("doc_id") / 5).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("doc_id", "bib"))), lambda x: x["bib"]), "\n\n").alias("bib"))
+    parsed = files.select(F.explode(B.split_entries("bib")).alias("t")).select(B.parse_entry("t").alias("p"))
+    return parsed.select("p.entrytype", "p.id", F.explode("p.fields").alias("field", "value"))
 
 
-register("s_bib_parse")(_bib_parse)
+register("s_bib_parse", sql=SQL_PARSED)(_bib_parse)
 
 
 def citation_records(spark, sf):
@@ -149,9 +160,9 @@ def _predict_bib(spark, sf):
     recs = citation_records(spark, sf)
     blob = recs.select("doc_id", F.concat("record", F.lit("\r\n\r\n\r\n\r\n")).alias("blob"))
     split = blob.select("doc_id", F.posexplode(split_records("blob")).alias("pos", "text"))
-    bib, dead = jobs.predict_bib(split.select((F.col("doc_id") * 100 + F.col("pos")).alias("record_id"), "text"))
+    bib, dead = jobs.predict_bib(split.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("record_id"), "text"))
     return bib.select("record_id", F.lit("ok").alias("status"), "bib").unionByName(
-        dead.select(F.col("name").cast("long").alias("record_id"), F.col("stage").alias("status"), F.lit(None).cast("string").alias("bib")))
+        dead.select(F.col("name").alias("record_id"), F.col("stage").alias("status"), F.lit(None).cast("string").alias("bib")))
 
 
 register("m_predict_bib")(_predict_bib)

@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 from papertrail.functions import bib as B
 from papertrail.operators import metrics as M
 from papertrail.plans import duck as D
-from papertrail.plans.registry import register
+from papertrail.plans.q_bib import SQL_PARSED, _entries
+from papertrail.plans.q_metrics import CLASSES4, SQL_SCORED, scored
+from papertrail.plans.q_search import _store_chunks, sql_chunks
+from papertrail.plans.registry import SQL, register
 from papertrail.session import scratch_path, table
 from papertrail.sources import readers as RD
 from papertrail.sources import sinks as SK
@@ -52,76 +55,116 @@ register("k_partition_counts", sql="SELECT lang AS predicted_label, count(*) AS
 
 
 def _text_records(spark, sf):
-    """Documents written as text files (K3), read back as records."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("name"), F.concat("text", F.lit("\n\n\n")).alias("text"))
-    p = _scratch(spark, "text-docs")
-    SK.write_text_docs(d, p, "name", "text")
-    return RD.read_text_records(spark, f"{p}/*").select("path", "record_id", F.length("text").cast("long").alias("n_chars"))
+    """Documents written as records of text files, half of them with CRLF line
+    ends, read back (S1)."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("t"))
+    p = _scratch(spark, "records")
+    d.filter("doc_id % 2 = 0").select("t").write.option("lineSep", "\n\n\n").text(f"{p}/lf")
+    crlf = F.replace("t", F.lit("\n"), F.lit("\r\n"))
+    d.filter("doc_id % 2 = 1").select(crlf).write.option("lineSep", "\r\n\r\n\r\n\r\n").text(f"{p}/crlf")
+    a = RD.read_text_records(spark, f"{p}/lf", split_files=True)
+    b = RD.read_text_records(spark, f"{p}/crlf")
+    return a.select("text").unionByName(b.select("text"))
 
 
-register("s_text_records")(_text_records)
+register("s_text_records", sql=f"""
+WITH r AS (SELECT unnest(regexp_split_to_array(replace('doc ' || CAST(doc_id AS VARCHAR) || chr(10) || text, chr(13) || chr(10), chr(10)), '\n{{3,}}')) AS p
+           FROM documents)
+SELECT {D.strip('p')} AS text FROM r WHERE length({D.strip('p')}) > 0
+""")(_text_records)
 
 
 def _read_bib(spark, sf):
     """Library-form entries written with the bib sink (K1), parsed back."""
-    from papertrail.plans.q_bib import _entries
-
     e = _entries(spark, sf).filter(F.col("id").isNotNull())
     p = _scratch(spark, "bib")
     SK.write_bib(e.select(B.render_bib("entrytype", "id", "fields", escape=False).alias("bib")), p)
-    return RD.read_bib(spark, p, ext=".txt").select("entry_no", "entrytype", "id", F.size("fields").cast("long").alias("n_fields"))
+    return RD.read_bib(spark, p, ext=".txt").select("entrytype", "id", F.explode("fields").alias("field", "value"))
 
 
-register("s_read_bib")(_read_bib)
+register("s_read_bib", sql=SQL_PARSED)(_read_bib)
 
 
-def _binary_list(spark, sf):
-    return RD.list_binary_docs(spark, sf, ".PARQUET").select("name", "length", "is_empty")
+def _read_docs(spark, sf):
+    """Text files written from documents, read back by the directory reader (S3)."""
+    p = _scratch(spark, "docs")
+    table(spark, sf, "documents").select(F.regexp_replace("text", r"\s", " ")).write.text(p)
+    lines = RD.read_docs(spark, p, ".TXT").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("line <> ''").select(F.md5("line").alias("line_md5"))
 
 
-register("s_binary_list")(_binary_list)
+register("s_read_docs", sql="SELECT md5(regexp_replace(text, '\\s', ' ', 'g')) AS line_md5 FROM documents WHERE text <> ''")(_read_docs)
 
 
-def _results_csv(spark, sf):
-    from papertrail.plans.q_metrics import scored
+def _read_json(spark, sf):
+    """One JSON file per supplier, read as documents (S4) and as texts."""
+    p = _scratch(spark, "json-docs")
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").write.option("maxRecordsPerFile", 1).json(p)
+    docs = RD.read_json_docs(spark, p).select(F.lit("docs").alias("reader"), F.col("page_content").alias("text"))
+    texts = RD.read_json_map(spark, p).select(F.lit("map").alias("reader"), F.trim(F.regexp_replace("json", "\n", "")).alias("text"))
+    return docs.unionByName(texts)
+
+
+register("s_read_json", sql="""
+SELECT 'docs' AS reader, 's_suppkey: ' || CAST(s_suppkey AS VARCHAR) || '; s_name: ' || s_name AS text FROM supplier
+UNION ALL SELECT 'map', '{"s_suppkey":' || CAST(s_suppkey AS VARCHAR) || ',"s_name":"' || s_name || '"}' FROM supplier
+""")(_read_json)
+
 
-    rep = M.class_report(scored(spark, sf), "y", "pred", [0, 1, 2])
+def _results_csv(spark, sf):
+    rep = M.class_report(scored(spark, sf), "y", "pred", CLASSES4)
     p = _scratch(spark, "csv")
     SK.write_results_csv(rep, p)
-    return spark.read.option("header", True).option("inferSchema", True).csv(p)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(p)
+    r6 = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
+    return back.select(F.col("label").cast("long").alias("label"), *r6, F.col("support").cast("long").alias("support"))
 
 
-register("k_results_csv")(_results_csv)
+register("k_results_csv", sql=SQL["a_class_report"])(_results_csv)
 
 
 def _run_summary(spark, sf):
-    from papertrail.plans.q_metrics import scored
-
+    """The summary (K8) and the metric log (K9), both read back."""
     s = scored(spark, sf)
     lc = M.label_counts(s, "pred", [0, 1, 2])
     summ = SK.run_summary(lc, "label", "count", s.select(F.avg("conf")).scalar(), {"max_length": 512, "stride": 384})
-    p = _scratch(spark, "summary")
+    p, log = _scratch(spark, "summary"), _scratch(spark, "metrics")
     summ.write.mode("overwrite").json(p)
-    SK.append_metrics(summ.select("total", "avg_confidence"), _scratch(spark, "metrics"))
-    return spark.read.json(p)
+    SK.append_metrics(summ.select("total", "avg_confidence"), log)
+    SK.append_metrics(summ.select("total", "avg_confidence"), log)
+    per = [F.col(f"per_class.`{k}`").cast("long").alias(f"n{k}") for k in range(3)]
+    logged = spark.read.json(log).agg(F.count("timestamp").alias("logged"), F.sum("total").cast("long").alias("log_total"))
+    return spark.read.json(p).select("total", F.round("avg_confidence", 6).alias("avg_confidence"), *per,
+                                     F.col("params.stride").alias("stride")).join(logged)
 
 
-register("k_run_summary")(_run_summary)
+register("k_run_summary", sql=f"""
+WITH {SQL_SCORED}
+SELECT count(*) AS total, round(avg(conf), 6) AS avg_confidence, count(*) FILTER (pred = 0) AS n0, count(*) FILTER (pred = 1) AS n1,
+       count(*) FILTER (pred = 2) AS n2, '384' AS stride, CAST(2 AS BIGINT) AS logged, CAST(2 * count(*) AS BIGINT) AS log_total
+FROM scored
+""")(_run_summary)
 
 
 def _index_shards_io(spark, sf):
-    """save_index / load_index round trip: shards of at most 1000 rows,
-    manifest row (K7)."""
-    from papertrail.plans.q_search import _store_chunks
-
+    """save_index / load_index round trip with a second, later shard set for
+    some chunks: the later one wins (K7)."""
     ch = _store_chunks(spark, sf).select("cid", "doc_id", "chunk_id", "text")
+    again = ch.filter("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
     p = _scratch(spark, "index")
-    man = SK.save_index(ch, p, "cid", shard_size=1000)
+    man = SK.save_index(ch, p, "cid", shard_size=100)
+    later = again.withColumn("shard_no", F.lit(1_000_000))
+    later.write.mode("append").partitionBy("shard_no").parquet(f"{p}/shards")
     back = SK.load_index(spark, p, "cid")
-    return man.select("total_docs", "shard_size", "num_shards", back.select(F.count(F.lit(1))).scalar().alias("loaded"))
+    m = man.select("total_docs", "num_shards", F.size("shards").alias("listed"))
+    return back.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.md5("text").alias("text_md5")).join(m)
 
 
-register("k_save_index")(_index_shards_io)
+register("k_save_index", sql=f"""
+WITH {sql_chunks()}, n AS (SELECT count(*) AS n FROM chunks)
+SELECT doc_id, chunk_id, md5(CASE WHEN doc_id % 5 = 0 THEN 'new ' ELSE '' END || text) AS text_md5, n AS total_docs,
+       CAST(ceil(n / 100.0) AS BIGINT) AS num_shards, CAST(ceil(n / 100.0) AS BIGINT) AS listed FROM chunks, n
+""")(_index_shards_io)
 
 # ------------------------------------------------------------------ A18, A19, T2
 
@@ -198,17 +241,20 @@ def _stream_ingest(spark, sf):
 
     d = table(spark, sf, "documents").select("doc_id", "text")
     src, sink = _scratch(spark, "stream-src"), _scratch(spark, "stream-sink")
-    for k in range(4):  # four drops of files
-        d.filter(F.col("doc_id") % 4 == k).write.mode("append").parquet(src)
+    d.withColumn("drop", F.col("doc_id") % 4).write.partitionBy("drop").parquet(src)
 
     def process(batch):
         return batch.select("doc_id", F.posexplode(split_records("text")).alias("pos", "record")) \
-                    .withColumn("rid", F.col("doc_id") * 1000 + F.col("pos"))
-    INC.stream_ingest(spark, src, d.schema, sink, key="rid", process=process)
-    return spark.read.parquet(sink).select("doc_id", "pos", F.length("record").cast("long").alias("n_chars"))
+
+    INC.stream_ingest(spark, src, d.schema, sink, _scratch(spark, "stream-ckpt"), key=["doc_id", "pos"], process=process)
+    return spark.read.parquet(sink).select("doc_id", F.col("pos").cast("long").alias("pos"), "record")
 
 
-register("t_stream_ingest")(_stream_ingest)
+register("t_stream_ingest", sql=f"""
+WITH r AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{{3,}}'), lambda p: {D.strip('p')}), lambda p: length(p) > 0) AS ps FROM documents))
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, p AS record FROM r
+""")(_stream_ingest)
 
 
 def _chat_state(spark, sf):
@@ -223,4 +269,4 @@ def _chat_state(spark, sf):
     return spark.read.parquet(sink)
 
 
-register("t_chat_state")(_chat_state)
+register("t_chat_state", sql=SQL["w_chat_history"])(_chat_state)

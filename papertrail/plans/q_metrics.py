@@ -38,6 +38,7 @@ scored AS (
          list_max(list_transform(ex, lambda v: v / list_sum(ex))) AS conf
   FROM scored1)"""
 
+SQL_SCORED = _SQL_SCORED
 _SQL_DIM4 = "dim AS (SELECT CAST(x AS BIGINT) AS label FROM range(4) t(x))"
 _SQL_DIM3 = "dim AS (SELECT CAST(x AS BIGINT) AS label FROM range(3) t(x))"
 

@@ -61,7 +61,7 @@ def sql_vec_topk(qs: str, corpus: str, out: str, k: int = 10) -> str:
 def sql_chunks(src: str = "documents", size: int = 4096, overlap: int = 1024) -> str:
     step = size - overlap
     return f"""chunks AS (
-  SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, doc_id * 10000 + i AS id, source, lang,
+  SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, doc_id * 1048576 + i AS id, source, lang,
          substr(text, CAST(i * {step} + 1 AS BIGINT), {size}) AS text,
          md5(substr(text, CAST(i * {step} + 1 AS BIGINT), {size})) AS key
   FROM (SELECT *, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= {size} THEN 1

@@ -26,6 +26,7 @@ from papertrail.operators.chunk import chunk_fixed
 
 CHUNK_SIZE = 4096
 CHUNK_OVERLAP = 1024
+CHUNKS_PER_DOC = 1 << 20
 K_EACH = 10
 TOP_N = 3
 WEIGHTS = {"vector": 0.8, "bm25": 0.2}
@@ -43,11 +44,12 @@ class StoreIndex:
 
 def chunk_corpus(docs: DataFrame, id_col: str, text: str, extra=(), size: int = CHUNK_SIZE,
                  overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks with a composite id ``cid = doc_id * 10000 + chunk_id`` and a
-    content key (md5 of the chunk text) used to merge equal texts."""
+    """Chunks with a composite id ``cid = doc_id * 2**20 + chunk_id`` (a text of
+    Spark's greatest size, 2 GB, has fewer chunks than that) and a content key
+    (md5 of the chunk text) used to merge equal texts."""
     c = chunk_fixed(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"), *extra), "_text", size, overlap)
     c = c.drop("_text").withColumnRenamed("chunk", "text")
-    return (c.withColumn("cid", F.col("doc_id") * 10000 + F.col("chunk_id"))
+    return (c.withColumn("cid", F.col("doc_id") * CHUNKS_PER_DOC + F.col("chunk_id"))
              .withColumn("key", F.md5("text")))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papertrail.functions.bib import parse_entry, split_entries
 from papertrail.functions.records import split_records
@@ -23,20 +24,19 @@ def ci_glob(ext: str) -> str:
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str | None, recursive: bool) -> DataFrame:
-    r = spark.read.format("text").option("wholetext", True).option("ignoreCorruptFiles", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if recursive:
-        r = r.option("recursiveFileLookup", True)
-    df = r.load(path)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"),
-                     F.col("value").alias("text"))
+    """(path, mtime, text) of every listed file; a file that cannot be read
+    keeps its row with a null text."""
+    options = {k: v for k, v in (("pathGlobFilter", glob), ("recursiveFileLookup", recursive or None)) if v}
+    meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime")]
+    listed = spark.read.format("binaryFile").options(**options).load(path).select(*meta)  # names only, no content
+    read = spark.read.format("text").option("wholetext", True).option("ignoreCorruptFiles", True).options(**options).load(path)
+    return listed.join(read.select(meta[0], F.col("value").alias("text")), "path", "left")
 
 
 def read_docs(spark: SparkSession, path: str, ext: str = ".txt", recursive: bool = False,
               ignore_case: bool = True) -> DataFrame:
     """(path, name, mtime, text) per file with the extension (S3).
-    ``name`` is the file stem; unreadable files are skipped."""
+    ``name`` is the file stem; an unreadable file has a null text."""
     glob = ci_glob(ext) if ignore_case else "*" + ext
     df = _whole_files(spark, path, glob, recursive)
     return df.select("path", path_parts("path")["stem"].alias("name"), "mtime", "text")
@@ -63,35 +63,39 @@ def read_text_records(spark: SparkSession, path: str, crlf: bool = True, split_f
 
     ``split_files=True`` is the form for very large files: the text source
     cuts at ``line_sep`` while reading, so one file is read by many tasks
-    (no whole-file row).  Pieces are stripped and empty ones dropped,
-    which gives the same records for runs of 3+ newlines; ``record_id`` is
-    then increasing in file order but not dense (use
-    :func:`papertrail.operators.corpus.sequence_after_sort` for ordinals).
+    (no whole-file row), and each piece is cut again, so files with either
+    kind of line end give the same records (pass ``"\\r\\n" * 3`` to cut large
+    files of that kind early).  ``record_id`` is then increasing in file order
+    but not dense (:func:`papertrail.operators.corpus.sequence_after_sort`
+    gives ordinals).
     """
-    from papertrail.functions.text import strip
-
     if not split_files:
         f = _whole_files(spark, path, None, False)
         return f.select("path", F.posexplode(split_records("text", crlf)).alias("record_id", "text"))
     df = spark.read.option("lineSep", line_sep).text(path)
-    t = strip(F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")) if crlf else F.col("value"))
-    out = df.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("record_id"),
-                    t.alias("text"))
-    return out.filter(F.length("text") > 0)
+    out = df.select(F.col("_metadata.file_path").alias("path"), F.explode(split_records("value", crlf)).alias("text"))
+    return out.select("path", F.monotonically_increasing_id().alias("record_id"), "text")
 
 
 def read_bib(spark: SparkSession, path: str, ext: str = ".bib") -> DataFrame:
-    """(path, entry_no, entrytype, id, fields) from .bib files."""
-    f = _whole_files(spark, path, ci_glob(ext), False)
-    e = f.select("path", F.posexplode(split_entries("text")).alias("entry_no", "t"))
-    return e.select("path", "entry_no", parse_entry("t").alias("e")).select("path", "entry_no", "e.*")
-
-
-def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSONL with an explicit schema; blank lines are skipped, malformed
-    lines land in ``_corrupt_record`` (S6)."""
+    """(path, entry_no, entrytype, id, fields) from .bib files.
+
+    The text source cuts the files at ``@`` at a line start, so a large file
+    is read by many tasks; ``entry_no`` increases in file order."""
+    df = spark.read.option("lineSep", "\n@").option("pathGlobFilter", ci_glob(ext)).text(path)
+    piece = F.when(F.col("value").rlike(r"^\s*@"), F.col("value")).otherwise(F.concat(F.lit("@"), F.col("value")))
+    e = df.select(F.col("_metadata.file_path").alias("path"), F.explode(split_entries(piece)).alias("t"))
+    e = e.select("path", F.monotonically_increasing_id().alias("entry_no"), parse_entry("t").alias("e"))
+    return e.select("path", "entry_no", "e.*")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, corrupt: str = "_corrupt_record") -> DataFrame:
+    """JSONL with an explicit schema (S6); blank lines are skipped, and a
+    malformed line gives a row of nulls with its text in ``corrupt``."""
+    if corrupt not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     return (spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+            .option("columnNameOfCorruptRecord", corrupt).json(path))
 
 
 def list_binary_docs(spark: SparkSession, path: str, ext: str = ".pdf", with_content: bool = False) -> DataFrame:

@@ -10,13 +10,9 @@ restarted job continues exactly where it stopped.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrail.session import scratch_path
-
 
 def source_freshness(files: DataFrame, manifest: DataFrame, group: str, mtime: str = "mtime",
                      built_at: str = "built_at") -> DataFrame:
@@ -52,24 +48,24 @@ def refresh_delta(files: DataFrame, manifest: DataFrame, path: str = "path", mti
     return j.select(path, action.alias("action")).filter(F.col("action").isNotNull())
 
 
-def stream_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, checkpoint: str | None = None,
-                  key: str | None = None, fmt: str = "parquet", process=None) -> None:
+def stream_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, checkpoint: str,
+                  key: str | list[str] | None = None, fmt: str = "parquet", process=None) -> None:
     """Ingest every file that appears in ``src_dir`` exactly once.
 
-    File source + ``trigger(availableNow=True)`` + checkpoint; each
-    micro-batch goes through ``process`` (a DataFrame → DataFrame
-    function, e.g. record splitting and parsing) and is appended to the
-    sink.  ``key`` de-duplicates rows that a re-delivered file would
-    repeat inside one batch.
+    File source + ``trigger(availableNow=True)`` + ``checkpoint``, the folder
+    by which a restart knows what is done.  Each micro-batch goes through
+    ``process`` (a DataFrame → DataFrame function, e.g. record splitting and
+    parsing) and replaces the folder ``batch_id=<n>`` of the sink: a batch that
+    is run again after a crash writes the same folder, not more rows.  ``key``
+    de-duplicates rows that a re-delivered file would repeat inside one batch.
     """
-    checkpoint = checkpoint or scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     stream = spark.readStream.schema(schema).format(fmt).load(src_dir)
 
     def write(batch: DataFrame, epoch: int) -> None:
         out = process(batch) if process else batch
         if key:
-            out = out.dropDuplicates([key])
-        out.write.mode("append").parquet(sink_dir)
+            out = out.dropDuplicates([key] if isinstance(key, str) else list(key))
+        out.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={epoch}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -77,10 +73,12 @@ def stream_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, chec
 
 
 def chat_state(stream: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-               text: str = "text", max_turns: int | None = None) -> DataFrame:
+               text: str = "text", max_turns: int | None = None, idle_ms: int | None = None) -> DataFrame:
     """Conversation history as streaming state (T3): for each incoming turn
     emit every earlier turn of the conversation (or the last
-    ``max_turns``), keyed by conversation with ``applyInPandasWithState``."""
+    ``max_turns``), keyed by conversation with ``applyInPandasWithState``.
+    With ``idle_ms`` the state of a conversation that had no turn for so long
+    is dropped."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -88,6 +86,9 @@ def chat_state(stream: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     state_schema = "turns array<long>, lines array<string>"
 
     def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         turns, lines = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
         rows = []
         for pdf in pdfs:
@@ -100,7 +101,10 @@ def chat_state(stream: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         keep = sorted(zip(turns, lines))
         keep = keep[-max_turns:] if max_turns else keep
         state.update(([t for t, _ in keep], [ln for _, ln in keep]))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[conv, turn, "n_history", "history_text"])
 
     return stream.groupBy(conv).applyInPandasWithState(step, out_schema, state_schema, "append",
-                                                        GroupStateTimeout.NoTimeout)
+                                                        GroupStateTimeout.ProcessingTimeTimeout if idle_ms
+                                                        else GroupStateTimeout.NoTimeout)
