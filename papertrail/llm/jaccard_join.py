@@ -4,23 +4,29 @@ Documents become sets of distinct word shingles (64-bit hashes); documents
 with equal sets are one node.  Two nodes link when
 ``num * |A ∪ B| <= den * |A ∩ B|``, i.e. Jaccard >= num / den.
 
-1. Tiles.  Shingles are hashed into 2**18 groups; the groups' totals over
-   all documents order the coordinates, rarest group first.  Linked sets
-   share one of the |A| - ceil(t |A|) + 1 first shingles of that order, so
-   each of them keys a tile of the point space; tiles of one node are dropped.
-2. Stars.  In every tile the smallest node is compared with the others,
-   exactly; links give components.  A group of a million near copies costs
-   one comparison per member and tile centre, never all pairs.
-3. R-trees.  Tiles that still hold several components bulk-load their
-   points, the 64-dimensional group counts, into an R-tree (sorted by size,
-   32 points a leaf).  The overlap of two boxes, or two points, is at most
-   the sum of their coordinate minima; only pairs of different components
-   that pass are verified.  Tiles are cut into chunks of ``chunk`` points,
-   joined chunk by chunk, so one task's work is bounded.
-4. Verification intersects the whole sets.
+1. Tiles.  Words and shingles are hashed into 2**17 groups each, whose
+   totals over all documents order the shingles: rarest words first, and
+   shingles of a crowded group (a passage in very many documents) last.
+   Linked sets share one of the |A| - ceil(t |A|) + 1 first shingles of any
+   such order, so these key the tiles of the point space; tiles of one node
+   are dropped.
+2. Points.  The shingles of a candidate are hashed into 64 groups; the
+   counts are its point.  The overlap of two points, or boxes of points, is
+   at most the sum of their coordinate minima.
+3. Stars.  In every tile the smallest node is held against the others by
+   that bound, then exactly; links give components.  A group of a million
+   near copies costs one comparison per member and tile centre, never all
+   pairs.
+4. R-trees.  Tiles that still hold several components bulk-load their
+   points into an R-tree (sorted by size, 32 points a leaf); only pairs of
+   different components that pass the bound are verified.  Tiles are cut into
+   chunks of ``chunk`` points, joined chunk by chunk, so one task's work is
+   bounded.
+5. Verification intersects the whole sets.  Members travel to their centre,
+   which is repeated for every ``SALT`` members.
 
 No candidate is capped; a missing link between two components is always
-searched in step 3.
+searched in step 4.
 
 Defined cases: a null or wordless text has the empty set, links with
 nothing and is its own component; a text shorter than ``words`` is one
@@ -42,32 +48,42 @@ from papertrail.llm.common import small, stored
 from papertrail.llm.components import components
 from papertrail.llm.wordhash import gram_hashes, hashed_words, mixed, slices
 
-GROUPS = 1 << 18
+BITS = 17
+CROWDED = 8  # times the mean total of a shingle group
 DIMS = 64
 LEAF = 32
 CHUNK = 2048
+SALT = 500
 MAX_BROADCAST_ROWS = 500_000
 
 
-def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, distinct shingle hashes, ascending within each text)."""
+def shingle_sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(distinct shingle hashes of each text, ascending; the position of an
+    occurrence of each; the hashes of all words)."""
     at, w = hashed_words(texts, lower=True)
-    counts = np.diff(at)
-    n = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
-    text = np.repeat(np.arange(len(n)), n)
-    start = np.repeat(at[:-1], n) + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    h = np.empty(len(text), "uint64")
-    whole = counts[text] >= words
-    h[whole] = gram_hashes(w, words)[start[whole]]
-    for i in np.flatnonzero(~whole).tolist():  # short texts: their words and their number
-        t = text[i]
-        h[i] = gram_hashes(np.append(w[at[t]:at[t + 1]], np.uint64(counts[t])), int(counts[t]) + 1)[0]
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    h, text = h[new], text[new]
-    return np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(n)))]), h
+    grams = gram_hashes(w, words)
+    sets, places = [], []
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+        n = y - x
+        if n >= words:
+            h = grams[x:y - words + 1]
+            by = np.argsort(h)
+            h = h[by]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            sets.append(h[new])
+            places.append(by[new] + x)
+        elif n:  # a short text: its words and their number
+            sets.append(gram_hashes(np.append(w[x:y], np.uint64(n)), n + 1)[:1])
+            places.append(np.array([x]))
+        else:
+            sets.append(np.empty(0, "uint64"))
+            places.append(np.empty(0, "int64"))
+    return sets, places, w
+
+
+def _group(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype("int64")
 
 
 def _sid(h: np.ndarray) -> int:
@@ -83,23 +99,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def node_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, th, n, sid per row; totals: grp, total over all documents),
-    written once from one pass."""
+    """(nodes: id, th, n, sid per row; totals: grp, total over all documents, of
+    the word groups and then the shingle groups), written once from one pass."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "th", "n", "sid", "grp", "total"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(GROUPS, "int64")
+        totals = np.zeros(2 << BITS, "int64")
         id_type = None
         for whole in batches:
             id_type = whole.schema.field(0).type
             for b in slices(whole, 2):
-                at, h = shingle_sets(b.column(2), words)
-                totals += np.bincount((h % np.uint64(GROUPS)).astype("int64"), minlength=GROUPS)
-                sids = [_sid(h[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                sets, _, w = shingle_sets(b.column(2), words)
+                totals[:1 << BITS] += np.bincount(_group(w), minlength=1 << BITS)
+                totals[1 << BITS:] += np.bincount(_group(np.concatenate(sets)), minlength=1 << BITS)
                 none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at), pa.int32()),
-                                                  pa.array(sids, pa.int64()), none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int32()),
+                                                  pa.array(list(map(_sid, sets)), pa.int64()), none, none], names)
         if id_type is not None:
             g = np.flatnonzero(totals)
             no = lambda t: pa.nulls(len(g), t)
@@ -112,35 +128,44 @@ def node_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple
     return both.filter("grp is null").select("id", "th", "n", "sid"), totals
 
 
-def group_order(totals: DataFrame) -> np.ndarray:
-    """Rank of each of the GROUPS groups, rarest first (bounded: one number a
-    group, whatever the corpus)."""
-    counts = np.zeros(GROUPS, "int64")
+def commonness(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(quarter octaves of each word group's total, whether a shingle group is
+    crowded): two numbers a group, whatever the corpus."""
+    counts = np.zeros(2 << BITS, "int64")
     for r in totals.collect():
         counts[r["grp"]] = r["total"]
-    rank = np.empty(GROUPS, "uint32")
-    rank[np.argsort(counts, kind="stable")] = np.arange(GROUPS, dtype="uint32")
-    return rank
+    of_words, of_shingles = counts[:1 << BITS], counts[1 << BITS:]
+    return np.round(4 * np.log2(of_words + 1)).astype("uint16"), of_shingles > CROWDED * (of_shingles.mean() + 1)
 
 
-def tile_keys(docs: DataFrame, rank: np.ndarray, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+def tile_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str, words: int, num: int,
+              den: int) -> DataFrame:
     """tile, sid, n: the prefix shingles of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(rank)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = sent.value
+        of_words, crowded = sent.value
         for whole in batches:
             for b in slices(whole, 2):
-                at, h = shingle_sets(b.column(2), words)
-                n = np.diff(at)
-                text = np.repeat(np.arange(len(n)), n)
-                by = np.lexsort((h, order[(h % np.uint64(GROUPS)).astype("int64")], text))
-                place = np.arange(len(h)) - at[text]
-                take = place < (n - -(-num * n // den) + 1)[text]
-                sids = np.array([_sid(h[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())], "int64")
-                t = text[take]
-                yield pa.RecordBatch.from_arrays([pa.array(h[by][take].view("int64")), pa.array(sids[t]),
-                                                  pa.array(n[t], pa.int32())], ["tile", "sid", "n"])
+                sets, places, w = shingle_sets(b.column(2), words)
+                of_word = np.append(of_words[_group(w)], np.zeros(words, "uint16")).astype("uint64")
+                of_gram = sum(of_word[j:len(of_word) - words + j] for j in range(words))
+                tiles, sids, sizes = [], [], []
+                for h, at in zip(sets, places):
+                    n = len(h)
+                    take = n - -(-num * n // den) + 1
+                    if n <= 1:
+                        prefix = h
+                    else:
+                        rank = np.minimum(of_gram[at], np.uint64(2047)) + np.where(crowded[_group(h)], np.uint64(2048), np.uint64(0))
+                        key = (rank << np.uint64(52)) | (h >> np.uint64(12))
+                        prefix = h[np.argpartition(key, take - 1)[:take]] if take < n else h
+                    tiles.append(prefix)
+                    sids.append(np.full(len(prefix), _sid(h)))
+                    sizes.append(np.full(len(prefix), n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tiles).view("int64")), pa.array(np.concatenate(sids).astype("int64")),
+                     pa.array(np.concatenate(sizes).astype("int32"))], ["tile", "sid", "n"])
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, "tile long, sid long, n int")
 
@@ -151,20 +176,54 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.  ``sets``: sid, toks."""
-    j = pairs.join(sets.select(F.col("sid").alias("a"), F.col("toks").alias("x")), "a")
-    j = j.join(sets.select(F.col("sid").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
+def needed(a, b, num: int, den: int):
+    """The smallest overlap with which sets of a and b shingles link."""
+    return -(-num * (a + b) // (num + den))
+
+
+def within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their points do not exclude."""
+    p = points.select("sid", "n", "vec")
+    j = pairs.join(p.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
+    j = j.join(p.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
+    j = j.filter(F.greatest("na", "nb") * num <= F.least("na", "nb") * den).select("a", "b", "na", "nb", "va", "vb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), "uint64"), np.frombuffer(y.as_buffer(), "uint64"), num, den)
-                  for x, y in zip(b.column(2), b.column(3))]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            na, nb = (b.column(k).to_numpy() for k in (2, 3))
+            va, vb = (np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column(k)), "uint16").reshape(-1, DIMS) for k in (4, 5))
+            ok = np.minimum(va, vb).sum(1, dtype="int64") >= needed(na.astype("int64"), nb, num, den)
+            yield b.select([0, 1]).filter(pa.array(ok))
 
     return j.mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link.  ``texts``: sid, text.  Every b
+    travels to its a, of which there is one for each SALT partners."""
+    pairs = pairs.checkpoint()
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
+    member = pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.col("b").alias("sid"),
+                                           F.lit(1).alias("place"))
+    centre = parts.select("a", F.explode_outer(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                          F.col("a").alias("sid"), F.lit(0).alias("place"))
+    rows = member.unionByName(centre).join(texts.select("sid", "text"), "sid").select("a", "part", "place", "sid", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, "uint64")
+        for whole in batches:
+            for b in slices(whole, 4):
+                ok = []
+                for first, h in zip(b.column(2).to_pylist(), shingle_sets(b.column(4), words)[0]):
+                    if first == 0:
+                        own = h
+                    ok.append(first == 1 and linked(own, h, num, den))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray, num: int,
                         den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points of different components that an R-tree cannot exclude:
@@ -178,12 +237,9 @@ def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, sid
     two = len(np.unique(side)) > 1
     found = []
 
-    def needed(a, b):  # the smallest overlap with den * o >= num * (a + b - o)
-        return -(-num * (a + b) // (num + den))
-
     for i in range(len(cuts)):
         bound = np.minimum(high[i], high[i:]).sum(1)
-        near = (bound >= needed(least[i], least[i:])) & (num * least[i:] <= den * most[i])
+        near = (bound >= needed(least[i], least[i:], num, den)) & (num * least[i:] <= den * most[i])
         a = np.arange(cuts[i], min(cuts[i] + LEAF, len(vec)))
         for k in (np.flatnonzero(near) + i).tolist():
             b = np.arange(cuts[k], min(cuts[k] + LEAF, len(vec)))
@@ -195,7 +251,7 @@ def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, sid
             if ok.any():
                 ok &= num * np.maximum(size[a][:, None], size[b][None, :]) <= den * np.minimum(size[a][:, None], size[b][None, :])
                 o = np.minimum(vec[a][:, None, :], vec[b][None, :, :]).sum(2)
-                ok &= o >= needed(size[a][:, None], size[b][None, :])
+                ok &= o >= needed(size[a][:, None], size[b][None, :], num, den)
                 p, q = np.nonzero(ok)
                 if len(p):
                     found.append((order[a[p]], order[b[q]]))
@@ -244,9 +300,9 @@ def tree_candidates(members: DataFrame, num: int, den: int, chunk: int) -> DataF
     return m.mapInArrow(run, "a long, b long").distinct()
 
 
-def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """sid, n, toks (the whole set), vec (its counts in DIMS groups) of the
-    wanted nodes, from one document of each."""
+def candidate_points(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """sid, n, text and vec (the set's counts in DIMS groups) of the wanted
+    nodes, from one document of each."""
     one = nodes.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("doc")).join(wanted, "sid").select(
         "sid", "doc.id", "doc.th")
     d = _keyed(docs, id_col, text_col)
@@ -255,18 +311,13 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
-                at, h = shingle_sets(b.column(1), words)
-                n = np.diff(at)
-                text = np.repeat(np.arange(len(n)), n)
-                dim = (mixed(h) % np.uint64(DIMS)).astype("int64")
-                vec = np.bincount(text * DIMS + dim, minlength=len(n) * DIMS).reshape(len(n), DIMS)
-                vec = np.minimum(vec, 65535).astype("uint16")
-                cut = zip(at[:-1].tolist(), at[1:].tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int32()), pa.array([h[x:y].tobytes() for x, y in cut], pa.binary()),
-                     pa.array([v.tobytes() for v in vec], pa.binary())], ["sid", "n", "toks", "vec"])
+                sets = shingle_sets(b.column(1), words)[0]
+                vec = [np.minimum(np.bincount((mixed(h) % np.uint64(DIMS)).astype("int64"), minlength=DIMS), 65535)
+                       .astype("uint16").tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), b.column(1),
+                                                  pa.array(vec, pa.binary())], ["sid", "n", "text", "vec"])
 
-    return d.dropDuplicates(["sid"]).mapInArrow(run, "sid long, n int, toks binary, vec binary")
+    return d.dropDuplicates(["sid"]).mapInArrow(run, "sid long, n int, text string, vec binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9,
@@ -275,21 +326,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (a node of it) and component_id, the smallest id reachable by links of
     Jaccard >= num / den."""
     nodes, totals = node_table(docs, id_col, text_col, words)
-    rank = group_order(totals)
-    tiles = tile_keys(docs, rank, id_col, text_col, words, num, den)
+    tiles = stored(tile_keys(docs, commonness(totals), id_col, text_col, words, num, den), "jaccard-tiles")
     shared = tiles.groupBy("tile").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).filter("centre <> last")
     members = stored(tiles.join(shared.select("tile", "centre"), "tile").distinct(), "jaccard-members")
-    sets = stored(candidate_sets(docs, nodes, members.select("sid").distinct(), id_col, text_col, words), "jaccard-sets")
+    points = stored(candidate_points(docs, nodes, members.select("sid").distinct(), id_col, text_col, words), "jaccard-points")
     star = members.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
-    links = stored(verified(star, sets, num, den), "jaccard-links")
+    links = stored(verified(within_bound(star, points, num, den), points, words, num, den), "jaccard-links")
     comps = components(links)
     # tiles that still hold several components
     open_ = members.select("tile", "sid").join(comps, F.col("sid") == F.col("node"), "left").select(
         "tile", "sid", F.coalesce("comp", "sid").alias("comp"))
     several = open_.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("tile")
-    rest = open_.join(several, "tile").join(sets.select("sid", "n", "vec"), "sid")
-    pairs = tree_candidates(stored(rest, "jaccard-open"), num, den, chunk)
-    more = stored(verified(pairs.join(star, ["a", "b"], "left_anti"), sets, num, den), "jaccard-links")
+    rest = open_.join(several, "tile").join(points.select("sid", "n", "vec"), "sid")
+    pairs = tree_candidates(rest, num, den, chunk)
+    more = stored(verified(pairs.join(star, ["a", "b"], "left_anti"), points, words, num, den), "jaccard-links")
     comps = components(links.unionByName(more)) if not more.isEmpty() else comps
     # every node to its component, every component to its smallest id
     n = nodes.join(comps, nodes["sid"] == comps["node"], "left").select(

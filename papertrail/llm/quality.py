@@ -6,8 +6,7 @@ From it come the expected grade and the tail probability P(grade >= k) by
 which documents are selected.
 
 Features are hashed into ``2 ** BITS`` columns and count once each: the
-lower-cased words without punctuation, the words' first 3, 5 and 7
-characters, and the text's shape (shares of capitals, digits, punctuation
+lower-cased words without punctuation, the words' first 4 to 7 bytes, and the text's shape (shares of capitals, digits, punctuation
 and white space, repeated words, word and text length, each in steps).
 Columns whose presence does not differ between grades (a screen on the
 normal score of the difference) have weight 0.
@@ -45,7 +44,7 @@ SCREEN = 4.0
 L2 = 1e-4
 KEEP_TAIL = 0.6
 
-_PREFIXES = (0, 3, 5, 7)  # characters of a word; 0: all
+_PREFIXES = (0, 4, 5, 6, 7)  # bytes of a word; 0: all
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 _SHAPES = [r"[A-Z]", r"[0-9]", r"[!-/:-@\[-`{-~]", r"[\n\r]", r"[^\x00-\x7f]", r"[|]", r"[#$%&*]", "!"]
 

@@ -35,7 +35,19 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = MAX_BYTES) -> It
             yield batch.slice(a, b - a)
 
 
-def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
+def values(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of a non-null string array (much faster than
+    ``to_pylist`` for many short values)."""
+    _, ends, data = texts.buffers()
+    if not len(texts):
+        return []
+    kind = "int64" if pa.types.is_large_string(texts.type) else "int32"
+    at = np.frombuffer(ends, kind)[texts.offset:texts.offset + len(texts) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[x:y] for x, y in zip(at, at[1:])]
+
+
+def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(first word of each text and the end, distinct words, their number at
     every position) of non-null texts."""
     t = pc.ascii_trim_whitespace(texts)
@@ -47,10 +59,10 @@ def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[
         flat = flat.filter(pa.array(~empty))
         at = np.concatenate([[0], np.cumsum(~empty)])[at]
     coded = pc.dictionary_encode(flat)
-    return at, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    return at, values(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
 
 
-def hashes(words: list[str]) -> np.ndarray:
+def hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     return np.fromiter(map(xxhash.xxh64_intdigest, words), "uint64", len(words))
