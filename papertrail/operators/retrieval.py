@@ -129,11 +129,10 @@ def bm25_index(df: DataFrame, id_col: str, text_col: str, keep=()) -> Bm25Index:
 def bm25_stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per term: df, idf, with corpus N and average length."""
     idx = bm25_index(df, id_col, text_col)
-    n = idx.n_docs
-    return (idx.doc_freq()
-            .withColumn("n_docs", n)
-            .withColumn("avgdl", idx.avgdl)
-            .withColumn("idf", _idf(n, F.col("df"))))
+    idx = idx.materialize()
+    n, avgdl = idx.doc_terms.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    return (idx.doc_freq().withColumn("n_docs", F.lit(n)).withColumn("avgdl", F.lit(avgdl))
+            .withColumn("idf", _idf(F.lit(n), F.col("df"))))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -170,10 +169,88 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, qid: str = "qid", qtext: s
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, qid: str = "qid", qtext: str = "text", k: int = 10,
-              k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, doc_id, score, rank) best ``k`` documents per question."""
-    s = bm25_scores(queries, index, qid, qtext, k1, b)
-    return top_k_per_query(s, "qid", "score", "doc_id", k)
+              k1: float = 1.5, b: float = 0.75, block_rows: int = 256) -> DataFrame:
+    """(qid, doc_id, score, rank) best ``k`` documents per question.
+
+    Questions go to the tasks in blocks of at most ``block_rows``: a table of
+    their terms and weights, bounded by the block.  Every index partition
+    scores its documents in place, from the term frequencies in their rows,
+    and passes on ``k`` rows per question (more only where scores tie), so no
+    (question, document) pairs are shuffled.
+    """
+    spark = queries.sparkSession
+    qt = query_terms(queries, qid, qtext).checkpoint()
+    df_of = index.postings.join(checked_broadcast(qt.select("term").distinct(), 2_000_000), "term", "left_semi") \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df")).checkpoint()
+    n_docs, avgdl = index.doc_terms.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    schema = T.StructType([T.StructField("qid", qt.schema["qid"].dataType),
+                           T.StructField("doc_id", index.doc_terms.schema["doc_id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+    parts = []
+    for block in _bounded_blocks(qt.select("qid").distinct(), "qid", block_rows):
+        rows = qt.join(F.broadcast(block), "qid").join(df_of, "term").collect()  # the terms of one block
+        sent = spark.sparkContext.broadcast(_term_weights(rows, n_docs))
+        score = _bm25_partial_fn(k, sent, k1, b, avgdl or 1.0)
+        parts.append(index.doc_terms.select("doc_id", "dl", "tfs").mapInArrow(score, schema))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top_k_per_query(out, "qid", "score", "doc_id", k)
+
+
+def _term_weights(rows, n_docs: int) -> tuple:
+    """(question ids, term → row, matrix of qtf * idf: terms x questions)."""
+    import numpy as np
+
+    qids = sorted({r["qid"] for r in rows})
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    at = {q: i for i, q in enumerate(qids)}
+    w = np.zeros((len(terms), len(qids)))
+    for r in rows:
+        w[terms[r["term"]], at[r["qid"]]] = r["qtf"] * math.log(1.0 + (n_docs - r["df"] + 0.5) / (r["df"] + 0.5))
+    return qids, terms, w
+
+
+def _bm25_partial_fn(k: int, sent, k1: float, b: float, avgdl: float, rows: int = 256):
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        qids, terms, w = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows if qids else 0, rows):
+                part = whole.slice(start, rows)
+                dl, lists = part.column(1).to_numpy().astype("float64"), part.column(2)
+                ends = np.asarray(lists.offsets).astype("int64")
+                flat = lists.flatten()
+                coded = flat.field("term").dictionary_encode()
+                known = np.array([terms.get(t, -1) for t in coded.dictionary.to_pylist()], "int64")
+                term = known[coded.indices.to_numpy()] if len(flat) else np.empty(0, "int64")
+                keep = np.flatnonzero(term >= 0)
+                doc = np.repeat(np.arange(len(dl)), np.diff(ends))[keep]
+                tf = flat.field("tf").to_numpy().astype("float64")[keep]
+                part_of = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[doc] / avgdl))
+                scores = np.zeros((len(dl), len(qids)))
+                if len(doc):
+                    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                    scores[doc[first]] = np.add.reduceat(part_of[:, None] * w[term[keep]], first, axis=0)
+                q, d = best_cells(scores.T, k, positive=True)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q]), part.column(0).take(pa.array(d)),
+                                                      pa.array(scores[d, q])], ["qid", "doc_id", "score"])
+    return fn
+
+
+def best_cells(scores, k: int, positive: bool = False) -> tuple:
+    """(row, column) of the ``k`` best cells of each row and all within 1e-6 of
+    the k-th: ties are settled downstream on the rounded score, then the id."""
+    import numpy as np
+
+    bar = np.full(len(scores), -np.inf)
+    if k < scores.shape[1]:
+        bar = np.partition(scores, -k, axis=1)[:, -k] - 1e-6
+    ok = scores >= bar[:, None]
+    return np.nonzero(ok & (scores > 0) if positive else ok)
 
 
 # ------------------------------------------------------------------ vectors
@@ -204,22 +281,8 @@ def _partial_topk_fn(k: int, bc):
             m = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
             ids = pdf["id"].to_numpy()
             scores = qmat @ m.T  # (n_queries, batch)
-            kk = min(k, scores.shape[1])
-            rows_q, rows_id, rows_s = [], [], []
-            # ties are settled downstream on the rounded score, then id:
-            # keep every row within 1e-6 of the k-th best score
-            for qi in range(scores.shape[0]):
-                row = scores[qi]
-                if kk < row.shape[0]:
-                    thr = np.partition(row, -kk)[-kk] - 1e-6
-                    sel = np.nonzero(row >= thr)[0]
-                else:
-                    sel = np.arange(row.shape[0])
-                rows_q.append(np.full(sel.shape[0], qids[qi]))
-                rows_id.append(ids[sel])
-                rows_s.append(scores[qi, sel])
-            yield pd.DataFrame({"qid": np.concatenate(rows_q), "id": np.concatenate(rows_id),
-                                "score": np.concatenate(rows_s)})
+            q, i = best_cells(scores, k)
+            yield pd.DataFrame({"qid": [qids[x] for x in q], "id": ids[i], "score": scores[q, i]})
     return fn
 
 
@@ -321,10 +384,13 @@ def idf_overlap_rerank(hits: DataFrame, qterms: DataFrame, index: Bm25Index, qid
                        top_n: int = 3) -> DataFrame:
     """Default reranker: Σ idf over distinct question terms present in the hit."""
     n = index.n_docs
-    dfreq = index.doc_freq()
-    qt = qterms.select("qid", "term").distinct().join(dfreq, "term").withColumn("idf", _idf(n, F.col("df")))
+    terms = checked_broadcast(qterms.select("qid", "term").distinct().checkpoint(), 2_000_000)
+    dfreq = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
+    qt = terms.join(dfreq, "term").withColumn("idf", _idf(n, F.col("df")))
     h = hits.select(F.col(qid).alias("qid"), F.col(doc).alias("doc_id")).distinct()
-    m = h.join(index.postings.select("doc_id", "term"), "doc_id").join(qt, ["qid", "term"])
+    near = Bm25Index(index.doc_terms.join(checked_broadcast(h.select("doc_id").distinct(), 2_000_000), "doc_id", "left_semi"))
+    m = near.postings.select("doc_id", "term").join(qt, "term").join(h, ["qid", "doc_id"])
     return m.groupBy("qid", "doc_id").agg(F.sum("idf").alias("rerank_score"))
 
 
@@ -377,18 +443,34 @@ def hashed_embedding(df: DataFrame, id_col: str, text: str, dims: int = 64, out:
 
 
 def embedding_from_terms(doc_terms: DataFrame, dims: int = 64, out: str = "vec") -> DataFrame:
-    """(doc_id, vec) from per-document term frequencies: one md5 bucket
-    per distinct (doc, term); the (doc, bucket) partial aggregate is
-    formed map-side and the collected list per document is bounded by
-    ``dims``."""
-    ex = doc_terms.select("doc_id", F.explode_outer("tfs").alias("_p")).filter(F.col("_p").isNotNull())
-    cnt = ex.groupBy("doc_id", md5_bucket(F.col("_p.term"), dims).alias("_b")).agg(F.sum("_p.tf").alias("_c"))
-    m = cnt.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i.cast("long")), F.lit(0)).cast("double"))
-    vecs = m.select("doc_id", l2_normalize(dense).alias(out))
-    return doc_terms.select("doc_id").join(vecs, "doc_id", "left").withColumn(
-        out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dims)))
+    """(doc_id, vec) from per-document term frequencies, each vector built from
+    its own row in Arrow batches: no shuffle."""
+    kind = doc_terms.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def fn(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        def bucket(t):
+            return int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % dims
+
+        for b in batches:
+            lists = b.column(1)
+            n = len(lists)
+            doc = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+            flat = lists.flatten()
+            coded = flat.field("term").dictionary_encode()
+            of = np.array([bucket(t) for t in coded.dictionary.to_pylist()], "int64")
+            at = of[coded.indices.to_numpy()] if len(flat) else np.empty(0, "int64")
+            v = np.bincount(doc * dims + at, flat.field("tf").to_numpy().astype("float64"), minlength=n * dims).reshape(n, dims)
+            v /= np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None]
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dims, pa.int32()), pa.array(v.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), vec], ["doc_id", out])
+
+    return doc_terms.select("doc_id", F.coalesce("tfs", F.array().cast("array<struct<term:string,tf:bigint>>")).alias("tfs")).mapInArrow(fn, schema)
 
 
 def embed(df: DataFrame, id_col: str, text: str, fn=None, out: str = "vec", dims: int = 64,
@@ -400,6 +482,9 @@ def embed(df: DataFrame, id_col: str, text: str, fn=None, out: str = "vec", dims
         return hashed_embedding(df, id_col, text, dims, out)
     from papertrail.operators.arrow_fns import vector_udf
 
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    return df.withColumn(out, l2_normalize(vector_udf(fn)(F.col(text))))
+    return df.withColumn(out, l2_normalize(vector_udf(lambda texts: _in_slices(fn, texts, batch_rows))(F.col(text))))
+
+
+def _in_slices(fn, texts, rows: int) -> list:
+    """``fn`` over slices of at most ``rows`` texts of a batch."""
+    return [v for i in range(0, len(texts), rows) for v in fn(texts.iloc[i:i + rows])]

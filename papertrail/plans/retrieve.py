@@ -75,6 +75,7 @@ def build_store_indexes(chunks: DataFrame, store_col: str, stores, dims: int = 6
     """One tokenisation and one checkpoint for all stores; each store's
     index is a filter of the shared term table (its BM25 statistics are
     computed over its own chunks only)."""
+    chunks = chunks.checkpoint()
     shared = R.bm25_index(chunks, "cid", "text", keep=(store_col,)).materialize()
     out = {}
     for s in stores:
@@ -103,11 +104,12 @@ def retrieve_store(questions: DataFrame, idx: StoreIndex, k: int = K_EACH, dims:
     bm = R.bm25_topk(questions, idx.bm25, qid="qid", qtext="text", k=k).select("qid", F.col("doc_id").alias("cid"), "rank")
     qv = R.embed(questions.select("qid", "text"), "qid", "text", fn=embed_fn, dims=dims).select("qid", "vec")
     vt = R.vector_topk(qv, idx.vectors, k=k, qid="qid", qvec="vec", iid="cid", ivec="vec").select("qid", F.col("id").alias("cid"), "rank")
-    keys = idx.chunks.select("cid", "key")
-    lists = {"vector": vt.join(keys, "cid"), "bm25": bm.join(keys, "cid")}
-    fused = R.fuse(lists, WEIGHTS, c=RRF_C, key="key", query="qid")
-    rep = (lists["vector"].unionByName(lists["bm25"]).groupBy("qid", "key").agg(F.min("cid").alias("cid")))
-    return fused.join(rep, ["qid", "key"])
+    # at most 2 k rows a question: they meet the chunks' keys by broadcast, and one
+    # pass fuses both lists and picks the chunk that stands for equal texts
+    lists = {"vector": vt, "bm25": bm}
+    parts = [df.withColumn("_w", F.lit(WEIGHTS[name]) / (F.lit(RRF_C) + F.col("rank"))) for name, df in lists.items()]
+    hits = R.attach_docs(parts[0].unionByName(parts[1]).checkpoint(), idx.chunks.select("cid", "key"), "cid")
+    return hits.groupBy("qid", "key").agg(F.sum("_w").alias("fused"), F.min("cid").alias("cid"))
 
 
 def retrieve(questions: DataFrame, stores: dict, top_n: int = TOP_N, k: int = K_EACH, dims: int = 64,
@@ -128,7 +130,7 @@ def retrieve(questions: DataFrame, stores: dict, top_n: int = TOP_N, k: int = K_
         qs = q.filter(F.col("route") == name).select("qid", "text")
         hits = retrieve_store(qs, idx, k, dims, embed_fn)
         top = R.top_k_per_query(hits, "qid", "fused", "cid", top_n)
-        src = top.join(idx.chunks.select("cid", "doc_id", "chunk_id", "source", "text"), "cid")
+        src = R.attach_docs(top.checkpoint(), idx.chunks.select("cid", "doc_id", "chunk_id", "source", "text"), "cid")
         parts.append(src.withColumn("type", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
