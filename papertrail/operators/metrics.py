@@ -10,7 +10,6 @@ for the running counts.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,20 +80,48 @@ def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
                   F.count(F.lit(1)).alias("n"))
 
 
+def class_counts(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(label, tp, support, pred) of every class that occurs, from one pass over
+    ``df``: its confusion counts feed both the true and the predicted side."""
+    cc = confusion_counts(df, y, p)
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("y").alias("label"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero).alias("tp"),
+                             F.col("n").alias("support"), zero.alias("pred")),
+                    F.struct(F.col("p").alias("label"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("pred")))
+    return cc.select(F.explode(sides).alias("s")).select("s.*").groupBy("label").agg(
+        F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("pred"))
+
+
+def _ratio(a, b) -> Column:
+    return F.when(col_of(b) > 0, col_of(a) / col_of(b)).otherwise(F.lit(0.0))
+
+
+def _with_scores(counts: DataFrame) -> DataFrame:
+    r = counts.withColumn("precision", _ratio("tp", "pred")).withColumn("recall", _ratio("tp", "support"))
+    return r.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
 def class_report(df: DataFrame, y: str, p: str, classes) -> DataFrame:
     """precision, recall, f1, support per class; 0 on zero division."""
     dim = class_dim(df.sparkSession, classes, "label")
-    cc = confusion_counts(df, y, p)
-    tp = cc.filter(F.col("y") == F.col("p")).select(F.col("y").alias("label"), F.col("n").alias("tp"))
-    sup = cc.groupBy(F.col("y").alias("label")).agg(F.sum("n").alias("support"))
-    pp = cc.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("pred"))
-    r = dim.join(tp, "label", "left").join(sup, "label", "left").join(pp, "label", "left").fillna(0, ["tp", "support", "pred"])
-    prec = F.when(F.col("pred") > 0, F.col("tp") / F.col("pred")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    r = r.withColumn("precision", prec).withColumn("recall", rec)
-    f1 = F.when(F.col("precision") + F.col("recall") > 0,
-                2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return r.withColumn("f1", f1).select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+    r = _with_scores(dim.join(class_counts(df, y, p), "label", "left").fillna(0, ["tp", "support", "pred"]))
+    return r.select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+
+
+def evaluation(df: DataFrame, y: str, p: str, classes) -> DataFrame:
+    """One row, from one pass over ``df``: accuracy, n_test, macro precision,
+    recall and F1 over ``classes``, balanced accuracy, mcc."""
+    dim = class_dim(df.sparkSession, classes, "label").withColumn("listed", F.lit(True))
+    r = _with_scores(dim.join(class_counts(df, y, p), "label", "full").fillna(0, ["tp", "support", "pred"]))
+    n, c = F.sum("support"), F.sum("tp")
+    macro = [F.avg(F.when(F.col("listed"), F.col(m))).alias(f"{m}_macro") for m in ("precision", "recall", "f1")]
+    sums = [F.sum(F.col(x) * F.col(z)).cast("double").alias(k) for k, x, z in (
+        ("pt", "pred", "support"), ("pp", "pred", "pred"), ("tt", "support", "support"))]
+    one = r.agg((c / n).alias("accuracy"), n.alias("n_test"), c.cast("double").alias("c"), n.cast("double").alias("s"), *macro, *sums,
+                F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
+    den = F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
+    return one.select("accuracy", "n_test", "precision_macro", "recall_macro", "f1_macro", "balanced_accuracy",
+                      F.when(den > 0, (F.col("c") * F.col("s") - F.col("pt")) / den).otherwise(F.lit(0.0)).alias("mcc"))
 
 
 def macro_scores(report: DataFrame) -> DataFrame:
@@ -114,16 +141,7 @@ def balanced_accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
 def mcc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Multiclass Matthews correlation (A8):
     (c·s − Σ p_k t_k) / sqrt((s² − Σ p_k²)(s² − Σ t_k²)), 0 if undefined."""
-    t = df.groupBy(col_of(y).alias("k")).agg(F.count(F.lit(1)).alias("t"))
-    pr = df.groupBy(col_of(p).alias("k")).agg(F.count(F.lit(1)).alias("pk"))
-    tp = pr.join(t, "k", "full").fillna(0)
-    sums = tp.agg(F.sum(F.col("pk") * F.col("t")).alias("pt"), F.sum(F.col("pk") * F.col("pk")).alias("pp"),
-                  F.sum(F.col("t") * F.col("t")).alias("tt"))
-    cs = df.agg(F.sum((col_of(y) == col_of(p)).cast("long")).alias("c"), F.count(F.lit(1)).alias("s"))
-    c, s = cs.select("c").scalar().cast("double"), cs.select("s").scalar().cast("double")
-    pt, pp, tt = (sums.select(x).scalar().cast("double") for x in ("pt", "pp", "tt"))
-    den = F.sqrt((s * s - pp) * (s * s - tt))
-    return sums.select(F.when(den > 0, (c * s - pt) / den).otherwise(F.lit(0.0)).alias("mcc"))
+    return evaluation(df, y, p, []).select("mcc")
 
 
 # ------------------------------------------------------------------ A9-A10
@@ -315,20 +333,23 @@ def ngrams(tokens, n: int) -> Column:
 
 def rouge_n(df: DataFrame, pair: str, pred: str, ref: str, n: int) -> DataFrame:
     """(pair, precision, recall, fmeasure) of ROUGE-N."""
-    def grams(col, side):
-        g = let(rouge_tokens(col), lambda t: F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")))
-        return (df.select(F.col(pair), F.explode(g).alias("g"))
-                .groupBy(pair, "g").agg(F.count(F.lit(1)).alias(side)))
-    gp, gr = grams(pred, "cp"), grams(ref, "cr")
-    ov = gp.join(gr, [pair, "g"]).groupBy(pair).agg(F.sum(F.least("cp", "cr")).alias("overlap"))
-    tp = gp.groupBy(pair).agg(F.sum("cp").alias("np"))
-    tr = gr.groupBy(pair).agg(F.sum("cr").alias("nr"))
-    base = df.select(pair).join(tp, pair, "left").join(tr, pair, "left").join(ov, pair, "left").fillna(0, ["np", "nr", "overlap"])
-    p = F.when(F.col("np") > 0, F.col("overlap") / F.col("np")).otherwise(F.lit(0.0))
-    r = F.when(F.col("nr") > 0, F.col("overlap") / F.col("nr")).otherwise(F.lit(0.0))
-    out = base.withColumn("precision", p).withColumn("recall", r)
-    f = F.when(F.col("precision") + F.col("recall") > 0,
-               2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
+    from papertrail.operators.retrieval import term_freqs
+
+    def grams(col):
+        return let(rouge_tokens(col), lambda t: F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")))
+
+    def shared(a, b):
+        """Sum of the smaller counts: both sides' counts in one sorted array, where
+        equal n-grams are neighbours."""
+        state = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("sum"))
+        return F.aggregate(F.array_sort(F.concat(a, b)), state, lambda s, x: F.struct(
+            x["term"].alias("term"), x["tf"].alias("tf"),
+            (s["sum"] + F.when(s["term"] == x["term"], F.least(s["tf"], x["tf"])).otherwise(F.lit(0))).alias("sum")), lambda s: s["sum"])
+
+    d = df.select(F.col(pair), grams(pred).alias("gp"), grams(ref).alias("gr"))
+    d = d.select(pair, F.size("gp").alias("np"), F.size("gr").alias("nr"), shared(term_freqs("gp"), term_freqs("gr")).alias("overlap"))
+    out = d.withColumn("precision", _ratio("overlap", "np")).withColumn("recall", _ratio("overlap", "nr"))
+    f = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return out.withColumn("fmeasure", f).select(pair, "precision", "recall", "fmeasure")
 
 
@@ -343,11 +364,3 @@ def rouge_l(df: DataFrame, pair: str, pred: str, ref: str) -> DataFrame:
     d = d.withColumn("precision", p).withColumn("recall", r)
     f = F.when(F.col("lcs") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
     return d.withColumn("fmeasure", f).select(pair, "precision", "recall", "fmeasure")
-
-
-def reduce_or(cols) -> Column:
-    return reduce(lambda a, b: a | b, cols)
-
-
-def window_all(order) -> Window:
-    return Window.orderBy(order)

@@ -77,16 +77,7 @@ def classify_long(model: PipelineModel, df: DataFrame, key: str, text: str, max_
 
 def evaluate(pred: DataFrame, y: str, p: str, classes) -> DataFrame:
     """One row: accuracy, macro precision/recall/F1, balanced accuracy, MCC, n."""
-    acc = M.accuracy(pred, y, p)
-    mac = M.macro_scores(M.class_report(pred, y, p, classes))
-    bal = M.balanced_accuracy(pred, y, p)
-    mcc = M.mcc(pred, y, p)
-    return acc.select("accuracy", F.col("n").alias("n_test"),
-                      mac.select("precision_macro").scalar().alias("precision_macro"),
-                      mac.select("recall_macro").scalar().alias("recall_macro"),
-                      mac.select("f1_macro").scalar().alias("f1_macro"),
-                      bal.select("balanced_accuracy").scalar().alias("balanced_accuracy"),
-                      mcc.select("mcc").scalar().alias("mcc"))
+    return M.evaluation(pred, y, p, classes)
 
 
 def tune(df: DataFrame, text: str, label: str, classes, grid: list, folds: int = 5, id_col: str = "id",
@@ -96,7 +87,7 @@ def tune(df: DataFrame, text: str, label: str, classes, grid: list, folds: int =
     table (trial, fold, params…, f1_macro), best trial row)."""
     from papertrail.operators.corpus import kfold
 
-    d = kfold(df, folds, by=id_col, seed=seed)
+    d = kfold(df, folds, by=id_col, seed=seed).checkpoint()  # read by every trial and fold
     rows = []
     spark = df.sparkSession
     for t, params in enumerate(grid):
