@@ -23,6 +23,7 @@ empty table gives no piece.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,22 +33,79 @@ from pyspark.sql import functions as F
 
 from papertrail.llm.token_counts import encode_all, load_tokenizer
 
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 3 << 18
 POOL_TOKENS = 1 << 19
+_CHUNKS: dict = {}  # per Python worker, by tokenizer file
+
+
+
+# letters and digits of ASCII and Latin-1, which lower-case one by one
+_PLAIN = re.compile(rb"(?:[0-9A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~|"  # ASCII marks, without the apostrophe and < > of special tokens
+
+
+class ChunkIds:
+    """Token ids of chunks without white space: chunk → uint32 bytes.
+
+    A chunk that is a plain word and a tail of ASCII marks is looked up as the
+    lower-cased word and the tail, which the vocabulary's pattern always
+    parts.  The cache keeps two generations of ``entries`` chunks.
+    """
+
+    def __init__(self, tok, entries: int):
+        self.tok, self.entries = tok, entries
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        words, rest = [], []
+        for p in parts:
+            (words if p.isalpha() else rest).append(p.decode())  # bytes: ASCII letters only
+        if rest:
+            out.update((t.encode(), np.array(e.ids, "<u4").tobytes()) for t, e in zip(rest, encode_all(self.tok, rest)))
+        if words:  # one call for all: each is a pre-token of its own
+            e = self.tok.encode(" ".join(words), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1))).tolist()
+            out.update((t.encode(), ids[x:y]) for t, x, y in zip(words, cuts, cuts[1:]))
+        return out
+
+    def _learn(self, missed: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the new generation lacks."""
+        old, found, split = self.old, {}, {}
+        for c in missed:
+            if (ids := old.get(c)) is not None:
+                found[c] = ids
+            else:
+                core = c.rstrip(_MARKS)
+                if core and _PLAIN.fullmatch(core):
+                    split[c] = (core.decode().lower().encode(), c[len(core):])
+                else:
+                    split[c] = (c, b"")
+        parts = {p: self.new.get(p) or old.get(p) for x in split.values() for p in x if p}
+        parts.update(self._encode([p for p, ids in parts.items() if ids is None]))
+        found.update(parts)
+        found.update((c, parts[x] + (parts[y] if y else b"")) for c, (x, y) in split.items())
+        return found
+
+    def of(self, chunks: list[bytes]) -> bytes:
+        got = list(map(self.new.get, chunks))
+        if None in got:
+            found = self._learn({c for c, ids in zip(chunks, got) if ids is None})
+            got = [found[c] if ids is None else ids for c, ids in zip(chunks, got)]
+            if len(self.new) + len(found) > self.entries:
+                self.old, self.new = self.new, {}
+            self.new.update(found)
+        return b"".join(got)
 
 
 def text_ids(text: bytes, path: str, cache_entries: int = CACHE_ENTRIES) -> bytes:
     """Token ids of a text, little-endian uint32."""
-    tok, cache = load_tokenizer(path)
-    chunks = text.split()  # bytes: splits at ASCII white space only
-    new = [c for c in set(chunks) if c not in cache]
-    if new:
-        if len(cache) + len(new) > cache_entries:
-            cache.clear()
-            new = list(set(chunks))
-        for c, e in zip(new, encode_all(tok, [c.decode() for c in new])):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(cache.__getitem__, chunks))
+    known = _CHUNKS.get(path)
+    if known is None:
+        known = _CHUNKS[path] = ChunkIds(load_tokenizer(path)[0], cache_entries)
+    return known.of(text.split())  # bytes: splits at ASCII white space only
 
 
 class Packer:
@@ -167,7 +225,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if packer.tokens + new_tokens > pool_tokens:
                     packer.extend(new)
                     new, new_tokens = [], 0
-                    yield from drain(pool_tokens // 4)
+                    yield from drain(max(pool_tokens // 4, max_tokens))
         packer.extend(new)
         yield from drain(0)
 
