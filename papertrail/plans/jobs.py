@@ -27,8 +27,10 @@ def build_requests(txt: DataFrame, js: DataFrame, name: str = "name", text: str
     Names are sorted, numbered from ``start`` and turned into custom ids;
     the request carries the system prompt and the filled user prompt.
     """
-    m = C.match_by_name(txt.select(name, text), js.select(name, json_text), name)
-    s = C.sequence_after_sort(m, name, 0, "idx").filter(F.col("idx") >= start)
+    # the names alone are sorted and numbered; texts join by name afterwards
+    names = C.intersect_keys(txt, js, name)
+    numbered = C.sequence_after_sort(names, name, 0, "idx").filter(F.col("idx") >= start)
+    s = C.match_by_name(txt.select(name, text), js.select(name, json_text), name).join(numbered, name)
     cid = custom_id(F.col(name), F.col("idx") - F.lit(start), start=start)
     user = C.render_prompt(PR.QA_USER_TEMPLATE, text=text, json_template_content=json_text)
     params = F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"),

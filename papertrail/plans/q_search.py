@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papertrail.functions import prompts as PR
-from papertrail.functions.text import tokenize
+from papertrail.functions.text import route_query, tokenize
 from papertrail.operators import chunk as K
 from papertrail.operators import corpus as C
 from papertrail.operators import retrieval as R
@@ -321,19 +321,35 @@ SELECT shard_no, count(*) AS n FROM (
 STORES = ("general", "synthesis")
 
 
+def _routed(spark, sf):
+    """Questions for both stores and for one that is missing; every third has
+    the question before it as history."""
+    q = _questions(spark, sf)
+    text = F.when(F.col("qid") % 4 == 0, F.concat("text", F.lit(" Which catalyst works?"))).otherwise(F.col("text"))
+    q = q.select("qid", text.alias("text"))
+    route = F.when(F.col("qid") % 10 == 9, F.lit("patents")).otherwise(route_query(F.col("text")))
+    history = q.select((F.col("qid") + 1).alias("qid"), F.col("text").alias("history_text")).filter("qid % 3 = 0")
+    return q.withColumn("route", route), history
+
+
 def _retrieve(spark, sf):
     ch = _store_chunks(spark, sf)
     stores = RT.build_store_indexes(ch, "store_type", STORES)
-    out = RT.retrieve(_questions(spark, sf), stores)
+    questions, history = _routed(spark, sf)
+    out = RT.retrieve(questions, stores, history=history)
     return out.select("qid", "id", "doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "source",
-                      "page_content_preview", "type", "fused")
+                      "page_content_preview", "type", "fused", "rerank_score", "prompt")
 
 
 def _sql_retrieve() -> str:
     from papertrail.plans.q_text import _KW
 
     kw = _KW.replace("lower(q)", "lower(text)")
-    ctes = [sql_chunks(), f"routed AS (SELECT item_id AS qid, text, CASE WHEN {kw} THEN 'synthesis' ELSE 'general' END AS route FROM benchmark)"]
+    ctes = [sql_chunks(),
+            "asked AS (SELECT item_id AS qid, text || CASE WHEN item_id % 4 = 0 THEN ' Which catalyst works?' ELSE '' END AS text FROM benchmark)",
+            f"""routed AS (SELECT a.qid, a.text AS question, CASE WHEN a.qid % 10 = 9 THEN 'patents' WHEN {kw.replace('text', 'a.text')} THEN 'synthesis'
+       ELSE 'general' END AS route, CASE WHEN h.text IS NULL THEN '' ELSE h.text || chr(10) END || a.text AS text
+FROM asked a LEFT JOIN asked h ON h.qid + 1 = a.qid AND a.qid % 3 = 0)"""]
     selects = []
     for s in STORES:
         ctes.append(f"c_{s} AS (SELECT * FROM chunks WHERE (CASE WHEN lang = 'en' THEN 'general' ELSE 'synthesis' END) = '{s}')")
@@ -342,10 +358,19 @@ def _sql_retrieve() -> str:
         ctes.append(sql_vec_topk(f"q_{s}", f"c_{s}", f"vt_{s}").strip())
         ctes.append(_SQL_FUSE.format(corpus=f"c_{s}").replace("lists", f"lists_{s}").replace("lk", f"lk_{s}")
                     .replace("fused AS", f"fused_{s} AS").replace("FROM vt", f"FROM vt_{s}").replace("FROM bm", f"FROM bm_{s}").strip())
+        ctes.append(f"""rr_{s} AS (SELECT f.qid, f.id, f.fused, coalesce(sum(i.idf), 0.0) AS score FROM fused_{s} f
+  LEFT JOIN bm_{s}_post p ON p.id = f.id
+  LEFT JOIN (SELECT DISTINCT qid, term FROM bm_{s}_qt) t ON t.qid = f.qid AND t.term = p.term
+  LEFT JOIN (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM bm_{s}_df CROSS JOIN bm_{s}_st) i ON i.term = t.term
+  GROUP BY f.qid, f.id, f.fused),
+top_{s} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM rr_{s} QUALIFY rank <= 3),
+ctx_{s} AS (SELECT t.qid, string_agg(c.text, chr(10) || chr(10) ORDER BY t.rank) AS context FROM top_{s} t JOIN c_{s} c ON c.id = t.id GROUP BY t.qid)""")
         selects.append(f"""SELECT t.qid, CAST(t.rank AS BIGINT) AS id, c.doc_id, CAST(c.chunk_id AS BIGINT) AS chunk_id, coalesce(c.source, 'N/A') AS source,
-       substr(c.text, 1, 200) || '...' AS page_content_preview, '{s}' AS type, round(t.fused, 6) AS fused
-FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 6) DESC, id) AS rank FROM fused_{s} QUALIFY rank <= 3) t
-JOIN c_{s} c ON c.id = t.id""")
+       substr(c.text, 1, 200) || '...' AS page_content_preview, '{s}' AS type, round(t.fused, 6) AS fused, round(t.score, 6) AS rerank_score,
+       CASE WHEN t.rank = 1 THEN {D.render(PR.CONTEXT_TEMPLATE, context='x.context', question='r.question')} END AS prompt
+FROM top_{s} t JOIN c_{s} c ON c.id = t.id JOIN ctx_{s} x ON x.qid = t.qid JOIN routed r ON r.qid = t.qid""")
+    selects.append("""SELECT qid, NULL, NULL, NULL, NULL, route || ' RAG failed: index not found, please build the index first.', route, NULL, NULL, NULL
+FROM routed WHERE route = 'patents'""")
     return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(selects)
 
 

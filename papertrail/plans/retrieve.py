@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papertrail.functions import prompts as PR
 from papertrail.functions.text import route_query
+from papertrail.operators import corpus as C
 from papertrail.operators import retrieval as R
 from papertrail.operators.chunk import chunk_fixed
 
@@ -113,35 +115,46 @@ def retrieve_store(questions: DataFrame, idx: StoreIndex, k: int = K_EACH, dims:
 
 
 def retrieve(questions: DataFrame, stores: dict, top_n: int = TOP_N, k: int = K_EACH, dims: int = 64,
-             embed_fn=None, history: DataFrame | None = None) -> DataFrame:
+             embed_fn=None, history: DataFrame | None = None, rerank_fn=None) -> DataFrame:
     """Routed hybrid retrieval for a table of questions (qid, text).
 
-    route (keywords) → per-store retrieval → fuse → top ``top_n`` →
-    numbered sources with previews.  A question routed to a missing store
+    route (a ``route`` column, else keywords) → per-store retrieval → fuse →
+    rerank to ``top_n`` (``rerank_fn`` on (question, passage) pairs, else idf
+    overlap) → numbered sources with previews; the first source of a question
+    carries the prompt with its context.  A question routed to a missing store
     gets one row with an error text and no sources.  ``history``
-    (qid, history_text) is prepended to the question before retrieval.
+    (qid, history_text) is put before the question for retrieval.
     """
-    q = questions.withColumn("route", route_query(F.col("text")))
+    q = questions if "route" in questions.columns else questions.withColumn("route", route_query(F.col("text")))
+    q = q.withColumn("question", F.col("text"))
     if history is not None:
         q = q.join(history, "qid", "left").withColumn(
             "text", F.concat_ws("\n", F.col("history_text"), F.col("text"))).drop("history_text")
+    q = q.checkpoint()
     parts = []
     for name, idx in stores.items():
         qs = q.filter(F.col("route") == name).select("qid", "text")
-        hits = retrieve_store(qs, idx, k, dims, embed_fn)
-        top = R.top_k_per_query(hits, "qid", "fused", "cid", top_n)
-        src = R.attach_docs(top.checkpoint(), idx.chunks.select("cid", "doc_id", "chunk_id", "source", "text"), "cid")
+        hits = retrieve_store(qs, idx, k, dims, embed_fn).withColumn("rank", F.lit(0)).checkpoint()  # at most 2 k a question
+        if rerank_fn is not None:
+            hits = R.attach_docs(hits, idx.chunks.select("cid", F.col("text").alias("passage")), "cid").join(
+                qs.withColumnRenamed("text", "asked"), "qid")
+        top = R.rerank(hits, "asked", "passage", fn=rerank_fn, top_n=top_n, index=idx.bm25, queries=qs).select(
+            "qid", "cid", "rank", "fused", "rerank_score").checkpoint()
+        src = R.attach_docs(top, idx.chunks.select("cid", "doc_id", "chunk_id", "source", "text"), "cid")
         parts.append(src.withColumn("type", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    sources = out.select("qid", F.col("rank").cast("long").alias("id"), "doc_id", "chunk_id",
-                         F.coalesce("source", F.lit("N/A")).alias("source"),
-                         F.concat(F.substring("text", 1, 200), F.lit("...")).alias("page_content_preview"),
-                         "type", F.round("fused", 6).alias("fused"))
+    out = out.checkpoint()  # top_n rows a question
+    context = R.stuff_context(out, "qid", "rank", "text").join(q.select("qid", "question"), "qid")
+    prompts = context.select("qid", C.render_prompt(PR.CONTEXT_TEMPLATE, context="context", question="question").alias("prompt"))
+    first = F.col("rank") == 1
+    sources = out.join(prompts, "qid").select(
+        "qid", F.col("rank").cast("long").alias("id"), "doc_id", "chunk_id", F.coalesce("source", F.lit("N/A")).alias("source"),
+        F.concat(F.substring("text", 1, 200), F.lit("...")).alias("page_content_preview"), "type",
+        F.round("fused", 6).alias("fused"), F.round("rerank_score", 6).alias("rerank_score"),
+        F.when(first, F.col("prompt")).alias("prompt"))
+    error = F.concat(F.col("route"), F.lit(" RAG failed: index not found, please build the index first."))
     missing = q.filter(~F.col("route").isin(*stores.keys())).select(
-        "qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"),
-        F.lit(None).cast("int").alias("chunk_id"), F.lit(None).cast("string").alias("source"),
-        F.concat(F.col("route"), F.lit(" RAG failed: index not found, please build the index first.")).alias("page_content_preview"),
-        F.col("route").alias("type"), F.lit(None).cast("double").alias("fused"))
-    return sources.unionByName(missing)
+        "qid", error.alias("page_content_preview"), F.col("route").alias("type"))
+    return sources.unionByName(missing, allowMissingColumns=True)
