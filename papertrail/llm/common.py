@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -31,7 +32,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lineage ends there, so a lost executor costs only a re-read."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a :func:`stored` table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of the finished steps, which
+    otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def lower_ascii(c: Column) -> Column:
@@ -50,3 +68,13 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     at most ``max_rows`` rows; else ``df``, joined by a shuffle that adaptive
     execution splits where a key is hot."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def sampled(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows, or all if there are no more, chosen by the hash of
+    ``keys``: the same rows every time, kept where they are (a ``limit`` in the
+    middle of a plan would pass them all through one task)."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 32)) < int(rows / total * (1 << 32)))

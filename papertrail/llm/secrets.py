@@ -5,7 +5,7 @@
 2. Features: length, entropy, the shares of character classes and of the
    transitions between them, dictionary coverage, the path's parts, and the
    neighbouring words (hashed, and whether they name a credential).
-3. A Spark ML random forest is trained on labelled findings, at most
+3. A Spark ML random forest is trained on labelled findings, about
    ``max_train`` of each label by the hash of (id, start); that bound and the
    dictionary's ``sample_rows`` are its only limits.  Every candidate of every
    whole text is scored.
@@ -30,7 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import stored
+from papertrail.llm.common import sampled, stored
 
 MAX_TRAIN = 10_000
 SAMPLE_ROWS = 20_000
@@ -92,10 +92,11 @@ def feature_row(finding: str, before: str, after: str, path: str | None, diction
     return out + _hashed(left[-1] if left else "") + _hashed(right[0] if right else "")
 
 
-def dictionary_of(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, words: int = DICTIONARY_WORDS) -> frozenset:
-    """The most frequent words of 3 to 12 letters of ``sample_rows`` rows."""
+def dictionary_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
+                  words: int = DICTIONARY_WORDS) -> frozenset:
+    """The most frequent words of 3 to 12 letters of about ``sample_rows`` rows."""
     w = F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\b[a-z]{3,12}\b"), F.lit(0)))
-    top = docs.limit(sample_rows).select(w.alias("w")).filter("w is not null").groupBy("w").count()
+    top = sampled(docs, [id_col, text_col], sample_rows).select(w.alias("w")).filter("w is not null").groupBy("w").count()
     return frozenset(r["w"] for r in top.filter("count > 1").orderBy(F.desc("count"), "w").limit(words).collect())
 
 
@@ -135,8 +136,7 @@ def reviewed(before: Column) -> Column:
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = 30, depth: int = 8, seed: int = 7):
     """A forest fitted on findings with a ``label`` of 0 or 1, or the only label
     that there is (0 for none)."""
-    parts = [labelled.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "finding")
-             .limit(max_train) for x in (0.0, 1.0)]
+    parts = [sampled(labelled.filter(F.col("label") == x), ["doc_id", "start"], max_train) for x in (0.0, 1.0)]
     sample = parts[0].unionByName(parts[1]).select("label", array_to_vector("features").alias("features"))
     sample = stored(sample, "secret-findings")
     known = sorted(r["label"] for r in sample.select("label").distinct().collect())
