@@ -60,6 +60,7 @@ class Bm25Index:
     """
 
     doc_terms: DataFrame
+    ready: bool = False  # checkpointed or read from files: reading it again is cheap
 
     @property
     def postings(self) -> DataFrame:
@@ -88,14 +89,14 @@ class Bm25Index:
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def materialize(self) -> "Bm25Index":
-        return Bm25Index(self.doc_terms.checkpoint(eager=True))
+        return self if self.ready else Bm25Index(self.doc_terms.checkpoint(eager=True), True)
 
     def save(self, path: str, mode: str = "overwrite") -> None:
         self.doc_terms.write.mode(mode).parquet(path)
 
     @staticmethod
     def load(spark, path: str) -> "Bm25Index":
-        return Bm25Index(spark.read.parquet(path))
+        return Bm25Index(spark.read.parquet(path), True)
 
 
 def term_freqs(tokens) -> Column:
@@ -179,6 +180,7 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, qid: str = "qid", qtext: str
     (question, document) pairs are shuffled.
     """
     spark = queries.sparkSession
+    index = index.materialize()  # read three times below
     qt = query_terms(queries, qid, qtext).checkpoint()
     df_of = index.postings.join(checked_broadcast(qt.select("term").distinct(), 2_000_000), "term", "left_semi") \
         .groupBy("term").agg(F.count(F.lit(1)).alias("df")).checkpoint()
@@ -215,17 +217,17 @@ def _bm25_partial_fn(k: int, sent, k1: float, b: float, avgdl: float, rows: int
     def fn(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         qids, terms, w = sent.value
+        known = pa.array(list(terms), pa.string())
         for whole in batches:
             for start in range(0, whole.num_rows if qids else 0, rows):
                 part = whole.slice(start, rows)
                 dl, lists = part.column(1).to_numpy().astype("float64"), part.column(2)
                 ends = np.asarray(lists.offsets).astype("int64")
                 flat = lists.flatten()
-                coded = flat.field("term").dictionary_encode()
-                known = np.array([terms.get(t, -1) for t in coded.dictionary.to_pylist()], "int64")
-                term = known[coded.indices.to_numpy()] if len(flat) else np.empty(0, "int64")
+                term = pc.fill_null(pc.index_in(flat.field("term"), value_set=known), -1).to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(term >= 0)
                 doc = np.repeat(np.arange(len(dl)), np.diff(ends))[keep]
                 tf = flat.field("tf").to_numpy().astype("float64")[keep]
@@ -449,28 +451,23 @@ def embedding_from_terms(doc_terms: DataFrame, dims: int = 64, out: str = "vec")
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def fn(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
-        def bucket(t):
-            return int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % dims
-
         for b in batches:
             lists = b.column(1)
             n = len(lists)
             doc = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
-            flat = lists.flatten()
-            coded = flat.field("term").dictionary_encode()
-            of = np.array([bucket(t) for t in coded.dictionary.to_pylist()], "int64")
-            at = of[coded.indices.to_numpy()] if len(flat) else np.empty(0, "int64")
-            v = np.bincount(doc * dims + at, flat.field("tf").to_numpy().astype("float64"), minlength=n * dims).reshape(n, dims)
+            at, tf = lists.flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            v = np.bincount(doc * dims + at, tf.astype("float64"), minlength=n * dims).reshape(n, dims)
             v /= np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None]
             vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dims, pa.int32()), pa.array(v.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), vec], ["doc_id", out])
 
-    return doc_terms.select("doc_id", F.coalesce("tfs", F.array().cast("array<struct<term:string,tf:bigint>>")).alias("tfs")).mapInArrow(fn, schema)
+    tfs = F.coalesce("tfs", F.array().cast("array<struct<term:string,tf:bigint>>"))
+    cols = [F.transform(tfs, lambda t: md5_bucket(t["term"], dims)).alias("buckets"),
+            F.transform(tfs, lambda t: t["tf"]).alias("counts")]
+    return doc_terms.select("doc_id", *cols).mapInArrow(fn, schema)
 
 
 def embed(df: DataFrame, id_col: str, text: str, fn=None, out: str = "vec", dims: int = 64,

@@ -81,7 +81,7 @@ def build_store_indexes(chunks: DataFrame, store_col: str, stores, dims: int = 6
     shared = R.bm25_index(chunks, "cid", "text", keep=(store_col,)).materialize()
     out = {}
     for s in stores:
-        bm = R.Bm25Index(shared.doc_terms.filter(F.col(store_col) == s))
+        bm = R.Bm25Index(shared.doc_terms.filter(F.col(store_col) == s), True)
         vec = R.embedding_from_terms(bm.doc_terms, dims).withColumnRenamed("doc_id", "cid")
         out[s] = StoreIndex(chunks.filter(F.col(store_col) == s), vec, bm)
     return out
