@@ -144,7 +144,8 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papertrail.llm.chat_rotation import rotate
 
     shown = F.transform("spans", lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string")))
-    return rotate(read(spark, sf_dir, "conversations")).withColumn("spans", F.concat_ws(",", shown))
+    out = rotate(read(spark, sf_dir, "conversations")).withColumn("spans", F.concat_ws(",", shown))
+    return out.withColumn("n_turns", F.col("n_turns").cast("long"))
 
 
 @register("op6_jaccard_join", f"""
