@@ -6,10 +6,11 @@ From it come the expected grade and the tail probability P(grade >= k) by
 which documents are selected.
 
 Features are hashed into ``2 ** BITS`` columns and count once each: the
-lower-cased words without punctuation, the words' first 4 to 7 bytes, and the text's shape (shares of capitals, digits, punctuation
-and white space, repeated words, word and text length, each in steps).
-Columns whose presence does not differ between grades (a screen on the
-normal score of the difference) have weight 0.
+lower-cased words without punctuation, the words' first 4 to 7 bytes, and
+the text's shape (shares of capitals, digits, punctuation and white space,
+repeated words, word and text length, each in steps).  Columns whose
+presence does not differ between grades (a screen on the normal score of
+the difference) have weight 0.
 
 The model is fitted on at most ``max_train`` rated documents, chosen by the
 hash of their id; that bound is its only limit.  Scoring covers every
@@ -167,15 +168,34 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "d
                 cols = pa.array([col[x:y].astype("int32").tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), cols], ["grade", "cols"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, cols = [], []
+        for b in batches:
+            for g, c in zip(b.column(0).to_pylist(), b.column(1)):
+                if len(marks) < 2 * max_train:  # ids that the table repeats add at most as many again
+                    marks.append(g)
+                    cols.append(np.frombuffer(c.as_buffer().to_pybytes(), "int32"))
+        known = sorted(set(marks))
+        if len(known) < 2:
+            m = only_grade(known[0] if known else grades - 1, grades, bits)
+        else:
+            m = fit(cols, np.array(marks), grades, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.theta.tolist()])],
+                                         ["weights", "theta"])
+
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rated = d.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(run, "grade int, cols binary")
-    rows = rated.limit(2 * max_train).collect()  # ids that the table repeats add at most as many again
-    known = sorted({x["grade"] for x in rows})
-    if len(known) < 2:
-        top = known[0] if known else grades - 1
-        theta = np.where(np.arange(grades - 1) < top, -50.0, 50.0) + np.arange(grades - 1) * 1e-3
-        return CumulativeLink(np.zeros(1 << bits, "float32"), theta)
-    return fit([np.frombuffer(x["cols"], "int32") for x in rows], np.array([x["grade"] for x in rows]), grades, bits)
+    # the bounded sample is fitted in one task; the driver gets the weights only
+    row = rated.repartition(1).mapInArrow(fitted, "weights binary, theta array<double>").first()
+    if row is None:
+        return only_grade(grades - 1, grades, bits)
+    return CumulativeLink(np.frombuffer(row["weights"], "float32"), np.array(row["theta"]))
+
+
+def only_grade(grade: int, grades: int, bits: int = BITS) -> CumulativeLink:
+    """The model that gives every document one grade."""
+    theta = np.where(np.arange(grades - 1) < grade, -50.0, 50.0) + np.arange(grades - 1) * 1e-3
+    return CumulativeLink(np.zeros(1 << bits, "float32"), theta)
 
 
 def scored(docs: DataFrame, model: CumulativeLink, text_col: str = "text", bits: int = BITS,
