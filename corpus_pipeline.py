@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import read, stored
+from papertrail.llm.common import discard, read, stored
 from papertrail.llm.decontaminate import drop_contaminated
 from papertrail.llm.exact_dedup import dedup
 from papertrail.llm.jaccard_join import one_of_each
@@ -59,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return docs

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import lower_ascii, shared_path, small, stored
+from papertrail.llm.common import discard, lower_ascii, shared_path, small, stored
 
 CAPACITY = 1 << 15
 MAX_DEPTH = 16
@@ -93,6 +93,7 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     own = own.repartition("bucket").withColumn(
         "chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha256")) - 1)
     own.select("bucket", "depth", "key", "chain", "sha256", "keep_id", "group_size").write.parquet(path)
+    discard(found)
     return spark.read.parquet(path)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import small, stored
+from papertrail.llm.common import discard, small, stored
 from papertrail.llm.wordhash import gram_hashes, hashed_words, slices, sliding_min
 
 WINDOW = 50
@@ -148,10 +148,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(spans, candidates).  spans: id, th, spans (from, to: words removed,
-    may overlap); candidates: id, th, own_id, text of the documents with a
-    shared minimiser."""
+                   gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, candidates, packed).  spans: id, th, spans (from, to: words
+    removed, may overlap); candidates: id, th, own_id, text of the documents
+    with a shared minimiser; packed: the stored super-k-mers that spans reads."""
     keyed = _keyed(docs, id_col, text_col)
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     packed = candidates.select("id", "th", "hs", "text").mapInArrow(
         pack, "h long, packed binary, id long, th long, start long")
-    packed = stored(packed.withColumn("pk", F.xxhash64("packed")), "super-kmers")
+    packed = stored(packed.withColumn("pk", F.xxhash64("packed")), "super-kmers")  # on disk until the spans are
     strings = packed.groupBy("h", "pk", "packed").agg(F.min("id").alias("first"))
     crowd = packed.groupBy("h").agg(F.approx_count_distinct("pk").alias("n")).filter(F.col("n") > hot).select("h")
     crowd = crowd.checkpoint()
@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = seen.select("id", "th", "start", F.explode_outer("runs").alias("r")).filter("r.first < id")
     spans = runs.groupBy("id", "th").agg(F.collect_set(F.struct(
         (F.col("start") + F.col("r.a")).alias("from"), (F.col("start") + F.col("r.b") + window).alias("to"))).alias("spans"))
-    return spans, candidates.select("id", "th", "own_id", "text")
+    return spans, candidates.select("id", "th", "own_id", "text"), packed
 
 
 def _owners_one_by_one(strings: DataFrame, window: int) -> DataFrame:
@@ -225,8 +225,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: the id column, n_words, n_removed and kept_text (the
     words that stay, joined by one space)."""
-    spans, candidates = repeated_spans(docs, id_col, text_col, window, gram, hot)
+    spans, candidates, packed = repeated_spans(docs, id_col, text_col, window, gram, hot)
     spans = stored(spans, "repeat-spans")
+    discard(packed)
     changed = candidates.join(spans, ["id", "th"]).select("own_id", "text", "spans")
     same = _keyed(docs, id_col, text_col).join(small(spans.select("id", "th"), MAX_BROADCAST_ROWS), ["id", "th"], "left_anti")
     same = same.select("own_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
