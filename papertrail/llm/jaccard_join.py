@@ -10,8 +10,8 @@ with equal sets are one node.  Two nodes link when
    Linked sets share one of the |A| - ceil(t |A|) + 1 first shingles of any
    such order, so these key the tiles of the point space; tiles of one node
    are dropped.
-2. Points.  The shingles of a candidate are hashed into 64 groups; the
-   counts are its point.  The overlap of two points, or boxes of points, is
+2. Points.  The shingles of a candidate are hashed into 256 groups; the
+   counts are its point, of which trees see sums of four groups first.  The overlap of two points, or boxes of points, is
    at most the sum of their coordinate minima.
 3. Stars.  In every tile the smallest node is held against the others by
    that bound, then exactly; links give components.  A group of a million
@@ -44,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import small, stored
+from papertrail.llm.common import discard, release, small, stored
 from papertrail.llm.components import components
 from papertrail.llm.wordhash import gram_hashes, hashed_words, mixed, slices
 
 BITS = 17
 CROWDED = 8  # times the mean total of a shingle group
-DIMS = 64
+DIMS = 256
+COARSE = 64
+FULL = 255  # a group count that may stand for more
 LEAF = 32
 CHUNK = 2048
 SALT = 500
@@ -181,6 +183,13 @@ def needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
+def _may_overlap(va: np.ndarray, vb: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the sums of coordinate minima reach ``least``, row by row; where
+    both counts of a group are full, the true minimum is unknown."""
+    low = np.minimum(va, vb)
+    return (low.sum(1, dtype="int64") >= least) | (low == FULL).any(1)
+
+
 def within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that their points do not exclude."""
     p = points.select("sid", "n", "vec")
@@ -191,8 +200,8 @@ def within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = (b.column(k).to_numpy() for k in (2, 3))
-            va, vb = (np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column(k)), "uint16").reshape(-1, DIMS) for k in (4, 5))
-            ok = np.minimum(va, vb).sum(1, dtype="int64") >= needed(na.astype("int64"), nb, num, den)
+            va, vb = (np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column(k)), "uint8").reshape(-1, DIMS) for k in (4, 5))
+            ok = _may_overlap(va, vb, needed(na.astype("int64"), nb, num, den))
             yield b.select([0, 1]).filter(pa.array(ok))
 
     return j.mapInArrow(run, "a long, b long")
@@ -230,7 +239,9 @@ def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, sid
     the sum of coordinate minima must reach the overlap that a link needs.
     ``side``: with two values, only pairs across them."""
     order = np.lexsort((comp, size))
-    vec, size, comp, side = vec[order].astype("int32"), size[order], comp[order], side[order]
+    fine, size, comp, side = vec[order], size[order].astype("int64"), comp[order], side[order]
+    vec = fine.reshape(len(fine), COARSE, -1).sum(2, dtype="int32")
+    vec[(fine == FULL).reshape(len(fine), COARSE, -1).any(2)] = 1 << 24  # full: no bound
     cuts = np.arange(0, len(vec), LEAF)
     high = np.maximum.reduceat(vec, cuts, axis=0)
     least, most = np.minimum.reduceat(size, cuts), np.maximum.reduceat(size, cuts)
@@ -253,8 +264,10 @@ def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, sid
                 o = np.minimum(vec[a][:, None, :], vec[b][None, :, :]).sum(2)
                 ok &= o >= needed(size[a][:, None], size[b][None, :], num, den)
                 p, q = np.nonzero(ok)
-                if len(p):
-                    found.append((order[a[p]], order[b[q]]))
+                p, q = a[p], b[q]
+                keep = _may_overlap(fine[p], fine[q], needed(size[p], size[q], num, den))
+                if keep.any():
+                    found.append((order[p[keep]], order[q[keep]]))
     if not found:
         return np.empty(0, "int64"), np.empty(0, "int64")
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -280,7 +293,7 @@ def tree_candidates(members: DataFrame, num: int, den: int, chunk: int) -> DataF
             held.clear()
             if len(set(comp)) < 2:
                 return None
-            v = np.frombuffer(b"".join(vec), "uint16").reshape(len(vec), DIMS)
+            v = np.frombuffer(b"".join(vec), "uint8").reshape(len(vec), DIMS)
             x, y = overlap_bound_pairs(v, np.array(n), np.array(comp), np.array(part), num, den)
             if not len(x):
                 return None
@@ -303,21 +316,27 @@ def tree_candidates(members: DataFrame, num: int, den: int, chunk: int) -> DataF
 def candidate_points(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """sid, n, text and vec (the set's counts in DIMS groups) of the wanted
     nodes, from one document of each."""
-    one = nodes.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("doc")).join(wanted, "sid").select(
-        "sid", "doc.id", "doc.th")
+    rows = nodes.groupBy("sid", "id", "th").agg(F.count(F.lit(1)).alias("m"))
+    one = rows.groupBy("sid").agg(F.min(F.struct("id", "th", "m")).alias("doc")).join(wanted, "sid").select(
+        "sid", "doc.id", "doc.th", (F.col("doc.m") > 1).alias("again"))
     d = _keyed(docs, id_col, text_col)
-    d = d.join(small(one, MAX_BROADCAST_ROWS), d["id"].eqNullSafe(one["id"]) & (d["th"] == one["th"])).select("sid", "text")
+    one = small(one.checkpoint(), MAX_BROADCAST_ROWS)
+    d = d.join(one, d["id"].eqNullSafe(one["id"]) & (d["th"] == one["th"])).select("sid", "text", "again")
+    # only where the table repeats a row is there a choice to make, and a shuffle
+    once = d.filter("not again").select("sid", "text")
+    if not one.filter("again").isEmpty():
+        once = once.unionByName(d.filter("again").select("sid", "text").dropDuplicates(["sid"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
                 sets = shingle_sets(b.column(1), words)[0]
-                vec = [np.minimum(np.bincount((mixed(h) % np.uint64(DIMS)).astype("int64"), minlength=DIMS), 65535)
-                       .astype("uint16").tobytes() for h in sets]
+                vec = [np.minimum(np.bincount((mixed(h) % np.uint64(DIMS)).astype("int64"), minlength=DIMS), FULL)
+                       .astype("uint8").tobytes() for h in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), b.column(1),
                                                   pa.array(vec, pa.binary())], ["sid", "n", "text", "vec"])
 
-    return d.dropDuplicates(["sid"]).mapInArrow(run, "sid long, n int, text string, vec binary")
+    return once.mapInArrow(run, "sid long, n int, text string, vec binary")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9,
@@ -329,9 +348,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = stored(tile_keys(docs, commonness(totals), id_col, text_col, words, num, den), "jaccard-tiles")
     shared = tiles.groupBy("tile").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).filter("centre <> last")
     members = stored(tiles.join(shared.select("tile", "centre"), "tile").distinct(), "jaccard-members")
+    discard(tiles)
     points = stored(candidate_points(docs, nodes, members.select("sid").distinct(), id_col, text_col, words), "jaccard-points")
     star = members.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     links = stored(verified(within_bound(star, points, num, den), points, words, num, den), "jaccard-links")
+    release(docs.sparkSession)
     comps = components(links)
     # tiles that still hold several components
     open_ = members.select("tile", "sid").join(comps, F.col("sid") == F.col("node"), "left").select(
@@ -340,6 +361,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = open_.join(several, "tile").join(points.select("sid", "n", "vec"), "sid")
     pairs = tree_candidates(rest, num, den, chunk)
     more = stored(verified(pairs.join(star, ["a", "b"], "left_anti"), points, words, num, den), "jaccard-links")
+    discard(members)
+    discard(points)
     comps = components(links.unionByName(more)) if not more.isEmpty() else comps
     # every node to its component, every component to its smallest id
     n = nodes.join(comps, nodes["sid"] == comps["node"], "left").select(

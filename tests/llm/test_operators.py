@@ -263,7 +263,7 @@ def test_tree_bound_never_excludes_a_link():
     base = gen.integers(0, 1 << 60, 200).astype("uint64")
     sets = [np.unique(np.where(gen.random(200) < p, gen.integers(0, 1 << 60, 200).astype("uint64"), base))
             for p in gen.random(90) * 0.3]
-    vec = np.stack([np.bincount((wordhash.mixed(s) % np.uint64(jaccard_join.DIMS)).astype(int), minlength=jaccard_join.DIMS) for s in sets])
+    vec = np.stack([np.bincount((wordhash.mixed(s) % np.uint64(jaccard_join.DIMS)).astype(int), minlength=jaccard_join.DIMS) for s in sets]).astype("uint8")
     size, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
     x, y = jaccard_join.overlap_bound_pairs(vec, size, ids, np.zeros(len(sets)), 4, 5)
     found = {frozenset(p) for p in zip(x.tolist(), y.tolist())}
