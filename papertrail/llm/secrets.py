@@ -7,8 +7,8 @@
    neighbouring words (hashed, and whether they name a credential).
 3. A Spark ML random forest is trained on labelled findings, about
    ``max_train`` of each label by the hash of (id, start); that bound and the
-   dictionary's ``sample_rows`` are its only limits.  Every candidate of every
-   whole text is scored.
+   number of dictionary ``words``, counted over all rows, are its only limits.
+   Every candidate of every whole text is scored.
 
 Defined cases: a null text has no candidates; a null path has none of the
 path features; null ids and repeated rows are scanned each; with findings
@@ -30,10 +30,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import sampled, stored
+from papertrail.llm.common import discard, sampled, stored
 
 MAX_TRAIN = 10_000
-SAMPLE_ROWS = 20_000
 DICTIONARY_WORDS = 20_000
 NEAR = 48  # characters of context on either side
 HASHED = 16
@@ -92,12 +91,23 @@ def feature_row(finding: str, before: str, after: str, path: str | None, diction
     return out + _hashed(left[-1] if left else "") + _hashed(right[0] if right else "")
 
 
-def dictionary_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
-                  words: int = DICTIONARY_WORDS) -> frozenset:
-    """The most frequent words of 3 to 12 letters of about ``sample_rows`` rows."""
-    w = F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\b[a-z]{3,12}\b"), F.lit(0)))
-    top = sampled(docs, [id_col, text_col], sample_rows).select(w.alias("w")).filter("w is not null").groupBy("w").count()
-    return frozenset(r["w"] for r in top.filter("count > 1").orderBy(F.desc("count"), "w").limit(words).collect())
+def dictionary_of(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> frozenset:
+    """The about ``words`` most frequent words of 3 to 12 letters of all rows,
+    counted in each task before the shuffle; ties for the last places go by the
+    word's hash.  Only how many words have each count, and the words kept, are
+    sent to the driver."""
+    w = F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\b[a-z]{3,12}\b"), F.lit(0)))
+    counts = stored(docs.select(w.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-counts")
+    left, keep = words, F.lit(False)
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        keep = F.col("n") >= r["n"]
+        if r["words"] > left:
+            keep = (F.col("n") > r["n"]) | ((F.col("n") == r["n"]) & (F.pmod(F.xxhash64("w"), F.lit(r["words"])) < left))
+            break
+        left -= r["words"]
+    out = frozenset(r["w"] for r in counts.filter(keep).collect())
+    discard(counts)
+    return out
 
 
 def findings(docs: DataFrame, dictionary: frozenset, id_col: str = "doc_id", text_col: str = "text",

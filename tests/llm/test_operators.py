@@ -530,6 +530,16 @@ def test_secret_scan_edge_cases(spark, docs, none):
     assert secrets.findings(none, d).count() == 0 and secrets.dictionary_of(none) == frozenset()
 
 
+def test_secret_scan_dictionary_counts_all_rows(spark):
+    rare = [f"{a}{b}" for a in ("quark", "lepton", "boson") for b in ("ab", "cd", "ef", "gh")]
+    sub = F.get(F.array(*map(F.lit, rare)), F.floor(F.col("id") / 2_000).cast("int"))
+    df = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2_000 < 2, sub).otherwise("plain").alias("text"))
+    assert secrets.dictionary_of(df) == frozenset([*rare, "plain"])
+    assert secrets.dictionary_of(df, words=1) == {"plain"}
+    some = secrets.dictionary_of(df, words=7)
+    assert "plain" in some and 1 < len(some) < 13
+
+
 # --------------------------------------------------------- empty tables
 
 
