@@ -185,5 +185,5 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = secrets.findings(docs, secrets.dictionary_of(docs), path_col="source")
     found = stored(found, "secret-candidates")
-    forest = secrets.train(found.withColumn("label", secrets.reviewed(F.col("before"))))
+    forest = secrets.train(found.withColumn("label", secrets.reviewed(F.col("before"), F.col("finding"))))
     return secrets.score(found, forest).select("doc_id", "start", "finding", "score", (F.col("score") >= 0.5).alias("is_secret"))

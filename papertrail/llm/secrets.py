@@ -1,10 +1,14 @@
 """Secret scan with a random forest that removes false positives.
 
-1. Candidates: runs of 16 or more key characters (letters, digits, + / = _
-   and -) that hold a digit or have at least 24 characters.
+1. Candidates: runs of 16 or more key characters (letters, digits, + / _ and
+   -, with = only as padding at the end) that hold a digit or have at least 24
+   characters, and JSON web tokens.  So ``NAME=value`` is not one run: the value
+   is the finding and the name is its context.  A value that is assigned to the
+   name of a credential is a candidate at any length if it is quoted, holds a
+   digit or has 16 characters.
 2. Features: length, entropy, the shares of character classes and of the
-   transitions between them, dictionary coverage, the path's parts, and the
-   neighbouring words (hashed, and whether they name a credential).
+   transitions between them, dictionary coverage, a known key prefix, the
+   path's parts, and the neighbouring words (hashed, and whether they name a credential).
 3. A Spark ML random forest is trained on labelled findings, about
    ``max_train`` of each label by the hash of (id, start); that bound and the
    number of dictionary ``words``, counted over all rows, are its only limits.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,18 +42,33 @@ DICTIONARY_WORDS = 20_000
 NEAR = 48  # characters of context on either side
 HASHED = 16
 
-_RUN = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+_KEY = "[A-Za-z0-9+/_-]"
+_KEYS = frozenset("+/_-" + string.ascii_letters + string.digits)
+_RUN = re.compile(rf"eyJ[\w-]{{8,}}\.[\w-]{{8,}}\.[\w-]*|{_KEY}{{16,}}(?:={{1,2}}(?![A-Za-z0-9+/=_-]))?", re.A)
+_SHORT = re.compile(rf"(?:=>|[=:])\s*([\"']?)({_KEY}{{1,15}}+(?:={{1,2}}(?![A-Za-z0-9+/=_-]))?)")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\w+")
-_CREDENTIAL = re.compile(r"(?i)(api|auth|access|private|secret|token|passw|pwd|credential|key)")
-_ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential)s?[\"']?\s*(=|:|=>)\s*[\"']?$"
+_CREDENTIAL = re.compile(r"(?i)(api|auth|access|private|secret|token|passw|pwd|credential|key|bearer)")
+_NAME = r"(token|((secret|auth)[ _-]?key)|secret|passw(or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential)s?[\"']?\s*"
+_ASSIGNED = rf"(?i){_NAME}(=|:|=>)\s*[\"']?$"
+_BEARER = r"(?i)(\bbearer\s+|\bauthorization[\"']?\s*(=|:|=>)\s*[\"']?([a-z]+\s+)?)[\"']?$"
+_PREFIX = (r"^/?(A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20}|github_pat_|glpat-|[sr]k_(live|test)_|xox[abeoprs]-|AIza[\w-]{30}"
+           r"|npm_[A-Za-z0-9]{30}|hf_[A-Za-z]{30}|eyJ[\w-]+\.)")
+_NAMED = re.compile(rf"(?i){_NAME}$")
+_ASSIGNED_RUN = re.compile(_ASSIGNED)
+_KNOWN = re.compile(_PREFIX)
 _PATH_PARTS = ("test", "example", "sample", "doc", "fixture", "mock", "config", "env", "lock")
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
-    for m in _RUN.finditer(text):
-        if len(m[0]) >= 24 or _DIGIT.search(m[0]):
-            yield m.start(), m[0]
+    found = [(m.start(), m[0]) for m in _RUN.finditer(text) if len(m[0]) >= 24 or _DIGIT.search(m[0])
+             or _ASSIGNED_RUN.search(text[max(0, m.start() - NEAR):m.start()])]
+    long = {at for at, _ in found}
+    for m in _SHORT.finditer(text):
+        if (m[1] or _DIGIT.search(m[2])) and m.start(2) not in long and text[m.end():m.end() + 1] not in _KEYS \
+                and _NAMED.search(text[max(0, m.start() - NEAR):m.start()]):
+            found.append((m.start(2), m[2]))
+    return iter(sorted(found))
 
 
 def _kind(c: str) -> int:
@@ -80,8 +100,9 @@ def feature_row(finding: str, before: str, after: str, path: str | None, diction
     moves = Counter(zip(kinds, kinds[1:]))
     out = [math.log2(n), float(n % 4 == 0), -sum(c / n * math.log2(c / n) for c in counts.values())]
     out += [kinds.count(k) / n for k in range(4)]
-    out += [moves[i, j] / (n - 1) for i in range(4) for j in range(4)]
-    out += [sum(c in "0123456789abcdefABCDEF" for c in finding) / n, coverage(finding, dictionary)]
+    out += [moves[i, j] / max(n - 1, 1) for i in range(4) for j in range(4)]
+    out += [sum(c in "0123456789abcdefABCDEF" for c in finding) / n, coverage(finding, dictionary),
+            float(bool(_KNOWN.search(finding)))]
     p = (path or "").lower()
     out += [float(p.count("/")), *(float(x in p) for x in _PATH_PARTS)]
     left, right = _WORD.findall(before)[-2:], _WORD.findall(after)[:1]
@@ -137,10 +158,12 @@ def findings(docs: DataFrame, dictionary: frozenset, id_col: str = "doc_id", tex
     return d.mapInArrow(run, f"doc_id {kind}, start long, finding string, before string, after string, features array<double>")
 
 
-def reviewed(before: Column) -> Column:
+def reviewed(before: Column, finding: Column) -> Column:
     """Label of a finding by a reviewer's rule: it is assigned to the name of a
-    credential.  Callers with findings labelled by hand use those instead."""
-    return F.regexp_like(before, F.lit(_ASSIGNED)).cast("double")
+    credential, follows ``Bearer`` or ``Authorization:``, or has the prefix of a
+    known kind of key.  Callers with findings labelled by hand use those instead."""
+    found = F.regexp_like(before, F.lit(_ASSIGNED)) | F.regexp_like(before, F.lit(_BEARER)) | F.regexp_like(finding, F.lit(_PREFIX))
+    return found.cast("double")
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = 30, depth: int = 8, seed: int = 7):
