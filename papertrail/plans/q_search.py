@@ -4,6 +4,8 @@ the chunked `documents` corpus)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from papertrail.functions import prompts as PR
@@ -14,7 +16,7 @@ from papertrail.operators import retrieval as R
 from papertrail.plans import duck as D
 from papertrail.plans import retrieve as RT
 from papertrail.plans.registry import register
-from papertrail.session import table
+from papertrail.session import scratch_path, table
 
 # ------------------------------------------------------------------ SQL builders
 
@@ -292,7 +294,10 @@ def _store_chunks(spark, sf):
 
 
 def _build_index(spark, sf):
-    ch = _store_chunks(spark, sf)
+    idx = RT.write_index(_store_chunks(spark, sf), scratch_path(spark, f"index-{uuid.uuid4().hex}"))
+    # the chunks read back that have both their vector and their terms
+    ch = idx.chunks.select("cid").join(idx.vectors.select("cid"), "cid", "left_semi")
+    ch = ch.join(idx.bm25.lengths.select(F.col("doc_id").alias("cid")), "cid", "left_semi")
     m = RT.index_manifest(ch)
     return m.drop("embedding_model")
 

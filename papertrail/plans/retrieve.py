@@ -25,6 +25,7 @@ from papertrail.functions.text import route_query
 from papertrail.operators import corpus as C
 from papertrail.operators import retrieval as R
 from papertrail.operators.chunk import chunk_fixed
+from papertrail.sources import sinks as SK
 
 CHUNK_SIZE = 4096
 CHUNK_OVERLAP = 1024
@@ -73,6 +74,49 @@ def build_index(chunks: DataFrame, dims: int = 64, embed_fn=None, materialize: b
     return StoreIndex(chunks, vec, bm)
 
 
+def write_index(chunks: DataFrame, path: str, dims: int = 64, shard_size: int = 100_000) -> StoreIndex:
+    """Build the index of ``chunks`` below ``path`` and return it as read back:
+    ``shards`` and ``manifest`` (save_index), ``terms`` (Bm25Index.save) and
+    ``vectors``."""
+    SK.save_index(chunks, path, "cid", shard_size)
+    saved = read_chunks(chunks.sparkSession, path, chunks.schema)
+    R.bm25_index(saved, "cid", "text").save(f"{path}/terms")
+    terms = R.Bm25Index.load(chunks.sparkSession, f"{path}/terms").doc_terms
+    R.embedding_from_terms(terms, dims).withColumnRenamed("doc_id", "cid").write.mode("overwrite").parquet(f"{path}/vectors")
+    return read_index(chunks.sparkSession, path, chunks.schema)
+
+
+def read_chunks(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/shards").select(*schema.names)
+
+
+def read_index(spark, path: str, schema) -> StoreIndex:
+    """The index that :func:`write_index` or :func:`refresh_index` left at
+    ``path``; ``schema`` is that of its chunks."""
+    return StoreIndex(read_chunks(spark, path, schema), spark.read.parquet(f"{path}/vectors"),
+                      R.Bm25Index.load(spark, f"{path}/terms"))
+
+
+def refresh_index(old: StoreIndex, delta: DataFrame, docs: DataFrame, path: str, chunk_fn, path_col: str = "source",
+                  dims: int = 64, shard_size: int = 100_000) -> StoreIndex:
+    """``old`` brought up to date with ``delta`` (path, action; T2) and written
+    to the new folder ``path``.  Chunks, terms and vectors of removed and changed
+    paths are dropped; only the ``docs`` of new and changed paths are chunked
+    (``chunk_fn``), tokenised and embedded."""
+    spark = docs.sparkSession
+    at = lambda *actions: delta.filter(F.col("action").isin(*actions)).select(F.col("path").alias(path_col)).distinct()
+    gone = at("removed", "changed")
+    kept = old.chunks.join(gone, path_col, "left_anti")
+    lost = old.chunks.join(gone, path_col, "left_semi").select("cid")
+    fresh = chunk_fn(docs.join(at("new", "changed"), path_col, "left_semi")).select(*old.chunks.columns).checkpoint()
+    SK.save_index(kept.unionByName(fresh), path, "cid", shard_size)
+    terms = R.bm25_index(fresh, "cid", "text").materialize().doc_terms
+    vectors = R.embedding_from_terms(terms, dims).withColumnRenamed("doc_id", "cid")
+    R.Bm25Index(old.bm25.doc_terms.join(lost.withColumnRenamed("cid", "doc_id"), "doc_id", "left_anti").unionByName(terms)).save(f"{path}/terms")
+    old.vectors.join(lost, "cid", "left_anti").unionByName(vectors).write.mode("overwrite").parquet(f"{path}/vectors")
+    return read_index(spark, path, old.chunks.schema)
+
+
 def build_store_indexes(chunks: DataFrame, store_col: str, stores, dims: int = 64) -> dict:
     """One tokenisation and one checkpoint for all stores; each store's
     index is a filter of the shared term table (its BM25 statistics are

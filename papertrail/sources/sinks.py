@@ -85,9 +85,10 @@ def save_index(df: DataFrame, path: str, id_col: str, shard_size: int = 100_000,
     from papertrail.operators.corpus import batch_no
 
     rows = batch_no(df, id_col, shard_size, "shard_no", "_seq").drop("_seq")
-    rows.repartition("shard_no").write.mode(mode).partitionBy("shard_no").parquet(f"{path}/shards")
+    # rows come range-partitioned by id: a task writes the few shards it overlaps
+    rows.write.mode(mode).partitionBy("shard_no").parquet(f"{path}/shards")
     spark = df.sparkSession
-    counts = spark.read.parquet(f"{path}/shards").groupBy("shard_no").agg(F.count(F.lit(1)).alias("n"))
+    counts = spark.read.schema(rows.schema).parquet(f"{path}/shards").groupBy("shard_no").agg(F.count(F.lit(1)).alias("n"))
     man = counts.agg(F.sum("n").alias("total_docs"), F.count(F.lit(1)).alias("num_shards"),
                      F.array_sort(F.collect_list(F.concat(F.lit("shard_no="), F.col("shard_no").cast("string")))).alias("shards"))
     man = man.select(
