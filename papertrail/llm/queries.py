@@ -187,3 +187,46 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(found, "secret-candidates")
     forest = secrets.train(found.withColumn("label", secrets.reviewed(F.col("before"), F.col("finding"))))
     return secrets.score(found, forest).select("doc_id", "start", "finding", "score", (F.col("score") >= 0.5).alias("is_secret"))
+
+
+@register("op11_fill_in_middle", """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, lo) AS pre, substr(t, lo + 1, hi - lo) AS mid, substr(t, hi + 1, n - hi) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papertrail.llm.fim import fill_in_middle, restored
+
+    out = fill_in_middle(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op12_pattern_packing")
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papertrail.llm.pattern_packing import pieces_of, place
+
+    pieces = pieces_of(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from papertrail.llm.alignment import align, with_counts
+
+    aligned = align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                    public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
