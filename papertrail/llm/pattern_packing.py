@@ -49,25 +49,33 @@ MAX_OFFSETS = 1 << 20  # rows of the (task, length) table that may be broadcast
 
 def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048,
               end_id: int | None = 0) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (little-endian uint32)."""
+    """One row per piece: doc_id, piece, start, length, ids (little-endian
+    uint32), and ``task`` and ``rank``: the earlier pieces of that length in the
+    task that made it (they hold for one run: store the rows, as :func:`place` does)."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     step = 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
         for batch in batches:
             for b in slices(batch, 1):
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                     ids = text_ids(text.as_py(), path) + end
-                    rows.extend((doc, k, at // 4, (min(at + step, len(ids)) - at) // 4, ids[at:at + step])
-                                for k, at in enumerate(range(0, len(ids), step)))
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at:at + step]
+                        n = len(part) // 4
+                        rows.append((doc, k, at // 4, n, part, task, seen[n]))
+                        seen[n] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    names = ["doc_id", "piece", "start", "length", "ids"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "piece", "start", "length", "ids", "task", "rank"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     d = docs.select(F.col(id_col).cast("long").alias("a"), F.coalesce(text_col, F.lit("")).cast("binary").alias("b"))
-    return d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, task long, rank long")
 
 
 def patterns(present: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,47 +195,22 @@ class Plan:
         return np.array(sorted(self.rows), "int64").reshape(-1, 5)
 
 
-def ranked(pieces: DataFrame, max_tokens: int) -> DataFrame:
-    """``pieces`` with ``_task`` and ``_rank``, the number of earlier pieces
-    of that length in the task.  The rows' task is fixed once they are stored."""
-    names = pieces.columns
-    at = names.index("length")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        seen = np.zeros(max_tokens + 1, "int64")
-        task = TaskContext.get().partitionId()
-        for b in batches:
-            length = b.column(at).to_numpy()
-            order = np.argsort(length, kind="stable")
-            run_of = length[order]
-            first = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1])) if len(run_of) else np.empty(0, "int64")
-            sizes = np.diff(np.append(first, len(run_of)))
-            rank = np.empty(len(length), "int64")
-            rank[order] = np.arange(len(length)) - np.repeat(first, sizes) + seen[run_of]
-            seen[run_of[first]] += sizes
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), task)), pa.array(rank)],
-                                             [*names, "_task", "_rank"])
-
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    return pieces.mapInArrow(run, ", ".join([*kinds, "_task long, _rank long"]))
-
-
 def place(pieces: DataFrame, max_tokens: int = 2048, max_offsets: int = MAX_OFFSETS) -> DataFrame:
-    """``pieces`` (any columns, among them ``length`` from 1 to ``max_tokens``)
-    with ``sequence_id`` and ``offset``.
+    """``pieces`` (any columns; ``length`` from 1 to ``max_tokens``, ``task`` and
+    ``rank`` as :func:`pieces_of` gives them) with ``sequence_id`` and ``offset``
+    in place of ``task`` and ``rank``.
 
     The counts of the tasks, by which a rank in the task becomes one in the
     corpus, are broadcast up to ``max_offsets`` rows; beyond that they are
     joined by task and length, of which each task has at most its own rows.
     """
     spark = pieces.sparkSession
-    kept = stored(ranked(pieces, max_tokens), "pieces")
-    names = pieces.columns
-    counts = kept.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.select("_task", "length", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "piece-counts")
+    kept = stored(pieces, "pieces")
+    fields = [f for f in pieces.schema.fields if f.name not in ("task", "rank")]
+    names = [f.name for f in fields]
+    counts = kept.groupBy("task", "length").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.select("task", "length", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "piece-counts")
     histogram = np.zeros(max_tokens + 1, "int64")
     for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most max_tokens rows
         histogram[r["length"]] = r["n"]
@@ -245,9 +228,9 @@ def place(pieces: DataFrame, max_tokens: int = 2048, max_offsets: int = MAX_OFFS
                 [*b.columns[:len(names)], pa.array(row[:, 3] + nth // row[:, 2]), pa.array(row[:, 4] + nth % row[:, 2] * length)],
                 [*names, "sequence_id", "offset"])
 
-    offsets = small(counts.select("_task", "length", "_before"), max_offsets)
-    whole = kept.join(offsets, ["_task", "length"]).select(*names, (F.col("_rank") + F.col("_before")).alias("_copy"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
+    offsets = small(counts.select("task", "length", "_before"), max_offsets)
+    whole = kept.join(offsets, ["task", "length"]).select(*names, (F.col("rank") + F.col("_before")).alias("_copy"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     return whole.mapInArrow(run, ", ".join([*kinds, "sequence_id long, offset long"]))
 
 
