@@ -39,7 +39,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,101 +258,89 @@ def aligner(a_path: str, b_path: str, entries: int = CACHE_ENTRIES) -> Aligner:
     return _WORKER[a_path, b_path]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
-          cache_entries: int = CACHE_ENTRIES) -> DataFrame:
-    """One row per document: doc_id, n_a, n_b, n_groups, n_links, ``groups``
-    (``a1,a2|b1;a3|b2,b3``: ids in order) and ``links`` (int64 A id << 32 | B id
-    of every overlapping pair)."""
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, 1, 1 << 20):
-                groups, links, counts = aligner(a_path, b_path, cache_entries).texts([t.as_py() for t in b.column(1)])
-                n_links = pc.divide(pc.binary_length(links), 8)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in counts.T), n_links,
-                                                  groups.cast(pa.binary()).cast(pa.string()), links.cast(pa.binary())], names)
-
-    d = docs.select(F.col(id_col).cast("long").alias("a"), F.coalesce(text_col, F.lit("")).cast("binary").alias("b"))
-    return d.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary")
-
-
-def blocked(aligned: DataFrame, block_links: int) -> DataFrame:
-    """The rows by blocks: each document's links as numbers in its block's table
-    of distinct pairs (``_at``, int32), and each block's table as a row of its
-    own (``_pairs``, ``_n``), whose other columns are null."""
-    kept = [f for f in aligned.schema.fields if f.name != "links"]
-    names = [f.name for f in kept]
-    links_at = aligned.columns.index("links")
+def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
+                   cache_entries: int = CACHE_ENTRIES, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """The first pass, for :func:`with_counts`.  One row per document: doc_id,
+    n_a, n_b, n_groups, n_links, ``groups`` (``a1,a2|b1;a3|b2,b3``: ids in order),
+    its ``block`` and ``links`` (int32: every overlapping pair's number in the
+    block's table); and one row per block with its table of distinct pairs
+    (``pairs``, A id << 32 | B id) and how many links hold each (``times``)."""
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "block", "links", "pairs", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, made = TaskContext.get().partitionId() << 32, 0
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []  # id, links and the other columns of slices
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            column = rows.column(links_at).combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            raw = [x.as_py() for x in column]
-            pairs, at, n = np.unique(np.frombuffer(b"".join(raw), "int64"), return_inverse=True, return_counts=True)
-            number, ends = at.astype("<i4").tobytes(), np.append(0, np.cumsum([len(x) // 2 for x in raw])).tolist()
-            block = pa.array(np.full(rows.num_rows, base + made))
-            docs = pa.Table.from_arrays([*rows.drop_columns(["links"]).columns, block,
-                                         pa.array([number[x:y] for x, y in zip(ends, ends[1:])], pa.binary()),
-                                         pa.nulls(rows.num_rows, pa.list_(pa.int64())), pa.nulls(rows.num_rows, pa.list_(pa.int64()))], schema=schema)
-            own = [pa.nulls(1, f.type) for f in schema][:len(names)]
-            table = pa.Table.from_arrays([*own, pa.array([base + made]), pa.nulls(1, pa.binary()),
-                                          pa.array([pairs], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))], schema=schema)
-            yield from docs.to_batches()
-            yield from table.to_batches()
-
-        schema = None
-        for b in batches:
-            if schema is None:
-                schema = pa.schema([*(b.schema.field(k) for k in range(len(b.schema)) if k != links_at), pa.field("_block", pa.int64()),
-                                    pa.field("_at", pa.binary()), pa.field("_pairs", pa.list_(pa.int64())), pa.field("_n", pa.list_(pa.int64()))])
-                schema = pa.schema([f.with_nullable(True) for f in schema])
-            for part in slices(b, links_at, 2 * block_links):
-                size += part.column(links_at).nbytes // 8
-                held.append(part)
+            pairs, number, times = np.unique(np.concatenate([p for _, p, _ in held]), return_inverse=True, return_counts=True)
+            number, at = number.astype("<i4"), 0
+            for columns, own, ends in held:
+                part = pa.py_buffer(number[at:at + len(own)])
+                at += len(own)
+                links = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(4 * ends), part])
+                n = len(links)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, base + made)), links.cast(pa.binary()),
+                                                  pa.nulls(n, longs), pa.nulls(n, longs)], names)
+            own = [*(pa.nulls(1, c.type) for c in held[0][0]), pa.array([base + made]), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([pairs], longs), pa.array([times], longs)], names)
+
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            for b in slices(batch, 1, 1 << 20):
+                groups, links, counts = aligner(a_path, b_path, cache_entries).texts([t.as_py() for t in b.column(1)])
+                at, data = _joined(links)
+                ends = (at - at[0]) // 8
+                own = np.frombuffer(data, "int64", ends[-1], at[0])
+                held.append(([b.column(0), *(pa.array(c) for c in counts.T), pa.array(np.diff(ends)), groups.cast(pa.binary()).cast(pa.string())],
+                             own, ends))
+                size += len(own)
                 if size >= block_links:
                     yield from flush()
                     held, size, made = [], 0, made + 1
         if held:
             yield from flush()
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return aligned.mapInArrow(run, ", ".join([*kinds, "_block long, _at binary, _pairs array<long>, _n array<long>"]))
-
-
-def with_counts(aligned: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
-    """``aligned`` (any columns and ``links``) without ``links``, with ``n_best``
-    (links whose pair is the most frequent of its B id in the whole table, ties
-    included) and ``count_sum`` (the links' pairs' frequencies added up)."""
-    blocks = stored(blocked(aligned, block_links), "alignment-blocks")
-    names = [c for c in aligned.columns if c != "links"]
-    table = blocks.filter(F.col("_pairs").isNotNull()).select("_block", F.posexplode(F.arrays_zip("_pairs", "_n")).alias("_k", "_p")).select(
-        "_block", "_k", F.col("_p._pairs").alias("_pair"), F.col("_p._n").alias("_n"))
+    d = docs.select(F.col(id_col).cast("long").alias("a"), F.coalesce(text_col, F.lit("")).cast("binary").alias("b"))
+    return d.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, block long, links binary, "
+                             "pairs array<long>, times array<long>")
+
+
+def with_counts(blocks: DataFrame) -> DataFrame:
+    """The documents of :func:`aligned_blocks` (any further columns) with
+    ``n_best`` (links whose pair is the most frequent of its B id in the whole
+    table, ties included) and ``count_sum`` (the links' pairs' frequencies added
+    up) in place of the blocks' columns."""
+    fields = [f for f in blocks.schema.fields if f.name not in ("block", "links", "pairs", "times")]
+    names = [f.name for f in fields]
+    blocks = stored(blocks, "alignment-blocks")
+    zipped = F.posexplode(F.arrays_zip("pairs", "times")).alias("_k", "_p")
+    table = blocks.filter(F.col("pairs").isNotNull()).select("block", zipped).select(
+        F.col("block").alias("_of"), "_k", F.col("_p.pairs").alias("_pair"), F.col("_p.times").alias("_n"))
     counts = table.groupBy("_pair").agg(F.sum("_n").alias("_count"))
     # a B id is linked to at most A's vocabulary of ids
-    counts = counts.withColumn("_best", F.col("_count") == F.max("_count").over(Window.partitionBy(F.col("_pair").bitwiseAND((1 << 32) - 1))))
-    seen = table.drop("_n").join(counts, "_pair").select(F.col("_block").alias("_of"), "_k", "_count", "_best")
-    docs = blocks.filter(F.col("_pairs").isNull()).select(*names, "_block", "_at")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names]
+    of_b = Window.partitionBy(F.col("_pair").bitwiseAND((1 << 32) - 1))
+    counts = counts.withColumn("_best", F.col("_count") == F.max("_count").over(of_b))
+    seen = table.join(counts, "_pair").select("_of", "_k", "_count", "_best")
+    docs = blocks.filter(F.col("pairs").isNull()).select(*names, "block", "links")
 
     def add_up(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         count, best = np.zeros(pairs.num_rows, "int64"), np.zeros(pairs.num_rows, "int64")
         k = pairs.column("_k").to_numpy()
         count[k], best[k] = pairs.column("_count").to_numpy(), pairs.column("_best").to_numpy()
-        raw = [x.as_py() for x in rows.column("_at")]
+        raw = [x.as_py() for x in rows.column("links")]
         at = np.frombuffer(b"".join(raw), "<i4")
         ends = np.append(0, np.cumsum([len(x) // 4 for x in raw]))
         total = lambda x: np.diff(np.append(0, np.cumsum(x[at]))[ends])
         out = rows.select(names)
         return out.append_column("n_best", pa.array(total(best))).append_column("count_sum", pa.array(total(count)))
 
-    return docs.groupBy("_block").cogroup(seen.groupBy("_of")).applyInArrow(
-        add_up, ", ".join([*kinds, "n_best long, count_sum long"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    return docs.groupBy("block").cogroup(seen.groupBy("_of")).applyInArrow(add_up, ", ".join([*kinds, "n_best long, count_sum long"]))
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum."""
+    return with_counts(aligned_blocks(docs, a_path, b_path, id_col, text_col))

@@ -224,9 +224,9 @@ def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from papertrail.llm.alignment import align, with_counts
+    from papertrail.llm.alignment import aligned_blocks, with_counts
 
-    aligned = align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                    public_tokenizers.path("piece_bpe_32k.model"))
+    blocks = aligned_blocks(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    return with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return with_counts(blocks.withColumn("groups_sha256", digest).drop("groups"))

@@ -73,7 +73,7 @@ def expected(rows):
 @pytest.mark.parametrize("block_links,entries", [(1 << 20, 1 << 19), (500, 50)])
 def test_alignment_and_counts(spark, rows, block_links, entries):
     docs = spark.createDataFrame([(*r, "x", 1.0, 2) for r in rows], SCHEMA).repartition(4)
-    got = al.with_counts(al.align(docs, A, B, cache_entries=entries), block_links)
+    got = al.with_counts(al.aligned_blocks(docs, A, B, cache_entries=entries, block_links=block_links))
     got = got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("n_a") < 5000, F.col("groups")))
     assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
 
@@ -99,6 +99,6 @@ def test_one_chain_over_a_long_text():
 
 def test_a_table_without_tokens_and_an_empty_one(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "▁")], "doc_id long, text string")
-    got = al.with_counts(al.align(docs, A, B)).drop("groups")
+    got = al.align(docs, A, B).drop("groups")
     assert sorted(map(tuple, got.collect())) == [(k, 0, 0, 0, 0, 0, 0) for k in (1, 2, 3)]
-    assert al.with_counts(al.align(docs.limit(0), A, B)).collect() == []
+    assert al.align(docs.limit(0), A, B).collect() == []
