@@ -17,6 +17,7 @@ _MODULES = [
     "papertrail.plans.q_ml",
     "papertrail.plans.q_extract",
     "papertrail.plans.q_io",
+    "papertrail.plans.q_refresh",
 ]
 
 
