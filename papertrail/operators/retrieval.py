@@ -376,12 +376,6 @@ def stuff_context(hits: DataFrame, query: str, rank: str, text: str, sep: str =
                                           lambda s: s["t"]), sep).alias("context")))
 
 
-def history_before(df: DataFrame, conv: str, turn: str, role: str = "role", text: str = "text") -> DataFrame:
-    """All earlier turns of the conversation, in order."""
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("history", F.collect_list(F.struct(F.col(role).alias("role"), F.col(text).alias("text"))).over(w))
-
-
 def idf_overlap_rerank(hits: DataFrame, qterms: DataFrame, index: Bm25Index, qid: str, doc: str,
                        top_n: int = 3) -> DataFrame:
     """Default reranker: Σ idf over distinct question terms present in the hit."""

@@ -21,6 +21,7 @@ from papertrail.plans.registry import SQL, register
 from papertrail.session import scratch_path, table
 from papertrail.sources import readers as RD
 from papertrail.sources import sinks as SK
+from papertrail.streaming import chat as CHAT
 from papertrail.streaming import incremental as INC
 
 
@@ -262,10 +263,11 @@ def _chat_state(spark, sf):
     src, sink = _scratch(spark, "chat-src"), _scratch(spark, "chat-sink")
     c.write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(c.schema).parquet(src)
-    out = INC.chat_state(stream)
-    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _scratch(spark, "chat-ckpt"))
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    out = CHAT.chat_state(stream)
+    with CHAT.state_store(spark):
+        q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _scratch(spark, "chat-ckpt"))
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(sink)
 
 

@@ -12,6 +12,7 @@ from papertrail.functions import prompts as PR
 from papertrail.functions.text import route_query, tokenize
 from papertrail.operators import chunk as K
 from papertrail.operators import corpus as C
+from papertrail.operators import history as H
 from papertrail.operators import retrieval as R
 from papertrail.plans import duck as D
 from papertrail.plans import retrieve as RT
@@ -227,7 +228,7 @@ SELECT qid, rank, id AS doc_id, round(rerank_score, 6) AS rerank_score FROM (
 
 def _chat_history(spark, sf):
     c = table(spark, sf, "conversations")
-    h = R.history_before(c, "conv_id", "turn")
+    h = H.history_before(c, "conv_id", "turn")
     txt = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
     return h.select("conv_id", "turn", F.size("history").cast("long").alias("n_history"), txt.alias("history_text"))
 

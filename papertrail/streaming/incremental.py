@@ -1,5 +1,5 @@
 """Incremental refresh against a manifest, and Structured Streaming
-ingestion (A18, A19, T1, T2, T3).
+ingestion (A18, A19, T1, T2).
 
 Batch refresh is a pair of anti joins on (path, modification time):
 only new or changed files are re-processed and removed files are
@@ -70,41 +70,3 @@ def stream_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, chec
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def chat_state(stream: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-               text: str = "text", max_turns: int | None = None, idle_ms: int | None = None) -> DataFrame:
-    """Conversation history as streaming state (T3): for each incoming turn
-    emit every earlier turn of the conversation (or the last
-    ``max_turns``), keyed by conversation with ``applyInPandasWithState``.
-    With ``idle_ms`` the state of a conversation that had no turn for so long
-    is dropped."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    out_schema = f"{conv} long, {turn} long, n_history long, history_text string"
-    state_schema = "turns array<long>, lines array<string>"
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns, lines = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
-        rows = []
-        for pdf in pdfs:
-            for t, r, x in sorted(zip(pdf[turn], pdf[role], pdf[text]), key=lambda z: z[0]):
-                prev = [ln for tt, ln in sorted(zip(turns, lines)) if tt < t]
-                prev = prev[-max_turns:] if max_turns else prev
-                rows.append((key[0], int(t), len(prev), "\n".join(prev)))
-                turns.append(int(t))
-                lines.append(f"{r}: {x}")
-        keep = sorted(zip(turns, lines))
-        keep = keep[-max_turns:] if max_turns else keep
-        state.update(([t for t, _ in keep], [ln for _, ln in keep]))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=[conv, turn, "n_history", "history_text"])
-
-    return stream.groupBy(conv).applyInPandasWithState(step, out_schema, state_schema, "append",
-                                                        GroupStateTimeout.ProcessingTimeTimeout if idle_ms
-                                                        else GroupStateTimeout.NoTimeout)
