@@ -15,22 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
 PART_TURNS = 64
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # with a time to live every batch asks for another, and a run over what is available would not end
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state where map state is supported."""
-    was = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    """Queries started inside keep their state where map state is supported, and
+    run no batches without data."""
+    was = {k: spark.conf.get(k, None) for k in _CONF}
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if was is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class ChatHistory(StatefulProcessor):
