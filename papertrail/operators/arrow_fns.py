@@ -9,31 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _lcs_len(a, b) -> int:
-    import numpy as np
-
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    if len(a) < len(b):
-        a, b = b, a
-    vocab = {t: i for i, t in enumerate(set(a) | set(b))}
-    bi = np.array([vocab[t] for t in b])
-    prev = np.zeros(len(b) + 1, dtype=np.int64)
-    for t in a:
-        diag = np.where(bi == vocab[t], prev[:-1] + 1, 0)
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        cur[1:] = np.maximum(prev[1:], diag)
-        prev = np.maximum.accumulate(cur)
-    return int(prev[-1])
-
-
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence length of two token arrays, per row."""
-    return pd.Series([_lcs_len(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
-
-
 def vector_udf(fn):
     """Wrap ``fn(pd.Series[str]) -> list[list[float]]`` as an Arrow UDF."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))

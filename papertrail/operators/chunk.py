@@ -34,67 +34,64 @@ def chunk_fixed(df: DataFrame, text: str, size: int = 4096, overlap: int = 1024,
     return df.select("*", F.posexplode(chunks).alias(id_col, out))
 
 
-def _recursive_split(text: str, size: int, overlap: int, seps=("\n\n", "\n", " ", "")) -> list:
-    """Separator-aware packing.
-
-    The text is cut into pieces of at most ``size`` characters, first at
-    blank lines, pieces still too long at line ends, then at spaces, then
-    at fixed offsets; separators stay attached so that the pieces
-    concatenate back to the text.  Pieces are packed greedily into chunks
-    of at most ``size`` characters; a new chunk starts with the trailing
-    pieces of the previous one that fit in ``overlap`` characters.
-    """
-    def pieces(t, i):
-        sep = seps[i]
-        if sep == "":
-            return [t[j:j + size] for j in range(0, len(t), size)]
-        parts = t.split(sep)
-        out = []
-        for k, p in enumerate(parts):
-            q = p + (sep if k < len(parts) - 1 else "")
-            if len(q) <= size:
-                out.append(q)
-            else:
-                out.extend(pieces(q, i + 1))
-        return out
-
-    return [text[a:b] for a, b in recursive_spans(text, size, overlap, pieces)]
-
-
-def recursive_spans(text: str, size: int, overlap: int, pieces) -> list:
-    """(start, end) character spans of the packed chunks."""
-    if not text:
-        return []
-    spans, cur, pos = [], [], 0  # cur: list of (start, end) pieces
-    for p in pieces(text, 0):
-        if not p:
-            continue
-        piece = (pos, pos + len(p))
-        pos += len(p)
-        if cur and piece[1] - cur[0][0] > size:
-            spans.append((cur[0][0], cur[-1][1]))
-            while cur and (cur[-1][1] - cur[0][0] > overlap or piece[1] - cur[0][0] > size):
-                cur.pop(0)
-        cur.append(piece)
-    if cur:
-        spans.append((cur[0][0], cur[-1][1]))
-    return spans
+#: where a piece that is too long is cut next; the separator stays at its end
+SEPARATORS = ("\n\n", "\n", " ")
 
 
-def chunk_recursive(df: DataFrame, key: str, text: str, size: int = 4096, overlap: int = 1024,
-                    id_col: str = "chunk_id", out: str = "chunk") -> DataFrame:
-    """Separator-aware chunks (F14b) computed in Arrow batches."""
-    key_type = df.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, {id_col} int, {out} string"
+def separator_pieces(text, size: int) -> Column:
+    """The text cut into pieces of at most ``size`` characters: at blank lines,
+    pieces still too long at line ends, then at spaces, then at fixed offsets.
+    Put together, the pieces are the text."""
+    def cut(pieces, into):
+        return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > size, into(p)).otherwise(F.array(p))))
+
+    def offsets(p):
+        return F.transform(F.sequence(F.lit(1), F.length(p), F.lit(size)), lambda i: F.substring(p, i, size))
+
+    pieces = F.array(col_of(text))
+    for sep in SEPARATORS:
+        pieces = cut(pieces, lambda p, sep=sep: F.regexp_extract_all(p, F.lit(f"(?s)(?:.*?{sep}|.+\\z)"), F.lit(0)))
+    return cut(pieces, offsets)
+
 
-    def fn(batches):
-        import pandas as pd
+def packed_spans(ends, size: int, overlap: int) -> Column:
+    """(from, to) of the chunks into which pieces, given by their ends, are packed:
+    a chunk takes pieces up to ``size`` characters, the next one begins with the
+    last pieces that fit in ``overlap`` (and leave room for the piece to come)."""
+    none = F.array().cast("array<int>")
+    spans = F.array().cast("array<struct<from:int,to:int>>")
+    start = F.struct(spans.alias("spans"), none.alias("begins"), F.lit(0).alias("end"))
 
-        for pdf in batches:
-            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[text]) for i, c in enumerate(_recursive_split(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, id_col, out])
+    def step(state, end):
+        begins, at = state["begins"], state["end"]
+        first = F.get(begins, F.lit(0))
+        full = (F.size(begins) > 0) & (end - first > size)
+        done = F.when(full, F.concat(state["spans"], F.array(F.struct(first.alias("from"), at.alias("to"))))).otherwise(state["spans"])
+        left = F.when(full, F.filter(begins, lambda b: (at - b <= overlap) & (end - b <= size))).otherwise(begins)
+        return F.struct(done.alias("spans"), F.concat(left, F.array(at)).alias("begins"), end.alias("end"))
 
-    return df.select(key, text).mapInPandas(fn, schema)
+    def last(state):
+        rest = F.struct(F.get(state["begins"], F.lit(0)).alias("from"), state["end"].alias("to"))
+        return F.when(F.size(state["begins"]) > 0, F.concat(state["spans"], F.array(rest))).otherwise(state["spans"])
+    return F.aggregate(col_of(ends), start, step, last)
+
+
+def chunk_recursive(df: DataFrame, key: str, text: str, size: int = 4096, overlap: int = 1024,
+                    id_col: str = "chunk_id", out: str = "chunk") -> DataFrame:
+    """Separator-aware chunks (F14b): the text is cut at its separators and the
+    pieces are packed greedily, all inside the row."""
+    def ends(pieces):
+        lengths = F.transform(pieces, lambda p: F.length(p))
+        sums = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+        return F.aggregate(lengths, sums, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["ends"], F.array(s["at"] + n)).alias("ends")),
+                           lambda s: s["ends"])
+
+    filled = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    pieces = F.filter(separator_pieces("_text", size), lambda p: F.length(p) > 0)
+    spans = let(let(pieces, ends), lambda e: packed_spans(e, size, overlap))
+    at = filled.select("_key", "_text", F.posexplode_outer(spans).alias("_id", "_span"))
+    return at.select(F.col("_key").alias(key), F.col("_id").alias(id_col),
+                     F.expr("substring(_text, _span.from + 1, _span.to - _span.from)").alias(out))
 
 
 def token_windows(tokens, max_length: int = 512, stride: int = 384, max_windows: int | None = None) -> Column:

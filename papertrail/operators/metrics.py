@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrail.functions._col import col_of, let
+from papertrail.functions.stem import stems
 from papertrail.operators.scan import prefix_scan
+from papertrail.operators.sizing import checked_broadcast
 
 
 def class_dim(spark, classes, name: str = "label") -> DataFrame:
@@ -333,10 +335,15 @@ def ngrams(tokens, n: int) -> Column:
 
 def rouge_n(df: DataFrame, pair: str, pred: str, ref: str, n: int) -> DataFrame:
     """(pair, precision, recall, fmeasure) of ROUGE-N."""
+    return rouge_n_tokens(df.select(pair, rouge_tokens(pred).alias("tp"), rouge_tokens(ref).alias("tr")), pair, "tp", "tr", n)
+
+
+def rouge_n_tokens(df: DataFrame, pair: str, pred: str, ref: str, n: int) -> DataFrame:
+    """:func:`rouge_n` of token arrays."""
     from papertrail.operators.retrieval import term_freqs
 
     def grams(col):
-        return let(rouge_tokens(col), lambda t: F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")))
+        return let(col_of(col), lambda t: F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")))
 
     def shared(a, b):
         """Sum of the smaller counts: both sides' counts in one sorted array, where
@@ -353,14 +360,76 @@ def rouge_n(df: DataFrame, pair: str, pred: str, ref: str, n: int) -> DataFrame:
     return out.withColumn("fmeasure", f).select(pair, "precision", "recall", "fmeasure")
 
 
+LCS_BITS = 62  # tokens in a block: two blocks and a carry stay below 2**63
+
+
+def lcs_length(a, b) -> Column:
+    """Length of the longest common subsequence of two token arrays.
+
+    Bit-parallel: ``a`` lies in blocks of bits, all set; each token of ``b`` adds
+    the bits that are set where ``a`` has it, carrying from block to block, which
+    clears one bit for every token that the subsequence gains.  A row costs
+    len(b) * len(a) / 62 steps, and one comparison for each token of ``a`` and
+    distinct token of ``b`` to mark where it stands."""
+    ones = F.lit((1 << LCS_BITS) - 1)
+    none = F.array().cast("array<bigint>")
+
+    def masks(x, y):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / LCS_BITS).cast("int")),
+                             lambda k: F.slice(x, k * LCS_BITS + 1, LCS_BITS))
+
+        def bits(block, t):
+            marks = F.transform(block, lambda u, i: F.when(u == t, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+            return F.aggregate(marks, F.lit(0).cast("bigint"), lambda acc, m: acc.bitwiseOR(m))
+        shared = F.array_intersect(x, y)
+        return let(blocks, lambda bl: F.map_from_entries(F.transform(shared, lambda t: F.struct(t, F.transform(bl, lambda one: bits(one, t))))))
+
+    def step(v, mask):
+        def add(state, i):
+            old, on = F.get(v, i), F.get(mask, i)
+            total = old + old.bitwiseAND(on) + state["carry"]
+            kept = total.bitwiseAND(ones).bitwiseOR(old.bitwiseAND(F.bitwise_not(on)))
+            return F.struct(F.shiftright(total, LCS_BITS).alias("carry"), F.concat(state["v"], F.array(kept)).alias("v"))
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), none.alias("v"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), start, add, lambda s: s["v"])
+
+    def length(x, y, at):
+        v = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / LCS_BITS).cast("int")), lambda _: ones)
+        known = F.filter(F.transform(y, lambda t: at[t]), lambda m: m.isNotNull())
+        end = F.aggregate(known, v, step)
+        return F.aggregate(end, F.lit(0).cast("bigint"), lambda acc, x: acc + LCS_BITS - F.bit_count(x))
+
+    x, y = col_of(a), col_of(b)
+    found = let(masks(x, y), lambda at: length(x, y, at))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), found).otherwise(F.lit(0).cast("bigint"))
+
+
 def rouge_l(df: DataFrame, pair: str, pred: str, ref: str) -> DataFrame:
-    """ROUGE-L F-measure per pair (LCS); Arrow batches, one DP per pair."""
-    from papertrail.operators.arrow_fns import lcs_length as lcs
-
-    d = df.select(pair, rouge_tokens(pred).alias("tp"), rouge_tokens(ref).alias("tr"))
-    d = d.withColumn("lcs", lcs("tp", "tr"))
-    p = F.when(F.size("tp") > 0, F.col("lcs") / F.size("tp")).otherwise(F.lit(0.0))
-    r = F.when(F.size("tr") > 0, F.col("lcs") / F.size("tr")).otherwise(F.lit(0.0))
-    d = d.withColumn("precision", p).withColumn("recall", r)
-    f = F.when(F.col("lcs") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return d.withColumn("fmeasure", f).select(pair, "precision", "recall", "fmeasure")
+    """ROUGE-L F-measure per pair (LCS), inside the row."""
+    return rouge_l_tokens(df.select(pair, rouge_tokens(pred).alias("tp"), rouge_tokens(ref).alias("tr")), pair, "tp", "tr")
+
+
+def rouge_l_tokens(df: DataFrame, pair: str, pred: str, ref: str) -> DataFrame:
+    """:func:`rouge_l` of token arrays."""
+    d = df.select(pair, F.size(pred).alias("np"), F.size(ref).alias("nr"), lcs_length(pred, ref).alias("lcs"))
+    out = d.withColumn("precision", _ratio("lcs", "np")).withColumn("recall", _ratio("lcs", "nr"))
+    f = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return out.withColumn("fmeasure", f).select(pair, "precision", "recall", "fmeasure")
+
+
+def stemmed_tokens(df: DataFrame, key: str, cols: list, max_broadcast_words: int = 500_000) -> DataFrame:
+    """``key`` (unique) and the token arrays ``cols`` with every word of more than
+    three letters replaced by its stem.
+
+    Words are stemmed once each: the distinct vocabulary goes through the stemmer
+    and is joined back, by broadcast up to ``max_broadcast_words`` words."""
+    side = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).alias("tokens")) for i, c in enumerate(cols)])).alias("s")
+    t = df.select(F.col(key).alias("_key"), side).select("_key", "s.col", F.posexplode("s.tokens").alias("pos", "word")).checkpoint()
+    words = t.select("word").filter(F.length("word") > 3).distinct()
+    known = stems(words).checkpoint()  # a filter here would be pushed below the steps and copy them
+    t = t.join(checked_broadcast(known, max_broadcast_words), "word", "left").withColumn("stem", F.coalesce("stem", "word"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("col") == i, F.struct("pos", "stem")))).alias(c) for i, c in enumerate(cols)]
+    back = t.groupBy("_key").agg(*lists)
+    empty = F.array().cast("array<string>")
+    out = df.select(F.col(key).alias("_key")).join(back, "_key", "left")
+    return out.select(F.col("_key").alias(key), *[F.coalesce(F.transform(c, lambda x: x["stem"]), empty).alias(c) for c in cols])

@@ -18,6 +18,7 @@ _MODULES = [
     "papertrail.plans.q_extract",
     "papertrail.plans.q_io",
     "papertrail.plans.q_refresh",
+    "papertrail.plans.q_rouge",
 ]
 
 

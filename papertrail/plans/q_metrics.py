@@ -325,13 +325,6 @@ SELECT pair, CAST(2 AS BIGINT) AS n, round(precision, 6), round(recall, 6),
 """)(_rouge_n)
 
 
-def _rouge_l(spark, sf):
-    r = M.rouge_l(_rouge_pairs(spark, sf), "pair", "answer", "question")
-    return r.select("pair", _r6("precision").alias("precision"), _r6("recall").alias("recall"), _r6("fmeasure").alias("fmeasure"))
-
-
-register("a_rouge_l")(_rouge_l)
-
 # ------------------------------------------------------------------ A17, F21, F22, F30
 
 

@@ -91,7 +91,34 @@ def _chunk_recursive(spark, sf):
     return K.chunk_recursive(d, "doc_id", "text", 4096, 1024)
 
 
-register("f_chunk_recursive")(_chunk_recursive)
+def sql_pieces(src: str, size: int = 4096) -> str:
+    """``pieces(doc_id, text, ends)`` of ``src(doc_id, text)``: ends of the pieces
+    into which the text is cut at separators."""
+    out = "[text]"
+    for sep in ("\\n\\n", "\\n", " "):
+        out = (f"flatten(list_transform({out}, lambda p: CASE WHEN length(p) > {size} "
+               f"THEN regexp_extract_all(p, '(?s)(?:.*?{sep}|.+)') ELSE [p] END))")
+    out = (f"flatten(list_transform({out}, lambda p: CASE WHEN length(p) > {size} "
+           f"THEN list_transform(range(1, length(p) + 1, {size}), lambda i: substr(p, i, {size})) ELSE [p] END))")
+    lengths = f"list_transform(list_filter({out}, lambda p: p <> ''), lambda p: length(p))"
+    return f"""cut AS (SELECT doc_id, text, {lengths} AS n FROM {src} WHERE length(text) > 0),
+pieces AS (SELECT doc_id, text, n, list_transform(range(1, len(n) + 1), lambda i: CAST(list_sum(n[1:i]) AS BIGINT)) AS ends FROM cut)"""
+
+
+register("f_chunk_recursive", sql=f"""
+WITH RECURSIVE {sql_pieces('documents')},
+walk AS (
+  SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS begins, 0::BIGINT AS e, NULL::BIGINT AS a, NULL::BIGINT AS b FROM pieces
+  UNION ALL
+  SELECT doc_id, i + 1, list_append(CASE WHEN is_full THEN list_filter(begins, lambda x: e - x <= 1024 AND nxt - x <= 4096) ELSE begins END, e),
+         nxt, CASE WHEN is_full THEN begins[1] END, CASE WHEN is_full THEN e END
+  FROM (SELECT w.*, p.ends[w.i + 1] AS nxt, len(w.begins) > 0 AND p.ends[w.i + 1] - w.begins[1] > 4096 AS is_full
+        FROM walk w JOIN pieces p USING (doc_id) WHERE w.i < len(p.ends))),
+spans AS (SELECT doc_id, i, a, b FROM walk WHERE a IS NOT NULL
+          UNION ALL SELECT w.doc_id, w.i + 1, w.begins[1], w.e FROM walk w JOIN pieces p USING (doc_id) WHERE w.i = len(p.ends))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_id, substr(text, a + 1, b - a) AS chunk
+FROM spans JOIN pieces USING (doc_id)
+""")(_chunk_recursive)
 
 
 def _token_windows(spark, sf):
