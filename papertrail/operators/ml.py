@@ -1,4 +1,5 @@
-"""Text classification with Spark ML (M1-M5).
+"""Text classification with Spark ML (M1, M2) and the majority baseline (M5);
+:mod:`papertrail.operators.linear` trains many focal-loss models in one scan.
 
 The encoder fine-tuning of the original workflow is replaced by a
 distributed pipeline: word tokens → hashed term frequencies → IDF →
@@ -17,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.operators import metrics as M
-from papertrail.operators.chunk import token_windows
-from papertrail.functions.text import tokenize
 
 
 def text_pipeline(text: str = "text", label: str = "label", num_features: int = 1 << 18, reg: float = 0.0,
@@ -62,48 +61,11 @@ def classify(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop("_tokens", "_tf", "features", "rawPrediction", "probability", "prediction")
 
 
-def classify_long(model: PipelineModel, df: DataFrame, key: str, text: str, max_length: int = 512,
-                  stride: int = 384, max_windows: int | None = None, how: str = "mean") -> DataFrame:
-    """Windowed classification (M3): token windows → per-window class
-    probabilities → pooled per document (A17) → argmax."""
-    w = df.select(key, F.posexplode(token_windows(tokenize(F.col(text)), max_length, stride, max_windows)).alias("win", "w"))
-    w = w.select(key, "win", F.array_join("w", " ").alias("text"))
-    scored = classify(model, w)
-    pooled = M.pool_windows(scored, key, "probs", how)
-    vec = M.collect_vector(pooled, key, out="probs")
-    return (vec.withColumn("confidence", F.array_max("probs"))
-               .withColumn("predicted_label", (F.array_position("probs", F.col("confidence")) - 1).cast("int")))
-
-
 def evaluate(pred: DataFrame, y: str, p: str, classes) -> DataFrame:
     """One row: accuracy, macro precision/recall/F1, balanced accuracy, MCC, n."""
     return M.evaluation(pred, y, p, classes)
 
 
-def tune(df: DataFrame, text: str, label: str, classes, grid: list, folds: int = 5, id_col: str = "id",
-         seed: int = 42) -> tuple:
-    """Grid search with k folds (M4).  Each trial × fold fits on the other
-    folds and scores macro F1 on the held-out fold; returns (trials
-    table (trial, fold, params…, f1_macro), best trial row)."""
-    from papertrail.operators.corpus import kfold
-
-    d = kfold(df, folds, by=id_col, seed=seed).checkpoint()  # read by every trial and fold
-    rows = []
-    spark = df.sparkSession
-    for t, params in enumerate(grid):
-        for f in range(folds):
-            train, test = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
-            model = train_text_classifier(train, text, label, classes, **params)
-            pred = classify(model, test)
-            f1 = M.macro_scores(M.class_report(pred, label, "predicted_label", classes)).first()["f1_macro"]
-            rows.append((t, f, *[float(params.get(k, 0.0)) for k in sorted(grid[0])], float(f1)))
-    cols = ["trial", "fold"] + sorted(grid[0]) + ["f1_macro"]
-    trials = spark.createDataFrame(rows, cols)
-    avg = M.fold_average(trials, "trial", ["f1_macro"])
-    best = M.best_trial(avg, "trial", "f1_macro")
-    return trials, best
-
-
 def baseline_predictions(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Majority-class scorer (M5): predicts the most frequent training
     class (ties → lowest class) for every test row."""

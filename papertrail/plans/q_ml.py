@@ -1,17 +1,22 @@
 """Registered ML queries: train/evaluate, classify, windowed classify,
-grid search, majority baseline.  Labels: `labels.quality` joined to
+tuning, majority baseline.  Labels: `labels.quality` joined to
 `documents`."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from papertrail.functions.text import tokenize
 from papertrail.operators import corpus as C
+from papertrail.operators import linear as L
 from papertrail.operators import metrics as M
 from papertrail.operators import ml as ML
 from papertrail.plans import duck as D
+from papertrail.plans.q_search import _SQL_WINDOWS
 from papertrail.plans.registry import register
-from papertrail.session import table
+from papertrail.session import scratch_path, table
 
 CLASSES = [0, 1]
 
@@ -23,42 +28,99 @@ def labelled(spark, sf):
     return C.split(j, (0.8, 0.2), by="doc_id", seed=7, names=("train", "test"), stratify="label")
 
 
+def training_rows(spark, sf, dims: int = L.DIMS):
+    """Labelled texts as vectors, with a fold and 15 % of each class held out of
+    training for validation; written once, read by every pass."""
+    s = labelled(spark, sf).filter("label IS NOT NULL")
+    s = C.split(s, (0.85, 0.15), by="doc_id", seed=11, names=("fit", "held"), stratify="label", col="part")
+    s = C.kfold(s, 5, by="doc_id", seed=13)
+    empty = F.array().cast("array<struct<bucket:int,value:double>>")
+    x = F.coalesce(L.hashed_features(tokenize("text"), dims), empty)
+    s = s.select("doc_id", "label", "split", "fold", (F.col("part") == "held").alias("held"), x.alias("features"))
+    path = scratch_path(spark, f"features-{uuid.uuid4().hex}")
+    s.filter(F.size("features") > 0).write.parquet(path)  # empty texts are not trained on
+    return spark.read.schema(s.schema).parquet(path)
+
+
 def _train_eval(spark, sf):
-    s = labelled(spark, sf)
-    model = ML.train_text_classifier(s.filter("split = 'train'"), "text", "label", CLASSES, max_iter=30)
-    pred = ML.classify(model, s.filter("split = 'test'"))
+    rows = training_rows(spark, sf)
+    train = rows.filter("split = 'train'").withColumn("fold", F.lit(0))
+    got = L.fit(train, CLASSES, [L.Trial()], [-1], epochs=20, patience=5)
+    test = rows.filter("split = 'test'").select("doc_id", "label", F.explode_outer("features").alias("f"))
+    z = L.logits(test.select("doc_id", "f.bucket", "f.value"), "doc_id", got.heads[0].table(spark), len(CLASSES))
+    pred = L.predicted(z, "doc_id").join(rows.select("doc_id", "label"), "doc_id")
     return ML.evaluate(pred, "label", "predicted_label", CLASSES)
 
 
 register("m_train_eval")(_train_eval)
 
+#: weights that both engines can write down: -1 .. 1 by bucket and class, and a bias by class
+GIVEN = "((bucket * 7919 + class * 104729) % 2001 - 1000) / 1000.0"
+
+
+def given_head(spark, dims: int = L.DIMS):
+    """A head of given weights, so that scoring itself can be held against SQL."""
+    cells = spark.range(dims * len(CLASSES)).select((F.col("id") % dims).cast("int").alias("bucket"), F.floor(F.col("id") / dims).cast("int").alias("class"))
+    weights = cells.withColumn("weight", F.expr(f"cast({GIVEN} as double)"))
+    bias = spark.range(len(CLASSES)).select(F.lit(-1).alias("bucket"), F.col("id").cast("int").alias("class"), (F.col("id") / 10).alias("weight"))
+    return weights.unionByName(bias)
+
+
+def sql_scores(windows: str) -> str:
+    """CTEs ending in ``scored(doc_id, p0, p1)`` of ``windows(doc_id, win, w)``: the mean of
+    the windows' vectors under the given weights; documents without a window have the biases."""
+    return f"""tf AS (SELECT doc_id, win, term, count(*) AS tf FROM (SELECT doc_id, win, unnest(w) AS term FROM {windows}) GROUP BY ALL),
+norm AS (SELECT doc_id, win, sqrt(sum(tf * tf)) AS n FROM tf GROUP BY ALL),
+x AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {L.DIMS} AS bucket, tf / n AS v FROM tf JOIN norm USING (doc_id, win)),
+z AS (SELECT doc_id, class, sum(v * {GIVEN}) AS z FROM x CROSS JOIN (SELECT unnest(range({len(CLASSES)})) AS class) GROUP BY ALL),
+wins AS (SELECT doc_id, count(*) AS n FROM {windows} GROUP BY doc_id),
+zz AS (SELECT d.doc_id, c.class, coalesce(z.z / wins.n, 0.0) + c.class / 10.0 AS z FROM documents d
+       CROSS JOIN (SELECT unnest(range({len(CLASSES)})) AS class) c LEFT JOIN z ON z.doc_id = d.doc_id AND z.class = c.class
+       LEFT JOIN wins ON wins.doc_id = d.doc_id),
+scored AS (SELECT doc_id, CASE WHEN max(z) FILTER (class = 1) > max(z) FILTER (class = 0) THEN 1 ELSE 0 END AS predicted_label,
+                  1 / (1 + exp(-abs(max(z) FILTER (class = 1) - max(z) FILTER (class = 0)))) AS confidence FROM zz GROUP BY doc_id)"""
+
 
 def _classify(spark, sf):
-    s = labelled(spark, sf)
-    model = ML.train_text_classifier(s.filter("split = 'train'"), "text", "label", CLASSES, max_iter=30)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    pred = ML.classify(model, docs)
-    return M.prediction_stats(pred, "predicted_label", "confidence", CLASSES)
+    pred = L.classify(docs, "doc_id", "text", given_head(spark), len(CLASSES))
+    stats = M.prediction_stats(pred.checkpoint(), "predicted_label", "confidence", CLASSES)
+    return stats.select("label", "count", F.round("pct", 6).alias("pct"), F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
-register("m_classify")(_classify)
+register("m_classify", sql=f"""
+WITH whole AS (SELECT doc_id, 0 AS win, {D.tokens('text')} AS w FROM documents),
+{sql_scores('whole')},
+t AS (SELECT count(*) AS n, avg(confidence) AS c FROM scored)
+SELECT CAST(d.label AS BIGINT) AS label, count(s.doc_id) AS count, round(count(s.doc_id) * 100.0 / max(t.n), 6) AS pct,
+       round(max(t.c), 6) AS avg_confidence
+FROM range({len(CLASSES)}) d(label) CROSS JOIN t LEFT JOIN scored s ON s.predicted_label = d.label GROUP BY d.label
+""")(_classify)
 
 
 def _classify_long(spark, sf):
-    s = labelled(spark, sf)
-    model = ML.train_text_classifier(s.filter("split = 'train'"), "text", "label", CLASSES, max_iter=30)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return ML.classify_long(model, docs, "doc_id", "text", max_windows=None).select("doc_id", "predicted_label", "confidence")
+    p = L.classify_long(docs, "doc_id", "text", given_head(spark), len(CLASSES))
+    return p.select("doc_id", "predicted_label", F.round("confidence", 6).alias("confidence"))
+
 
+register("m_classify_long", sql=f"""
+WITH {_SQL_WINDOWS.replace('@L@', '512').replace('@S@', '128')},
+{sql_scores('w')}
+SELECT doc_id, predicted_label, round(confidence, 6) AS confidence FROM scored
+""")(_classify_long)
 
-register("m_classify_long")(_classify_long)
+#: the tuning run: 20 trials
+TRIALS = [L.Trial(gamma, rate, reg) for gamma in (0.0, 1.0, 2.0, 3.0, 5.0) for rate in (2.0, 8.0) for reg in (0.0, 1e-3)]
 
 
 def _tune(spark, sf):
-    s = labelled(spark, sf).filter("split = 'train'")
-    grid = [{"reg": 0.0, "max_iter": 20}, {"reg": 0.1, "max_iter": 20}]
-    trials, best = ML.tune(s, "text", "label", CLASSES, grid, folds=3, id_col="doc_id")
-    return trials
+    rows = training_rows(spark, sf).filter("split = 'train'")
+    trials, _ = L.grid(rows, CLASSES, TRIALS, folds=5, epochs=8, patience=3)
+    average = M.fold_average(trials, "trial", ["f1_macro"])
+    best = M.best_trial(average, "trial", "f1_macro").select("trial", F.lit(True).alias("best"))
+    return average.join(F.broadcast(best), "trial", "left").select(  # one row
+        "trial", F.round("f1_macro", 6).alias("f1_macro"), F.coalesce("best", F.lit(False)).alias("best"))
 
 
 register("m_tune")(_tune)
