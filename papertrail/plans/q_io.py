@@ -272,3 +272,29 @@ def _chat_state(spark, sf):
 
 
 register("t_chat_state", sql=SQL["w_chat_history"])(_chat_state)
+
+# ------------------------------------------------------------------ S7
+
+
+def _binary_docs(spark, sf):
+    """Pages land in folders of documents, their names ending in .pdf in several
+    cases or in another extension; an empty file lies beside them."""
+    root = _scratch(spark, "binary")
+    p = table(spark, sf, "pages").select((F.col("page_id") % 97).alias("doc"), F.hex(F.coalesce("html", F.lit(""))).alias("body"))
+    p = p.repartition("doc")
+    for k, ext in enumerate(("pdf", "PDF", "Pdf", "txt")):
+        p.filter(F.col("doc") % 4 == k).write.mode("append").partitionBy("doc").option("extension", ext).option("emptyValue", "").csv(root)
+    empty = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/doc=97/empty.PdF")
+    empty.getFileSystem(spark._jsc.hadoopConfiguration()).create(empty).close()
+    docs = RD.list_binary_docs(spark, root)
+    name = F.regexp_extract("path", r"doc=(\d+)/", 1).cast("long")
+    return docs.select(name.alias("doc"), F.regexp_extract("path", r"\.([A-Za-z]+)$", 1).alias("extension"), "length",
+                       F.when(F.col("is_empty"), F.lit("empty file")).alias("error"))
+
+
+register("s_binary_docs", sql="""
+SELECT page_id % 97 AS doc, CASE page_id % 97 % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'PDF' ELSE 'Pdf' END AS extension,
+       CAST(sum(2 * octet_length(encode(coalesce(html, ''))) + 1) AS BIGINT) AS length, NULL::VARCHAR AS error
+FROM pages WHERE page_id % 97 % 4 < 3 GROUP BY 1, 2
+UNION ALL SELECT 97, 'PdF', 0, 'empty file'
+""")(_binary_docs)

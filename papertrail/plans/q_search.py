@@ -14,9 +14,10 @@ from papertrail.operators import chunk as K
 from papertrail.operators import corpus as C
 from papertrail.operators import history as H
 from papertrail.operators import retrieval as R
+from papertrail.operators import vector_index as VI
 from papertrail.plans import duck as D
 from papertrail.plans import retrieve as RT
-from papertrail.plans.registry import register
+from papertrail.plans.registry import SQL, register
 from papertrail.session import scratch_path, table
 
 # ------------------------------------------------------------------ SQL builders
@@ -182,6 +183,17 @@ SELECT qid, rank, id, round(score, 6) AS score FROM (
 """)(_vector_topk)
 
 
+def _vector_pruned(spark, sf):
+    """The same search by clusters that bounds rule out."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = VI.cluster_vectors(e, scratch_path(spark, f"vectors-{uuid.uuid4().hex}"), "vec_id", "embedding")
+    t = VI.search(e, index, 10, "vec_id", "embedding")
+    return t.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+register("j_vector_pruned", sql=SQL["j_vector_topk"])(_vector_pruned)
+
+
 def _w_topk(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_id", "value")
     t = R.top_k_per_query(ev, "user_id", "value", "event_id", 3)
