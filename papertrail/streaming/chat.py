@@ -17,6 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor
 PART_TURNS = 64
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # all state stores of an executor share this much, however many partitions it holds
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     # with a time to live every batch asks for another, and a run over what is available would not end
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
