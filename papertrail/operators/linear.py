@@ -24,21 +24,24 @@ from papertrail.functions._col import let
 from papertrail.functions.text import tokenize
 from papertrail.operators import metrics as M
 from papertrail.operators import retrieval as R
-from papertrail.operators.chunk import token_windows
-from papertrail.operators.sizing import checked_broadcast
 
 DIMS = 4096
 ROWS = 256  # rows that a task turns into a dense block at a time
 
 
+def buckets(tokens, dims: int = DIMS) -> Column:
+    """The hash bucket of every token."""
+    return F.transform(tokens, lambda t: R.md5_bucket(t, dims).cast("int"))
+
+
 def hashed_features(tokens, dims: int = DIMS) -> Column:
-    """ARRAY<STRUCT<bucket, value>> of a token array: each word's count over the
-    counts' length; words that share a bucket stay apart."""
+    """ARRAY<STRUCT<bucket, value>> of a token array: each bucket's count over the
+    length of the vector of counts."""
     def unit(tfs):
         norm = F.sqrt(F.aggregate(tfs, F.lit(0.0), lambda acc, t: acc + t["tf"] * t["tf"]))
         return let(norm, lambda n: F.transform(tfs, lambda t: F.struct(
-            R.md5_bucket(t["term"], dims).cast("int").alias("bucket"), (t["tf"] / n).alias("value"))))
-    return let(R.term_freqs(tokens), unit)
+            t["term"].cast("int").alias("bucket"), (t["tf"] / n).alias("value"))))
+    return let(R.term_freqs(F.transform(buckets(tokens, dims), lambda b: b.cast("string"))), unit)
 
 
 @dataclass(frozen=True)
@@ -57,13 +60,6 @@ class Head:
     weights: np.ndarray
     bias: np.ndarray
 
-    def table(self, spark) -> DataFrame:
-        """(bucket, class, weight) of the weights other than 0; biases have bucket -1."""
-        whole = np.vstack([self.weights, self.bias])
-        at, c = np.nonzero(whole)
-        rows = zip(np.where(at == len(self.weights), -1, at).tolist(), c.tolist(), whole[at, c].tolist())
-        return spark.createDataFrame(list(rows), "bucket int, class int, weight double")
-
 
 def focal_gradient(logits: np.ndarray, y: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(losses, derivatives by logit) of rows under several models.
@@ -210,53 +206,75 @@ def grid(rows: DataFrame, classes, trials: list, folds: int = 5, **kw) -> tuple[
 # ------------------------------------------------------------------ scoring
 
 
-def logits(vectors: DataFrame, key: str, head: DataFrame, classes: int) -> DataFrame:
-    """(key, logits) of sparse vectors (key, bucket, value) under a head's table.
-
-    The head has dims x classes rows at most, whatever is scored."""
-    head = head.checkpoint()
-    bias = head.filter("bucket < 0").agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("weight"))), F.lit(0.0)).alias(f"_b{c}")
-                                           for c in range(classes)])
-    wide = head.filter("bucket >= 0").groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("weight"))), F.lit(0.0)).alias(f"_w{c}")
-                                                              for c in range(classes)])
-    x = vectors.join(checked_broadcast(wide, 1_000_000), "bucket", "left")
-    z = x.groupBy(key).agg(*[F.coalesce(F.sum(F.col("value") * F.col(f"_w{c}")), F.lit(0.0)).alias(f"_z{c}") for c in range(classes)])
-    return z.join(F.broadcast(bias)).select(key, F.array(*[F.col(f"_z{c}") + F.col(f"_b{c}") for c in range(classes)]).alias("logits"))
-
-
-def pooled(windows: DataFrame, key: str, how: str = "mean") -> DataFrame:
-    """(key, bucket, value): mean or maximum of the windows' sparse vectors
-    (key, win, features) over the windows that hold anything; a bucket that a window
-    lacks is 0 there.  Both are sums or maxima that combine map-side.  A key
-    without such a window has one row without a bucket."""
-    own = F.col("features")
-    live = windows.withColumn("_n", (F.size(own) > 0).cast("long"))
-    flat = live.select(key, "win", "_n", F.explode_outer(own).alias("f")).select(key, "win", "_n", "f.bucket", "f.value")
-    each = flat.groupBy(key, "win", "bucket").agg(F.sum("value").alias("value"))  # words of one window that share a bucket
-    total = live.groupBy(key).agg(F.sum("_n").alias("_windows"))
+def window_vectors(first: np.ndarray, tokens: np.ndarray, dims: int, max_length: int | None, stride: int,
+                   max_windows: int | None) -> tuple[np.ndarray, ...]:
+    """(windows of each document, window, bucket, value): unit vectors of the bucket
+    counts of token windows.  ``tokens``: the buckets of all documents' tokens,
+    ``first``: where each document begins, and the end."""
+    n = np.diff(first)
+    if max_length is None:
+        many, step = np.minimum(n, 1), 1
+        size = n
+    else:
+        step, size = max_length - stride, np.minimum(n, max_length)
+        many = np.where(n == 0, 0, np.where(n <= max_length, 1, -(-(n - max_length) // step) + 1))
+        many = many if max_windows is None else np.minimum(many, max_windows)
+    doc = np.repeat(np.arange(len(n)), many)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    begin = first[doc] + nth * step
+    length = np.minimum(size[doc], first[doc + 1] - begin)
+    at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+    cell, count = np.unique(np.repeat(np.arange(len(doc)), length) * dims + tokens[at], return_counts=True)
+    window = cell // dims
+    norm = np.sqrt(np.bincount(window, count.astype("float64") ** 2, minlength=len(doc)))
+    return many, window, cell % dims, count / norm[window]
+
+
+def pooled(many: np.ndarray, window: np.ndarray, bucket: np.ndarray, value: np.ndarray, dims: int, how: str) -> tuple[np.ndarray, ...]:
+    """(document, bucket, value): mean or maximum of the documents' window vectors,
+    a bucket that a window lacks being 0 there."""
+    doc = np.repeat(np.arange(len(many)), many)[window]
     if how == "mean":
-        out = each.groupBy(key, "bucket").agg(F.sum("value").alias("value")).join(total, key)
-        return out.select(key, "bucket", (F.col("value") / F.col("_windows")).alias("value"))
-    return each.groupBy(key, "bucket").agg(F.max("value").alias("value"))
-
+        return doc, bucket, value / many[doc]
+    cell, group = np.unique(doc * dims + bucket, return_inverse=True)
+    top = np.zeros(len(cell))
+    np.maximum.at(top, group, value)
+    return cell // dims, cell % dims, top
+
+
+def classify_long(docs: DataFrame, key: str, text: str, head: Head, max_length: int | None = 512, stride: int = 384,
+                  max_windows: int | None = None, how: str = "mean") -> DataFrame:
+    """(key, predicted_label, confidence, probs) (M3): the vectors of a document's
+    token windows are pooled and go through one linear head; without tokens the
+    pooled vector is 0.
+
+    Tokens are hashed once, not once a window; a document's windows never leave its
+    row, so nothing is shuffled.  The head, of fixed size, is broadcast."""
+    if how not in ("mean", "max"):
+        raise ValueError("how is 'mean' or 'max'")
+    dims, classes = head.weights.shape
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def predicted(scores: DataFrame, key: str) -> DataFrame:
-    """(key, predicted_label, confidence, probs) of logits."""
+        own = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                b = batch.slice(start, ROWS)
+                first = np.asarray(b.column(1).offsets).astype("int64")
+                tokens = b.column(1).flatten().to_numpy().astype("int64")
+                doc, bucket, value = pooled(*window_vectors(first - first[0], tokens, dims, max_length, stride, max_windows), dims, how)
+                z = np.stack([np.bincount(doc, value * own.weights[bucket, c], minlength=b.num_rows) for c in range(classes)], 1) + own.bias
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z.tolist(), pa.list_(pa.float64()))], [key, "logits"])
+
+    d = docs.select(F.col(key), F.coalesce(buckets(tokenize(text), dims), F.array().cast("array<int>")).alias("_tokens"))
+    kind = d.schema[key].dataType.simpleString()
     p = M.softmax_argmax("logits")
-    return scores.select(key, p.alias("_p")).select(key, F.col("_p.label").alias("predicted_label"),
-                                                    F.col("_p.confidence").alias("confidence"), F.col("_p.probs").alias("probs"))
+    scored = d.mapInArrow(run, f"`{key}` {kind}, logits array<double>").select(key, p.alias("_p"))
+    return scored.select(key, F.col("_p.label").alias("predicted_label"), F.col("_p.confidence").alias("confidence"), F.col("_p.probs").alias("probs"))
 
 
-def classify(docs: DataFrame, key: str, text: str, head: DataFrame, classes: int, dims: int = DIMS) -> DataFrame:
+def classify(docs: DataFrame, key: str, text: str, head: Head) -> DataFrame:
     """(key, predicted_label, confidence, probs) of whole texts (M2)."""
-    x = docs.select(key, F.explode_outer(hashed_features(tokenize(text), dims)).alias("f")).select(key, "f.bucket", "f.value")
-    return predicted(logits(x, key, head, classes), key)
-
-
-def classify_long(docs: DataFrame, key: str, text: str, head: DataFrame, classes: int, dims: int = DIMS, max_length: int = 512,
-                  stride: int = 384, max_windows: int | None = None, how: str = "mean") -> DataFrame:
-    """(key, predicted_label, confidence, probs) (M3): vectors of token windows,
-    pooled per document, then one linear head."""
-    windows = F.transform(token_windows(tokenize(text), max_length, stride, max_windows), lambda w: hashed_features(w, dims))
-    w = docs.select(key, F.posexplode_outer(windows).alias("win", "features"))
-    return predicted(logits(pooled(w, key, how), key, head, classes), key)
+    return classify_long(docs, key, text, head, max_length=None)

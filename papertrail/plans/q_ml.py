@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from papertrail.functions.text import tokenize
@@ -46,9 +47,8 @@ def _train_eval(spark, sf):
     rows = training_rows(spark, sf)
     train = rows.filter("split = 'train'").withColumn("fold", F.lit(0))
     got = L.fit(train, CLASSES, [L.Trial()], [-1], epochs=20, patience=5)
-    test = rows.filter("split = 'test'").select("doc_id", "label", F.explode_outer("features").alias("f"))
-    z = L.logits(test.select("doc_id", "f.bucket", "f.value"), "doc_id", got.heads[0].table(spark), len(CLASSES))
-    pred = L.predicted(z, "doc_id").join(rows.select("doc_id", "label"), "doc_id")
+    test = labelled(spark, sf).filter("split = 'test'")
+    pred = L.classify(test, "doc_id", "text", got.heads[0]).join(test.select("doc_id", "label"), "doc_id")
     return ML.evaluate(pred, "label", "predicted_label", CLASSES)
 
 
@@ -58,20 +58,19 @@ register("m_train_eval")(_train_eval)
 GIVEN = "((bucket * 7919 + class * 104729) % 2001 - 1000) / 1000.0"
 
 
-def given_head(spark, dims: int = L.DIMS):
+def given_head(dims: int = L.DIMS) -> L.Head:
     """A head of given weights, so that scoring itself can be held against SQL."""
-    cells = spark.range(dims * len(CLASSES)).select((F.col("id") % dims).cast("int").alias("bucket"), F.floor(F.col("id") / dims).cast("int").alias("class"))
-    weights = cells.withColumn("weight", F.expr(f"cast({GIVEN} as double)"))
-    bias = spark.range(len(CLASSES)).select(F.lit(-1).alias("bucket"), F.col("id").cast("int").alias("class"), (F.col("id") / 10).alias("weight"))
-    return weights.unionByName(bias)
+    bucket, cls = np.arange(dims)[:, None], np.arange(len(CLASSES))[None, :]
+    return L.Head(((bucket * 7919 + cls * 104729) % 2001 - 1000) / 1000.0, np.arange(len(CLASSES)) / 10.0)
 
 
 def sql_scores(windows: str) -> str:
     """CTEs ending in ``scored(doc_id, p0, p1)`` of ``windows(doc_id, win, w)``: the mean of
     the windows' vectors under the given weights; documents without a window have the biases."""
-    return f"""tf AS (SELECT doc_id, win, term, count(*) AS tf FROM (SELECT doc_id, win, unnest(w) AS term FROM {windows}) GROUP BY ALL),
+    return f"""tf AS (SELECT doc_id, win, bucket, count(*) AS tf FROM (SELECT doc_id, win, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {L.DIMS} AS bucket
+       FROM (SELECT doc_id, win, unnest(w) AS term FROM {windows})) GROUP BY ALL),
 norm AS (SELECT doc_id, win, sqrt(sum(tf * tf)) AS n FROM tf GROUP BY ALL),
-x AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {L.DIMS} AS bucket, tf / n AS v FROM tf JOIN norm USING (doc_id, win)),
+x AS (SELECT doc_id, bucket, tf / n AS v FROM tf JOIN norm USING (doc_id, win)),
 z AS (SELECT doc_id, class, sum(v * {GIVEN}) AS z FROM x CROSS JOIN (SELECT unnest(range({len(CLASSES)})) AS class) GROUP BY ALL),
 wins AS (SELECT doc_id, count(*) AS n FROM {windows} GROUP BY doc_id),
 zz AS (SELECT d.doc_id, c.class, coalesce(z.z / wins.n, 0.0) + c.class / 10.0 AS z FROM documents d
@@ -83,7 +82,7 @@ scored AS (SELECT doc_id, CASE WHEN max(z) FILTER (class = 1) > max(z) FILTER (c
 
 def _classify(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    pred = L.classify(docs, "doc_id", "text", given_head(spark), len(CLASSES))
+    pred = L.classify(docs, "doc_id", "text", given_head())
     stats = M.prediction_stats(pred.checkpoint(), "predicted_label", "confidence", CLASSES)
     return stats.select("label", "count", F.round("pct", 6).alias("pct"), F.round("avg_confidence", 6).alias("avg_confidence"))
 
@@ -100,7 +99,7 @@ FROM range({len(CLASSES)}) d(label) CROSS JOIN t LEFT JOIN scored s ON s.predict
 
 def _classify_long(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    p = L.classify_long(docs, "doc_id", "text", given_head(spark), len(CLASSES))
+    p = L.classify_long(docs, "doc_id", "text", given_head())
     return p.select("doc_id", "predicted_label", F.round("confidence", 6).alias("confidence"))
 
 

@@ -117,12 +117,11 @@ def test_scores_of_whole_texts_and_of_pooled_windows(spark):
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    table = head.table(spark)
-    got = {r["id"]: np.array(r["probs"]) for r in L.classify(docs, "id", "text", table, K, DIMS).collect()}
+    got = {r["id"]: np.array(r["probs"]) for r in L.classify(docs, "id", "text", head).collect()}
     assert set(got) == set(texts) and all(np.allclose(got[k], softmax(vector((t or "").split()))) for k, t in texts.items())
     for how in ("mean", "max"):
         got = {r["id"]: np.array(r["probs"]) for r in
-               L.classify_long(docs, "id", "text", table, K, DIMS, max_length=10, stride=4, how=how).collect()}
+               L.classify_long(docs, "id", "text", head, max_length=10, stride=4, how=how).collect()}
         for k, t in texts.items():
             ws = (t or "").split()
             wins = [vector(ws[s:s + 10]) for s in range(0, max(len(ws) - 4, 1), 6)] if ws else [np.zeros(DIMS)]
