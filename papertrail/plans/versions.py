@@ -1,8 +1,8 @@
 """A chunk index that is refreshed in place.
 
 An index is a folder.  ``rows/v=<n>`` holds the Parquet files that version
-``n`` wrote: chunks in id order with their length, term frequencies and vector,
-about ``shard_size`` rows in a file.  ``shards/version=<n>`` names the files that
+``n`` wrote: chunks in id order with their length and term frequencies, of which
+their vectors are made where they are read, about ``shard_size`` rows in a file.  ``shards/version=<n>`` names the files that
 make version ``n`` up, each with its id range and sums; ``terms/version=<n>`` is
 what version ``n`` changed in the document frequencies.
 
@@ -32,9 +32,6 @@ from papertrail.operators.sizing import checked_broadcast
 from papertrail.plans.retrieve import StoreIndex
 from papertrail.streaming.incremental import refresh_delta
 
-#: columns that an index adds to its chunks
-ADDED = ("dl", "tfs", "vec")
-
 
 @dataclass
 class VersionedBm25(R.Bm25Index):
@@ -56,27 +53,10 @@ class VersionedBm25(R.Bm25Index):
         return self.freq
 
 
-def indexed(chunks: DataFrame, dims: int = 64) -> DataFrame:
-    """``chunks`` with ``dl``, ``tfs`` and ``vec``, all made inside the row."""
+def indexed(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``dl`` and ``tfs``, made inside the row."""
     rows = chunks.withColumn("_toks", tokenize("text")).withColumn("dl", F.coalesce(F.size("_toks"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("tfs", R.term_freqs("_toks")).drop("_toks")
-    schema = T.StructType([*rows.schema.fields, T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    rows = rows.withColumn("_at", F.transform("tfs", lambda t: R.md5_bucket(t["term"], dims))) \
-               .withColumn("_tf", F.transform("tfs", lambda t: t["tf"]))
-
-    def fn(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            at, tf, n = b.column(b.num_columns - 2), b.column(b.num_columns - 1), b.num_rows
-            doc = np.repeat(np.arange(n), np.diff(np.asarray(at.offsets)))
-            v = np.bincount(doc * dims + at.flatten().to_numpy(), tf.flatten().to_numpy().astype("float64"), minlength=n * dims)
-            v = v.reshape(n, dims) / np.maximum(np.sqrt((v.reshape(n, dims) ** 2).sum(1)), 1e-300)[:, None]
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dims, pa.int32()), pa.array(v.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], vec], schema.names)
-
-    return rows.mapInArrow(fn, schema)
+    return rows.withColumn("tfs", R.term_freqs("_toks")).drop("_toks")
 
 
 def _ordered(df: DataFrame, id_col: str, shard_size: int) -> DataFrame:
@@ -113,9 +93,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def create_index(chunks: DataFrame, path: str, id_col: str = "cid", dims: int = 64, shard_size: int = 100_000) -> None:
+def create_index(chunks: DataFrame, path: str, id_col: str = "cid", shard_size: int = 100_000) -> None:
     """Version 1 of an index of ``chunks`` (unique ``id_col``, ``text`` and more)."""
-    _commit([indexed(_ordered(chunks, id_col, shard_size), dims)], path, 1, id_col)
+    _commit([indexed(_ordered(chunks, id_col, shard_size))], path, 1, id_col)
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
@@ -140,11 +120,11 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType, shards: Data
 
 def index_schema(chunks: T.StructType) -> T.StructType:
     return T.StructType([*chunks.fields, T.StructField("dl", T.LongType()),
-                         T.StructField("tfs", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))),
-                         T.StructField("vec", T.ArrayType(T.DoubleType()))])
+                         T.StructField("tfs", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))])
 
 
-def open_index(spark: SparkSession, path: str, chunks: T.StructType, version: int | None = None, id_col: str = "cid") -> StoreIndex:
+def open_index(spark: SparkSession, path: str, chunks: T.StructType, version: int | None = None, id_col: str = "cid",
+               dims: int = 64) -> StoreIndex:
     """The index at ``version`` (default: the latest); ``chunks`` is the schema of
     its chunks."""
     version = latest(spark, path) if version is None else version
@@ -153,11 +133,12 @@ def open_index(spark: SparkSession, path: str, chunks: T.StructType, version: in
     n, dl = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     freq = spark.read.parquet(f"{path}/terms").filter(F.col("version") <= version).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     bm = VersionedBm25(rows.select(F.col(id_col).alias("doc_id"), "dl", "tfs"), True, freq, n, dl)
-    return StoreIndex(rows.select(*chunks.names), rows.select(id_col, "vec"), bm)
+    vectors = R.embedding_from_terms(bm.doc_terms, dims).withColumnRenamed("doc_id", id_col)
+    return StoreIndex(rows.select(*chunks.names), vectors, bm)
 
 
 def refresh(spark: SparkSession, path: str, docs: DataFrame, chunk_fn, chunks: T.StructType, path_col: str = "source",
-            mtime: str = "mtime", id_col: str = "cid", dims: int = 64, shard_size: int = 100_000, max_paths: int = 1_000_000) -> int:
+            mtime: str = "mtime", id_col: str = "cid", shard_size: int = 100_000, max_paths: int = 1_000_000) -> int:
     """Bring the latest version up to ``docs`` (``path_col``, ``mtime`` and what
     ``chunk_fn`` chunks) and return the number of the version written.
 
@@ -176,7 +157,7 @@ def refresh(spark: SparkSession, path: str, docs: DataFrame, chunk_fn, chunks: T
     touched = old.join(gone, path_col, "left_semi").select(F.col("_file").alias("file")).distinct().checkpoint()  # a row a file
     replaced = read_rows(spark, path, index_schema(chunks), touched).drop("_file")
     fresh = chunk_fn(docs.join(at("new", "changed"), path_col, "left_semi")).select(*chunks.names)
-    parts = [indexed(_ordered(fresh, id_col, shard_size), dims), _ordered(replaced.join(gone, path_col, "left_anti"), id_col, shard_size)]
+    parts = [indexed(_ordered(fresh, id_col, shard_size)), _ordered(replaced.join(gone, path_col, "left_anti"), id_col, shard_size)]
     parts[1] = parts[1].select(*parts[0].columns)
     _commit(parts, path, version + 1, id_col, shards.join(F.broadcast(touched), "file", "left_anti"), replaced)
     return version + 1
