@@ -101,8 +101,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, corrupt: st
 def list_binary_docs(spark: SparkSession, path: str, ext: str = ".pdf", with_content: bool = False) -> DataFrame:
     """(path, name, mtime, length, is_empty[, content]) of the files with
     the extension, non-recursive, sorted by path (S7).  A zero-byte file
-    is flagged (it is an error for the converter)."""
+    is flagged (it is an error for the converter); its ``mtime`` is null."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", ci_glob(ext)).load(path)
+    # Spark lists files of no length but never reads them: their names come from the listing
+    one_slash = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(p,) for p in df.inputFiles()], "url string").select(one_slash("url").alias("_url"))
+    read = df.withColumn("_url", one_slash(F.col("_metadata.file_path")))
+    name = F.url_decode(F.replace(F.col("_url"), F.lit("+"), F.lit("%2B")))
+    df = listed.join(read, "_url", "left").withColumn("path", F.coalesce("path", name)).withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
     cols = [F.col("path"), path_parts("path")["stem"].alias("name"), F.col("modificationTime").alias("mtime"),
             F.col("length"), (F.col("length") == 0).alias("is_empty")]
     if with_content:

@@ -84,6 +84,10 @@ def test_binary_listing(spark):
     spark.createDataFrame([("x",), ("yy",)], "value string").repartition(2).write.text(p)
     got = RD.list_binary_docs(spark, p, ".TXT", with_content=True).collect()
     assert sorted(r.length for r in got) == [2, 3] and not any(r.is_empty for r in got)
+    empty = spark._jvm.org.apache.hadoop.fs.Path(f"{p}/an empty+one.Txt")
+    empty.getFileSystem(spark._jsc.hadoopConfiguration()).create(empty).close()
+    got = [r for r in RD.list_binary_docs(spark, p, ".txt").collect() if r.is_empty]
+    assert [(r.name, r.length, r.mtime) for r in got] == [("an empty+one", 0, None)] and got[0].path.endswith("/an empty+one.Txt")
 
 
 def test_shards_are_full_and_listed(spark):
