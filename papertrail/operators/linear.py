@@ -129,7 +129,9 @@ def _pass(rows: DataFrame, heads: np.ndarray, bias: np.ndarray, trials: list, fo
         total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
         return pa.table({"model": table.column("model")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.select("label", "fold", "held", "features").mapInArrow(add, "model long, sums binary")
+    # a task yields a gradient for each model: as many tasks as run at once, however finely the table is split
+    rows = rows.select("label", "fold", "held", "features").coalesce(spark.sparkContext.defaultParallelism)
+    parts = rows.mapInArrow(add, "model long, sums binary")
     found = {r["model"]: np.frombuffer(r["sums"]) for r in parts.groupBy("model").applyInArrow(add_up, "model long, sums binary").collect()}
     cells, size = 2 + 2 * classes * classes, 2 + 2 * classes * classes + classes + (dims * classes if gradients else 0)
     sums = np.stack([found.get(m, np.zeros(size)) for m in range(models)])
