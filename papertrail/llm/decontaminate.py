@@ -31,15 +31,19 @@ from pyspark.sql import functions as F
 
 from papertrail.llm.common import bind, lower_ascii, small
 
-# fixed value: the word pattern of the contract
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# the ASCII characters between words, after lower-casing (fixed value: complement of the contract's word pattern)
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
 SPAN = 13
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+SALTS = 32
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words in order.  ``split`` takes time in proportion to the text;
+    ``regexp_extract_all`` copies the whole text for every match."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _upto(n: Column) -> Column:
@@ -51,13 +55,21 @@ def _grams(hashes: Column, k: int) -> Column:
     return F.transform(_upto(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
 
 
+def _sliding_min(x: Column, width: int, step: int = 1) -> Column:
+    """The minimum of every ``width`` consecutive values, from that of ``step``
+    values: the width doubles, then the rest overlaps."""
+    if step == width:
+        return x
+    by = min(step, width - step)
+    return bind(x, lambda v: _sliding_min(F.transform(
+        _upto(F.size(v) - by), lambda i: F.least(F.get(v, i), F.get(v, i + by))), width, step + by))
+
+
 def minima(w: Column, t: int, gram: int = GRAM) -> Column:
     """The smallest k-gram hash of each window of ``t`` words, by position."""
     k = min(gram, t)
-    width = t - k + 1
     hashes = F.transform(w, lambda x: F.xxhash64(x))
-    return bind(hashes, lambda h: bind(_grams(h, k), lambda g: F.transform(
-        _upto(F.size(g) - (width - 1)), lambda i: F.array_min(F.slice(g, i + 1, width)))))
+    return _sliding_min(bind(hashes, lambda h: _grams(h, k)), t - k + 1)
 
 
 def windows(w: Column, t: int, gram: int = GRAM) -> Column:
@@ -115,6 +127,20 @@ def _covered(spans: Column) -> Column:
         (a["n"] + F.greatest(F.lit(0), s["at"] + s["t"] - F.greatest(a["end"], s["at"]))).alias("n")), lambda a: a["n"])
 
 
+def _joined(d: DataFrame, hits: DataFrame, max_rows: int) -> DataFrame:
+    """``d`` left-joined with ``hits``: by broadcast up to ``max_rows`` rows and
+    MAX_BROADCAST_BYTES, else in SALTS parts of every key, so that the copies
+    of a frequent text meet their hits in many tasks."""
+    width = 8 * F.size("spans") + F.coalesce(F.aggregate(
+        "items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16), F.lit(0)) + 64
+    r = hits.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    if r["rows"] <= max_rows and r["bytes"] <= MAX_BROADCAST_BYTES:
+        return d.join(F.broadcast(hits), ["k1", "k2"], "left")
+    d = d.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    hits = hits.withColumn("salt", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return d.join(hits, ["k1", "k2", "salt"], "left").drop("salt")
+
+
 def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
             span: int = SPAN, gram: int = GRAM, ratio: int = 20, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
             carry: list[str] | None = None) -> DataFrame:
@@ -137,7 +163,8 @@ def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         hits = spans.join(listed, ["k1", "k2"], "left")
     text = F.col(text_col)
     d = docs.select(F.struct(*(carry or ["*"])).alias("row"), *_key(text), F.size(words(text)).cast("long").alias("n_words"))
-    j = d.join(hits, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")))
+    j = _joined(d, hits.checkpoint(), max_broadcast_rows).withColumn(
+        "n_hit", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")))
     c = F.struct("n_words", "n_hit", F.coalesce("spans", F.array().cast("array<struct<at:int,t:int>>")).alias("spans"),
                  F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                  ((F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).alias("contaminated"))
