@@ -36,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.llm.common import discard, sampled, stored
+from papertrail.llm.wordhash import slices
 
 MAX_TRAIN = 10_000
 DICTIONARY_WORDS = 20_000
 NEAR = 48  # characters of context on either side
 HASHED = 16
+EMIT = 512  # findings a task holds before it passes them on
 
 _KEY = "[A-Za-z0-9+/_-]"
 _KEYS = frozenset("+/_-" + string.ascii_letters + string.digits)
@@ -113,12 +115,12 @@ def feature_row(finding: str, before: str, after: str, path: str | None, diction
 
 
 def dictionary_of(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> frozenset:
-    """The about ``words`` most frequent words of 3 to 12 letters of all rows,
+    """The about ``words`` most frequent words of 3 to 12 letters a-z of all rows,
     counted in each task before the shuffle; ties for the last places go by the
     word's hash.  Only how many words have each count, and the words kept, are
     sent to the driver."""
-    w = F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\b[a-z]{3,12}\b"), F.lit(0)))
-    counts = stored(docs.select(w.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-counts")
+    w = F.explode_outer(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}_]+"))
+    counts = stored(docs.select(w.alias("w")).filter(F.regexp_like("w", F.lit("^[a-z]{3,12}$"))).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-counts")
     left, keep = words, F.lit(False)
     for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
         keep = F.col("n") >= r["n"]
@@ -141,16 +143,20 @@ def findings(docs: DataFrame, dictionary: frozenset, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
-        for b in batches:
-            rows = []
-            for doc, text, path in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                t = text.as_py()
-                for at, x in candidates(t):
-                    before, after = t[max(0, at - NEAR):at], t[at + len(x):at + len(x) + NEAR]
-                    rows.append((doc, at, x, before, after, feature_row(x, before, after, path, words)))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k or b.schema.field(0).type) for c, k in zip(zip(*rows), kinds)], names)
+        for whole in batches:
+            types = [k or whole.schema.field(0).type for k in kinds]
+            for b in slices(whole, 1):
+                rows = []
+                for doc, text, path in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                    t = text.as_py()
+                    for at, x in candidates(t):
+                        before, after = t[max(0, at - NEAR):at], t[at + len(x):at + len(x) + NEAR]
+                        rows.append((doc, at, x, before, after, feature_row(x, before, after, path, words)))
+                        if len(rows) == EMIT:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names)
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names)
 
     path = F.lit(None).cast("string") if path_col is None else F.col(path_col).cast("string")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("t"), path.alias("p"))
