@@ -13,10 +13,11 @@ with equal sets are one node.  Two nodes link when
 2. Points.  The shingles of a candidate are hashed into 256 groups; the
    counts are its point, of which trees see sums of four groups first.  The overlap of two points, or boxes of points, is
    at most the sum of their coordinate minima.
-3. Stars.  In every tile the smallest node is held against the others by
-   that bound, then exactly; links give components.  A group of a million
-   near copies costs one comparison per member and tile centre, never all
-   pairs.
+3. Stars.  A tile's centre is its smallest node.  Every node is first held,
+   by that bound and then exactly, against the centre that it shares most
+   tiles with; links give components.  Then, in the tiles that still hold
+   several components, against the centres of other components.  A group of
+   a million near copies costs one comparison per member, never all pairs.
 4. R-trees.  Tiles that still hold several components bulk-load their
    points into an R-tree (sorted by size, 32 points a leaf); only pairs of
    different components that pass the bound are verified.  Tiles are cut into
@@ -142,7 +143,7 @@ def commonness(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def tile_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str, words: int, num: int,
               den: int) -> DataFrame:
-    """tile, sid, n: the prefix shingles of every document."""
+    """tile, sid: the prefix shingles of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def tile_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: st
                 sets, places, w = shingle_sets(b.column(2), words)
                 of_word = np.append(of_words[_group(w)], np.zeros(words, "uint16")).astype("uint64")
                 of_gram = sum(of_word[j:len(of_word) - words + j] for j in range(words))
-                tiles, sids, sizes = [], [], []
+                tiles, sids = [], []
                 for h, at in zip(sets, places):
                     n = len(h)
                     take = n - -(-num * n // den) + 1
@@ -164,12 +165,10 @@ def tile_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: st
                         prefix = h[np.argpartition(key, take - 1)[:take]] if take < n else h
                     tiles.append(prefix)
                     sids.append(np.full(len(prefix), _sid(h)))
-                    sizes.append(np.full(len(prefix), n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tiles).view("int64")), pa.array(np.concatenate(sids).astype("int64")),
-                     pa.array(np.concatenate(sizes).astype("int32"))], ["tile", "sid", "n"])
+                    [pa.array(np.concatenate(tiles).view("int64")), pa.array(np.concatenate(sids).astype("int64"))], ["tile", "sid"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "tile long, sid long, n int")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "tile long, sid long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -339,6 +338,19 @@ def candidate_points(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_co
     return once.mapInArrow(run, "sid long, n int, text string, vec binary")
 
 
+def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """tile, sid, centre, comp and centre_comp of the tiles whose nodes are of
+    several components.  ``members``: tile, sid, centre; ``comps``: node, comp."""
+    of = small(comps, MAX_BROADCAST_ROWS)
+    m = members.join(of.select(F.col("node").alias("sid"), "comp"), "sid", "left")
+    m = m.join(of.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), "centre", "left")
+    m = m.select("tile", "sid", "centre", F.coalesce("comp", "sid").alias("comp"),
+                 F.coalesce("centre_comp", "centre").alias("centre_comp"))
+    # a tile's centre is one of its nodes
+    several = m.filter("comp <> centre_comp").select("tile").distinct()
+    return m.join(several, "tile", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9,
                        den: int = 10, chunk: int = CHUNK) -> DataFrame:
     """Per row: the id column, th (xxhash64 of the text), n_shingles, component
@@ -350,18 +362,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = stored(tiles.join(shared.select("tile", "centre"), "tile").distinct(), "jaccard-members")
     discard(tiles)
     points = stored(candidate_points(docs, nodes, members.select("sid").distinct(), id_col, text_col, words), "jaccard-points")
-    star = members.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
-    links = stored(verified(within_bound(star, points, num, den), points, words, num, den), "jaccard-links")
+    # each node against the centre that it shares most tiles with
+    shares = members.filter("sid <> centre").groupBy(F.col("centre").alias("a"), F.col("sid").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"))
+    first = stored(shares.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b"), "jaccard-pairs")
+    links = stored(verified(within_bound(first, points, num, den), points, words, num, den), "jaccard-links")
     release(docs.sparkSession)
-    comps = components(links)
-    # tiles that still hold several components
-    open_ = members.select("tile", "sid").join(comps, F.col("sid") == F.col("node"), "left").select(
-        "tile", "sid", F.coalesce("comp", "sid").alias("comp"))
-    several = open_.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("tile")
-    rest = open_.join(several, "tile").join(points.select("sid", "n", "vec"), "sid")
-    pairs = tree_candidates(rest, num, den, chunk)
-    more = stored(verified(pairs.join(star, ["a", "b"], "left_anti"), points, words, num, den), "jaccard-links")
+    comps = stored(components(links), "jaccard-comps")
+    # the centres of other components, in the tiles that hold several
+    open_ = stored(open_members(members, comps), "jaccard-open")
     discard(members)
+    rest = open_.filter("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = stored(verified(within_bound(rest, points, num, den), points, words, num, den), "jaccard-links")
+    release(docs.sparkSession)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = stored(components(links), "jaccard-comps")
+        open_ = open_members(open_.select("tile", "sid", "centre"), comps)
+    # what is left of those tiles, by trees
+    tested = first.unionByName(rest)
+    trees = open_.select("tile", "sid", "comp").join(points.select("sid", "n", "vec"), "sid")
+    pairs = tree_candidates(trees, num, den, chunk).join(tested, ["a", "b"], "left_anti")
+    more = stored(verified(pairs, points, words, num, den), "jaccard-links")
     discard(points)
     comps = components(links.unionByName(more)) if not more.isEmpty() else comps
     # every node to its component, every component to its smallest id
