@@ -20,9 +20,11 @@ with equal sets are one node.  Two nodes link when
    a million near copies costs one comparison per member, never all pairs.
 4. R-trees.  Tiles that still hold several components bulk-load their
    points into an R-tree (sorted by size, 32 points a leaf); only pairs of
-   different components that pass the bound are verified.  Tiles are cut into
-   chunks of ``chunk`` points, joined chunk by chunk, so one task's work is
-   bounded.
+   different components that pass the bound are verified: in one search
+   the best partner of each node, whose links join most components at the
+   cost of one comparison per node, then every pair that is still between
+   components.  Tiles are cut into chunks of ``chunk`` points, joined chunk
+   by chunk, so one task's work is bounded.
 5. Verification intersects the whole sets.  Members travel to their centre,
    which is repeated for every ``SALT`` members.
 
@@ -55,6 +57,7 @@ DIMS = 256
 COARSE = 64
 FULL = 255  # a group count that may stand for more
 LEAF = 32
+ROUNDS = 1  # searches for the best partners before that for all
 CHUNK = 2048
 SALT = 500
 MAX_BROADCAST_ROWS = 500_000
@@ -272,9 +275,21 @@ def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, sid
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def tree_candidates(members: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
-    """Pairs (a, b) of different components within a tile that pass the bound.
-    ``members``: tile, sid, n, comp, vec."""
+def best_of_each(vec: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, block: int = 1 << 15) -> tuple[np.ndarray, ...]:
+    """(node, partner, share) with every node's partner of the largest bounded
+    overlap per shingle of the two; the pairs are (x, y)."""
+    share = np.concatenate([np.minimum(vec[x[k:k + block]], vec[y[k:k + block]]).sum(1) for k in range(0, len(x), block)])
+    share = share / (size[x].astype("int64") + size[y])
+    node, partner, share = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([share, share])
+    order = np.lexsort((partner, -share, node))
+    order = order[np.append(True, np.diff(node[order]) != 0)]
+    return node[order], partner[order], share[order]
+
+
+def tree_candidates(members: DataFrame, num: int, den: int, chunk: int, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components within a tile that pass the bound,
+    or of these only the ``best`` of every node.  ``members``: tile, sid, n,
+    comp, vec."""
     parts = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m")).select(
         "tile", F.greatest(F.lit(1), F.ceil(F.col("m") / chunk)).cast("int").alias("parts"))
     m = members.join(parts, "tile").withColumn("part", F.pmod(F.hash("sid"), F.col("parts")))
@@ -297,6 +312,9 @@ def tree_candidates(members: DataFrame, num: int, den: int, chunk: int) -> DataF
             if not len(x):
                 return None
             s = np.array(sid, "int64")
+            if best:
+                x, y, share = best_of_each(v, np.array(n), x, y)
+                return pa.RecordBatch.from_arrays([pa.array(s[x]), pa.array(s[y]), pa.array(share)], ["node", "partner", "share"])
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(s[x], s[y])), pa.array(np.maximum(s[x], s[y]))], ["a", "b"])
 
         for b in batches:
@@ -309,6 +327,10 @@ def tree_candidates(members: DataFrame, num: int, den: int, chunk: int) -> DataF
         if held and (out := close()) is not None:
             yield out
 
+    if best:
+        found = m.mapInArrow(run, "node long, partner long, share double")
+        found = found.groupBy("node").agg(F.max(F.struct("share", "partner")).alias("x")).select("node", "x.partner")
+        return found.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
     return m.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -380,13 +402,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(more)
         comps = stored(components(links), "jaccard-comps")
         open_ = open_members(open_.select("tile", "sid", "centre"), comps)
-    # what is left of those tiles, by trees
+    # what is left of those tiles, by trees: the best partner of each node,
+    # while that joins components, and at last every pair between components
     tested = first.unionByName(rest)
-    trees = open_.select("tile", "sid", "comp").join(points.select("sid", "n", "vec"), "sid")
-    pairs = tree_candidates(trees, num, den, chunk).join(tested, ["a", "b"], "left_anti")
-    more = stored(verified(pairs, points, words, num, den), "jaccard-links")
+    for best in [True] * ROUNDS + [False]:
+        trees = open_.select("tile", "sid", "comp").join(points.select("sid", "n", "vec"), "sid")
+        pairs = stored(tree_candidates(trees, num, den, chunk, best).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = stored(verified(pairs, points, words, num, den), "jaccard-links")
+        release(docs.sparkSession)
+        tested = tested.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = stored(components(links), "jaccard-comps")
+            open_ = open_members(open_.select("tile", "sid", "centre"), comps)
     discard(points)
-    comps = components(links.unionByName(more)) if not more.isEmpty() else comps
     # every node to its component, every component to its smallest id
     n = nodes.join(comps, nodes["sid"] == comps["node"], "left").select(
         "id", "th", "n", F.coalesce("comp", "sid").alias("comp"))
