@@ -87,6 +87,10 @@ def test_exact_dedup(docs, rows):
     for capacity in (1, 1 << 15):  # 1: every bucket is split as far as its keys allow
         got = exact_dedup.exact_dedup(docs, capacity=capacity, max_depth=8)
         assert multiset(got.collect()) == multiset(want)
+    # keys of one bit: nearly all texts collide, and only the bytes along the chain part them
+    for held in (1, 1 << 20):
+        got = exact_dedup.exact_dedup(docs, capacity=1, max_depth=3, key_bits=1, held_bytes=held)
+        assert multiset(got.collect()) == multiset(want)
 
 
 def test_exact_dedup_leaves_one_of_each(docs, rows):
@@ -104,7 +108,26 @@ def test_directory_splits_overfull_buckets():
     assert all(w == 1 << (4 - d) for _, w, d in got)
 
 
+def test_buckets_are_ranges_of_keys(spark, docs):
+    for max_depth in (1, 8):  # at 1, slots are halved below the directory
+        index = exact_dedup.build_index(docs, capacity=1, max_depth=max_depth)
+        assert index.directory.count() == 1 << max_depth
+        got = index.select("bucket", "depth", "key").collect()
+        assert max(r.depth for r in got) > 1
+        assert all(r.bucket == 1 << r.depth | (r.key % (1 << 64)) >> (64 - r.depth) for r in got)
+        deep = {(r.key % (1 << 64)) >> (64 - max_depth): r.depth for r in got}
+        assert all(deep[(r.key % (1 << 64)) >> (64 - max_depth)] == r.depth for r in got)
+
+
+def test_combining_leaves_one_row_of_a_hot_text(spark):
+    hot = spark.range(20000, numPartitions=2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("Hot")).otherwise(
+        F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    got = exact_dedup.combined(hot, held_bytes=50_000).filter("norm = cast('hot' as binary)").collect()
+    assert len(got) == 2 and sum(r.n for r in got) == 13333 and max(r.id for r in got) == 19999
+
+
 def test_colliding_keys_are_chained(spark, docs):
+    assert exact_dedup.build_index(docs, key_bits=1).agg(F.max("chain")).first()[0] > 0
     index = exact_dedup.build_index(docs)
     assert index.filter("chain < 0").count() == 0
     assert index.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.max("chain").alias("m")).filter("n <> m + 1").count() == 0
