@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from papertrail.functions._col import col_of, let
-from papertrail.functions.text import extract_doi, strip
+from papertrail.functions.text import citekey, extract_doi, normalize_bib_doi, strip
 
 # The preferred order of bib fields; other fields follow
 # alphabetically.  ENTRYTYPE and ID are reserved keys.
@@ -162,9 +162,18 @@ def parse_entry(c) -> Column:
     return let(col_of(c), parse)
 
 
+def entry_key(entry, idx) -> Column:
+    """The id of a parsed entry; where it has none, the citekey of its DOI
+    field, or ``article_{idx+1}`` without one."""
+    def key(e):
+        doi = normalize_bib_doi(F.try_element_at(e["fields"], F.lit("doi")))
+        return F.coalesce(F.nullif(e["id"], F.lit("")), citekey(doi, idx))
+    return let(col_of(entry), key)
+
+
 # ------------------------------------------------------------------ citation records
 
-_CITATION = r"^\d+\.\s*(.+?)\.\s*(\d{4})\b[^;]*;\s*(\d+)\s*(?:\(([^)]*)\))?\s*:\s*([^.\s]+)"
+CITATION = r"^\d+\.\s*(.+?)\.\s*(\d{4})\b[^;]*;\s*(\d+)\s*(?:\(([^)]*)\))?\s*:\s*([^.\s]+)"
 
 
 def _author_bib(name) -> Column:
@@ -201,7 +210,7 @@ def _citation_fields(rec, paras, cite):
     longest = F.aggregate(rest, F.lit(""), lambda acc, p: F.when(F.length(p) > F.length(acc), p).otherwise(acc))
 
     def g(i):
-        return F.nullif(F.regexp_extract(cite, _CITATION, i), F.lit(""))
+        return F.nullif(F.regexp_extract(cite, CITATION, i), F.lit(""))
     fields = F.map_filter(F.create_map(
         F.lit("title"), F.nullif(title, F.lit("")), F.lit("author"), F.nullif(authors, F.lit("")),
         F.lit("journal"), g(1), F.lit("year"), g(2), F.lit("volume"), g(3), F.lit("number"), g(4),

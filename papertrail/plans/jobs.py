@@ -100,8 +100,8 @@ def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: st
     Model output (``fn``: pandas Series of texts → Series of JSON texts,
     run in Arrow batches; default :func:`rule_model`) → brace repair →
     strict JSON parse, else regex salvage of the fields → type defaults
-    to article, a missing ID becomes the DOI citekey (``article_{n}``
-    without DOI) → rendered entry.  Outputs with no usable field go to
+    to article, a missing ID becomes the DOI citekey (without DOI
+    ``article_{n}`` of a numeric id, else ``article_{id}``) → rendered entry.  Outputs with no usable field go to
     the dead letter.
     """
     from papertrail.functions._col import let
@@ -115,7 +115,8 @@ def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: st
         p = records.withColumn("raw_prediction", text_udf(fn)(F.col(text)))
     m = let(J.brace_repair(F.col("raw_prediction")), lambda rep: F.coalesce(
         F.try_variant_get(J.strict_parse_json(rep), "$", "map<string,string>"), J.salvage_fields(rep)))
-    key = citekey(extract_doi(F.col(text)), F.col(id_col))
+    key = F.coalesce(citekey(extract_doi(F.col(text)), F.col(id_col).try_cast("long")),
+                     F.concat(F.lit("article_"), F.col(id_col).cast("string")))
 
     def to_bib(mm):
         typ = F.coalesce(F.nullif(F.element_at(mm, F.lit("ENTRYTYPE")), F.lit("")), F.lit("article"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from papertrail.functions import bib as B
 from papertrail.operators import metrics as M
 from papertrail.plans import duck as D
-from papertrail.plans.q_bib import SQL_PARSED, _entries
+from papertrail.plans.q_bib import _entries, library_text, sql_parsed
 from papertrail.plans.q_metrics import CLASSES4, SQL_SCORED, scored
 from papertrail.plans.q_search import _store_chunks, sql_chunks
 from papertrail.plans.registry import SQL, register
@@ -76,14 +76,16 @@ SELECT {D.strip('p')} AS text FROM r WHERE length({D.strip('p')}) > 0
 
 
 def _read_bib(spark, sf):
-    """Library-form entries written with the bib sink (K1), parsed back."""
-    e = _entries(spark, sf).filter(F.col("id").isNotNull())
+    """Library-form entries written with the bib sink (K1), parsed back (S2);
+    entries without an id are read too, their id is null."""
+    e = _entries(spark, sf)
     p = _scratch(spark, "bib")
-    SK.write_bib(e.select(B.render_bib("entrytype", "id", "fields", escape=False).alias("bib")), p)
-    return RD.read_bib(spark, p, ext=".txt").select("entrytype", "id", F.explode("fields").alias("field", "value"))
+    SK.write_bib(e.select(library_text(e).alias("bib")), p)
+    return RD.read_bib(spark, p, ext=".txt").select(
+        "entrytype", F.nullif("id", F.lit("")).alias("id"), F.explode("fields").alias("field", "value"))
 
 
-register("s_read_bib", sql=SQL_PARSED)(_read_bib)
+register("s_read_bib", sql=sql_parsed("id"))(_read_bib)
 
 
 def _read_docs(spark, sf):

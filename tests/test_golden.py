@@ -209,3 +209,21 @@ def test_read_bib_entries(spark):
     assert es[0].p.fields["pmcid"] == "null"
     assert es[0].p.fields["abstract"].endswith("{accessible}.")
     assert es[1].p.fields["author"] == "{G. Binnig} and {C. F. Quate}"
+
+
+def test_entries_without_id_get_a_citekey(spark):
+    bib = "@article{,\n doi = {10.1002/Chem.2022},\n}\n@misc{,\n title = {no doi},\n}\n@book{own,\n doi = {10.1/x},\n}"
+    df = spark.createDataFrame([(bib,)], "t string").select(F.posexplode(B.split_entries("t")).alias("pos", "e"))
+    got = df.select(B.entry_key(B.parse_entry("e"), "pos").alias("k"), B.parse_entry("e")["fields"].alias("f")).collect()
+    assert [r.k for r in got] == ["10_1002_chem", "article_2", "own"]
+    assert got[1].f == {"title": "no doi"}
+
+
+def test_predicted_bib_without_doi_is_kept(spark):
+    from papertrail.plans import jobs
+
+    recs = spark.createDataFrame([("7_0", "1. Chem. 2020 May;1(2):3.\n\nA title.\n\nDoe J.")], "record_id string, text string")
+    bib, dead = jobs.predict_bib(recs)
+    assert bib.first().bib.startswith("@article{article_7_0,") and dead.count() == 0
+    numbered = recs.withColumn("record_id", F.lit(4))
+    assert jobs.predict_bib(numbered)[0].first().bib.startswith("@article{article_5,")
