@@ -126,6 +126,29 @@ def evaluation(df: DataFrame, y: str, p: str, classes) -> DataFrame:
                       F.when(den > 0, (F.col("c") * F.col("s") - F.col("pt")) / den).otherwise(F.lit(0.0)).alias("mcc"))
 
 
+def evaluation_row(df: DataFrame, y: str, p: str, probs: str, classes, alpha: DataFrame | None = None, gamma: float = 2.0,
+                   batch: str | None = None) -> DataFrame:
+    """One row with every figure of an evaluation (M5): test_loss (focal, mean of
+    batch means where ``batch`` is given), accuracy, n_test, macro precision,
+    recall and F1, F1 per class, balanced accuracy, mcc, and the macro averages
+    of one-vs-rest ROC-AUC and average precision.
+
+    ``classes`` are 0 .. k-1, the positions of ``probs``; ``alpha``: (label,
+    weight).  Classes without positives or negatives are left out of the AUC.
+    """
+    k = len(classes)
+    if list(classes) != list(range(k)):
+        raise ValueError("classes must be the positions of probs")
+    per = _per_class_ranks(_ranked_counts(df, y, probs, k)).agg(F.avg("auc").alias("roc_auc_macro"), F.avg("ap").alias("pr_auc_macro"))
+    report = class_report(df, y, p, classes)
+    f1 = report.agg(*[F.max(F.when(F.col("label") == c, F.col("f1"))).alias(f"f1_{c}") for c in classes])
+    loss = focal_loss(df, y, probs, gamma, alpha, batch=batch).withColumnRenamed("focal_loss", "test_loss")
+    one = evaluation(df, y, p, classes)
+    for other in (f1, per, loss):  # each has one row
+        one = one.crossJoin(F.broadcast(other))
+    return one
+
+
 def macro_scores(report: DataFrame) -> DataFrame:
     """Macro and support-weighted averages of a class report."""
     tot = F.sum("support")
@@ -171,6 +194,15 @@ def _ranked_counts(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
     return scanned.join(F.broadcast(tot), "cls")  # one row per class
 
 
+def _per_class_ranks(ranked: DataFrame) -> DataFrame:
+    """(cls, auc, ap) from one scan of the ranked counts; null where undefined."""
+    ge_pos = F.col("P") - F.col("pos_lt")
+    ge_all = F.col("P") + F.col("N") - F.col("pos_lt") - F.col("neg_lt")
+    pairs = F.col("pos") * F.col("neg_lt") + F.lit(0.5) * F.col("pos") * F.col("neg")
+    return ranked.groupBy("cls", "P", "N").agg(F.sum(pairs).alias("won"), F.sum(F.col("pos") * ge_pos / ge_all).alias("gained")).select(
+        "cls", F.try_divide("won", F.col("P") * F.col("N")).alias("auc"), F.try_divide("gained", F.col("P")).alias("ap"))
+
+
 def roc_auc_ovr(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
     """Per-class one-vs-rest ROC-AUC (rank form, ties count one half)."""
     r = _ranked_counts(df, y, probs, k)

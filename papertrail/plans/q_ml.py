@@ -125,6 +125,47 @@ def _tune(spark, sf):
 register("m_tune")(_tune)
 
 
+def _eval_row(spark, sf):
+    """The labelled documents scored by the given head, held against their labels."""
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("y")).filter("y IS NOT NULL")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id")
+    pred = L.classify(docs, "doc_id", "text", given_head()).withColumn("probs", F.transform("probs", lambda v: F.round(v, 6)))
+    s = pred.join(lab, "doc_id").select("y", F.col("predicted_label").cast("long").alias("pred"), "probs",
+                                        F.floor(F.col("doc_id") / 32).alias("batch")).checkpoint()
+    row = M.evaluation_row(s, "y", "pred", "probs", CLASSES, alpha=M.class_weights(s, "y", CLASSES), batch="batch")
+    return row.select(*[F.round(c, 6).alias(c) if c != "n_test" else F.col(c) for c in row.columns])
+
+
+register("m_eval_row", sql=f"""
+WITH whole AS (SELECT doc_id, 0 AS win, {D.tokens('text')} AS w FROM documents),
+{sql_scores('whole')},
+s AS (SELECT doc_id, CAST(quality AS BIGINT) AS y, predicted_label AS pred, round(CASE WHEN predicted_label = 0 THEN confidence ELSE 1 - confidence END, 6) AS p0,
+             round(CASE WHEN predicted_label = 1 THEN confidence ELSE 1 - confidence END, 6) AS p1
+      FROM scored JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+n AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN y = pred THEN 1 ELSE 0 END)::DOUBLE AS c FROM s),
+rep AS (SELECT d.label, count(*) FILTER (y = d.label AND pred = d.label)::DOUBLE AS tp, count(*) FILTER (y = d.label)::DOUBLE AS t,
+               count(*) FILTER (pred = d.label)::DOUBLE AS pk FROM s CROSS JOIN (SELECT unnest(range({len(CLASSES)})) AS label) d GROUP BY d.label),
+sc AS (SELECT *, CASE WHEN pk > 0 THEN tp / pk ELSE 0 END AS pr, CASE WHEN t > 0 THEN tp / t ELSE 0 END AS rc,
+              CASE WHEN pk + t > 0 THEN 2 * tp / (pk + t) ELSE 0 END AS f1 FROM rep),
+agg AS (SELECT avg(pr) AS pr, avg(rc) AS rc, avg(f1) AS f1, avg(CASE WHEN t > 0 THEN rc END) AS bal, max(f1) FILTER (label = 0) AS f0,
+               max(f1) FILTER (label = 1) AS f1c, sum(pk * t) AS pt, sum(pk * pk) AS pp, sum(t * t) AS tt FROM sc),
+ex AS (SELECT 0 AS cls, y = 0 AS pos, p0 AS score FROM s UNION ALL SELECT 1, y = 1, p1 FROM s),
+cs AS (SELECT cls, score, count(*) FILTER (pos) AS pos, count(*) FILTER (NOT pos) AS neg FROM ex GROUP BY ALL),
+rk AS (SELECT cls, pos, neg, sum(pos) OVER (PARTITION BY cls) AS P, sum(neg) OVER (PARTITION BY cls) AS N,
+              sum(pos) OVER w - pos AS pos_lt, sum(neg) OVER w - neg AS neg_lt FROM cs WINDOW w AS (PARTITION BY cls ORDER BY score)),
+roc AS (SELECT cls, sum(pos * neg_lt + 0.5 * pos * neg) / max(P) / max(N) AS auc, sum(pos * (P - pos_lt) / (P + N - pos_lt - neg_lt)) / max(P) AS ap
+        FROM rk GROUP BY cls),
+al AS (SELECT label, CASE WHEN t = 0 THEN 1.0 ELSE n.n / ({len(CLASSES)} * t) END AS weight FROM rep CROSS JOIN n),
+ls AS (SELECT doc_id // 32 AS batch, avg(pow(1 - CASE WHEN y = 1 THEN p1 ELSE p0 END, 2) * -ln(CASE WHEN y = 1 THEN p1 ELSE p0 END) * weight) AS b
+       FROM s JOIN al ON al.label = s.y GROUP BY 1)
+SELECT round(c / n, 6) AS accuracy, CAST(n AS BIGINT) AS n_test, round(pr, 6) AS precision_macro, round(rc, 6) AS recall_macro, round(f1, 6) AS f1_macro,
+  round(bal, 6) AS balanced_accuracy, round(CASE WHEN (n * n - pp) * (n * n - tt) > 0 THEN (c * n - pt) / sqrt((n * n - pp) * (n * n - tt)) ELSE 0 END, 6) AS mcc,
+  round(f0, 6) AS f1_0, round(f1c, 6) AS f1_1, (SELECT round(avg(auc), 6) FROM roc) AS roc_auc_macro, (SELECT round(avg(ap), 6) FROM roc) AS pr_auc_macro,
+  (SELECT round(avg(b), 6) FROM ls) AS test_loss
+FROM agg CROSS JOIN n
+""")(_eval_row)
+
+
 def _baseline(spark, sf):
     s = labelled(spark, sf)
     pred = ML.baseline_predictions(s.filter("split = 'train'"), s.filter("split = 'test'"), "label")

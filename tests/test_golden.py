@@ -227,3 +227,15 @@ def test_predicted_bib_without_doi_is_kept(spark):
     assert bib.first().bib.startswith("@article{article_7_0,") and dead.count() == 0
     numbered = recs.withColumn("record_id", F.lit(4))
     assert jobs.predict_bib(numbered)[0].first().bib.startswith("@article{article_5,")
+
+
+def test_evaluation_row(spark):
+    import math
+
+    rows = [(0, 0, [0.8, 0.2]), (1, 1, [0.2, 0.8]), (1, 0, [0.6, 0.4]), (0, 1, [0.4, 0.6])]
+    df = spark.createDataFrame(rows, "y long, p long, probs array<double>")
+    r = M.evaluation_row(df, "y", "p", "probs", [0, 1]).first()
+    assert (r.accuracy, r.n_test, r.f1_0, r.f1_1, r.balanced_accuracy, r.mcc) == (0.5, 4, 0.5, 0.5, 0.5, 0.0)
+    assert r.roc_auc_macro == 0.75 and abs(r.pr_auc_macro - 5 / 6) < 1e-12
+    want = sum((1 - p) ** 2 * -math.log(p) for p in (0.8, 0.8, 0.4, 0.4)) / 4
+    assert abs(r.test_loss - want) < 1e-12
