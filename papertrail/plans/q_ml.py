@@ -128,7 +128,7 @@ register("m_tune")(_tune)
 def _eval_row(spark, sf):
     """The labelled documents scored by the given head, held against their labels."""
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("y")).filter("y IS NOT NULL")
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")  # scored first: a join would move whole texts
     pred = L.classify(docs, "doc_id", "text", given_head()).withColumn("probs", F.transform("probs", lambda v: F.round(v, 6)))
     s = pred.join(lab, "doc_id").select("y", F.col("predicted_label").cast("long").alias("pred"), "probs",
                                         F.floor(F.col("doc_id") / 32).alias("batch")).checkpoint()
