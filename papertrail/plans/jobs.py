@@ -94,15 +94,15 @@ def rule_model(records: DataFrame, text: str = "text") -> DataFrame:
     return records.withColumn("raw_prediction", raw)
 
 
-def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: str = "text") -> tuple:
-    """(bib rows, dead letters) for text records.
+def predicted(records: DataFrame, fn=None, id_col: str = "record_id", text: str = "text") -> DataFrame:
+    """``records`` with raw_prediction, bib and ok, from one pass.
 
     Model output (``fn``: pandas Series of texts → Series of JSON texts,
     run in Arrow batches; default :func:`rule_model`) → brace repair →
     strict JSON parse, else regex salvage of the fields → type defaults
     to article, a missing ID becomes the DOI citekey (without DOI
-    ``article_{n}`` of a numeric id, else ``article_{id}``) → rendered entry.  Outputs with no usable field go to
-    the dead letter.
+    ``article_{n}`` of a numeric id, else ``article_{id}``) → rendered entry.  Outputs with no usable field are
+    not ``ok``.
     """
     from papertrail.functions._col import let
     from papertrail.functions.bib import RESERVED, render_bib
@@ -124,7 +124,12 @@ def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: st
         bib = render_bib(typ, eid, F.map_filter(mm, lambda k, v: ~k.isin(*RESERVED)))
         return F.struct(bib.alias("bib"), F.size(mm).alias("n"))
     p = p.withColumn("_r", let(m, to_bib)).withColumn("bib", F.col("_r.bib"))
-    good, bad = split_status(p, F.col("bib").isNotNull() & (F.col("_r.n") > 0))
+    return p.withColumn("ok", F.coalesce(F.col("bib").isNotNull() & (F.col("_r.n") > 0), F.lit(False))).drop("_r")
+
+
+def predict_bib(records: DataFrame, fn=None, id_col: str = "record_id", text: str = "text") -> tuple:
+    """(bib rows, dead letters) of :func:`predicted`."""
+    good, bad = split_status(predicted(records, fn, id_col, text), F.col("ok"))
     dead = dead_letter(bad.withColumn("_name", F.col(id_col).cast("string")), "PREDICT", "_name",
                        F.lit("BibTeX generation failed"), "raw_prediction")
     return good.select(id_col, "bib"), dead

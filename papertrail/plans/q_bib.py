@@ -202,9 +202,8 @@ def _predict_bib(spark, sf):
     recs = citation_records(spark, sf)
     blob = recs.select("doc_id", F.concat("record", F.lit("\r\n\r\n\r\n\r\n")).alias("blob"))
     split = blob.select("doc_id", F.posexplode(split_records("blob")).alias("pos", "text"))
-    bib, dead = jobs.predict_bib(split.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("record_id"), "text"))
-    return bib.select("record_id", F.lit("ok").alias("status"), "bib").unionByName(
-        dead.select(F.col("name").alias("record_id"), F.col("stage").alias("status"), F.lit(None).cast("string").alias("bib")))
+    p = jobs.predicted(split.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("record_id"), "text"))
+    return p.select("record_id", F.when(F.col("ok"), "ok").otherwise("PREDICT").alias("status"), F.when(F.col("ok"), F.col("bib")).alias("bib"))
 
 
 _KEY = """CASE WHEN doi IS NULL THEN 'article_' || record_id ELSE
