@@ -4,15 +4,16 @@ A text falls into pieces: a run of ASCII white space with the chunk that
 follows it.  Byte-level BPE never merges across the start of such a run,
 so the text's token count is the sum of its pieces' counts.
 
-* Tier 1: a dictionary of frequent pieces and their lengths, at most
-  ``top`` entries whatever the corpus, broadcast once.  It is taken from
-  about ``sample_rows`` rows and decides speed only, never a result.
+* Tier 1: a dictionary of the most frequent pieces and their lengths, at
+  most ``top`` entries whatever the corpus, broadcast once.  The pieces of
+  all rows are counted for it, unless ``sample_rows`` says how many will
+  do; it decides speed only, never a result.
 * Tier 2: a cache in each Python worker, emptied when it holds
   ``cache_entries`` pieces; what it misses is encoded by the library.
 
 Texts holding a special token's opening or white space beyond ASCII (where
-a run could cross a piece) are encoded whole by the library.  Pieces never
-leave their task: the plan has no shuffle.
+a run could cross a piece) are encoded whole by the library.  Only the
+counts of different pieces are shuffled, never texts or rows.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); a null id
 and repeated rows give a row each; other columns are ignored; an empty
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import sampled
+from papertrail.llm.common import discard, sampled, stored
 
 TOP = 1 << 16
-SAMPLE_ROWS = 20_000
 CACHE_ENTRIES = 1 << 19
+HELD_BYTES = 1 << 26  # text that a task counts between two partial results
 
 _PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+")
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -90,31 +91,51 @@ def count_tokens(text: bytes, frequent: dict, path: str, cache_entries: int = CA
 
 
 def frequent_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", top: int = TOP,
-                    sample_rows: int = SAMPLE_ROWS) -> dict[bytes, int]:
-    """The ``top`` most frequent pieces of about ``sample_rows`` rows, with
-    lengths.  Every task counts its own rows and returns its ``top`` at most."""
+                    sample_rows: int | None = None) -> dict[bytes, int]:
+    """At most ``top`` pieces, the most frequent of all rows or of about
+    ``sample_rows``, with lengths; of the last equally frequent ones that would
+    exceed ``top``, none.  Tasks pass on partial counts whenever they hold many, so
+    nothing is dropped before the sums are known."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
+                                             ["piece", "n"])
+            seen.clear()
+            return out
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if not _WHOLE.search(t):
                     seen.update(pieces_of(t))
-            if len(seen) > 4 * top:
-                seen = Counter(dict(seen.most_common(2 * top)))
-        best = seen.most_common(top)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.binary()),
-                                          pa.array([n for _, n in best], pa.int64())], ["piece", "n"])
-
-    sample = sampled(docs, [id_col, text_col], sample_rows).select(F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
-    rows = sample.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1")
-    best = [bytes(r["piece"]) for r in rows.orderBy(F.desc("n"), "piece").limit(top).collect()]
+                    held += len(t)
+                    if len(seen) > 4 * top or held > HELD_BYTES:
+                        yield counted()
+                        held = 0
+        yield counted()
+
+    rows = docs if sample_rows is None else sampled(docs, [id_col, text_col], sample_rows)
+    rows = rows.select(F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
+    counts = rows.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = stored(counts, "piece-counts")
+    # how many pieces have each count: the driver gets no more than the table's own entries
+    least, total = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).limit(top).collect():
+        total += r["m"]
+        if total > top:
+            break
+        least = r["n"]
+    best = [] if least is None else [bytes(r["piece"]) for r in counts.filter(F.col("n") >= least).collect()]
+    discard(counts)
     tok, _ = load_tokenizer(path)
     return dict(zip(best, map(len, encode_all(tok, [p.decode() for p in best]))))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", top: int = TOP,
-                 sample_rows: int = SAMPLE_ROWS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+                 sample_rows: int | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Per row: the id column, n_bytes and n_tokens."""
     table = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path, id_col, text_col, top, sample_rows))
 

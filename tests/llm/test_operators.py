@@ -330,6 +330,16 @@ def test_token_counts(docs, rows):
     assert multiset(token_counts.token_counts(docs, path, top=3, sample_rows=2, cache_entries=8).collect()) == want
 
 
+def test_frequent_pieces_are_counted_over_all_rows(spark):
+    """Each piece is in two of 30,000 rows, in different tasks."""
+    path = P.path("byte_bpe_50k.json")
+    many = spark.range(30_000, numPartitions=3).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), F.col("id") % 15_000).alias("text"))
+    assert set(token_counts.frequent_pieces(many, path)) == {b"p%d" % i for i in range(15_000)}
+    # more pieces than a task holds at once
+    assert sorted(token_counts.frequent_pieces(many.filter("doc_id % 15000 < 9").coalesce(1), path, top=9)) == [b"p%d" % i for i in range(9)]
+
+
+
 ODD = ["  two  spaces ", "tab\tand\nline\n\n end \n", "nbsp x 　wide \x1c sep", "it's we'll 'tis ''s", "a  <|endoftext|>  b",
        "<|endoftext|", "émigré naïve Ωmega ǅ İi ﬁ", "J̌ é ̸<", "12 345,67 €5", "😀 👩‍👩‍👧 x", "  line sep \x85 q", "a.b,c!!d--e"]
 
