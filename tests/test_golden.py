@@ -108,6 +108,19 @@ def test_custom_id(spark):
     assert df.select(X.custom_id("n", "i")).first()[0] == "req_000007_a_b__"
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_custom_id_replaces_only_what_stays(spark):
+    df = spark.createDataFrame([("é b" * 40, 7), ("", 8), (None, 9), ("x", 10**70 // 10**52)], "n string, i long")
+    ids = df.select(X.custom_id("n", "i").alias("c"), X.custom_id("n", "i", max_len=11).alias("short"))
+    assert [tuple(r) for r in ids.collect()] == [
+        ("req_000007_" + ("__b" * 40)[:53], "req_000007"), ("req_000008", "req_000008"), ("req_000009", "req_000009"),
+        ("req_1000000000000000000_x", "req_1000000000000000000")]
+    assert "regexp_replace(substring(n" in plan_of(ids)
+
+
 def test_flatten_json_repeats_paths(spark):
     got = one(spark, flatten_json("x"), '{"a":{"b":1,"c":[null,true]}}')
     assert got == "a: a.b: 1; a.c: a.c.item_0: None; a.c.item_1: True"
