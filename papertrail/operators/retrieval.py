@@ -271,20 +271,90 @@ def dot(a, b) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def _partial_topk_fn(k: int, bc):
+CELLS = 1 << 20  # scores that a task holds at once
+HELD = 1 << 18  # candidates that a task holds
+
+
+def best_so_far(q, score, pos, k: int, bar):
+    """Indices of the candidates that may be among the ``k`` best of their
+    query, given those seen; raises ``bar`` to the k-th best scores.  ``pos`` is
+    the order of the ids: of equal scores of a query the k first suffice."""
+    import numpy as np
+
+    order = np.lexsort((pos, -score, q))
+    q, score = q[order], score[order]
+    first = np.append(True, q[1:] != q[:-1])
+    at = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    kth = at == k - 1
+    bar[q[kth]] = np.maximum(bar[q[kth]], score[kth])
+    new = first | np.append(True, score[1:] != score[:-1])
+    run = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+    return order[(run < k) & (score >= bar[q] - 1e-6)]
+
+
+def _partial_topk_fn(k: int, bc, qid_type, held_rows: int = HELD, cells: int = CELLS):
+    """Every task's candidates: the ``k`` best of each query and all within
+    1e-6 of the k-th.  Memory is bounded by ``cells`` and ``held_rows``; should
+    more than those come close to the k-th, they are passed on early."""
     def fn(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         qids, qmat = bc.value
-        for pdf in batches:
-            if pdf.empty or qmat.shape[0] == 0:
-                continue
-            m = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
-            ids = pdf["id"].to_numpy()
-            scores = qmat @ m.T  # (n_queries, batch)
-            q, i = best_cells(scores, k)
-            yield pd.DataFrame({"qid": [qids[x] for x in q], "id": ids[i], "score": scores[q, i]})
+        if not len(qids):
+            return
+        names = pa.array(qids, qid_type)
+        bar = np.full(len(qids), -np.inf)
+        step = max(1, cells // len(qids))
+        held, n_held = [], 0
+
+        def packed():
+            q, score = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            ids = pa.concat_arrays([h[2] for h in held])
+            pos = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+            keep = best_so_far(q, score, pos, k, bar)
+            return q[keep], score[keep], ids.take(pa.array(keep))
+
+        def out(q, score, ids):
+            for at in range(0, len(q), 10_000):
+                part = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[part])), ids[part], pa.array(score[part])],
+                                                 ["qid", "id", "score"])
+
+        for b in batches:
+            for start in range(0, b.num_rows, step):
+                part = b.slice(start, step)
+                vec = part.column(1)
+                if vec.null_count:
+                    raise ValueError("a vector is null")
+                m = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+                whole = ~np.isnan(m).any(axis=1)
+                if not whole.all():  # no score, no rank
+                    part, m = part.filter(pa.array(whole)), m[whole]
+                scores = qmat @ m.T  # (n_queries, step)
+                ok = scores >= bar[:, None] - 1e-6
+                many = np.flatnonzero(ok.sum(1) > k)
+                if len(many):
+                    some = scores[many]
+                    bar[many] = np.maximum(bar[many], np.partition(some, -k, axis=1)[:, -k])
+                    ok[many] = some >= bar[many][:, None] - 1e-6
+                    del some
+                for rows in np.array_split(np.arange(len(qids)), max(1, -(-int(ok.sum()) // held_rows))):
+                    q, i = np.nonzero(ok[rows[0]:rows[-1] + 1]) if len(rows) else (rows, rows)
+                    if not len(q):
+                        continue
+                    q = q + rows[0]
+                    held.append((q.astype("int32"), scores[q, i], part.column(0).take(pa.array(i))))
+                    n_held += len(q)
+                    if n_held > held_rows:
+                        held = [packed()]
+                        n_held = len(held[0][0])
+                        if n_held > held_rows // 2:
+                            yield from out(*held[0])
+                            held, n_held = [], 0
+        if held:
+            yield from out(*packed())
     return fn
 
 
@@ -307,9 +377,12 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10, qid: str = "q
     Query vectors are shipped to the tasks in blocks of at most
     ``block_rows`` (the only broadcast; its size is fixed by the block
     bound, not by the data).  Each item partition yields a partial top-k
-    per query; a final ``row_number`` window keeps ``k``.
+    per query; a final ``row_number`` window keeps ``k``.  A task scores its
+    items in slices and keeps candidates in bounded memory, however many
+    items and equal scores there are.
     """
     import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark = queries.sparkSession
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec"))
@@ -326,8 +399,8 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10, qid: str = "q
         qids = [r["qid"] for r in rows]
         qmat = np.array([list(r["vec"]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
         bc = spark.sparkContext.broadcast((qids, qmat))
-        fn = _partial_topk_fn(k, bc)
-        parts.append(it.mapInPandas(fn, schema))
+        fn = _partial_topk_fn(k, bc, to_arrow_type(schema["qid"].dataType))
+        parts.append(it.mapInArrow(fn, schema))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

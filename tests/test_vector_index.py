@@ -60,3 +60,49 @@ def test_search_without_questions_or_vectors(spark):
     assert V.search(asked.limit(0), index).collect() == []
     none = V.cluster_vectors(items.limit(0), path(spark), clusters=3)
     assert V.search(asked, none).collect() == []
+
+
+def test_topk_tasks_hold_little(spark):
+    """Many queries and items, most of them copies: a task's memory and its
+    candidates stay bounded, and the result is the exact one."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from papertrail.operators.retrieval import _partial_topk_fn
+
+    rng = np.random.default_rng(5)
+    items = np.repeat(rng.normal(size=(40, 8)), 500, axis=0)[rng.permutation(20_000)]
+    queries = rng.normal(size=(2_000, 8))
+    ids = rng.permutation(20_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(items), pa.list_(pa.float64()))], ["id", "vec"])
+    tracemalloc.start()
+    fn = _partial_topk_fn(5, SimpleNamespace(value=(list(range(2_000)), queries)), pa.int64())
+    out = pa.Table.from_batches(list(fn(iter([batch])))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all scores at once: 320 MB
+    assert len(out) <= 2 * 5 * 2_000
+    out["r"] = out["score"].round(6)
+    got = out.sort_values(["qid", "r", "id"], ascending=[True, False, True]).groupby("qid").head(5)
+    for q in range(0, 2_000, 97):
+        want = sorted(zip(-np.round(items @ queries[q], 6), ids))[:5]
+        assert got[got["qid"] == q]["id"].tolist() == [i for _, i in want]
+
+
+def test_topk_passes_on_what_it_cannot_hold(spark):
+    """More near ties than a task holds; null and repeated ids."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from papertrail.operators.retrieval import _partial_topk_fn
+
+    vec = [[1.0 - 1e-9 * (i % 300)] for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 7, 7] + list(range(100, 697))), pa.array(vec)], ["id", "vec"])
+    fn = _partial_topk_fn(2, SimpleNamespace(value=([3, None], np.array([[1.0], [2.0]]))), pa.int64(), held_rows=50, cells=64)
+    out = pa.Table.from_batches(list(fn(iter([batch, batch])))).to_pylist()
+    for q, score in ((3, 1.0), (None, 2.0)):
+        mine = sorted((-round(r["score"], 6), r["id"] is not None, r["id"] or 0) for r in out if r["qid"] == q)
+        assert mine[:2] == [(-score, False, 0)] * 2
