@@ -136,6 +136,39 @@ def test_leaves_of_any_depth(spark):
     assert text[1].endswith(".item_0: 1; " + ".".join("a" * 20) + ".item_1: x]") and text[3] == "5"
 
 
+ODD_JSON = [('{"a": "{\\"b\\": [1, \\"[2]\\"]}", "c": " [3"}', [("a.b.item_0", "1"), ("a.b.item_1.item_0", "2"), ("c", " [3")],
+             'a: a.b: a.b.item_0: 1; a.b.item_1: a.b.item_1.item_0: 2; c:  [3'),
+            ('{"u": "\\u007b\\"x\\": true}", "v": [true, " true", "true", {}]}',
+             [("u.x", "True"), ("v.item_0", "True"), ("v.item_1", "False"), ("v.item_2", "True")],
+             'u: u.x: True; v: v.item_0: True; v.item_1: False; v.item_2: True; v.item_3: '),
+            ('{"d": 1, "d": 2}', [], '{"d": 1, "d": 2}'), ('[1.50, null', [], '[1.50, null'),
+            (' [1.50, null]', [("item_0", "1.5"), ("item_1", "None")], 'item_0: 1.5; item_1: None')]
+
+
+def test_flattening_takes_json_in_strings(spark):
+    from papertrail.operators.extraction import flatten_leaves, flatten_text
+
+    df = spark.createDataFrame([(k, j) for k, (j, _, _) in enumerate(ODD_JSON)], "k int, j string")
+    got = sorted((r.k, r.path, r.value) for r in flatten_leaves(df, "k", "j").collect())
+    assert got == sorted((k, *x) for k, (_, want, _) in enumerate(ODD_JSON) for x in want)
+    assert {r.k: r.t for r in flatten_text(df, F.col("j"), "t").collect()} == {k: t for k, (_, _, t) in enumerate(ODD_JSON)}
+
+
+def test_leaves_come_from_one_pass(spark):
+    """No level reads the rows again."""
+    from papertrail.operators.extraction import flatten_leaves
+
+    df = spark.createDataFrame([(1, '{"a": ' * 9 + "1" + "}" * 9)], "k int, j string")
+    plan = plan_of(flatten_leaves(df, "k", "j"))
+    assert plan.count("Generate ") == 1 and "Union" not in plan
+
+
+def test_flatten_json_parses_a_level_once(spark):
+    df = spark.createDataFrame([("{}",)], "j string")
+    parsed = [plan_of(df.select(flatten_json("j", depth))).count("parse_json") for depth in (3, 5)]
+    assert parsed[1] - parsed[0] <= 2 * 2  # a level: whether it is a container, and of a scalar whether it is a boolean
+
+
 def test_products_and_stage_type_of_the_wrapped_shape(spark):
     from papertrail.operators.extraction import normalize_extraction
 
