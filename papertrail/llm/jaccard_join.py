@@ -286,17 +286,18 @@ def best_of_each(vec: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray
     return node[order], partner[order], share[order]
 
 
-def tree_candidates(members: DataFrame, num: int, den: int, chunk: int, best: bool = False) -> DataFrame:
+def tree_candidates(members: DataFrame, points: DataFrame, num: int, den: int, chunk: int, best: bool = False) -> DataFrame:
     """Pairs (a, b) of different components within a tile that pass the bound,
-    or of these only the ``best`` of every node.  ``members``: tile, sid, n,
-    comp, vec."""
+    or of these only the ``best`` of every node.  ``members``: tile, sid, comp;
+    ``points``: sid, n, vec.  Points travel once, when all else is settled."""
     parts = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m")).select(
         "tile", F.greatest(F.lit(1), F.ceil(F.col("m") / chunk)).cast("int").alias("parts"))
     m = members.join(parts, "tile").withColumn("part", F.pmod(F.hash("sid"), F.col("parts")))
     # chunk i meets chunk j >= i in task (tile, i, j)
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
         F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    m = m.withColumn("at", F.explode_outer(others)).select("tile", "at.i", "at.j", "part", "sid", "n", "comp", "vec")
+    m = m.withColumn("at", F.explode_outer(others)).select("tile", "at.i", "at.j", "part", "sid", "comp")
+    m = m.join(points, "sid").select("tile", "i", "j", "part", "sid", "n", "comp", "vec")
     m = m.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +385,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = stored(tiles.join(shared.select("tile", "centre"), "tile").distinct(), "jaccard-members")
     discard(tiles)
     points = stored(candidate_points(docs, nodes, members.select("sid").distinct(), id_col, text_col, words), "jaccard-points")
+    release(docs.sparkSession)
     # each node against the centre that it shares most tiles with
     shares = members.filter("sid <> centre").groupBy(F.col("centre").alias("a"), F.col("sid").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"))
@@ -406,8 +408,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # while that joins components, and at last every pair between components
     tested = first.unionByName(rest)
     for best in [True] * ROUNDS + [False]:
-        trees = open_.select("tile", "sid", "comp").join(points.select("sid", "n", "vec"), "sid")
-        pairs = stored(tree_candidates(trees, num, den, chunk, best).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        pairs = tree_candidates(open_.select("tile", "sid", "comp"), points.select("sid", "n", "vec"), num, den, chunk, best)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        release(docs.sparkSession)  # the points in their tiles, before texts travel
         more = stored(verified(pairs, points, words, num, den), "jaccard-links")
         release(docs.sparkSession)
         tested = tested.unionByName(pairs)

@@ -330,6 +330,19 @@ def test_token_counts(docs, rows):
     assert multiset(token_counts.token_counts(docs, path, top=3, sample_rows=2, cache_entries=8).collect()) == want
 
 
+def test_points_travel_once_to_their_trees(spark):
+    """The tiles' sizes are joined before the points, which are 256 bytes each."""
+    sets = {1: range(10), 2: range(10), 3: range(100, 110)}
+    vec = {k: np.bincount([x % jaccard_join.DIMS for x in v], minlength=jaccard_join.DIMS).astype("uint8").tobytes() for k, v in sets.items()}
+    points = spark.createDataFrame([(k, 10, bytearray(v)) for k, v in vec.items()], "sid long, n int, vec binary")
+    members = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3), (8, 1, 1), (8, 3, 3)], "tile long, sid long, comp long")
+    for best in (False, True):
+        got = jaccard_join.tree_candidates(members, points, 9, 10, 2, best)
+        assert [tuple(r) for r in got.collect()] == [(1, 2)]
+        joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert len(joins) == 2 and "sid" in joins[0] and "tile" in joins[1]
+
+
 def test_frequent_pieces_are_counted_over_all_rows(spark):
     """Each piece is in two of 30,000 rows, in different tasks."""
     path = P.path("byte_bpe_50k.json")
