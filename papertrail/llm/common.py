@@ -52,6 +52,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A dict that the later tasks of a Python worker find again."""
+    return _KEPT.setdefault(name, {})
+
+
+def forget() -> None:
+    """Empty all :func:`kept` dicts.  Spark uses its Python workers again for
+    later stages, where the caches of finished operators only take memory."""
+    if any(_KEPT.values()):
+        for d in _KEPT.values():
+            d.clear()
+        gc.collect()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; every other character unchanged."""
     return F.translate(c, UPPER, LOWER)

@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papertrail.llm.common import kept
 from papertrail.llm.token_counts import encode_all, load_tokenizer
 
 CACHE_ENTRIES = 3 << 18
 POOL_TOKENS = 1 << 19
-_CHUNKS: dict = {}  # per Python worker, by tokenizer file
+_CHUNKS = kept("chunks")  # per Python worker, by tokenizer file
 
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papertrail.llm.common import forget
 from papertrail.llm.wordhash import coded_words, hashes, mixed, slices
 
 BITS = 18
@@ -44,6 +45,8 @@ LEAST_DOCS = 5
 SCREEN = 4.0
 L2 = 1e-4
 KEEP_TAIL = 0.6
+SLICE_BYTES = 1 << 20  # text whose features are in memory at once
+BLOCK = 1 << 19  # features that a round of the fit takes at once
 
 _PREFIXES = (0, 4, 5, 6, 7)  # bytes of a word; 0: all
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
@@ -105,10 +108,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def _blocks(columns: list[np.ndarray], place: np.ndarray, entries: int = BLOCK) -> list[tuple]:
+    """(first document, end, document from the first on, place of the column)
+    of the features of consecutive documents, about ``entries`` a block: what a
+    round holds besides them has the size of one block.  Empties ``columns``."""
+    ends = np.cumsum([len(c) for c in columns])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // entries)) + 1).tolist(), len(columns)]
+    out = []
+    for x, y in zip(cuts, cuts[1:]):
+        row = np.repeat(np.arange(y - x, dtype="int32"), [len(c) for c in columns[x:y]])
+        out.append((x, y, row, place[np.concatenate(columns[x:y])]))
+        columns[x:y] = [None] * (y - x)
+    return out
+
+
 def fit(columns: list[np.ndarray], grade: np.ndarray, grades: int, bits: int = BITS, rounds: int = ROUNDS,
         l2: float = L2, least_docs: int = LEAST_DOCS, screen: float = SCREEN) -> CumulativeLink:
     """Maximum a posteriori fit by Adam.  ``columns``: the features of each
-    training document.  Features of fewer than ``least_docs`` documents, or
+    training document; the list is emptied on the way.  Features of fewer than ``least_docs`` documents, or
     whose mean grade is within ``screen`` standard errors of the average,
     keep weight 0.  Thresholds are theta_0 and positive gaps, so they stay
     ordered."""
@@ -120,10 +137,15 @@ def fit(columns: list[np.ndarray], grade: np.ndarray, grades: int, bits: int = B
         off[c] += g - mean
     z = np.abs(off) / (spread * np.sqrt(np.maximum(held * (1 - held / n), 1e-9)))
     use = (held >= least_docs) & (held < n) & (z >= screen)
-    columns = [c[use[c]] for c in columns]
-    row = np.repeat(np.arange(n), [len(c) for c in columns])
-    col = np.concatenate(columns).astype("int64")
-    names, col = np.unique(col, return_inverse=True)
+    seen = np.zeros(1 << bits, bool)
+    for i, c in enumerate(columns):  # one by one, so that what is left out goes at once
+        columns[i] = c = c[use[c]]
+        seen[c] = True
+    names = np.flatnonzero(seen)
+    place = np.zeros(1 << bits, "int32")
+    place[names] = np.arange(len(names))
+    blocks = _blocks(columns, place)
+    del columns
     share = np.cumsum(np.bincount(grade, minlength=grades)[:-1] + 0.5) / (n + 0.5 * grades)
     start = np.log(share / (1 - share))
     p = np.concatenate([np.zeros(len(names)), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
@@ -132,7 +154,7 @@ def fit(columns: list[np.ndarray], grade: np.ndarray, grades: int, bits: int = B
     for step in range(1, rounds + 1):
         w, gaps = p[:k], np.exp(p[k + 1:])
         theta = p[k] + np.concatenate([[0], np.cumsum(gaps)])
-        eta = np.bincount(row, w[col], minlength=n)
+        eta = np.concatenate([np.bincount(row, w[col], minlength=y - x) for x, y, row, col in blocks])
         edge = np.concatenate([[-60], theta, [60]])
         hi, lo = _sigmoid(edge[grade + 1] - eta), _sigmoid(edge[grade] - eta)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
@@ -143,7 +165,10 @@ def fit(columns: list[np.ndarray], grade: np.ndarray, grades: int, bits: int = B
         np.add.at(g_theta, grade, dlo / mass / n)
         g_theta = g_theta[1:-1]
         later = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, g_eta[row], minlength=k) + l2 * w, later[:1], later[1:] * gaps])
+        g_w = np.zeros(k)
+        for x, y, row, col in blocks:
+            np.add.at(g_w, col, g_eta[x:y][row])
+        g = np.concatenate([g_w + l2 * w, later[:1], later[1:] * gaps])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         p = p - 0.1 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -161,8 +186,9 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "d
     chosen = r.orderBy(F.xxhash64("id"), "id").limit(max_train)  # bounded by max_train, so broadcast below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE_BYTES):
                 row, col = features(b.column(1), bits)
                 at = np.searchsorted(row, np.arange(b.num_rows + 1))
                 cols = pa.array([col[x:y].astype("int32").tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
@@ -203,15 +229,22 @@ def scored(docs: DataFrame, model: CumulativeLink, text_col: str = "text", bits:
     """row (struct of the ``carry`` columns, default all) and quality (struct):
     expected (grade), tail (P of the top grade), probabilities (one per grade)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.theta))
-    rows = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = carry or docs.columns
+    inside = names.index(text_col) if text_col in names else None  # a carried text is not sent a second time
+    row = F.struct(*(carry or ["*"])).alias("row")
+    rows = docs.select(row) if inside is not None else docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     quality = T.StructType().add("expected", "double").add("tail", "double").add("probabilities", T.ArrayType(T.DoubleType()))
     schema = T.StructType().add("row", rows.schema["row"].dataType).add("quality", quality)
     kind = pa.struct([("expected", pa.float64()), ("tail", pa.float64()), ("probabilities", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = CumulativeLink(*sent.value)
         for whole in batches:
-            for b in slices(whole, 1):
+            if inside is not None:
+                text = pc.fill_null(whole.column(0).field(inside), "")
+                whole = pa.RecordBatch.from_arrays([whole.column(0), text], ["row", "text"])
+            for b in slices(whole, 1, SLICE_BYTES):
                 row, col = features(b.column(1), bits, m.weights)
                 p = m.probabilities(np.bincount(row, m.weights[col], minlength=b.num_rows))
                 expected = p @ np.arange(p.shape[1])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import discard, sampled, stored
+from papertrail.llm.common import discard, kept, sampled, stored
 
 TOP = 1 << 16
 CACHE_ENTRIES = 1 << 19
@@ -41,7 +41,7 @@ _SPACE = b" \t\n\r\x0b\x0c"
 # a special token's opening; then the white space that is not ASCII, as UTF-8
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
-_WORKER: dict = {}  # per Python worker: tokenizers and caches, by file
+_WORKER = kept("tokenizers")  # per Python worker: tokenizers and caches, by file
 
 
 def load_tokenizer(path: str):

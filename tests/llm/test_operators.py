@@ -5,6 +5,7 @@ empty tables."""
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -462,6 +463,39 @@ def test_quality_edge_cases(spark, docs, none):
         assert quality.select_top(docs, m).count() == (docs.count() if kept else 0)
 
 
+def test_quality_sends_a_carried_text_once(spark, docs):
+    model = quality.train(docs, spark.createDataFrame([(3, 2), (9, 0)], "doc_id long, grade int"))
+    whole = quality.scored(docs, model)
+    assert "coalesce(" not in whole._jdf.queryExecution().analyzed().toString()
+    found = lambda df: sorted(((r["row"]["doc_id"], r["quality"]["tail"]) for r in df.collect()), key=str)
+    assert found(whole) == found(quality.scored(docs, model, carry=["doc_id"]))  # the text beside the row
+
+
+def test_quality_fit_takes_blocks():
+    gen = np.random.default_rng(6)
+    columns = [np.unique(gen.integers(0, 1 << 10, 400)).astype("int32") for _ in range(3000)]
+    grade = gen.integers(0, 3, 3000)
+    entries = sum(map(len, columns))
+    cut = quality._blocks(list(columns), np.arange(1 << 10, dtype="int32"), 1000)
+    assert [x for x, *_ in cut] == [0, *(y for _, y, *_ in cut[:-1])] and cut[-1][1] == 3000
+    assert all((c == np.concatenate(columns[x:y])).all() and (np.bincount(r) == [len(d) for d in columns[x:y]]).all()
+               for x, y, r, c in cut)
+    tracemalloc.start()
+    quality.fit(columns, grade, 3, bits=10, rounds=2, least_docs=1, screen=0.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * entries + (4 << 20) and not any(c is not None for c in columns)
+
+
+def test_caches_of_other_operators_go():
+    path = P.path("word_bpe_49k.json")
+    ids = packing.text_ids(b"one two", path)
+    assert packing._CHUNKS and token_counts._WORKER
+    common.forget()
+    assert not packing._CHUNKS and not token_counts._WORKER
+    assert packing.text_ids(b"one two", path) == ids
+
+
 # -------------------------------------------------------------- op3
 
 
