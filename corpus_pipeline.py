@@ -25,18 +25,32 @@ from papertrail.llm.packing import pack
 from papertrail.llm.quality import ratings_of, select_top, train
 from papertrail.session import ensure_checkpoint_dir
 
+#: Of the packer's chunk cache, which lies beside the memory that the earlier stages have filled.
+CACHE_ENTRIES = 1 << 17
+#: Rows of whole texts that go to Python at once, where the session does not say.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default
+        spark.conf.set(key, BATCH_ROWS)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return select_top(docs, train(docs, ratings_of(read(spark, sf_dir, "labels"))))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    small_batches(spark)
     return dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    small_batches(spark)
     return one_of_each(docs, words=5, num=4, den=5)
 
 
@@ -47,7 +61,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    small_batches(spark)
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_entries=CACHE_ENTRIES)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

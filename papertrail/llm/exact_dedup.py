@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import lower_ascii, shared_path, small, stored
+from papertrail.llm.common import lean, lower_ascii, shared_path, small, stored
 from papertrail.llm.wordhash import slices
 
 CAPACITY = 1 << 12
@@ -148,7 +148,7 @@ def combined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         if held:
             yield made(held)
 
-    return t.mapInArrow(run, f"key long, norm binary, id {kind}, n long")
+    return t.mapInArrow(lean(run), f"key long, norm binary, id {kind}, n long")
 
 
 def owned(rows: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def owned(rows: DataFrame) -> DataFrame:
         if chain:
             yield made(links())
 
-    return r.mapInArrow(run, f"bucket long, depth int, key long, chain int, sha256 string, keep_id {kind}, group_size long")
+    return r.mapInArrow(lean(run), f"bucket long, depth int, key long, chain int, sha256 string, keep_id {kind}, group_size long")
 
 
 def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import discard, release, small, stored
+from papertrail.llm.common import discard, lean, release, small, stored
 from papertrail.llm.components import components
 from papertrail.llm.wordhash import gram_hashes, hashed_words, mixed, slices
 
@@ -61,6 +61,7 @@ ROUNDS = 1  # searches for the best partners before that for all
 CHUNK = 2048
 SALT = 500
 MAX_BROADCAST_ROWS = 500_000
+SLICE_BYTES = 1 << 20  # text whose shingles are in memory at once
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -115,7 +116,7 @@ def node_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple
         id_type = None
         for whole in batches:
             id_type = whole.schema.field(0).type
-            for b in slices(whole, 2):
+            for b in slices(whole, 2, SLICE_BYTES):
                 sets, _, w = shingle_sets(b.column(2), words)
                 totals[:1 << BITS] += np.bincount(_group(w), minlength=1 << BITS)
                 totals[1 << BITS:] += np.bincount(_group(np.concatenate(sets)), minlength=1 << BITS)
@@ -128,7 +129,7 @@ def node_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple
             yield pa.RecordBatch.from_arrays([no(id_type), no(pa.int64()), no(pa.int32()), no(pa.int64()),
                                               pa.array(g), pa.array(totals[g])], names)
 
-    both = _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, th long, n int, sid long, grp long, total long")
+    both = _keyed(docs, id_col, text_col).mapInArrow(lean(run), f"id {kind}, th long, n int, sid long, grp long, total long")
     both = stored(both, "jaccard-nodes")
     totals = both.filter("grp is not null").groupBy("grp").agg(F.sum("total").alias("total"))
     return both.filter("grp is null").select("id", "th", "n", "sid"), totals
@@ -152,7 +153,7 @@ def tile_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, crowded = sent.value
         for whole in batches:
-            for b in slices(whole, 2):
+            for b in slices(whole, 2, SLICE_BYTES):
                 sets, places, w = shingle_sets(b.column(2), words)
                 of_word = np.append(of_words[_group(w)], np.zeros(words, "uint16")).astype("uint64")
                 of_gram = sum(of_word[j:len(of_word) - words + j] for j in range(words))
@@ -171,7 +172,7 @@ def tile_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: st
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tiles).view("int64")), pa.array(np.concatenate(sids).astype("int64"))], ["tile", "sid"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "tile long, sid long")
+    return _keyed(docs, id_col, text_col).mapInArrow(lean(run), "tile long, sid long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -206,7 +207,7 @@ def within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Dat
             ok = _may_overlap(va, vb, needed(na.astype("int64"), nb, num, den))
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return j.mapInArrow(run, "a long, b long")
+    return j.mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -224,7 +225,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, "uint64")
         for whole in batches:
-            for b in slices(whole, 4):
+            for b in slices(whole, 4, SLICE_BYTES):
                 ok = []
                 for first, h in zip(b.column(2).to_pylist(), shingle_sets(b.column(4), words)[0]):
                     if first == 0:
@@ -232,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
                     ok.append(first == 1 and linked(own, h, num, den))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def overlap_bound_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray, num: int,
@@ -329,10 +330,10 @@ def tree_candidates(members: DataFrame, points: DataFrame, num: int, den: int, c
             yield out
 
     if best:
-        found = m.mapInArrow(run, "node long, partner long, share double")
+        found = m.mapInArrow(lean(run), "node long, partner long, share double")
         found = found.groupBy("node").agg(F.max(F.struct("share", "partner")).alias("x")).select("node", "x.partner")
         return found.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-    return m.mapInArrow(run, "a long, b long").distinct()
+    return m.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def candidate_points(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -351,14 +352,14 @@ def candidate_points(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE_BYTES):
                 sets = shingle_sets(b.column(1), words)[0]
                 vec = [np.minimum(np.bincount((mixed(h) % np.uint64(DIMS)).astype("int64"), minlength=DIMS), FULL)
                        .astype("uint8").tobytes() for h in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), b.column(1),
                                                   pa.array(vec, pa.binary())], ["sid", "n", "text", "vec"])
 
-    return once.mapInArrow(run, "sid long, n int, text string, vec binary")
+    return once.mapInArrow(lean(run), "sid long, n int, text string, vec binary")
 
 
 def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:

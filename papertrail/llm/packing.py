@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import kept
+from papertrail.llm.common import kept, lean
 from papertrail.llm.token_counts import encode_all, load_tokenizer
 
 CACHE_ENTRIES = 3 << 18
 POOL_TOKENS = 1 << 19
-_CHUNKS = kept("chunks")  # per Python worker, by tokenizer file
+_CHUNKS = kept("chunks")  # per Python worker, by tokenizer file and size
 
 
 
@@ -103,9 +103,9 @@ class ChunkIds:
 
 def text_ids(text: bytes, path: str, cache_entries: int = CACHE_ENTRIES) -> bytes:
     """Token ids of a text, little-endian uint32."""
-    known = _CHUNKS.get(path)
+    known = _CHUNKS.get((path, cache_entries))
     if known is None:
-        known = _CHUNKS[path] = ChunkIds(load_tokenizer(path)[0], cache_entries)
+        known = _CHUNKS[path, cache_entries] = ChunkIds(load_tokenizer(path)[0], cache_entries)
     return known.of(text.split())  # bytes: splits at ASCII white space only
 
 
@@ -165,7 +165,7 @@ class Packer:
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", no_loss_col: str | None = None,
          max_tokens: int = 2048, max_segments: int = 128, max_loss: int | None = None, end_id: int | None = 1,
-         pool_tokens: int = POOL_TOKENS) -> DataFrame:
+         pool_tokens: int = POOL_TOKENS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32),
     doc_tokens, sequence_id, offset.
 
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         new_tokens = 0
         for b in batches:
             for doc, text, no_loss in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                ids = text_ids(text.as_py(), path) + end
+                ids = text_ids(text.as_py(), path, cache_entries) + end
                 n = len(ids) // 4
                 if not n:
                     continue
@@ -233,4 +233,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     no_loss = F.lit(0) if no_loss_col is None else F.col(no_loss_col)
     d = docs.select(F.col(id_col).cast("long").alias("a"), F.coalesce(text_col, F.lit("")).cast("binary").alias("b"),
                     no_loss.cast("long").alias("c"))
-    return d.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return d.mapInArrow(lean(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papertrail.llm.common import forget
+from papertrail.llm.common import forget, lean
 from papertrail.llm.wordhash import coded_words, hashes, mixed, slices
 
 BITS = 18
@@ -210,9 +210,9 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "d
                                          ["weights", "theta"])
 
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rated = d.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(run, "grade int, cols binary")
+    rated = d.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(lean(run), "grade int, cols binary")
     # the bounded sample is fitted in one task; the driver gets the weights only
-    row = rated.repartition(1).mapInArrow(fitted, "weights binary, theta array<double>").first()
+    row = rated.repartition(1).mapInArrow(lean(fitted), "weights binary, theta array<double>").first()
     if row is None:
         return only_grade(grades - 1, grades, bits)
     return CumulativeLink(np.frombuffer(row["weights"], "float32"), np.array(row["theta"]))
@@ -251,7 +251,7 @@ def scored(docs: DataFrame, model: CumulativeLink, text_col: str = "text", bits:
                 found = [{"expected": e, "tail": t[-1], "probabilities": t} for e, t in zip(expected.tolist(), p.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["row", "quality"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def score(docs: DataFrame, model: CumulativeLink, text_col: str = "text", bits: int = BITS,

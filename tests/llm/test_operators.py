@@ -496,6 +496,25 @@ def test_caches_of_other_operators_go():
     assert packing.text_ids(b"one two", path) == ids
 
 
+def test_tasks_give_free_memory_back():
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+    def run(batches):
+        for b in batches:  # freed blocks below used ones, which malloc does not return by itself
+            blocks = [np.ones(1 << 13) for _ in range(3200)]
+            last = blocks[-1]
+            del blocks
+            yield b
+        del last
+
+    common.give_back()
+    before = held()
+    task = common.lean(run)(iter([1, 2]))
+    assert [next(task), next(task)] == [1, 2]
+    most = held()
+    assert next(task, None) is None and held() < before + 50 < most
+
+
 # -------------------------------------------------------------- op3
 
 
